@@ -40,9 +40,10 @@ LONG_AVERAGE_ABOVE = 30
 TRIMMED = " \t\n\r\x0b\x0c"
 # --- end of fixed values ---------------------------------------------------------------------------
 
-# The same matches, written so that each run of word characters and each line is walked once.
+# The same matches, written so that each run of word characters and each line is walked once: a call head
+# is found by the last character before its parenthesis.
 _TERNARY_BY_LINE = r"(?<![^\n\r\x{2028}\x{2029}])(?>[^\n\r\x{2028}\x{2029}]*?\?)[^\n\r\x{2028}\x{2029}]*:"
-_FUNCTION_BY_RUN = r"(function\s+\w++|const\s+\w++\s*+=\s*+\([^)]*+\)\s*+=>|(?<!\w)\w++\([^)]*+\)\s*+\{)"
+_FUNCTION_BY_RUN = r"function\s+\w++|const\s+\w++\s*+=\s*+\([^)]*+\)\s*+=>|\w\([^)]*+\)\s*+\{"
 
 BRANCHES = [Count(p, _TERNARY_BY_LINE if p == r"\?.*:" else None) for p in BRANCH_PATTERNS]
 FUNCTIONS = Count(FUNCTION_PATTERN, _FUNCTION_BY_RUN)

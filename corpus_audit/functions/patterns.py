@@ -10,7 +10,9 @@ line ends).  This module turns a pattern into a Spark expression that
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,7 +62,13 @@ def branches(pattern: str) -> list[str]:
 
 
 def java_regex(pattern: str) -> str:
-    """Plain pattern to the Java form: ASCII word boundary, ``.`` as 'not a line end'."""
+    """Plain pattern to the Java form: ASCII word boundary, ``.`` as 'not a line end'.
+
+    A leading boundary is checked after the literal it precedes, so the scan can search for the literal.
+    """
+    if pattern.startswith(r"\b") and (word := literal_prefix(pattern[2:])):
+        escaped = re.escape(word)
+        return f"{escaped}(?<!\\w{escaped})" + java_regex(pattern[2 + len(word) :])
     out = ""
     for token, _, in_class in _tokens(pattern):
         if in_class:
@@ -104,13 +112,33 @@ def literal_prefix(pattern: str) -> str:
     return out
 
 
+def _leading_group(branch: str) -> str | None:
+    """Inner pattern of a plain group that opens ``branch`` and is not repeated."""
+    if not branch.startswith("(") or branch.startswith("(?"):
+        return None
+    inner = ""
+    for i, (token, depth, in_class) in enumerate(_tokens(branch)):
+        if i and token == ")" and depth == 0 and not in_class:
+            return None if branch[len(inner) + 2 : len(inner) + 3] in tuple("*?{") else inner
+        if i:
+            inner += token
+    return None
+
+
 def required_literals(pattern: str) -> list[str] | None:
-    """One literal per top-level branch, of which a matching text must contain at least one."""
+    """Literals of which a matching text must contain at least one; None when there is no such list."""
     flags, body = _split_flags(pattern)
     if flags:
         return None
-    found = [literal_prefix(b) for b in branches(body)]
-    return found if all(found) else None
+    found: list[str] = []
+    for branch in branches(body):
+        branch = branch.removeprefix(r"\b")
+        group = _leading_group(branch)
+        needed = required_literals(group) if group is not None else [literal_prefix(branch)]
+        if not needed or not all(needed):
+            return None
+        found += needed
+    return list(dict.fromkeys(found))
 
 
 def _ordered_parts(branch: str) -> tuple[str, list[str]] | None:
@@ -159,70 +187,105 @@ def linear_regex(pattern: str) -> str:
 
 
 def _any(tests: list[Column]) -> Column:
-    combined = tests[0]
-    for t in tests[1:]:
-        combined = combined | t
-    return combined
+    return reduce(lambda a, b: a | b, tests)
+
+
+def _holds(text: Column, literals: list[str]) -> Column:
+    return _any([F.contains(text, F.lit(x)) for x in literals])
+
+
+def _worth_trying(text: Column, pattern: str, needs: tuple[str, ...]) -> Column | None:
+    """Cheap test that fails on texts the pattern cannot match; None when there is none."""
+    if needs:
+        return reduce(lambda a, b: a & b, [F.contains(text, F.lit(x)) for x in needs])
+    flags, body = _split_flags(pattern)
+    tests = []
+    for branch in branches(body):
+        split = _ordered_parts(branch)
+        if split is None:
+            literals = required_literals(branch) if not flags else None
+            if not literals:
+                return None
+            tests.append(_holds(text, literals))
+            continue
+        # Every part of A.*B has to occur somewhere.
+        found = []
+        for part in split[1]:
+            if flags:
+                found.append(F.rlike(text, F.lit(flags + java_regex(part))))
+            elif literals := required_literals(part):
+                found.append(_holds(text, literals))
+        if not found:
+            return None
+        tests.append(reduce(lambda a, b: a & b, found))
+    return _any(tests)
 
 
-def matches(text: Column, pattern: str, linear: str | None = None) -> Column:
+def matches(text: Column, pattern: str, linear: str | None = None, needs: tuple[str, ...] = ()) -> Column:
     """True when ``pattern`` occurs in ``text``.  Pure literals become ``contains``."""
     flags, body = _split_flags(pattern)
     if linear is None and not flags:
         literals = [literal_of(b) for b in branches(body)]
         if all(literals):
-            return _any([F.contains(text, F.lit(x)) for x in literals])
+            return _holds(text, literals)
     test = F.rlike(text, F.lit(linear_regex(pattern) if linear is None else java_regex(linear)))
-    needed = required_literals(pattern)
-    if needed:
-        return _any([F.contains(text, F.lit(x)) for x in dict.fromkeys(needed)]) & test
-    return test
+    cheap = _worth_trying(text, pattern, needs)
+    return test if cheap is None else cheap & test
 
 
 def matches_any(text: Column, patterns: list[str]) -> Column:
-    """True when one of ``patterns`` occurs; literal tests first because they are cheapest."""
-    return _any([matches(text, p) for p in sorted(patterns, key=lambda p: literal_of(p) is None)])
+    """True when one of ``patterns`` occurs.
+
+    Literal tests come first because they are cheapest; plain case-insensitive patterns become one regex.
+    """
+    literal = [p for p in patterns if literal_of(p)]
+    folded = [p for p in patterns if p.startswith("(?i)") and _ordered_parts(p) is None]
+    others = [p for p in patterns if p not in literal and p not in folded]
+    if len(folded) > 1:
+        folded = ["(?i)" + "|".join(_split_flags(p)[1] for p in folded)]
+    return _any([matches(text, p) for p in literal + others + folded])
 
 
-def count_matches(text: Column, pattern: str, linear: str | None = None) -> Column:
+def count_matches(
+    text: Column, pattern: str, linear: str | None = None, needs: tuple[str, ...] = ()
+) -> Column:
     """Number of non-overlapping matches, as BIGINT."""
     literal = literal_of(pattern)
     if literal:
         removed = F.octet_length(F.replace(text, F.lit(literal), F.lit("")))
         return F.floor((F.octet_length(text) - removed) / len(literal.encode())).cast("bigint")
     n = F.regexp_count(text, F.lit(java_regex(linear or pattern))).cast("bigint")
-    needed = required_literals(pattern)
-    if needed:
-        present = _any([F.contains(text, F.lit(x)) for x in dict.fromkeys(needed)])
-        # A NULL text must stay NULL, so the guard only answers for present texts.
-        return F.when(~present, F.lit(0).cast("bigint")).otherwise(n)
-    return n
+    cheap = _worth_trying(text, pattern, needs)
+    # A NULL text must stay NULL, so the guard only answers for present texts.
+    return n if cheap is None else F.when(~cheap, F.lit(0).cast("bigint")).otherwise(n)
 
 
 @dataclass(frozen=True)
 class Has:
-    """Presence of a pattern."""
+    """Presence of a pattern.
+
+    ``linear`` is an equal pattern whose time is linear in the text; ``needs`` are literals every match
+    contains, for patterns whose text does not show them at the start.
+    """
 
     pattern: str
     linear: str | None = None
+    needs: tuple[str, ...] = ()
 
     def column(self, text: Column) -> Column:
-        return matches(text, self.pattern, self.linear)
+        return matches(text, self.pattern, self.linear, self.needs)
 
 
 @dataclass(frozen=True)
 class Count:
-    """Number of matches of a pattern.
-
-    ``linear`` is an equal pattern with possessive runs, for patterns that would otherwise retry a long
-    run of word characters from each of its positions.
-    """
+    """Number of matches of a pattern; ``linear`` and ``needs`` as in :class:`Has`."""
 
     pattern: str
     linear: str | None = None
+    needs: tuple[str, ...] = ()
 
     def column(self, text: Column) -> Column:
-        return count_matches(text, self.pattern, self.linear)
+        return count_matches(text, self.pattern, self.linear, self.needs)
 
 
 @dataclass(frozen=True)

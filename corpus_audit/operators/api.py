@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_audit.functions import paths as P
@@ -147,12 +147,14 @@ def api_overview(report: DataFrame) -> DataFrame:
     )
 
 
+def api_flag_columns() -> list[Column]:
+    """Aggregates: does any code file hold API routes, does any hold authentication words."""
+    code, content = P.is_code(F.col("path")), F.col("content")
+    return [
+        F.coalesce(F.bool_or(F.when(code, matches_any(content, patterns))), F.lit(False)).alias(name)
+        for name, patterns in (("has_api_routes", ROUTE_PATTERNS), ("has_auth", AUTH_WORDS))
+    ]
+
+
 def repo_api_flags(files: DataFrame) -> DataFrame:
-    """Whether any code file of a repository holds API routes or authentication words."""
-    code = P.is_code(F.col("path"))
-    return files.groupBy("repo").agg(
-        F.coalesce(F.bool_or(F.when(code, matches_any(F.col("content"), ROUTE_PATTERNS))), F.lit(False)).alias(
-            "has_api_routes"
-        ),
-        F.coalesce(F.bool_or(F.when(code, matches_any(F.col("content"), AUTH_WORDS))), F.lit(False)).alias("has_auth"),
-    )
+    return files.groupBy("repo").agg(*api_flag_columns())

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpus_audit.operators.metrics import computed_once
 from corpus_audit.operators.rules import Family, Rule
 
 ISSUE_COLUMNS = [
@@ -26,8 +27,11 @@ ISSUE_COLUMNS = [
 def features(files: DataFrame, family: Family) -> DataFrame:
     """One row per file the family applies to, one column per feature; the text is dropped."""
     content = F.col("content")
-    return files.where(family.applies_to(F.col("path"))).select(
-        "repo", "path", *[f.column(content).alias(name) for name, f in family.features.items()]
+    return computed_once(
+        files.where(family.applies_to(F.col("path"))),
+        "repo",
+        "path",
+        *[f.column(content).alias(name) for name, f in family.features.items()],
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_audit.functions import paths as P
@@ -116,22 +116,28 @@ def file_doc_scores(per_file: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
 
 
 def file_doc_issues(
-    found: DataFrame, blocks: DataFrame, per_file: int | None = ISSUES_PER_FILE, max_gap: int = MAX_GAP
+    per_file: DataFrame, limit: int | None = ISSUES_PER_FILE, max_gap: int = MAX_GAP
 ) -> DataFrame:
-    """Undocumented symbols as issues, the first ``per_file`` of each file by line (None for all)."""
-    issues = undocumented(found, blocks, max_gap)
-    if per_file is not None:
-        first = Window.partitionBy("repo", "path").orderBy("line", "kind", "name")
-        issues = issues.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= per_file)
-    return issues.select(
-        "repo",
-        "path",
-        "name",
-        "line",
-        "kind",
-        F.format_string("Missing documentation for %s `%s` (line %d)", "kind", "name", "line").alias(
-            "description"
-        ),
+    """Undocumented symbols as issues, the first ``limit`` found in each file (None for all).
+
+    Works inside each file's row, so neither a join nor a window is needed.
+    """
+    bare = F.filter("symbols", lambda s: F.coalesce(s["gap"] > max_gap, F.lit(True)))
+    if limit is not None:
+        bare = F.slice(bare, 1, limit)
+    return (
+        per_file.select("repo", "path", F.explode_outer(bare).alias("s"))
+        .where(F.col("s.name").isNotNull())
+        .select(
+            "repo",
+            "path",
+            "s.name",
+            "s.line",
+            "s.kind",
+            F.format_string("Missing documentation for %s `%s` (line %d)", "s.kind", "s.name", "s.line").alias(
+                "description"
+            ),
+        )
     )
 
 

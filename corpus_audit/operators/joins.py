@@ -1,0 +1,26 @@
+"""Joins whose big side carries file texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``table`` marked for broadcast when its measured size is within ``limit``, else unchanged.
+
+    The optimizer cannot see that a filtered or aggregated side is small and would shuffle the texts of the
+    other side to join it.  So the size is measured by one aggregation over the small side; beyond the limit
+    the join stays a shuffle join, which adaptive execution splits where a key is hot.  Streaming tables are
+    never measured.
+    """
+    if table.isStreaming:
+        return table
+    size = F.lit(0)
+    for name, kind in table.dtypes:
+        if kind == "string":
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+    measured = table.agg(F.sum(size + 16 * len(table.columns)).alias("bytes")).first()
+    return F.broadcast(table) if (measured["bytes"] or 0) <= limit else table

@@ -20,27 +20,35 @@ def total(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0)).cast("bigint")
 
 
+def computed_once(table: DataFrame, *columns: Column | str) -> DataFrame:
+    """``table.select(*columns)`` whose values later filters reuse.
+
+    A filter on an ordinary computed column is pushed below the projection, and its expression runs twice.
+    Costly text expressions are therefore handed on as a one-element array, below which no filter moves.
+    """
+    named = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return table.select(F.inline(F.array(F.struct(*named))))
+
+
 def file_metrics(files: DataFrame) -> DataFrame:
     """Lines, complexity, functions and block lengths of every source file."""
-    return (
-        files.where(P.is_source(F.col("path")))
-        .select(
-            "repo",
-            "path",
-            M.line_count(F.col("content")).alias("lines"),
-            M.complexity(F.col("content")).alias("complexity"),
-            M.FUNCTIONS.column(F.col("content")).alias("functions"),
-            M.block_lines(F.col("content")).alias("_blocks"),
-        )
-        .select(
-            "repo",
-            "path",
-            "lines",
-            "complexity",
-            "functions",
-            M.average_block_length(F.col("_blocks")).alias("avg_block_length"),
-            M.long_blocks(F.col("_blocks")).alias("long_blocks"),
-        )
+    measured = files.where(P.is_source(F.col("path"))).select(
+        "repo",
+        "path",
+        M.line_count(F.col("content")).alias("lines"),
+        M.complexity(F.col("content")).alias("complexity"),
+        M.FUNCTIONS.column(F.col("content")).alias("functions"),
+        M.block_lines(F.col("content")).alias("_blocks"),
+    )
+    return computed_once(
+        measured,
+        "repo",
+        "path",
+        "lines",
+        "complexity",
+        "functions",
+        M.average_block_length(F.col("_blocks")).alias("avg_block_length"),
+        M.long_blocks(F.col("_blocks")).alias("long_blocks"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpus_audit.functions import metrics as M
 from corpus_audit.functions import paths as P
-from corpus_audit.operators.api import repo_api_flags
+from corpus_audit.operators.api import api_flag_columns
 from corpus_audit.operators.metrics import total
 from corpus_audit.sources.files import cap_per_group
 
@@ -357,83 +357,99 @@ def insights(stats: DataFrame) -> DataFrame:
     )
 
 
-def file_type_counts(stats: DataFrame) -> DataFrame:
-    """Test, TypeScript, JavaScript, JSON and Markdown files; a test file counts as nothing else."""
-    lower = F.lower(F.col("path"))
+def file_type_columns() -> list[Column]:
+    """Aggregates: test, TypeScript, JavaScript, JSON and Markdown files; a test file counts as nothing else."""
+    lower, ext = F.lower(F.col("path")), P.extension(F.col("path"))
     test = F.contains(lower, F.lit(".test.")) | F.contains(lower, F.lit(".spec."))
-    ext = P.extension(F.col("path"))
-    return stats.groupBy("repo").agg(
+    return [
         *[total(~test & (ext == f".{name}")).alias(name) for name in ("ts", "js")],
         total(test).alias("test"),
         *[total(~test & (ext == f".{name}")).alias(name) for name in ("json", "md")],
+    ]
+
+
+def file_type_counts(stats: DataFrame) -> DataFrame:
+    return stats.groupBy("repo").agg(*file_type_columns())
+
+
+def _present_columns(names: list[str], prefix: str) -> list[Column]:
+    """Aggregates: one flag per well-known path, so no list grows with the table."""
+    return [F.bool_or(F.col("path") == n).alias(f"{prefix}{i}") for i, n in enumerate(names)]
+
+
+def _present(names: list[str], prefix: str) -> Column:
+    """The names whose flags hold, in list order."""
+    return F.array_compact(F.array(*[F.when(F.col(f"{prefix}{i}"), F.lit(n)) for i, n in enumerate(names)]))
+
+
+def _with_main(main: Column, known: Column) -> Column:
+    return F.array_distinct(
+        F.when(F.coalesce(main != "", F.lit(False)), F.concat(F.array(main), known)).otherwise(known)
     )
 
 
 def entry_points(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """Main file of the manifest, then the well-known entry files that exist, in order."""
-    known = _present(files, ENTRY_POINTS).withColumnRenamed("names", "_known")
-    main = manifests.where(F.coalesce(F.col("main") != "", F.lit(False))).select("repo", "main")
-    joined = known.join(main, "repo", "full")
-    known_names = F.coalesce("_known", F.array().cast("array<string>"))
-    names = F.array_distinct(
-        F.when(F.col("main").isNull(), known_names).otherwise(F.concat(F.array("main"), known_names))
+    known = (
+        files.where(F.col("path").isin(ENTRY_POINTS))
+        .groupBy("repo")
+        .agg(*_present_columns(ENTRY_POINTS, "_e"))
+        .select("repo", _present(ENTRY_POINTS, "_e").alias("_known"))
     )
+    joined = known.join(manifests.select("repo", "main"), "repo", "full")
+    names = _with_main(F.col("main"), F.coalesce("_known", F.array().cast("array<string>")))
     return joined.select("repo", names.alias("entry_points")).where(F.size("entry_points") > 0)
 
 
 def config_files(files: DataFrame) -> DataFrame:
     """Well-known configuration files that exist, in order."""
-    return _present(files, CONFIG_NAMES).select("repo", F.col("names").alias("config_files"))
-
-
-def _present(files: DataFrame, names: list[str]) -> DataFrame:
-    """Names that exist as paths, in list order: one flag per name, so no list grows with the table."""
     flags = (
-        files.where(F.col("path").isin(names))
-        .groupBy("repo")
-        .agg(*[F.bool_or(F.col("path") == n).alias(f"_n{i}") for i, n in enumerate(names)])
+        files.where(F.col("path").isin(CONFIG_NAMES)).groupBy("repo").agg(*_present_columns(CONFIG_NAMES, "_c"))
     )
-    found = F.array_compact(F.array(*[F.when(F.col(f"_n{i}"), F.lit(n)) for i, n in enumerate(names)]))
-    return flags.select("repo", found.alias("names"))
+    return flags.select("repo", _present(CONFIG_NAMES, "_c").alias("config_files"))
 
 
-def repo_structure(files: DataFrame, manifests: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """API and auth flags, frameworks, file types, entry points and configuration files in one row.
+def repo_structure(files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """File count, API and auth flags, frameworks, file types, entry points and configuration files.
 
-    Every input is aggregated to one row per repository before the joins.
+    One aggregation over the files answers everything that depends on them, so texts are read once; the
+    root manifests (one row per repository) are joined to its result.
     """
-    frameworks = (
-        frameworks_from_dependencies(dependencies)
-        .groupBy("repo")
-        .agg(*[F.bool_or(F.col("name") == n).alias(f"_f{i}") for i, (n, _) in enumerate(PACKAGE_FRAMEWORKS)])
-        .select(
-            "repo",
-            F.array_compact(
-                F.array(*[F.when(F.col(f"_f{i}"), F.lit(f)) for i, (_, f) in enumerate(PACKAGE_FRAMEWORKS)])
-            ).alias("frameworks"),
-        )
+    measured = files.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("files"),
+        *api_flag_columns(),
+        *file_type_columns(),
+        *_present_columns(ENTRY_POINTS, "_e"),
+        *_present_columns(CONFIG_NAMES, "_c"),
     )
     empty = F.array().cast("array<string>")
-    return (
-        repo_api_flags(files)
-        .join(file_type_counts(files), "repo")
-        .join(frameworks, "repo", "left")
-        .join(entry_points(files, manifests), "repo", "left")
-        .join(config_files(files), "repo", "left")
-        .select(
-            "repo",
-            ((F.size(F.coalesce("frameworks", empty)) > 0) | F.col("has_api_routes")).alias("has_api"),
-            "has_api_routes",
-            "has_auth",
-            F.coalesce("frameworks", empty).alias("frameworks"),
-            "ts",
-            "js",
-            "test",
-            "json",
-            "md",
-            F.coalesce("entry_points", empty).alias("entry_points"),
-            F.coalesce("config_files", empty).alias("config_files"),
-        )
+    listed = manifests.select(
+        "repo",
+        "main",
+        F.array_compact(
+            F.array(
+                *[
+                    F.when(F.element_at("dependencies", F.lit(package)) != "", F.lit(framework))
+                    for package, framework in PACKAGE_FRAMEWORKS
+                ]
+            )
+        ).alias("_frameworks"),
+    )
+    frameworks = F.coalesce("_frameworks", empty)
+    return measured.join(listed, "repo", "left").select(
+        "repo",
+        "files",
+        ((F.size(frameworks) > 0) | F.col("has_api_routes")).alias("has_api"),
+        "has_api_routes",
+        "has_auth",
+        frameworks.alias("frameworks"),
+        "ts",
+        "js",
+        "test",
+        "json",
+        "md",
+        _with_main(F.col("main"), _present(ENTRY_POINTS, "_e")).alias("entry_points"),
+        _present(CONFIG_NAMES, "_c").alias("config_files"),
     )
 
 

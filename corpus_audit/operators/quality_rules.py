@@ -10,7 +10,7 @@ from corpus_audit.operators.rules import Family, Rule, counted
 # --- fixed values: smell patterns, thresholds and messages -----------------------------------------
 SMELL_FEATURES = {
     "long_parameters": Count(r"\([^)]{50,}\)"),
-    "magic_numbers": Count(r"\b(?!0|1|-1)\d{2,}\b"),
+    "magic_numbers": Count(r"\b(?!0|1|-1)\d{2,}\b", linear=r"[2-9](?<!\w[2-9])\d++(?!\w)"),
     "deep_nesting": Count(r"\{[^{}]*\{[^{}]*\{[^{}]*\{[^{}]*\{"),
     "todo_comments": Count(r"(?i)//\s*TODO|/\*\s*TODO"),
     "console_calls": Count(r"console\.(log|debug|warn)"),
@@ -81,14 +81,15 @@ FUNCTIONAL_FEATURES = {
     "array_mutations": Count(r"\.push\(|\.pop\(|\.shift\(|\.unshift\(|\.splice\("),
     "object_mutations": Count(
         r"Object\.assign\(|[a-zA-Z_]\w*\.[a-zA-Z_]\w*\s*=",
-        linear=r"Object\.assign\(|(?<!\w)\d*+[a-zA-Z_]\w*+\.[a-zA-Z_]\w*+\s*+=",
+        linear=r"Object\.assign\(|[a-zA-Z_]\d*+\.[a-zA-Z_]\w*+\s*+=",
+        needs=(".",),
     ),
     "nested_loops": Count(r"for\s*\([^)]*\)\s*\{[^{}]*for\s*\([^)]*\)"),
     "const_decls": Count(M.CONST_PATTERN),
     "let_decls": Count(M.LET_PATTERN),
     "var_decls": Count(M.VAR_PATTERN),
     "spreads": Count(r"\.\.\.[\w\[\]]"),
-    "indexed_assigns": Count(r"\w+\[\w+\]\s*=", linear=r"(?<!\w)\w++\[\w++\]\s*+="),
+    "indexed_assigns": Count(r"\w+\[\w+\]\s*=", linear=r"\w\[\w++\]\s*+=", needs=("[", "=")),
 }
 
 FUNCTIONAL_RULES = (
@@ -146,7 +147,10 @@ FUNCTIONAL_RULES = (
 
 ORGANIZATION_FEATURES = {
     "n_lines": Derived(M.line_count, "len(string_split({text}, chr(10)))"),
-    "style_numbers": Count(r"\b(?!0|1|-1|100|200|404|500)\d{2,}\b"),
+    "style_numbers": Count(
+        r"\b(?!0|1|-1|100|200|404|500)\d{2,}\b",
+        linear=r"[2-9](?<!\w[2-9])(?!(?<=[25])00|(?<=4)04)\d++(?!\w)",
+    ),
     "wide_parameters": Count(r"\([^)]{60,}\)"),
     "complex_conditionals": Count(
         r"(switch\s*\([^)]*\)\s*\{[^{}]*case[^{}]*case[^{}]*case)"
@@ -218,7 +222,7 @@ MODERN_FEATURES = {
     "nested_ifs": Count(r"\{\s*if[^{}]*\{\s*if[^{}]*\{\s*if"),
     "nested_callbacks": Count(r"function\s*\([^)]*\)\s*\{\s*[^{}]*function\s*\([^)]*\)\s*\{"),
     "property_chains": Count(
-        r"\w+\.\w+\.\w+\.\w+", linear=r"(?<!\w)\w++\.\w++\.\w++\.\w++"
+        r"\w+\.\w+\.\w+\.\w+", linear=r"\w\.\w++\.\w++\.\w++", needs=(".",)
     ),
     "getter_chains": Count(r"\.get\w+\(\)[^=]*\.get\w+\(\)"),
     "ask_then_act": Count(r"if\s*\([^)]*\.\w+[^)]*\)\s*\{[^{}]*\.\w+\s*="),

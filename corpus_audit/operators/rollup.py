@@ -351,21 +351,9 @@ def resolved_insights(comments: DataFrame, agents: list[str] = SYNTHESIS_AGENTS,
 # ---- prompts -----------------------------------------------------------------------------------------
 
 
-def repo_characteristics(files: DataFrame, structure: DataFrame) -> DataFrame:
-    """Per repository: file count and the flags a prompt header states."""
-    counts = files.groupBy("repo").agg(F.count(F.lit(1)).alias("files"))
-    return counts.join(structure, "repo").select(
-        "repo",
-        "files",
-        (F.col("ts") > 0).alias("has_typescript"),
-        (F.col("test") > 0).alias("has_tests"),
-        "has_api_routes",
-    )
-
-
 def build_prompts(
     files: DataFrame,
-    characteristics: DataFrame,
+    structure: DataFrame,
     agents: list[str],
     max_files: int = PROMPT_FILES,
     chars: int = PROMPT_CHARS,
@@ -373,7 +361,8 @@ def build_prompts(
     """One prompt per repository and agent: a header, then the first files framed by their paths.
 
     The file limit is applied inside each task before the shuffle, on text already cut to ``chars``.  The
-    body is built once per repository; agents only multiply the finished text.
+    body is built once per repository; agents only multiply the finished text.  ``structure`` is the table
+    of :func:`corpus_audit.operators.profile.repo_structure`.
     """
     shown = F.coalesce(
         F.when(F.substring("content", 1, chars) != "", F.substring("content", 1, chars)),
@@ -394,8 +383,8 @@ def build_prompts(
         ).alias("_body"),
     )
 
-    def yes(flag: str) -> Column:
-        return F.when(F.col(flag), "Yes").otherwise("No")
+    def yes(flag: Column) -> Column:
+        return F.when(flag, "Yes").otherwise("No")
 
     header = F.concat(
         F.lit("Please analyze this Node.js repository as the "),
@@ -403,17 +392,17 @@ def build_prompts(
         F.lit(" agent.\n\nRepository Structure:\n- Total files: "),
         F.col("_shown").cast("string"),
         F.lit("\n- Main language: JavaScript\n- Has TypeScript: "),
-        yes("has_typescript"),
+        yes(F.col("ts") > 0),
         F.lit("\n- Has tests: "),
-        yes("has_tests"),
+        yes(F.col("test") > 0),
         F.lit("\n- Has API routes: "),
-        yes("has_api_routes"),
+        yes(F.col("has_api_routes")),
         F.lit("\n\nFiles to analyze:\n"),
         F.col("_body"),
     )
     # --- end of fixed values -------------------------------------------------------------------------------
     return (
-        bodies.join(characteristics, "repo")
+        bodies.join(structure.select("repo", "ts", "test", "has_api_routes"), "repo")
         .withColumn("agent", F.explode(F.array(*[F.lit(a) for a in agents])))
         .select("repo", "agent", header.alias("prompt"))
         .withColumn("prompt_length", F.length("prompt").cast("bigint"))

@@ -7,10 +7,13 @@ stay in DataFrame expressions.  A file's text is never shuffled.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_left
+from functools import cached_property, reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,15 +194,30 @@ _SKIPPED = set(LIFECYCLE_METHODS + TEST_METHODS + KEYWORDS + COMMON_METHODS)
 
 
 class _Places:
-    """Sorted positions of the marks that decide whether an index lies in a string or comment."""
+    """Sorted positions of the marks that decide whether an index lies in a string or comment.
+
+    Each list is built when first asked for; most texts hold no symbol and need none.
+    """
 
     def __init__(self, text: str):
         self.text = text
-        self.newlines = [m.start() for m in re.finditer("\n", text)]
-        self.quotes = [[m.start() for m in re.finditer(q, text)] for q in "'\"`"]
-        # Overlapping finds ("/*/" holds both an opening and a closing mark).
-        self.opened = [m.start() for m in re.finditer(r"(?=/\*)", text)]
-        self.closed = [m.start() for m in re.finditer(r"(?=\*/)", text)]
+
+    @cached_property
+    def newlines(self) -> list[int]:
+        return [m.start() for m in re.finditer("\n", self.text)]
+
+    @cached_property
+    def quotes(self) -> list[list[int]]:
+        return [[m.start() for m in re.finditer(q, self.text)] for q in "'\"`"]
+
+    # Overlapping finds ("/*/" holds both an opening and a closing mark).
+    @cached_property
+    def opened(self) -> list[int]:
+        return [m.start() for m in re.finditer(r"(?=/\*)", self.text)]
+
+    @cached_property
+    def closed(self) -> list[int]:
+        return [m.start() for m in re.finditer(r"(?=\*/)", self.text)]
 
     def line(self, index: int) -> int:
         return bisect_left(self.newlines, index) + 1
@@ -282,6 +300,10 @@ _SYMBOLS = _struct(
 )
 
 
+# Executors receive these functions with the plan and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @F.pandas_udf(_FACTS)
 def _body_facts(content: pd.Series) -> pd.Series:
     return content.map(body_facts, na_action=None)
@@ -297,10 +319,18 @@ def _symbols(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([symbols_of(t) for t in content], columns=["symbols", "docblocks"])
 
 
+def _candidate(content: str, *marks: str) -> Column:
+    """The text when it holds one of ``marks``, else NULL: other texts are not sent to Python."""
+    return F.when(reduce(lambda a, b: a | b, [F.contains(content, F.lit(m)) for m in marks]), F.col(content))
+
+
+_HEAD_MARKS = ["{", "function", "=>"]
+
+
 def function_purity(files: DataFrame) -> DataFrame:
     """Functions with side effects, pure ones and the rest, per repository."""
     facts = files.where(P.is_style_source(F.col("path"))).select(
-        "repo", F.explode(_body_facts("content")).alias("f")
+        "repo", F.explode(_body_facts(_candidate("content", *_HEAD_MARKS))).alias("f")
     )
     effect = F.col("f.has_effect")
     pure = ~effect & F.col("f.returns") & ~F.col("f.uses_this") & ~F.col("f.has_local_state")
@@ -327,7 +357,7 @@ def function_sizes(files: DataFrame, longer_than: int = LONG_FUNCTION) -> DataFr
     """Functions spanning more than ``longer_than`` lines, the very long ones marked."""
     return (
         files.where(P.is_style_source(F.col("path")))
-        .select("repo", "path", F.explode(_function_spans("content")).alias("f"))
+        .select("repo", "path", F.explode(_function_spans(_candidate("content", *_HEAD_MARKS))).alias("f"))
         .select("repo", "path", "f.head", "f.line", "f.lines")
         .where(F.col("lines") > longer_than)
         .withColumn("is_large", F.col("lines") > LARGE_FUNCTION)
@@ -336,6 +366,9 @@ def function_sizes(files: DataFrame, longer_than: int = LONG_FUNCTION) -> DataFr
 
 def file_symbols(files: DataFrame) -> DataFrame:
     """One row per code file with its symbol and doc block arrays."""
-    return files.where(P.is_code(F.col("path"))).select("repo", "path", _symbols("content").alias("s")).select(
-        "repo", "path", "s.symbols", "s.docblocks"
+    text = _candidate("content", *_HEAD_MARKS, "class", "/**")
+    return (
+        files.where(P.is_code(F.col("path")))
+        .select("repo", "path", _symbols(text).alias("s"))
+        .select("repo", "path", "s.symbols", "s.docblocks")
     )

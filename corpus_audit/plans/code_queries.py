@@ -541,8 +541,7 @@ def file_doc_scores(spark, sf):
 
 @query("file_doc_issues")
 def file_doc_issues(spark, sf):
-    per_file = spans.file_symbols(D.files(spark, sf))
-    return documentation.file_doc_issues(documentation.symbols(per_file), documentation.docblocks(per_file))
+    return documentation.file_doc_issues(spans.file_symbols(D.files(spark, sf)))
 
 
 @query("doc_coverage")

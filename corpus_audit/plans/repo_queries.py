@@ -452,9 +452,10 @@ STRUCTURE_CTE = (
     f"WHERE path IN ({_CONFIG_NAMES}) GROUP BY repo), "
     f"fw AS (SELECT repo, string_agg(framework, ', ' ORDER BY p) AS frameworks FROM (SELECT repo, framework, list_position("
     f"[{', '.join(O.quote(p) for p, _ in profile.PACKAGE_FRAMEWORKS)}], name) AS p FROM deps JOIN (VALUES {_KNOWN}) k(name, framework) USING (name)) GROUP BY repo), "
-    "structure AS (SELECT repo, fw.frameworks IS NOT NULL OR has_api_routes AS has_api, has_api_routes, has_auth, "
+    "counts AS (SELECT repo, count(*) AS files FROM files GROUP BY repo), "
+    "structure AS (SELECT repo, counts.files, fw.frameworks IS NOT NULL OR has_api_routes AS has_api, has_api_routes, has_auth, "
     "coalesce(fw.frameworks, '') AS frameworks, ts, js, test, json, md, coalesce(entry_points, '') AS entry_points, "
-    "coalesce(config_files, '') AS config_files FROM flags JOIN types USING (repo) LEFT JOIN fw USING (repo) LEFT JOIN entry USING (repo) "
+    "coalesce(config_files, '') AS config_files FROM flags JOIN types USING (repo) JOIN counts USING (repo) LEFT JOIN fw USING (repo) LEFT JOIN entry USING (repo) "
     "LEFT JOIN conf USING (repo))"
 )
 
@@ -473,8 +474,7 @@ def config_files(spark, sf):
 
 def _structure(spark, sf):
     files = D.files(spark, sf)
-    parsed = manifests.manifests(files)
-    return profile.repo_structure(files, parsed, manifests.dependencies(parsed))
+    return profile.repo_structure(files, manifests.manifests(files))
 
 
 @query("repo_structure", f"{FILES}, {STRUCTURE_CTE} SELECT * FROM structure")
@@ -797,8 +797,7 @@ _SHOWN = "coalesce(nullif(substr(content, 1, 5000), ''), '[File content provided
 )
 def prompts(spark, sf):
     files = D.files(spark, sf)
-    described = rollup.repo_characteristics(files, profile.repo_api_flags(files).join(profile.file_type_counts(files), "repo"))
-    return rollup.build_prompts(files, described, ["code-quality", "security"])
+    return rollup.build_prompts(files, _structure(spark, sf), ["code-quality", "security"])
 
 
 # ---- settings -------------------------------------------------------------------------------------------

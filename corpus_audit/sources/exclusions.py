@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpus_audit.operators.joins import broadcast_if_small
+
 # --- fixed values: default exclusion patterns -------------------------------------------------------
 DEFAULT_EXCLUSIONS = [
     "node_modules/**",
@@ -117,13 +119,13 @@ def exclude_paths(
     """Files not removed by default, user or ignore-file patterns.
 
     Default and user patterns are plain predicates.  Ignore-file patterns are joined as one row per
-    repository on ``repo``: no pattern is compared with the files of another repository, and the join is a
-    broadcast or a skew-splittable sort-merge as the sizes demand.
+    repository on ``repo``, so no pattern is compared with the files of another repository.  That side is
+    broadcast when its measured size allows, which leaves the texts where they are.
     """
     kept = files.where(~is_excluded(F.col("path"), [*defaults, *(user or [])]))
     if rules is None:
         return kept
-    joined = kept.join(repository_filters(rules), "repo", "left")
+    joined = kept.join(broadcast_if_small(repository_filters(rules)), "repo", "left")
     # regexp_instr keeps the last compiled pattern, and files of one repository tend to arrive together.
     hit = F.regexp_instr(F.replace("path", F.lit("\\"), F.lit("/")), F.col("ignored")) > 0
     return joined.where(F.col("ignored").isNull() | ~hit).drop("ignored")
