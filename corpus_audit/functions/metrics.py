@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpus_audit.functions.patterns import Count, Derived
+from corpus_audit.functions.patterns import Count, Derived, braces_assigned
 
 # --- fixed values: what is counted ------------------------------------------------------------------
 BRANCH_PATTERNS = [
@@ -120,7 +120,7 @@ SYNTAX = {
     "const_decls": Count(CONST_PATTERN),
     "let_decls": Count(LET_PATTERN),
     "var_decls": Count(VAR_PATTERN),
-    "destructuring": Count(DESTRUCTURING),
+    "destructuring": Count(DESTRUCTURING, build=braces_assigned),
     "template_literals": Count(TEMPLATE_LITERALS),
     "async_await": Count(ASYNC_AWAIT),
     "promise_chains": Count(PROMISE_CHAINS),

@@ -11,6 +11,7 @@ line ends).  This module turns a pattern into a Spark expression that
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -278,13 +279,19 @@ class Has:
 
 @dataclass(frozen=True)
 class Count:
-    """Number of matches of a pattern; ``linear`` and ``needs`` as in :class:`Has`."""
+    """Number of matches of a pattern; ``linear`` and ``needs`` as in :class:`Has`.
+
+    ``build`` replaces the regex by an equal expression where no linear regex exists.
+    """
 
     pattern: str
     linear: str | None = None
     needs: tuple[str, ...] = ()
+    build: Callable[[Column], Column] | None = None
 
     def column(self, text: Column) -> Column:
+        if self.build is not None:
+            return self.build(text)
         return count_matches(text, self.pattern, self.linear, self.needs)
 
 
@@ -292,8 +299,47 @@ class Count:
 class Derived:
     """A feature that is not one pattern: ``build(text) -> Column`` plus its SQL twin for checks."""
 
-    build: object
+    build: Callable[[Column], Column]
     sql: str
 
     def column(self, text: Column) -> Column:
         return self.build(text)
+
+
+def _pieces(text: Column, mark: str, count: Callable[[Column], Column]) -> Column:
+    """``count`` of the array of pieces of ``text`` around ``mark``; 0 for texts without it."""
+    n = F.aggregate(
+        F.array(F.split(text, re.escape(mark))), F.lit(0).cast("bigint"), lambda acc, s: acc + count(s).cast("bigint")
+    )
+    return F.when(~F.contains(text, F.lit(mark)), F.lit(0).cast("bigint")).otherwise(n)
+
+
+def wide_parentheses(least: int) -> Callable[[Column], Column]:
+    """Count of ``\\([^)]{least,}\\)``.
+
+    Up to each ``)`` only the first ``(`` can match, as it leaves the longest inside, so pieces between
+    closing parentheses are measured and none is scanned twice.
+    """
+
+    def count(s: Column) -> Column:
+        closed = F.slice(s, F.lit(1), F.size(s) - 1)
+        return F.size(
+            F.filter(closed, lambda x: (F.instr(x, "(") > 0) & (F.length(x) - F.instr(x, "(") >= least))
+        )
+
+    return lambda text: _pieces(text, ")", count)
+
+
+def braces_assigned(text: Column) -> Column:
+    """Count of ``\\{[^}]*\\}\\s*=``: pieces that hold a ``{`` and are followed by one that starts with ``=``."""
+    return _pieces(
+        text,
+        "}",
+        lambda s: F.size(
+            F.filter(
+                s,
+                lambda x, i: F.contains(x, F.lit("{"))
+                & F.coalesce(F.rlike(F.get(s, i + 1), F.lit(r"\A\s*+=")), F.lit(False)),
+            )
+        ),
+    )

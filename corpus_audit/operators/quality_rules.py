@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from corpus_audit.functions import metrics as M
 from corpus_audit.functions.paths import is_source, is_style_source
-from corpus_audit.functions.patterns import Count, Derived, Has
+from corpus_audit.functions.patterns import Count, Derived, Has, wide_parentheses
 from corpus_audit.operators.rules import Family, Rule, counted
 
 # --- fixed values: smell patterns, thresholds and messages -----------------------------------------
 SMELL_FEATURES = {
-    "long_parameters": Count(r"\([^)]{50,}\)"),
+    "long_parameters": Count(r"\([^)]{50,}\)", build=wide_parentheses(50)),
     "magic_numbers": Count(r"\b(?!0|1|-1)\d{2,}\b", linear=r"[2-9](?<!\w[2-9])\d++(?!\w)"),
     "deep_nesting": Count(r"\{[^{}]*\{[^{}]*\{[^{}]*\{[^{}]*\{"),
     "todo_comments": Count(r"(?i)//\s*TODO|/\*\s*TODO"),
@@ -151,7 +151,7 @@ ORGANIZATION_FEATURES = {
         r"\b(?!0|1|-1|100|200|404|500)\d{2,}\b",
         linear=r"[2-9](?<!\w[2-9])(?!(?<=[25])00|(?<=4)04)\d++(?!\w)",
     ),
-    "wide_parameters": Count(r"\([^)]{60,}\)"),
+    "wide_parameters": Count(r"\([^)]{60,}\)", build=wide_parentheses(60)),
     "complex_conditionals": Count(
         r"(switch\s*\([^)]*\)\s*\{[^{}]*case[^{}]*case[^{}]*case)"
         r"|(if\s*\([^)]*\)\s*\{[^{}]*\}\s*else\s*if[^{}]*else\s*if)"
