@@ -67,19 +67,20 @@ def java_regex(pattern: str) -> str:
 
     A leading boundary is checked after the literal it precedes, so the scan can search for the literal.
     """
+    out, behind = "", ""
     if pattern.startswith(r"\b") and (word := literal_prefix(pattern[2:])):
         escaped = re.escape(word)
-        return f"{escaped}(?<!\\w{escaped})" + java_regex(pattern[2 + len(word) :])
-    out = ""
+        out, behind = f"{escaped}(?<!\\w{escaped})", word[-1]
+        pattern = pattern[2 + len(word) :]
     for token, _, in_class in _tokens(pattern):
-        if in_class:
-            out += token
-        elif token == ".":
+        if token == "." and not in_class:
             out += LINE_CHAR
-        elif token == r"\b":
-            out += r"(?!\w)" if out and (out[-1].isalnum() or out[-1] in "}+*") else r"(?<!\w)"
+        elif token == r"\b" and not in_class:
+            # After a word or a repetition of word characters it ends a word, otherwise it starts one.
+            out += r"(?!\w)" if behind.isalnum() or behind in ("_", "}", "+", "*") else r"(?<!\w)"
         else:
             out += token
+        behind = token[-1]
     return out
 
 

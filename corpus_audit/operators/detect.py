@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_audit.operators.metrics import computed_once
-from corpus_audit.operators.rules import Family, Rule
+from corpus_audit.operators.rules import Family, Rule, text
 
 ISSUE_COLUMNS = [
     "repo",
@@ -35,19 +33,14 @@ def features(files: DataFrame, family: Family) -> DataFrame:
     )
 
 
-def _issue(family: Family, rule: Rule) -> Column:
-    return F.when(
-        F.expr(rule.when),
-        F.struct(
-            F.lit(family.name).alias("family"),
-            F.lit(rule.rule_id).alias("rule_id"),
-            F.lit(rule.type).alias("type"),
-            F.expr(rule.severity).cast("string").alias("severity"),
-            F.lit(rule.polarity).alias("polarity"),
-            F.expr(rule.n).cast("bigint").alias("n"),
-            F.expr(rule.description).alias("description"),
-            F.expr(rule.remediation).cast("string").alias("remediation"),
-        ),
+def _issue(family: Family, rule: Rule, scope: str) -> str:
+    """SQL for the issue a rule raises on a row of features, NULL when it does not fire."""
+    return (
+        f"CASE WHEN {scope} AND ({rule.when}) THEN named_struct("
+        f"'family', {text(family.name)}, 'rule_id', {text(rule.rule_id)}, 'type', {text(rule.type)}, "
+        f"'severity', CAST({rule.severity} AS STRING), 'polarity', {text(rule.polarity)}, "
+        f"'n', CAST({rule.n} AS BIGINT), 'description', {rule.description}, "
+        f"'remediation', CAST({rule.remediation} AS STRING)) END"
     )
 
 
@@ -60,33 +53,32 @@ def detect(files: DataFrame, *families: Family) -> DataFrame:
     """
     path, content = F.col("path"), F.col("content")
     scopes = list(dict.fromkeys(f.applies_to for f in families))
-    flags = [F.col(f"_scope{i}") for i in range(len(scopes))]
-    flag_of = dict(zip(scopes, flags))
+    names = [f"_scope{i}" for i in range(len(scopes))]
+    flag_of = dict(zip(scopes, names))
 
-    wanted: dict[str, tuple[object, list[Column]]] = {}
+    wanted: dict[str, tuple[object, list[str]]] = {}
     for family in families:
         for name, feature in family.features.items():
             known, needed_by = wanted.setdefault(name, (feature, []))
             if known != feature:
                 raise ValueError(f"feature {name!r} has two definitions")
-            if all(flag is not flag_of[family.applies_to] for flag in needed_by):
+            if flag_of[family.applies_to] not in needed_by:
                 needed_by.append(flag_of[family.applies_to])
 
     in_scope = files.select(
-        "repo", "path", "content", *[scope(path).alias(f"_scope{i}") for i, scope in enumerate(scopes)]
-    ).where(reduce(lambda a, b: a | b, flags))
+        "repo", "path", "content", *[scope(path).alias(name) for scope, name in flag_of.items()]
+    ).where(" OR ".join(names))
     measured = in_scope.select(
         "repo",
         "path",
-        *flags,
+        *names,
         *[
-            F.when(reduce(lambda a, b: a | b, needed_by), feature.column(content)).alias(name)
+            F.when(F.expr(" OR ".join(needed_by)), feature.column(content)).alias(name)
             for name, (feature, needed_by) in wanted.items()
         ],
     )
-    issues = F.array_compact(
-        F.array(*[F.when(flag_of[f.applies_to], _issue(f, r)) for f in families for r in f.rules])
-    )
+    raised = ", ".join(_issue(f, r, flag_of[f.applies_to]) for f in families for r in f.rules)
+    issues = F.expr(f"array_compact(array({raised}))")
     # explode_outer keeps the optimizer from adding a size filter that evaluates every feature twice.
     return (
         measured.select("repo", "path", F.explode_outer(issues).alias("i"))

@@ -89,7 +89,7 @@ def most_complex_files(spark, sf):
     "FROM documents GROUP BY lang, source",
 )
 def document_line_stats(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = D.texts(spark, sf, "documents", "doc_id")
     return docs.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("documents"),
         F.sum(M.line_count(F.col("text"))).alias("lines"),
@@ -430,7 +430,7 @@ def exposed_secrets(spark, sf):
 
 @query("document_secrets", _secrets_sql("doc_id", "text", "documents"))
 def document_secrets(spark, sf):
-    return security.secrets_in(spark.read.parquet(f"{sf}/documents.parquet"), ["doc_id"], "text")
+    return security.secrets_in(D.texts(spark, sf, "documents", "doc_id"), ["doc_id"], "text")
 
 
 @query(
@@ -439,13 +439,13 @@ def document_secrets(spark, sf):
     "FROM s GROUP BY source, lang, type",
 )
 def secrets_by_source(spark, sf):
-    found = security.secrets_in(spark.read.parquet(f"{sf}/documents.parquet"), ["source", "lang"], "text")
+    found = security.secrets_in(D.texts(spark, sf, "documents", "doc_id"), ["source", "lang"], "text")
     return found.groupBy("source", "lang", "type").agg(F.count(F.lit(1)).alias("secrets"))
 
 
 @query("page_secrets", _secrets_sql("page_id", "html", "pages"))
 def page_secrets(spark, sf):
-    return security.secrets_in(spark.read.parquet(f"{sf}/pages.parquet"), ["page_id"], "html")
+    return security.secrets_in(D.texts(spark, sf, "pages", "page_id"), ["page_id"], "html")
 
 
 @query("env_files", f"WITH {D.FILES_SQL} SELECT repo, path FROM files WHERE {O.glob(P.ENV_FILES)}")

@@ -48,6 +48,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A text table, spread over the cores when its scan has fewer tasks than those.
+
+    Scanning text is work for the processor, and a small file with one row group would keep all but one core
+    idle.  Tables that already fill the cluster are left as they are, so no text is shuffled at scale.
+    """
+    table = _table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 def _quote(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -68,7 +79,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
             [(k, *s) for k, s in enumerate(SNIPPETS)], "k bigint, file string, snippet string, with_prose boolean"
         )
     )
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     number = F.col("doc_id").cast("string")
 
     def filled(name: str):

@@ -17,6 +17,8 @@ def build_session(app: str = "corpus_audit", master: str | None = None, **option
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+        # Plans here hold hundreds of expressions; recording a call site for each costs more than planning.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **options,
     }
     if master and master.startswith("local"):

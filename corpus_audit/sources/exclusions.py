@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,48 +54,45 @@ def ignore_rules(files: DataFrame, names: list[str] = IGNORE_FILES) -> DataFrame
     )
 
 
-def exclusion_regex(pattern: Column) -> Column:
-    """Java regex for the paths one exclusion pattern removes.
+def exclusion_regex(pattern: str) -> str:
+    """SQL text for the regex of the paths one exclusion pattern removes; ``pattern`` is SQL text too.
 
     ``dir/**`` is a directory prefix, ``**/x`` matches x below any directory, an inner ``**`` spans
     directories, other wildcards cross ``/`` but are anchored, and a plain name matches as a whole path,
     a directory anywhere, or a last component.
     """
-    p = F.regexp_replace(pattern, "/+$", "")
-    escaped = F.regexp_replace(p, r"([.+^$(){}|\[\]\\])", r"\\$1")
+    p = f"regexp_replace({pattern}, '/+$', '')"
+    escaped = rf"regexp_replace({p}, r'([.+^$(){{}}|\[\]\\])', r'\\$1')"
 
-    def deep(part: Column) -> Column:
+    def deep(part: str) -> str:
         """``**`` spans directories, ``*`` stays inside one."""
-        marked = F.replace(part, F.lit("**"), F.lit("\u0001"))
-        stars = F.replace(F.replace(marked, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
-        return F.replace(F.replace(stars, F.lit("\u0001/"), F.lit("(?:.*/)?")), F.lit("\u0001"), F.lit(".*"))
-
-    def flat(part: Column) -> Column:
-        return F.replace(F.replace(part, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
-
-    directory = F.regexp_replace(escaped, r"/\*\*$", "")
-    tail = F.regexp_replace(escaped, r"^\*\*/", "")
-    name = F.replace(escaped, F.lit("?"), F.lit(r"\?"))
+        marked = f"replace({part}, '**', '\u0001')"
+        stars = f"replace(replace({marked}, '*', '[^/]*'), '?', '[^/]')"
+        return f"replace(replace({stars}, '\u0001/', '(?:.*/)?'), '\u0001', '.*')"
+
+    directory = rf"regexp_replace({escaped}, r'/\*\*$', '')"
+    tail = rf"regexp_replace({escaped}, r'^\*\*/', '')"
+    flat = f"replace(replace({escaped}, '*', '.*'), '?', '.')"
+    name = rf"replace({escaped}, '?', r'\?')"
     return (
-        F.when(F.endswith(p, F.lit("/**")), F.concat(F.lit("^"), deep(directory), F.lit("(?:/.*)?$")))
-        .when(
-            F.startswith(p, F.lit("**/")),
-            F.concat(F.lit("^(?:.*/"), deep(tail), F.lit(".*|"), deep(tail), F.lit(")$")),
-        )
-        .when(F.contains(p, F.lit("**")), F.concat(F.lit("^"), deep(escaped), F.lit("$")))
-        .when(F.contains(p, F.lit("*")), F.concat(F.lit("^"), flat(escaped), F.lit("$")))
-        .otherwise(F.concat(F.lit("(?:^|/)"), name, F.lit("(?:/|$)")))
+        f"CASE WHEN endswith({p}, '/**') THEN concat('^', {deep(directory)}, '(?:/.*)?$') "
+        f"WHEN startswith({p}, '**/') THEN concat('^(?:.*/', {deep(tail)}, '.*|', {deep(tail)}, ')$') "
+        f"WHEN contains({p}, '**') THEN concat('^', {deep(escaped)}, '$') "
+        f"WHEN contains({p}, '*') THEN concat('^', {flat}, '$') "
+        f"ELSE concat('(?:^|/)', {name}, '(?:/|$)') END"
     )
 
 
-def _excluded_by(path: Column, patterns: list[str]) -> Column:
-    """The regexes fold to literals while the plan is optimized, so each is compiled once."""
-    return reduce(lambda a, b: a | b, [F.rlike(path, exclusion_regex(F.lit(p))) for p in patterns])
+_PATH = r"replace(path, r'\', '/')"
+
 
+def is_excluded(patterns: list[str] = DEFAULT_EXCLUSIONS) -> Column:
+    """True where the ``path`` column is removed by one of ``patterns``; backslashes count as ``/``.
 
-def is_excluded(path: Column, patterns: list[str] = DEFAULT_EXCLUSIONS) -> Column:
-    """True for paths removed by one of ``patterns``; backslashes count as ``/``."""
-    return _excluded_by(F.replace(path, F.lit("\\"), F.lit("/")), patterns)
+    The regexes fold to literals while the plan is optimized, so each is compiled once.
+    """
+    quoted = ["'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'" for p in patterns]
+    return F.expr(" OR ".join(f"rlike({_PATH}, {exclusion_regex(q)})" for q in quoted) or "false")
 
 
 def repository_filters(rules: DataFrame) -> DataFrame:
@@ -106,7 +101,7 @@ def repository_filters(rules: DataFrame) -> DataFrame:
     The patterns of a repository come from its few root ignore files, so the group is as small as those.
     """
     return rules.groupBy("repo").agg(
-        F.array_join(F.array_sort(F.collect_set(exclusion_regex(F.col("pattern")))), "|").alias("ignored")
+        F.array_join(F.array_sort(F.collect_set(F.expr(exclusion_regex("pattern")))), "|").alias("ignored")
     )
 
 
@@ -122,24 +117,23 @@ def exclude_paths(
     repository on ``repo``, so no pattern is compared with the files of another repository.  That side is
     broadcast when its measured size allows, which leaves the texts where they are.
     """
-    kept = files.where(~is_excluded(F.col("path"), [*defaults, *(user or [])]))
+    kept = files.where(~is_excluded([*defaults, *(user or [])]))
     if rules is None:
         return kept
     joined = kept.join(broadcast_if_small(repository_filters(rules)), "repo", "left")
     # regexp_instr keeps the last compiled pattern, and files of one repository tend to arrive together.
-    hit = F.regexp_instr(F.replace("path", F.lit("\\"), F.lit("/")), F.col("ignored")) > 0
+    hit = F.expr(f"regexp_instr({_PATH}, ignored) > 0")
     return joined.where(F.col("ignored").isNull() | ~hit).drop("ignored")
 
 
 def excluded_paths(files: DataFrame, rules: DataFrame, user: list[str] | None = None) -> DataFrame:
     """The removed paths and which kind of pattern removed them (first of default, ignore file, user)."""
     joined = files.select("repo", "path").join(repository_filters(rules), "repo", "left")
-    path = F.replace("path", F.lit("\\"), F.lit("/"))
-    origin = F.when(_excluded_by(path, DEFAULT_EXCLUSIONS), "default").when(
-        F.regexp_instr(path, F.col("ignored")) > 0, "ignore_file"
+    origin = F.when(is_excluded(DEFAULT_EXCLUSIONS), "default").when(
+        F.expr(f"regexp_instr({_PATH}, ignored) > 0"), "ignore_file"
     )
     if user:
-        origin = origin.when(_excluded_by(path, user), "user")
+        origin = origin.when(is_excluded(user), "user")
     return joined.select("repo", "path", origin.alias("origin")).where(F.col("origin").isNotNull())
 
 
