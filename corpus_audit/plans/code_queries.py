@@ -13,6 +13,7 @@ from corpus_audit.operators.rules import Family
 from corpus_audit.operators.security_rules import AUTH, SECURITY
 from corpus_audit.plans import derived as D
 from corpus_audit.plans import oracle as O
+from corpus_audit.plans import position_sql as X
 from corpus_audit.plans.registry import query
 from corpus_audit.sources.files import cap_per_group
 
@@ -166,17 +167,17 @@ def syntax_verdicts(spark, sf):
     return metrics.syntax_verdicts(metrics.syntax_counts(D.files(spark, sf)))
 
 
-@query("function_purity")
+@query("function_purity", f"WITH {D.FILES_SQL}, {X.PURITY} SELECT * FROM purity")
 def function_purity(spark, sf):
     return spans.function_purity(D.files(spark, sf))
 
 
-@query("side_effect_ratio")
+@query("side_effect_ratio", f"WITH {D.FILES_SQL}, {X.PURITY} {X.RATIO_ROWS}")
 def side_effect_ratio(spark, sf):
     return spans.side_effect_ratio(spans.function_purity(D.files(spark, sf)))
 
 
-@query("function_sizes")
+@query("function_sizes", f"WITH {D.FILES_SQL}, {X.SIZES} {X.SIZE_ROWS}")
 def function_sizes(spark, sf):
     return spans.function_sizes(D.files(spark, sf))
 
@@ -524,27 +525,27 @@ def docblock_band_anti_join(spark, sf):
     return found.select("repo", "path", "line", "t")
 
 
-@query("symbols")
+@query("symbols", f"WITH {D.FILES_SQL}, {X.SYMBOLS} {X.SYMBOL_ROWS}")
 def symbols(spark, sf):
     return documentation.symbols(spans.file_symbols(D.files(spark, sf)))
 
 
-@query("docblocks")
+@query("docblocks", f"WITH {D.FILES_SQL}, {X.SYMBOLS} SELECT repo, path, line FROM docblocks")
 def docblocks(spark, sf):
     return documentation.docblocks(spans.file_symbols(D.files(spark, sf)))
 
 
-@query("file_doc_scores")
+@query("file_doc_scores", f"WITH {D.FILES_SQL}, {X.SYMBOLS} SELECT * FROM scores")
 def file_doc_scores(spark, sf):
     return documentation.file_doc_scores(spans.file_symbols(D.files(spark, sf)))
 
 
-@query("file_doc_issues")
+@query("file_doc_issues", f"WITH {D.FILES_SQL}, {X.SYMBOLS} {X.ISSUE_ROWS}")
 def file_doc_issues(spark, sf):
     return documentation.file_doc_issues(spans.file_symbols(D.files(spark, sf)))
 
 
-@query("doc_coverage")
+@query("doc_coverage", f"WITH {D.FILES_SQL}, {X.SYMBOLS} {X.COVERAGE_ROWS}")
 def doc_coverage(spark, sf):
     return documentation.doc_coverage(documentation.file_doc_scores(spans.file_symbols(D.files(spark, sf))))
 
