@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from corpus_audit.functions import metrics as M
 from corpus_audit.functions import paths as P
+from corpus_audit.functions.patterns import Count
 from corpus_audit.operators import api, documentation, metrics, security, spans
 from corpus_audit.operators.detect import detect, features
 from corpus_audit.operators.quality_rules import FUNCTIONAL, MODERN, ORGANIZATION, SMELLS, STYLE
-from corpus_audit.operators.rules import Family
+from corpus_audit.operators.rules import Family, Rule, counted, register_rule
 from corpus_audit.operators.security_rules import AUTH, SECURITY
 from corpus_audit.plans import derived as D
 from corpus_audit.plans import oracle as O
@@ -282,6 +283,23 @@ def issues_by_label(spark, sf):
     )
 
 
+LICENSE_WORDS = r"(?i)\blicen[sc]e"
+
+
+@query(
+    "custom_rule",
+    f"WITH {D.FILES_SQL}, c AS (SELECT repo, path, {O.count(LICENSE_WORDS)} AS n FROM files WHERE {O.source()}) "
+    "SELECT repo, path, 'license-words' AS rule_id, n, n || ' license words' AS description FROM c WHERE n > 0",
+)
+def custom_rule(spark, sf):
+    """A rule of the user's own, next to the built-in families."""
+    rule = Rule(
+        "license-words", "License Words", "license_words > 0", counted("license_words", " license words"), "license_words"
+    )
+    mine = register_rule(Family("custom", {}, (), P.is_source), rule, {"license_words": Count(LICENSE_WORDS)})
+    return detect(D.files(spark, sf), mine).select("repo", "path", "rule_id", "n", "description")
+
+
 # ---- security around the rules --------------------------------------------------------------------------
 
 
@@ -320,11 +338,14 @@ _SEC = f"WITH {D.FILES_SQL}, {SECURITY_CTE}, i AS ({SECURITY_SQL}) "
 
 @query(
     "severity_summary",
-    _SEC + "SELECT repo, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in security.SEVERITIES)
-    + " FROM i WHERE polarity = 'issue' GROUP BY repo",
+    f"WITH {D.FILES_SQL}, {CONTEXT_SQL}, {SECURITY_CTE}, {_ADJUSTED} SELECT repo, "
+    + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in security.SEVERITIES)
+    + " FROM adjusted WHERE polarity = 'issue' GROUP BY repo",
 )
 def severity_summary(spark, sf):
-    return security.severity_summary(detect(D.files(spark, sf), SECURITY))
+    files = D.files(spark, sf)
+    found = security.with_context(detect(files, SECURITY), security.project_context(files))
+    return security.severity_summary(found)
 
 
 @query("critical_vulnerabilities", _SEC + "SELECT repo, path, type, description FROM i WHERE polarity = 'issue' AND severity = 'Critical'")

@@ -39,6 +39,13 @@ SNIPPETS: list[tuple[str, str, bool]] = [
     ("src/core/f@ID@.js", "on(function (a) { later(function (b) { }); });\n" * 2 + "const q = a ? b : c;\n", True),
     ("src/core/f@ID@.js", "function long(a) {\n" + "  step(a);\n" * 24 + "}\nfunction brief(a) { return a; }\n", True),
     ("src/core/f@ID@.js", "function huge(a) {\n" + "  step(a);\n" * 33 + "}\n", True),
+    (
+        "src/core/f@ID@.js",
+        "function loud(a) { console.log(a); return a; }\nfunction own() { return this.x; }\n"
+        "function local(a) { let b = a; return b; }\nconst keep = (a) => { localStorage.setItem('a', a); };\n"
+        "async function save(a) { await fetch('/x'); }\nfunction twice(a) { return '}' + a * 2; }\n",
+        True,
+    ),
     # literals and layout
     ("src/core/f@ID@.js", "call(first_parameter_name, second_parameter_name, third_one)\n", True),
     ("src/core/f@ID@.js", "call(first_parameter_name, second_parameter_name, third_parameter, fourth)\n", True),
@@ -131,6 +138,12 @@ SNIPPETS: list[tuple[str, str, bool]] = [
         True,
     ),
     ("src/controllers/controller@ID@.js", "const express = require('express');\nconst app = express();\napp.listen(80);\n", True),
+    (
+        "src/api/users-api@ID@.js",
+        "router.get('/me', isAuthenticated, (req, res) => { res.json(req.user); });\ncheck('name');\n"
+        "router.post('/x', (req, res) => { passport.authenticate(); throw new Error('x'); });\n",
+        True,
+    ),
     # documentation and symbols
     ("docs/setup@ID@.md", "# Setup\n\nHow to configure and install.\n", True),
     (

@@ -100,3 +100,32 @@ def test_add_comments_moves_older_ones_back(spark):
     new = spark.createDataFrame([("r", "security", "documentation", "q0", "c", 1)], "repo string, agent string, target string, question string, context string, round int")
     rows = {r["comment_id"]: (r["question"], r["status"]) for r in rollup.add_comments(old, new).collect()}
     assert rows == {"comment-1": ("q0", "pending"), "comment-2": ("q1", "pending"), "comment-3": ("q2", "resolved")}
+
+
+def test_project_context(files):
+    from corpus_audit.operators import security
+
+    table = files(
+        [
+            ("a", "src/cli.js", ""), ("a", "x.js", "express()"),
+            ("b", "my-koa.ts", ""), ("b", "x.json", "pm2"),
+            ("c", "package.json", '{"exports": {".": "x"}}'), ("c", "Dockerfile", ""), ("c", "x.js", "NODE_ENV == 'production'"),
+            ("d", "package.json", '{"main": ""}'), ("d", "x.js", "NODE_ENV = 'production'"),
+            ("e", "x.md", "express() pm2 cli"),
+        ]
+    )
+    context = {r["repo"]: (r["project_type"], r["deployment"], r["user_facing"], r["is_production"]) for r in security.project_context(table).collect()}
+    assert context == {
+        "a": ("cli-tool", "development", False, False),
+        "b": ("web-service", "production", True, True),
+        "c": ("library", "containerized", False, True),
+        "d": ("unknown", "production", False, True),
+        "e": ("unknown", "development", False, False),
+    }
+    from corpus_audit.operators.detect import detect
+    from corpus_audit.operators.security_rules import SECRET_ADVICE, SECRET_ADVICE_CLI, SECRET_ADVICE_SERVICE, SECURITY
+
+    leak = files([(r, "y.js", "password = 'abcdefgh'; z = process.env.A") for r in "abc"])
+    found = {(r["repo"], r["rule_id"]): r for r in security.with_context(detect(leak, SECURITY), security.project_context(table)).collect()}
+    assert [found[r, "hardcoded-password"]["remediation"] for r in "abc"] == [SECRET_ADVICE_CLI, SECRET_ADVICE_SERVICE, SECRET_ADVICE]
+    assert [found[r, "unchecked-environment"]["severity"] for r in "abc"] == ["Low", "Medium", "Medium"]
