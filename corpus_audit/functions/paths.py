@@ -102,8 +102,15 @@ def glob_regex(glob: str) -> str:
 
 
 def matches_glob(path: Column, globs: list[str]) -> Column:
-    """True when ``path`` matches one of ``globs`` (one compiled expression, no join)."""
-    return F.rlike(path, F.lit("|".join(glob_regex(g) for g in globs)))
+    """True when ``path`` matches one of ``globs`` (one compiled expression, no join).
+
+    Globs that all start with plain text also give a prefix test, which the scan can use to skip row groups.
+    """
+    test = F.rlike(path, F.lit("|".join(glob_regex(g) for g in globs)))
+    starts = list(dict.fromkeys(re.split(r"[*?{]", g, maxsplit=1)[0] for g in globs))
+    if not all(starts):
+        return test
+    return reduce(lambda a, b: a | b, [F.startswith(path, F.lit(s)) for s in starts]) & test
 
 
 def _contains_any(path: Column, parts: list[str]) -> Column:

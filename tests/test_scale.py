@@ -11,6 +11,7 @@ from corpus_audit.operators.detect import detect
 from corpus_audit.operators.quality_rules import FUNCTIONAL, MODERN, ORGANIZATION, SMELLS
 from corpus_audit.operators.security_rules import AUTH, SECURITY
 from corpus_audit.plans.catalog import QUERIES
+from corpus_audit.sources import exclusions, manifests
 from corpus_audit.sources.files import cap_per_group
 
 SF = "/root/testdata/sf0.001"
@@ -109,3 +110,11 @@ def test_repartitioning_changes_nothing(stored):
     a = detect(files, SMELLS, SECURITY)
     b = detect(files.repartition(13, F.rand(3)), SMELLS, SECURITY)
     assert {tuple(r) for r in a.collect()} == {tuple(r) for r in b.collect()}
+
+
+def test_selective_path_filters_reach_the_scan(stored):
+    files, _ = stored
+    assert "StringStartsWith(path,README)" in plan_of(documentation.readme_score(files))
+    assert "StringStartsWith(path,.env)" in plan_of(security.env_files(files))
+    assert "EqualTo(path,package.json)" in plan_of(manifests.manifests(files))
+    assert "EqualTo(path,.gitignore)" in plan_of(exclusions.ignore_rules(files))
