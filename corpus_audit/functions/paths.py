@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -208,14 +209,25 @@ def human_bytes(size: Column) -> Column:
     return F.concat_ws(" ", text, unit)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalize_path(path: Column) -> Column:
     """Trim, use ``/``, collapse repeated ``/``, drop a trailing one, then undo URL encoding."""
     clean = F.regexp_replace(F.regexp_replace(F.btrim(path, F.lit(" \t\r\n")), r"\\", "/"), "/+", "/")
-    body = F.when(clean == "/", clean).otherwise(F.rtrim(clean, F.lit("/")))
-    decoded = F.try_url_decode(F.replace(body, F.lit("+"), F.lit("%2B")))
-    # Bytes that are no UTF-8 leave the path as it was.
-    broken = F.contains(decoded, F.lit("\ufffd")) & ~F.contains(body, F.lit("\ufffd"))
-    return F.when(F.contains(body, F.lit("%")) & decoded.isNotNull() & ~broken, decoded).otherwise(body)
+
+    def decode(body: Column) -> Column:
+        def chosen(decoded: Column) -> Column:
+            # Bytes that are no UTF-8 leave the path as it was.
+            broken = F.contains(decoded, F.lit("\ufffd")) & ~F.contains(body, F.lit("\ufffd"))
+            return F.when(decoded.isNotNull() & ~broken, decoded).otherwise(body)
+
+        decoded = F.try_url_decode(F.replace(body, F.lit("+"), F.lit("%2B")))
+        return F.when(F.contains(body, F.lit("%")), _bound(decoded, chosen)).otherwise(body)
+
+    return _bound(_bound(clean, lambda c: F.when(c == "/", c).otherwise(F.rtrim(c, F.lit("/")))), decode)
 
 
 # --- fixed values: path audit ------------------------------------------------------------------------
@@ -252,19 +264,21 @@ PLAIN_NAME = r"^[a-zA-Z0-9._-]+\z"
 
 def path_violations(path: Column, restricted: list[str] = RESTRICTED_FOR_OUTPUT) -> Column:
     """Ordered array with the name of every path check that fails."""
-    norm = normalize_path(path)
-    name = basename(norm)
-    components = F.filter(F.split(norm, "/"), lambda c: F.lower(c).isin(DANGEROUS_COMPONENTS))
-    absolute = F.startswith(norm, F.lit("/"))
-    prefix = reduce(lambda a, b: a | b, [F.startswith(F.lower(norm), F.lit(p)) for p in restricted])
-    checks = [
-        ("control_characters", F.rlike(F.btrim(path, F.lit(" \t\r\n")), F.lit(CONTROL_CHARACTERS))),
-        ("traversal", F.contains(norm, F.lit(".."))),
-        ("restricted_directory", absolute & prefix),
-        ("dangerous_component", F.size(components) > 0),
-        ("too_long", F.length(norm) > MAX_PATH),
-        ("template", F.rlike(norm, F.lit(TEMPLATES))),
-        ("sensitive_name", _contains_any(F.lower(name), SENSITIVE_NAMES)),
-        ("unusual_characters", ~F.rlike(name, F.lit(PLAIN_NAME))),
-    ]
-    return F.array_compact(F.array(*[F.when(failed, F.lit(label)) for label, failed in checks]))
+
+    def failed(norm: Column) -> Column:
+        name = basename(norm)
+        components = F.filter(F.split(norm, "/"), lambda c: F.lower(c).isin(DANGEROUS_COMPONENTS))
+        prefix = reduce(lambda a, b: a | b, [F.startswith(F.lower(norm), F.lit(p)) for p in restricted])
+        checks = [
+            ("control_characters", F.rlike(F.btrim(path, F.lit(" \t\r\n")), F.lit(CONTROL_CHARACTERS))),
+            ("traversal", F.contains(norm, F.lit(".."))),
+            ("restricted_directory", F.startswith(norm, F.lit("/")) & prefix),
+            ("dangerous_component", F.size(components) > 0),
+            ("too_long", F.length(norm) > MAX_PATH),
+            ("template", F.rlike(norm, F.lit(TEMPLATES))),
+            ("sensitive_name", _bound(F.lower(name), lambda n: _contains_any(n, SENSITIVE_NAMES))),
+            ("unusual_characters", ~F.rlike(name, F.lit(PLAIN_NAME))),
+        ]
+        return F.array_compact(F.array(*[F.when(test, F.lit(label)) for label, test in checks]))
+
+    return _bound(normalize_path(path), failed)
