@@ -174,10 +174,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     copies = copies.join(texts, "doc_id", "left_anti")
     anchors = stored(_anchors(docs, window), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("anchor")
+    shared = stored(shared, "shared")  # so that the join below has plain sides, whose hot keys Spark splits
     # One document holds at most as many anchors as windows, so its list is no larger than its text.
     chosen = anchors.join(shared, "anchor").join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     rows = stored(_windows(docs.join(chosen, "doc_id"), window), "windows")
     first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("h1", "h2", "a")
+    first = stored(first, "first")
     found = rows.join(first, ["h1", "h2"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
     return found.withColumn("is_copy", F.lit(False)).unionByName(
         copies.select("doc_id", F.array().cast("array<long>").alias("starts"), F.lit(True).alias("is_copy")).distinct()
