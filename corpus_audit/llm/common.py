@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,13 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+LOWERED = str.maketrans(UPPER, LOWER)
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """A-Z lower-cased; words are runs of 0-9, a-z and characters beyond ASCII.  Null has none."""
+    return WORD.findall(text.lower() if text.isascii() else text.translate(LOWERED)) if text else []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

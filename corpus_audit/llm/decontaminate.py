@@ -11,28 +11,17 @@ through it.  Several blocks mean several passes, whose hits are united per docum
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_audit.llm.common import stored
+from corpus_audit.llm.common import LOWERED, WORD, stored, words_of
 
 WINDOW = 10
 MAX_COVERAGE = 0.8
 BLOCK_BYTES = 16 << 20  # of item texts in one automaton
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-
-
-def words_of(text: str | None) -> list[str]:
-    """A-Z lower-cased; words are runs of 0-9, a-z and characters beyond ASCII.  Null has none."""
-    if not text:
-        return []
-    return _WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER))
-
 
 class ItemAutomaton:
     """Suffix automaton of several word sequences, with the items whose windows each state stands for."""
@@ -194,7 +183,7 @@ def without_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """``text`` without these word intervals, each cut up to the next word."""
     if text is None or not spans:
         return text
-    starts = [m.start() for m in _WORD.finditer(text.translate(_LOWER))]  # which has the same offsets as the text
+    starts = [m.start() for m in WORD.finditer(text.translate(LOWERED))]  # which has the same offsets as the text
     kept, last = [], 0
     for a, z in spans:
         kept.append(text[last : starts[a]])

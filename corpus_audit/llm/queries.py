@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_audit.llm import decontaminate, golay_simhash, window_dedup
+from corpus_audit.llm import (
+    decontaminate,
+    golay_simhash,
+    multiset_hash,
+    piece_nbest,
+    quality_qda,
+    token_planes,
+    toxicity,
+    url_markov,
+    warc,
+    window_dedup,
+)
 from corpus_audit.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -21,6 +34,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_token_planes")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_planes.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_planes.read_ids(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -55,6 +74,57 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), corpus_pipeline.CATEGORIES)
+    scored = toxicity.score(docs, chain).drop("text")
+    return scored.withColumn("rejected", F.col("p_toxic") >= toxicity.REJECT)
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_qda.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op5_piece_nbest")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = piece_nbest.segment(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return made.select(
+        "doc_id",
+        F.transform("segmentations", lambda s: s["score"]).alias("scores"),
+        F.transform("segmentations", lambda s: s["n_pieces"]).alias("n_pieces"),
+        F.transform("segmentations", lambda s: F.crc32(s["ids"])).alias("ids_crc32"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+q AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS d, max(page_id) OVER (PARTITION BY payload) AS last FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to FROM q
+"""
+
+
+@query("op6_warc", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query("op7_url_markov")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_markov.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, md5_number(array_to_string(w[i:i + 49], ' ')) AS s
@@ -81,3 +151,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_multiset_hash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = multiset_hash.compare_with_edits(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        multiset_hash.as_string(F.col("vector")).alias("fingerprint"),
+        multiset_hash.as_string(F.col("edited_vector")).alias("edited_fingerprint"),
+        multiset_hash.likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
+        multiset_hash.likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+    )
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
