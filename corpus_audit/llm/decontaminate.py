@@ -11,6 +11,7 @@ through it.  Several blocks mean several passes, whose hits are united per docum
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -150,26 +151,25 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[li
         yield block
 
 
-_built: dict[int, ItemAutomaton] = {}
+_built: dict[str, ItemAutomaton] = {}
 
 
-def _automaton(sent, window: int) -> ItemAutomaton:
-    """The automaton of a broadcast block, built once in each worker."""
-    key = (sent._jbroadcast_id if hasattr(sent, "_jbroadcast_id") else id(sent), window)
-    if key not in _built:
+def _automaton(name: str, sent, window: int) -> ItemAutomaton:
+    """The automaton of a broadcast block, built once in each worker; ``name`` is that of this block alone."""
+    if name not in _built:
         _built.clear()
-        _built[key] = ItemAutomaton([(i, words_of(t)) for i, t in sent.value], window)
-    return _built[key]
+        _built[name] = ItemAutomaton([(i, words_of(t)) for i, t in sent.value], window)
+    return _built[name]
 
 
 def _block_hits(docs: DataFrame, block: list[tuple[str, str]], window: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+    sent, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     @F.pandas_udf("n_words long, spans array<struct<start:int,end:int>>, items array<string>")
     def hits(texts):
         import pandas as pd
 
-        automaton, out = _automaton(sent, window), []
+        automaton, out = _automaton(name, sent, window), []
         for text in texts:
             words = words_of(text)
             spans, items = automaton.match(words)
