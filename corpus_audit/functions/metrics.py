@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpus_audit.functions.patterns import Count, Derived, braces_assigned
+from corpus_audit.functions.patterns import Count, Derived, braces_assigned, call_heads
 
 # --- fixed values: what is counted ------------------------------------------------------------------
 BRANCH_PATTERNS = [
@@ -40,13 +40,13 @@ LONG_AVERAGE_ABOVE = 30
 TRIMMED = " \t\n\r\x0b\x0c"
 # --- end of fixed values ---------------------------------------------------------------------------
 
-# The same matches, written so that each run of word characters and each line is walked once: a call head
-# is found by the last character before its parenthesis.
+# The same matches, written so that each line and each pair of parentheses is walked once: a call head is found by
+# the last character before its parenthesis.
 _TERNARY_BY_LINE = r"(?<![^\n\r\x{2028}\x{2029}])(?>[^\n\r\x{2028}\x{2029}]*?\?)[^\n\r\x{2028}\x{2029}]*:"
-_FUNCTION_BY_RUN = r"function\s+\w++|const\s+\w++\s*+=\s*+\([^)]*+\)\s*+=>|\w\([^)]*+\)\s*+\{"
+_NAMED, _ARROW, _CALL = r"function\s+\w++", r"const\s+\w++\s*+=\s*+\(", r"\w\("
 
 BRANCHES = [Count(p, _TERNARY_BY_LINE if p == r"\?.*:" else None) for p in BRANCH_PATTERNS]
-FUNCTIONS = Count(FUNCTION_PATTERN, _FUNCTION_BY_RUN)
+FUNCTIONS = Count(FUNCTION_PATTERN, build=lambda text: call_heads(text, _NAMED, _ARROW, _CALL))
 
 
 def line_count(text: Column) -> Column:

@@ -331,6 +331,50 @@ def wide_parentheses(least: int) -> Callable[[Column], Column]:
     return lambda text: _pieces(text, ")", count)
 
 
+def walked(walk: str, *needs: str) -> Callable[[Column], Column]:
+    """Count of the matches of ``walk`` in which its only group took part; 0 for texts without one of ``needs``.
+
+    A head whose match fails would be scanned again from every head inside it.  So ``walk`` lets a failing head
+    consume what all heads inside share with it (up to the parenthesis that closes them), and marks real matches
+    by the group.
+    """
+
+    def count(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(walk), 1)
+        n = F.array_size(F.filter(found, lambda x: x != "")).cast("bigint")
+        return F.when(~reduce(lambda a, b: a & b, [F.contains(text, F.lit(x)) for x in needs]), F.lit(0).cast("bigint")).otherwise(n)
+
+    return count
+
+
+def until(word: str, stop: str, last: bool = False) -> str:
+    """Java regex of all characters but ``stop`` up to and with the first (or last) ``word``, without backtracking."""
+    head = word[:2] if word[0] == "\\" else word[0]
+    rest = word[len(head) :]
+    skip = f"(?:[^{stop}{head}]++|{head}(?!{rest}))*+"
+    return f"(?:{skip}{word})++" if last else f"{skip}{word}"
+
+
+def call_heads(text: Column, named: str, arrow: str, call: str) -> Column:
+    """Count of ``named``, of ``arrow`` up to ``) =>`` and of ``call`` up to ``) {``, where the latter two end in an
+    opening parenthesis.
+
+    What follows a ``)`` decides for all heads before it.  So the text is cut behind each ``)``, and a piece is
+    searched once: a head that its end fulfils takes the rest of the piece, others are no heads.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"[^)]*+\)(?:\s*+(?:\{|=>))?+|[^)]++"), 0)
+
+    def count(x: Column) -> Column:
+        def of(*heads: str) -> Column:
+            return F.regexp_count(x, F.lit("|".join([named, *(rf"{h}[\s\S]*+" for h in heads)]))).cast("bigint")
+
+        closed = F.contains(x, F.lit(")"))
+        opens = F.when(closed & F.endswith(x, F.lit("{")), of(call)).when(closed & F.endswith(x, F.lit("=>")), of(arrow))
+        return opens.otherwise(of())
+
+    return F.aggregate(pieces, F.lit(0).cast("bigint"), lambda acc, x: acc + count(x))
+
+
 def braces_assigned(text: Column) -> Column:
     """Count of ``\\{[^}]*\\}\\s*=``: pieces that hold a ``{`` and are followed by one that starts with ``=``."""
     return _pieces(

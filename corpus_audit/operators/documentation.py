@@ -116,7 +116,7 @@ def file_doc_scores(per_file: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
 
 
 def file_doc_issues(
-    per_file: DataFrame, limit: int | None = ISSUES_PER_FILE, max_gap: int = MAX_GAP
+    per_file: DataFrame, limit: int | None = None, max_gap: int = MAX_GAP
 ) -> DataFrame:
     """Undocumented symbols as issues, the first ``limit`` found in each file (None for all).
 

@@ -56,13 +56,18 @@ def sanitized(entries: DataFrame) -> DataFrame:
     )
 
 
-def required_key_check(entries: DataFrame, rules: list[dict]) -> DataFrame:
+def required_key_check(entries: DataFrame, rules: list[dict], repos: DataFrame | None = None) -> DataFrame:
     """State of every required key in every repository: ok, missing or why it is invalid.
 
     ``entries`` holds one row per (repo, key).  ``rules`` are dicts with ``key`` and optionally
     ``required`` (default true), ``min_length``, ``max_length`` and ``pattern``.  One aggregation collects
-    the values of the named keys; the rules are part of the plan, so there is no join.
+    the values of the named keys; the rules are part of the plan.  ``repos`` (one or more rows for each ``repo``) adds
+    repositories without any entry, whose keys are all missing.
     """
+    if repos is not None:
+        # A row without key, so that one aggregation serves both.
+        bare = repos.select("repo", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
+        entries = entries.select("repo", "key", "value").unionByName(bare)
     picked = entries.groupBy("repo").agg(
         *[F.max(F.when(F.col("key") == r["key"], F.col("value"))).alias(f"_v{i}") for i, r in enumerate(rules)]
     )
@@ -70,7 +75,7 @@ def required_key_check(entries: DataFrame, rules: list[dict]) -> DataFrame:
     def state(rule: dict, value: Column) -> Column:
         key = F.lit(rule["key"])
         cleaned = V.clean_value(value)
-        out = F.when(cleaned == "", "missing" if rule.get("required", True) else "ok")
+        out = F.when(F.coalesce(cleaned, F.lit("")) == "", "missing" if rule.get("required", True) else "ok")
         out = out.when(V.must_be_url(key) & ~V.is_url(cleaned), "not a URL")
         if rule.get("min_length"):
             out = out.when(F.length(cleaned) < rule["min_length"], "too short")

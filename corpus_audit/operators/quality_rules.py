@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from corpus_audit.functions import metrics as M
 from corpus_audit.functions.paths import is_source, is_style_source
-from corpus_audit.functions.patterns import Count, Derived, Has, wide_parentheses
+from corpus_audit.functions.patterns import Count, Derived, Has, until, walked, wide_parentheses
 from corpus_audit.operators.rules import Family, Rule, counted
 
 # --- fixed values: smell patterns, thresholds and messages -----------------------------------------
@@ -73,18 +76,57 @@ SMELL_RULES = (
 
 SMELLS = Family("smells", SMELL_FEATURES, SMELL_RULES, is_source)
 
+# Linear forms of patterns below that span parentheses and braces, see ``walked``.  Heads before one ``)`` share what
+# follows it, so a head that fails takes the text up to there with it.
+FOR_LOOP_WALK = r"for\s*+\([^)]*+(?:\)\s*+\{[^{}]*+(\}))?+"
+# Up to the last inner loop; if nothing closes that one, the first one tells whether there is a match at all.
+_INNER_LOOP = r"for\s*+\("
+NESTED_LOOP_WALK = (
+    r"for\s*+\([^)]*+(?:\)\s*+(\{)(?:"
+    + until(_INNER_LOOP, "{}", last=True)
+    + r"[^)]*+\)|"
+    + until(_INNER_LOOP, "{}")
+    + r"[^)]*+\)))?+"
+)
+# Only the last inner function can be the one whose ``)`` a ``{`` follows.
+NESTED_CALLBACK_WALK = (
+    r"function\s*+\([^)]*+(?:\)\s*+(\{)" + until(r"function\s*+\(", "{}", last=True) + r"[^)]*+\)\s*+\{)?+"
+)
+ASK_THEN_ACT_WALK = (
+    r"if\s*+\((?:" + until(r"\.\w", ")") + r"[^)]*+\)\s*+(\{)" + until(r"\.\w++\s*+=", "{}", last=True) + r"|[^)]*+)"
+)
+
+
+def conditional_chains(text: Column) -> Column:
+    """Count of long ``switch`` and ``else if`` chains.
+
+    The first head before a ``)`` decides, then any head of the other kind.  A failing head takes the ``)`` with
+    it, so real matches are those that hold a ``)`` but don't end with it."""
+    cases = r"\)\s*+\{(?:" + until("case", "{}") + "){3,}+"
+    elses = r"\)\s*+\{[^{}]*+\}\s*+else\s*+if" + until(r"else\s*+if", "{}", last=True)
+    heads = (r"switch\s*+\(", cases), (r"if\s*+\(", elses)
+    branches = [
+        f"{head}(?:[^)]*+{end}|{until(other, ')')}[^)]*+{other_end}|[^)]*+" + r"\)?+)"
+        for (head, end), (other, other_end) in (heads, heads[::-1])
+    ]
+    found = F.regexp_extract_all(text, F.lit("|".join(branches)), 0)
+    n = F.array_size(F.filter(found, lambda x: F.contains(x, F.lit(")")) & ~F.endswith(x, F.lit(")")))).cast("bigint")
+    possible = F.contains(text, F.lit("case")) | F.contains(text, F.lit("else"))
+    return F.when(~possible, F.lit(0).cast("bigint")).otherwise(n)
+
+
 # --- fixed values: style patterns, thresholds and messages -----------------------------------------
 REPEATED_ACCESS = r"(\w+)\.(\w+)[^=\n]*\1\.\2"
 
 FUNCTIONAL_FEATURES = {
-    "for_loops": Count(r"for\s*\([^)]*\)\s*\{[^{}]*\}"),
+    "for_loops": Count(r"for\s*\([^)]*\)\s*\{[^{}]*\}", build=walked(FOR_LOOP_WALK, "for", "}")),
     "array_mutations": Count(r"\.push\(|\.pop\(|\.shift\(|\.unshift\(|\.splice\("),
     "object_mutations": Count(
         r"Object\.assign\(|[a-zA-Z_]\w*\.[a-zA-Z_]\w*\s*=",
         linear=r"Object\.assign\(|[a-zA-Z_]\d*+\.[a-zA-Z_]\w*+\s*+=",
         needs=(".",),
     ),
-    "nested_loops": Count(r"for\s*\([^)]*\)\s*\{[^{}]*for\s*\([^)]*\)"),
+    "nested_loops": Count(r"for\s*\([^)]*\)\s*\{[^{}]*for\s*\([^)]*\)", build=walked(NESTED_LOOP_WALK, "for", "{")),
     "const_decls": Count(M.CONST_PATTERN),
     "let_decls": Count(M.LET_PATTERN),
     "var_decls": Count(M.VAR_PATTERN),
@@ -154,7 +196,8 @@ ORGANIZATION_FEATURES = {
     "wide_parameters": Count(r"\([^)]{60,}\)", build=wide_parentheses(60)),
     "complex_conditionals": Count(
         r"(switch\s*\([^)]*\)\s*\{[^{}]*case[^{}]*case[^{}]*case)"
-        r"|(if\s*\([^)]*\)\s*\{[^{}]*\}\s*else\s*if[^{}]*else\s*if)"
+        r"|(if\s*\([^)]*\)\s*\{[^{}]*\}\s*else\s*if[^{}]*else\s*if)",
+        build=conditional_chains,
     ),
     "repeated_strings": M.REPEATED_STRINGS,
     "ui_logic": Has(r"document\.|innerHTML|addEventListener|querySelector"),
@@ -220,12 +263,14 @@ ORGANIZATION_RULES = (
 MODERN_FEATURES = {
     "string_concatenations": Count(r"""['"][^'"]*['"]\s*\+|['"]\s*\+\s*['"][^'"]*['"]"""),
     "nested_ifs": Count(r"\{\s*if[^{}]*\{\s*if[^{}]*\{\s*if"),
-    "nested_callbacks": Count(r"function\s*\([^)]*\)\s*\{\s*[^{}]*function\s*\([^)]*\)\s*\{"),
+    "nested_callbacks": Count(
+        r"function\s*\([^)]*\)\s*\{\s*[^{}]*function\s*\([^)]*\)\s*\{", build=walked(NESTED_CALLBACK_WALK, "function", "{")
+    ),
     "property_chains": Count(
         r"\w+\.\w+\.\w+\.\w+", linear=r"\w\.\w++\.\w++\.\w++", needs=(".",)
     ),
     "getter_chains": Count(r"\.get\w+\(\)[^=]*\.get\w+\(\)"),
-    "ask_then_act": Count(r"if\s*\([^)]*\.\w+[^)]*\)\s*\{[^{}]*\.\w+\s*="),
+    "ask_then_act": Count(r"if\s*\([^)]*\.\w+[^)]*\)\s*\{[^{}]*\.\w+\s*=", build=walked(ASK_THEN_ACT_WALK, "if", "{", "=")),
     "primitive_parameters": Count(
         r"\(\s*\w+\s*:\s*(string|number|boolean)[^)]*,\s*\w+\s*:\s*(string|number|boolean)"
         r"[^)]*,\s*\w+\s*:\s*(string|number|boolean)"

@@ -81,14 +81,15 @@ def analysis_section(content: Column) -> Column:
     return F.when(start == 0, NO_RESULTS).otherwise(F.btrim(body, F.lit(" \t\r\n\x0b\x0c")))
 
 
-def collect_reports(reports: DataFrame, agents: list[str] = SYNTHESIS_AGENTS) -> DataFrame:
-    """One row per repository and expected agent; short or absent reports become placeholders.
+def collect_reports(reports: DataFrame, agents: list[str] = SYNTHESIS_AGENTS, above: int = 0) -> DataFrame:
+    """One row per repository and expected agent; absent reports, and those of at most ``above`` characters, become
+    placeholders.
 
     Present reports stay where they are.  Only the keys are shuffled to find the absent ones.
     """
     position = F.array_position(F.array(*[F.lit(a) for a in agents]), F.col("agent")).cast("int")
     expected = reports.where(F.col("agent").isin(agents))
-    filled = F.coalesce(F.length("content") > REPORT_ABOVE, F.lit(False))
+    filled = F.coalesce(F.length("content") > above, F.lit(False))
     present = expected.select(
         "repo",
         "agent",
@@ -220,11 +221,10 @@ def agent_coverage(collected: DataFrame) -> DataFrame:
     )
 
 
-def reports_context(collected: DataFrame, chars: int = SECTION_CHARS) -> DataFrame:
-    """Non-empty sections of a repository, each cut to ``chars``, under upper-cased headings."""
-    piece = F.concat(
-        F.lit("\n### "), F.upper("agent"), F.lit(" FINDINGS:\n"), F.substring("section", 1, chars), F.lit("\n")
-    )
+def reports_context(collected: DataFrame, chars: int | None = None) -> DataFrame:
+    """Non-empty sections of a repository, cut to ``chars`` if that is given, under upper-cased headings."""
+    section = F.col("section") if chars is None else F.substring("section", 1, chars)
+    piece = F.concat(F.lit("\n### "), F.upper("agent"), F.lit(" FINDINGS:\n"), section, F.lit("\n"))
     return (
         collected.where("has_content")
         .select("repo", "agent_pos", piece.alias("piece"))
@@ -336,13 +336,15 @@ def resolution_rate(comments: DataFrame) -> DataFrame:
     )
 
 
-def resolved_insights(comments: DataFrame, agents: list[str] = SYNTHESIS_AGENTS, k: int = SHOWN_RESOLVED) -> DataFrame:
-    """First ``k`` resolved questions of a repository in report order."""
+def resolved_insights(comments: DataFrame, agents: list[str] = SYNTHESIS_AGENTS, k: int | None = None) -> DataFrame:
+    """Resolved questions with their place in report order, or the first ``k`` of each repository, ranked."""
     position = F.array_position(F.array(*[F.lit(a) for a in agents]), F.col("agent"))
+    resolved = comments.where((F.col("status") == "resolved") & F.col("agent").isin(agents))
+    if k is None:
+        return resolved.select("repo", position.alias("agent_pos"), "comment_no", "agent", "target", "question")
     order = Window.partitionBy("repo").orderBy(position, "comment_no")
     return (
-        comments.where((F.col("status") == "resolved") & F.col("agent").isin(agents))
-        .withColumn("rank", F.row_number().over(order))
+        resolved.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("repo", "rank", "agent", "target", "question")
     )

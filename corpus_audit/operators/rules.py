@@ -7,7 +7,7 @@ with :func:`register_rule`.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from typing import Callable
 
 from pyspark.sql import Column
@@ -33,7 +33,6 @@ class Family:
     features: dict[str, Feature]
     rules: tuple[Rule, ...]
     applies_to: Callable[[Column], Column]  # path predicate
-    extra: dict[str, str] = field(default_factory=dict)
 
 
 def register_rule(family: Family, rule: Rule, features: dict[str, Feature] | None = None) -> Family:

@@ -23,7 +23,6 @@ SECURITY_FEATURES = {
     "secret_literal": Has(r"""(?i)secret\s*[:=]\s*["`'][^"`']{16,}["`']"""),
     "token_literal": Has(r"""(?i)token\s*[:=]\s*["`'][^"`']{20,}["`']"""),
     "env_use": Has(r"process\.env\.[A-Z_]+"),
-    "env_wrapper": Has(r"SecureEnvManager\.(validateEnv|sanitizeValue|get)|EnvLoader\.get"),
     "env_guard": Has(
         r"if\s*\(.*process\.env|throw.*Error.*process\.env",
         linear=r"(?<!.)(?>.*?if[^\S\n\r\x{2028}\x{2029}]*+\().*?process\.env"
@@ -37,7 +36,6 @@ SECURITY_FEATURES = {
     "eval_call": Has(r"\beval\s*\("),
     "cookie_set": Has(r"res\.cookie\("),
     "cookie_flags": Has(r"secure.*httpOnly|httpOnly.*secure"),
-    "env_manager": Has(r"SecureEnvManager\.(validateEnv|sanitizeValue|maskSensitive)"),
     "console_log": Has(r"console\.log"),
     "error_handling": Has(r"try\s*\{[\s\S]*catch[\s\S]*finally|\.catch\("),
 }
@@ -138,7 +136,7 @@ SECURITY_RULES = (
         "secure-environment",
         "Environment Variable Security",
         "env_manager",
-        text("✅ Uses SecureEnvManager for secure environment variable handling"),
+        text("✅ Uses a wrapper for secure environment variable handling"),
         remediation=text("Environment variables are validated, sanitized, and masked appropriately"),
         polarity="positive",
     ),
@@ -232,11 +230,25 @@ SECRET_ADVICE_SERVICE = (
 )
 SECRET_ADVICE = "Move secrets to environment variables or configuration files"
 ENV_TEXT_CLI = "Environment variable used without validation - may cause runtime errors"
-ENV_ADVICE_CLI = (
-    'Add validation: if (!process.env.API_KEY) throw new Error("API_KEY required") or use EnvLoader.get()'
-)
-ENV_ADVICE = "Implement proper environment variable validation using SecureEnvManager or EnvLoader"
+ENV_ADVICE_CLI = 'Add validation: if (!process.env.API_KEY) throw new Error("API_KEY required") or use a validating wrapper'
+ENV_ADVICE = "Implement proper environment variable validation using a wrapper that validates and sanitizes"
+MANAGER_METHODS, HANDLING_METHODS, READER_METHODS = "validateEnv|sanitizeValue|get", "validateEnv|sanitizeValue|maskSensitive", "get"
 # --- end of fixed values ---------------------------------------------------------------------------
 
-SECURITY = Family("security", SECURITY_FEATURES, SECURITY_RULES, is_code)
+
+
+def security_family(managers: tuple[str, ...] = ("EnvManager",), readers: tuple[str, ...] = ("EnvReader",)) -> Family:
+    """The security rules of a code base whose wrappers around environment variables have these names.
+
+    ``managers`` validate, sanitize and mask values, ``readers`` get validated ones."""
+    wrappers = [rf"{n}\.({MANAGER_METHODS})" for n in managers] + [rf"{n}\.{READER_METHODS}" for n in readers]
+    features = {
+        **SECURITY_FEATURES,
+        "env_wrapper": Has("|".join(wrappers)),
+        "env_manager": Has("|".join(rf"{n}\.({HANDLING_METHODS})" for n in managers)),
+    }
+    return Family("security", features, SECURITY_RULES, is_code)
+
+
+SECURITY = security_family()
 AUTH = Family("auth", AUTH_FEATURES, AUTH_RULES, lambda p: is_auth(p) | is_middleware(p))

@@ -88,10 +88,71 @@ def _compile(pattern: str) -> re.Pattern:
     return re.compile(pattern, re.ASCII)
 
 
-# A call-like head can only start where a run of word characters starts, or right after a keyword match.
-_RUN_START = r"(?:(?<!\w)|(?<=function))\w++\s*+\([^)]*+\)\s*+\{"
-_BODY_HEAD = _compile(BODY_FUNCTIONS.replace(r"\w+\s*\([^)]*\)\s*\{", _RUN_START))
-_SIZED_HEAD = _compile(SIZED_FUNCTIONS.replace(r"\w+\s*\([^)]*\)\s*\{", _RUN_START))
+# Function-like matches in order of preference: how one starts, and what has to follow the next ``)`` (None: the
+# start is the whole match).  A call-like head can only start where a run of word characters starts, or right after
+# a keyword match.
+_RUN_START = r"(?:(?<!\w)|(?<=function))\w++\s*+\("
+_ANY, _ARROW_FOLLOWS, _BODY_FOLLOWS = r"", r"\s*+=>", r"\s*+\{"
+BODY_HEADS = [
+    (r"function\s+\w++\s*+\(", _ANY),
+    (r"const\s+\w++\s*+=\s*+\(", _ARROW_FOLLOWS),
+    (r"async\s+function", None),
+    (_RUN_START, _BODY_FOLLOWS),
+]
+SIZED_HEADS = [
+    (r"function\s+\w++", None),
+    (r"const\s+\w++\s*+=\s*+(?:async\s*)?\(", _ARROW_FOLLOWS),
+    (r"async\s+function", None),
+    (_RUN_START, _BODY_FOLLOWS),
+]
+ARROW_HEADS = [(r"(?:export\s+)?const\s+(\w++)\s*+=\s*+(?:async\s+)?\(", _ARROW_FOLLOWS)]
+
+
+class Parentheses:
+    """What follows the first ``)`` behind a place; each ``)`` is looked at once, however many heads precede it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.closing = [m.start() for m in re.finditer(r"\)", text)]
+        self.known: dict[tuple[int, str], int] = {}
+
+    def end(self, at: int, follows: str) -> int:
+        """Where ``[^)]*\\)`` and ``follows`` end when they start at ``at``; -1 if they don't match."""
+        k = bisect_left(self.closing, at)
+        if k == len(self.closing):
+            return -1
+        key = k, follows
+        if key not in self.known:
+            m = _compile(follows).match(self.text, self.closing[k] + 1)
+            self.known[key] = m.end() if m else -1
+        return self.known[key]
+
+
+class HeadFinder:
+    """Function-like matches of a list of heads, found as one pattern of these alternatives would find them, without
+    going through the text of unclosed parentheses again."""
+
+    def __init__(self, heads: list[tuple[str, str | None]]):
+        self.heads = [(_compile(start), follows) for start, follows in heads]
+        self.any = _compile("|".join(start for start, _ in heads))
+
+    def find(self, text: str, parentheses: Parentheses):
+        """Start, end and the match of the start, for each."""
+        at = 0
+        while at <= len(text) and (m := self.any.search(text, at)):
+            start = m.start()
+            at = start + 1
+            for head, follows in self.heads:
+                if (found := head.match(text, start)) is None:
+                    continue
+                end = found.end() if follows is None else parentheses.end(found.end(), follows)
+                if end >= 0:
+                    yield start, end, found
+                    at = max(end, at)
+                    break
+
+
+_BODY_HEADS, _SIZED_HEADS, _ARROW_HEADS = HeadFinder(BODY_HEADS), HeadFinder(SIZED_HEADS), HeadFinder(ARROW_HEADS)
 _EFFECT = _compile("|".join(SIDE_EFFECTS))
 _LOCAL = _compile(LOCAL_STATE)
 _BRACES_AND_QUOTES = re.compile(r"[\"'`{}]")
@@ -154,8 +215,7 @@ def body_facts(text: str) -> list[dict]:
     if text is None:
         return []
     finder, out = BodyFinder(text), []
-    for m in _BODY_HEAD.finditer(text):
-        start = m.start()
+    for start, _, _ in _BODY_HEADS.find(text, Parentheses(text)):
         end = finder.end(start)
         out.append(
             {
@@ -173,13 +233,12 @@ def function_spans(text: str) -> list[dict]:
     if text is None:
         return []
     finder, out, line, seen = BodyFinder(text), [], 1, 0
-    for m in _SIZED_HEAD.finditer(text):
-        start = m.start()
+    for start, end, _ in _SIZED_HEADS.find(text, Parentheses(text)):
         line += text.count("\n", seen, start)
         seen = start
         out.append(
             {
-                "head": m.group(0)[:HEAD_CHARS],
+                "head": text[start : min(end, start + HEAD_CHARS)],
                 "line": line,
                 "lines": text.count("\n", start, finder.end(start)) + 1,
             }
@@ -187,8 +246,9 @@ def function_spans(text: str) -> list[dict]:
     return out
 
 
-_CLASS, _FUNCTION, _ARROW = _compile(CLASSES), _compile(FUNCTIONS), _compile(ARROWS)
-_METHOD = _compile(METHODS.replace(r"^\s*", r"^\s*+", 1))
+_CLASS, _FUNCTION = _compile(CLASSES), _compile(FUNCTIONS)
+_LINE_START = _compile(r"(?m)^\s*+")
+_METHOD_NAME = _compile(r"(?:async\s+)?(\w+)\s*+\(")
 _DOC = re.compile(DOC_BLOCKS)
 _SKIPPED = set(LIFECYCLE_METHODS + TEST_METHODS + KEYWORDS + COMMON_METHODS)
 
@@ -210,6 +270,10 @@ class _Places:
     def quotes(self) -> list[list[int]]:
         return [[m.start() for m in re.finditer(q, self.text)] for q in "'\"`"]
 
+    @cached_property
+    def slashes(self) -> list[int]:
+        return [m.start() for m in re.finditer(r"(?=//)", self.text)]
+
     # Overlapping finds ("/*/" holds both an opening and a closing mark).
     @cached_property
     def opened(self) -> list[int]:
@@ -227,7 +291,8 @@ class _Places:
             return True
         k = bisect_left(self.newlines, index)
         line_start = self.newlines[k - 1] if k else 0
-        if self.text.find("//", line_start, index) >= 0:
+        j = bisect_left(self.slashes, line_start)
+        if j < len(self.slashes) and self.slashes[j] + 2 <= index:
             return True
 
         def last(marks: list[int]) -> int:
@@ -237,6 +302,26 @@ class _Places:
         return last(self.opened) > last(self.closed)
 
 
+def _methods(text: str, parentheses: Parentheses):
+    """Start and name of every match of ``METHODS``.  Starts of blank lines before a name share what follows them."""
+    at = 0
+    while at <= len(text) and (m := _LINE_START.search(text, at)):
+        at = max(m.end(), m.start() + 1)
+        name = _METHOD_NAME.match(text, m.end())
+        if name and (end := parentheses.end(name.end(), _BODY_FOLLOWS)) >= 0:
+            yield m.start(), name.group(1)
+            at = max(end, at)
+
+
+def _named(text: str):
+    """Start, name and kind of classes, functions and methods, hidden ones included."""
+    parentheses = Parentheses(text)
+    yield from ((m.start(), m.group(1), "class") for m in _CLASS.finditer(text))
+    yield from ((m.start(), m.group(1), "function") for m in _FUNCTION.finditer(text))
+    yield from ((start, m.group(1), "function") for start, _, m in _ARROW_HEADS.find(text, parentheses))
+    yield from ((start, name, "method") for start, name in _methods(text, parentheses))
+
+
 def _skipped_method(name: str, text: str, at: int) -> bool:
     def before(n: int) -> str:
         return text[max(0, at - n) : at]
@@ -271,16 +356,14 @@ def symbols_of(text: str) -> dict:
     if text is None:
         return {"symbols": [], "docblocks": []}
     places, found = _Places(text), []
-    for pattern, kind in ((_CLASS, "class"), (_FUNCTION, "function"), (_ARROW, "function"), (_METHOD, "method")):
-        for m in pattern.finditer(text):
-            if places.hidden(m.start()):
-                continue
-            if kind == "method" and (
-                _skipped_method(m.group(1), text, m.start()) or not _in_class(text, m.start())
-            ):
-                continue
-            found.append({"name": m.group(1), "line": places.line(m.start()), "kind": kind})
-    blocks = [places.line(m.start()) for m in _DOC.finditer(text)]
+    for start, name, kind in _named(text):
+        if places.hidden(start):
+            continue
+        if kind == "method" and (_skipped_method(name, text, start) or not _in_class(text, start)):
+            continue
+        found.append({"name": name, "line": places.line(start), "kind": kind})
+    # No block starts behind the last closing mark, so the search for unclosed ones stops there.
+    blocks = [places.line(m.start()) for m in _DOC.finditer(text, 0, text.rfind("*/") + 2)] if "*/" in text else []
     for symbol in found:
         k = bisect_left(blocks, symbol["line"])
         near = blocks[max(0, k - 1) : k + 1]

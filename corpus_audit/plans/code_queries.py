@@ -91,7 +91,7 @@ def most_complex_files(spark, sf):
     "FROM documents GROUP BY lang, source",
 )
 def document_line_stats(spark, sf):
-    docs = D.texts(spark, sf, "documents", "doc_id")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     return docs.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("documents"),
         F.sum(M.line_count(F.col("text"))).alias("lines"),
@@ -364,6 +364,12 @@ def top_high_issues(spark, sf):
     return found.select("repo", "path", "rule_id", "rank")
 
 
+@query("high_issues", _SEC + "SELECT repo, path, rule_id, type, description FROM i WHERE polarity = 'issue' AND severity = 'High'")
+def high_issues(spark, sf):
+    found = detect(D.files(spark, sf), SECURITY).where((F.col("polarity") == "issue") & (F.col("severity") == "High"))
+    return found.select("repo", "path", "rule_id", "type", "description")
+
+
 @query(
     "positive_summary",
     _SEC + "SELECT repo, type, count(*) AS findings, min(path) AS first_path FROM i WHERE polarity = 'positive' GROUP BY repo, type",
@@ -452,7 +458,7 @@ def exposed_secrets(spark, sf):
 
 @query("document_secrets", _secrets_sql("doc_id", "text", "documents"))
 def document_secrets(spark, sf):
-    return security.secrets_in(D.texts(spark, sf, "documents", "doc_id"), ["doc_id"], "text")
+    return security.secrets_in(spark.read.parquet(f"{sf}/documents.parquet"), ["doc_id"], "text")
 
 
 @query(
@@ -461,13 +467,13 @@ def document_secrets(spark, sf):
     "FROM s GROUP BY source, lang, type",
 )
 def secrets_by_source(spark, sf):
-    found = security.secrets_in(D.texts(spark, sf, "documents", "doc_id"), ["source", "lang"], "text")
+    found = security.secrets_in(spark.read.parquet(f"{sf}/documents.parquet"), ["source", "lang"], "text")
     return found.groupBy("source", "lang", "type").agg(F.count(F.lit(1)).alias("secrets"))
 
 
 @query("page_secrets", _secrets_sql("page_id", "html", "pages"))
 def page_secrets(spark, sf):
-    return security.secrets_in(D.texts(spark, sf, "pages", "page_id"), ["page_id"], "html")
+    return security.secrets_in(spark.read.parquet(f"{sf}/pages.parquet"), ["page_id"], "html")
 
 
 @query("env_files", f"WITH {D.FILES_SQL} SELECT repo, path FROM files WHERE {O.glob(P.ENV_FILES)}")
@@ -561,6 +567,11 @@ def file_doc_scores(spark, sf):
     return documentation.file_doc_scores(spans.file_symbols(D.files(spark, sf)))
 
 
+@query("first_doc_issues", f"WITH {D.FILES_SQL}, {X.SYMBOLS} {X.FIRST_ISSUE_ROWS}")
+def first_doc_issues(spark, sf):
+    return documentation.file_doc_issues(spans.file_symbols(D.files(spark, sf)), limit=documentation.ISSUES_PER_FILE)
+
+
 @query("file_doc_issues", f"WITH {D.FILES_SQL}, {X.SYMBOLS} {X.ISSUE_ROWS}")
 def file_doc_issues(spark, sf):
     return documentation.file_doc_issues(spans.file_symbols(D.files(spark, sf)))
@@ -617,12 +628,14 @@ def api_report(spark, sf):
     return api.api_report(D.files(spark, sf))
 
 
-@query(
-    "api_issues",
-    f"WITH {D.FILES_SQL}, {API_CTE} SELECT repo, path, 'Missing error handling' AS description FROM api WHERE NOT error_handling UNION ALL "
+API_ISSUES_SQL = (
+    "SELECT repo, path, 'Missing error handling' AS description FROM api WHERE NOT error_handling UNION ALL "
     "SELECT repo, path, 'Missing input validation' FROM api WHERE NOT input_validation UNION ALL "
-    "SELECT repo, path, 'Missing authentication patterns' FROM api WHERE NOT authentication",
+    "SELECT repo, path, 'Missing authentication patterns' FROM api WHERE NOT authentication"
 )
+
+
+@query("api_issues", f"WITH {D.FILES_SQL}, {API_CTE} {API_ISSUES_SQL}")
 def api_issues(spark, sf):
     return api.api_issues(api.api_report(D.files(spark, sf)))
 

@@ -48,17 +48,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A text table, spread over the cores when its scan has fewer tasks than those.
-
-    Scanning text is work for the processor, and a small file with one row group would keep all but one core
-    idle.  Tables that already fill the cluster are left as they are, so no text is shuffled at scale.
-    """
-    table = _table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
-
-
 def _quote(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -73,24 +62,29 @@ def _pick_sql(index: str, values: list[str]) -> str:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as source files: repo, path, content."""
+    """``documents`` as source files: repo, path, content.
+
+    A document whose snippet cannot hold prose (a manifest, an ignore file) has a second file with its text.
+    """
     snippets = F.broadcast(
         spark.createDataFrame(
             [(k, *s) for k, s in enumerate(SNIPPETS)], "k bigint, file string, snippet string, with_prose boolean"
         )
     )
-    docs = texts(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     number = F.col("doc_id").cast("string")
 
     def filled(name: str):
         return F.replace(F.col(name), F.lit("@ID@"), number)
 
     prose = F.when(F.col("with_prose"), F.concat(F.lit("\n"), F.col("text"))).otherwise("")
+    snippet = F.struct(filled("file").alias("path"), F.concat(filled("snippet"), prose).alias("content"))
+    apart = F.struct(F.concat(F.lit("src/prose"), number, F.lit(".js")).alias("path"), F.col("text").alias("content"))
+    both = F.when(F.col("with_prose"), F.array(snippet)).otherwise(F.array(snippet, apart))
     return docs.join(snippets, F.col("doc_id") % len(SNIPPETS) == F.col("k")).select(
         F.concat(F.lit("repo"), F.floor(F.col("doc_id") / REPO_FILES).cast("string")).alias("repo"),
-        filled("file").alias("path"),
-        F.concat(filled("snippet"), prose).alias("content"),
-    )
+        F.explode(both).alias("f"),
+    ).select("repo", "f.path", "f.content")
 
 
 FILES_SQL = (
@@ -100,7 +94,9 @@ FILES_SQL = (
     "replace(file, '@ID@', CAST(doc_id AS VARCHAR)) AS path, "
     "replace(snippet, '@ID@', CAST(doc_id AS VARCHAR)) || "
     "CASE WHEN with_prose THEN chr(10) || text ELSE '' END AS content "
-    f"FROM documents JOIN snip ON doc_id % {len(SNIPPETS)} = k)"
+    f"FROM documents JOIN snip ON doc_id % {len(SNIPPETS)} = k "
+    f"UNION ALL SELECT 'repo' || CAST(doc_id // {REPO_FILES} AS VARCHAR), 'src/prose' || CAST(doc_id AS VARCHAR) || '.js', text "
+    f"FROM documents JOIN snip ON doc_id % {len(SNIPPETS)} = k WHERE NOT with_prose)"
 )
 
 
@@ -212,19 +208,21 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = turns.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct(turn.alias("turn"), F.col("text"), comment.alias("comment")))).alias("t")
     )
-    bare = conv % 7 == 3
     content = F.concat(
         F.lit("# Report\n\n## Analysis Results\n\n"),
-        F.when(bare, "").otherwise(F.array_join(F.transform("t", lambda x: x["text"]), "\n")),
+        F.array_join(F.transform("t", lambda x: x["text"]), "\n"),
         F.lit("\n"),
         _pick(F.floor(conv / 4) % 4, KEYWORD_SENTENCES),
         F.lit("\n\n## Coordination\n\n"),
-        F.when(bare, "").otherwise(F.array_join(F.transform("t", lambda x: x["comment"]), "")),
+        F.array_join(F.transform("t", lambda x: x["comment"]), ""),
     )
-    return whole.where(conv % 9 != 8).select(
-        F.concat(F.lit("repo"), F.floor(conv / 4).cast("string")).alias("repo"),
-        _pick(conv % 4, AGENTS).alias("agent"),
-        F.when(conv % 11 == 5, "short").otherwise(content).alias("content"),
+    # Further repositories whose agents left short or empty reports, or none.
+    stub = F.when(conv % 11 == 5, F.struct(F.lit("stub").alias("kind"), F.lit("short").alias("content"))).when(
+        conv % 7 == 3, F.struct(F.lit("stub").alias("kind"), F.lit("").alias("content"))
+    )
+    both = F.array_compact(F.array(F.struct(F.lit("repo").alias("kind"), content.alias("content")), stub))
+    return whole.select("conv_id", F.explode(both).alias("r")).select(
+        F.concat("r.kind", F.floor(conv / 4).cast("string")).alias("repo"), _pick(conv % 4, AGENTS).alias("agent"), "r.content"
     )
 
 
@@ -237,13 +235,14 @@ REPORTS_SQL = (
     "FROM conversations), "
     "reports AS (SELECT 'repo' || CAST(conv_id // 4 AS VARCHAR) AS repo, "
     + _pick_sql("conv_id % 4", AGENTS)
-    + " AS agent, CASE WHEN conv_id % 11 = 5 THEN 'short' ELSE '# Report' || chr(10) || chr(10) || "
-    "'## Analysis Results' || chr(10) || chr(10) || "
-    "CASE WHEN conv_id % 7 = 3 THEN '' ELSE string_agg(text, chr(10) ORDER BY turn) END || chr(10) || "
+    + " AS agent, '# Report' || chr(10) || chr(10) || "
+    "'## Analysis Results' || chr(10) || chr(10) || string_agg(text, chr(10) ORDER BY turn) || chr(10) || "
     + _pick_sql("(conv_id // 4) % 4", KEYWORD_SENTENCES)
     + " || chr(10) || chr(10) || '## Coordination' || chr(10) || chr(10) || "
-    "CASE WHEN conv_id % 7 = 3 THEN '' ELSE string_agg(comment, '' ORDER BY turn) END END AS content "
-    "FROM turns WHERE conv_id % 9 <> 8 GROUP BY conv_id)"
+    "string_agg(comment, '' ORDER BY turn) AS content FROM turns GROUP BY conv_id UNION ALL "
+    "SELECT DISTINCT 'stub' || CAST(conv_id // 4 AS VARCHAR), "
+    + _pick_sql("conv_id % 4", AGENTS)
+    + ", CASE WHEN conv_id % 11 = 5 THEN 'short' ELSE '' END FROM turns WHERE conv_id % 11 = 5 OR conv_id % 7 = 3)"
 )
 
 
@@ -252,10 +251,10 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     odd = F.col("page_id") % 7
     path = (
-        F.when(odd == 1, F.concat(F.lit("/etc//x/"), F.col("page_id").cast("string"), F.lit("/..")))
+        F.when(odd == 1, F.concat(F.lit("/etc//x/"), url, F.lit("/..")))
         .when(odd == 2, F.concat(F.lit(" a\\b%20c/"), url, F.lit("/")))
-        .when(odd == 3, F.concat(F.lit("x/${y}/"), F.lit("secret-"), F.col("page_id").cast("string"), F.lit(".env")))
-        .when(odd == 4, F.concat(F.lit("a/%252e%252e/+b/"), F.col("page_id").cast("string"), F.lit(".min.js")))
+        .when(odd == 3, F.concat(F.lit("x/${y}/"), F.lit("secret-"), url, F.lit(".env")))
+        .when(odd == 4, F.concat(F.lit("a/%252e%252e/+b/"), url, F.lit(".min.js")))
         .otherwise(url)
     )
     return _table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
@@ -263,10 +262,10 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAGES_SQL = (
     "page_paths AS (SELECT page_id, CASE page_id % 7 "
-    "WHEN 1 THEN '/etc//x/' || CAST(page_id AS VARCHAR) || '/..' "
+    "WHEN 1 THEN '/etc//x/' || url || '/..' "
     "WHEN 2 THEN ' a\\b%20c/' || url || '/' "
-    "WHEN 3 THEN 'x/${y}/secret-' || CAST(page_id AS VARCHAR) || '.env' "
-    "WHEN 4 THEN 'a/%252e%252e/+b/' || CAST(page_id AS VARCHAR) || '.min.js' "
+    "WHEN 3 THEN 'x/${y}/secret-' || url || '.env' "
+    "WHEN 4 THEN 'a/%252e%252e/+b/' || url || '.min.js' "
     "ELSE url END AS path FROM pages)"
 )
 

@@ -86,8 +86,8 @@ SYMBOL_ROWS = "SELECT repo, path, name, line, kind, gap FROM symbols"
 ISSUE_ROWS = (
     "SELECT repo, path, name, line, kind, 'Missing documentation for ' || kind || ' `' || name || '` (line ' || line || ')' AS description "
     "FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY rank, start) AS r FROM symbols WHERE coalesce(gap > 2, true)) "
-    f"WHERE r <= {documentation.ISSUES_PER_FILE}"
 )
+FIRST_ISSUE_ROWS = ISSUE_ROWS + f"WHERE r <= {documentation.ISSUES_PER_FILE}"
 COVERAGE_ROWS = (
     "SELECT *, CASE WHEN coverage >= 80 THEN 'excellent' WHEN coverage >= 60 THEN 'good' WHEN coverage >= 40 THEN 'moderate' ELSE 'low' END AS band "
     "FROM (SELECT repo, CAST(sum(symbols) AS BIGINT) AS symbols, CAST(sum(documented) AS BIGINT) AS documented, "

@@ -6,12 +6,25 @@ from pyspark.sql import functions as F
 
 from corpus_audit.functions import paths as P
 from corpus_audit.functions import values as V
-from corpus_audit.operators import governance, metrics, profile, rollup
+from corpus_audit.operators import api, documentation, governance, metrics, profile, rollup, spans
 from corpus_audit.operators.detect import detect
-from corpus_audit.operators.quality_rules import SMELLS
+from corpus_audit.operators.quality_rules import FUNCTIONAL, MODERN, ORGANIZATION, SMELLS
+from corpus_audit.operators.security_rules import SECURITY
 from corpus_audit.plans import derived as D
 from corpus_audit.plans import oracle as O
-from corpus_audit.plans.code_queries import API_CTE, CODE, FLAGS_CTE, SMELLS_CTE, SMELLS_SQL
+from corpus_audit.plans import position_sql as X
+from corpus_audit.plans.code_queries import (
+    API_CTE,
+    API_ISSUES_SQL,
+    CODE,
+    FLAGS_CTE,
+    SECURITY_CTE,
+    SECURITY_SQL,
+    SMELLS_CTE,
+    SMELLS_SQL,
+    STYLE_CTE,
+    STYLE_SQL,
+)
 from corpus_audit.plans.registry import query
 from corpus_audit.sources import config, exclusions, manifests, reports
 from corpus_audit.sources import files as S
@@ -226,7 +239,12 @@ def config_entries(spark, sf):
     f"{FILES} SELECT repo, path, CASE WHEN strlen(content) < 512000 THEN substr(content, 1, 2000) END AS content FROM files",
 )
 def capped_content(spark, sf):
-    return S.cap_content(D.files(spark, sf), 2000).select("repo", "path", "content")
+    return S.cap_content(D.files(spark, sf), chars=2000, below_bytes=P.TEXT_BYTES).select("repo", "path", "content")
+
+
+@query("whole_content", f"{FILES} SELECT repo, path, content FROM files")
+def whole_content(spark, sf):
+    return S.cap_content(D.files(spark, sf)).select("repo", "path", "content")
 
 
 _WANTED_SQL = (
@@ -575,6 +593,68 @@ def quality_reports(spark, sf):
     return reports.render_reports(sections, "Code Quality Analysis")
 
 
+def _report_sql(ctes: str, issues: str, agent: str, title: str, section: str) -> str:
+    """The report of one agent: for each type of issue its number and first five lines."""
+    return (
+        f"{FILES}, {ctes}, i AS ({issues}), g AS (SELECT repo, type, count(*) AS issues FROM i GROUP BY repo, type), "
+        "k AS (SELECT repo, type, string_agg('- ' || path || ': ' || description || chr(10), '' ORDER BY path || ': ' || description) AS lines FROM "
+        "(SELECT *, row_number() OVER (PARTITION BY repo, type ORDER BY path, rule_id, description) AS r FROM i) WHERE r <= 5 GROUP BY repo, type), "
+        "b AS (SELECT repo, '**' || type || '** (' || issues || ' issues):' || chr(10) || lines AS body, type FROM g JOIN k USING (repo, type)) "
+        f"SELECT repo, '{agent}' AS agent, '### {title}' || chr(10) || chr(10) || '#### {section}' || chr(10) || chr(10) || "
+        "string_agg(body, chr(10) ORDER BY type) || chr(10) || chr(10) AS content FROM b GROUP BY repo"
+    )
+
+
+def _report(issues, agent: str, title: str, section: str):
+    grouped = rollup.group_issues(issues)
+    return reports.render_reports(reports.issue_sections(grouped, agent, section, 1), title)
+
+
+@query(
+    "security_reports",
+    _report_sql(SECURITY_CTE, f"SELECT * FROM ({SECURITY_SQL}) WHERE polarity = 'issue'", "security", "Security Analysis", "Vulnerabilities"),
+)
+def security_reports(spark, sf):
+    found = detect(D.files(spark, sf), SECURITY).where(F.col("polarity") == "issue")
+    return _report(found, "security", "Security Analysis", "Vulnerabilities")
+
+
+@query("style_reports", _report_sql(STYLE_CTE, STYLE_SQL, "opinionated-style", "Style Analysis", "Style Issues"))
+def style_reports(spark, sf):
+    return _report(detect(D.files(spark, sf), FUNCTIONAL, ORGANIZATION, MODERN), "opinionated-style", "Style Analysis", "Style Issues")
+
+
+@query(
+    "documentation_reports",
+    _report_sql(
+        X.SYMBOLS,
+        f"SELECT repo, path, 'Undocumented ' || kind AS type, name || ':' || line AS rule_id, description FROM ({X.ISSUE_ROWS})",
+        "documentation",
+        "Documentation Analysis",
+        "Undocumented Symbols",
+    ),
+)
+def documentation_reports(spark, sf):
+    bare = documentation.file_doc_issues(spans.file_symbols(D.files(spark, sf)))
+    issues = bare.select(
+        "repo", "path", F.concat(F.lit("Undocumented "), "kind").alias("type"), F.concat_ws(":", "name", F.col("line").cast("string")).alias("rule_id"), "description"
+    )
+    return _report(issues, "documentation", "Documentation Analysis", "Undocumented Symbols")
+
+
+@query(
+    "api_reports",
+    _report_sql(
+        API_CTE, f"SELECT repo, path, description AS type, '' AS rule_id, description FROM ({API_ISSUES_SQL})", "api-quality", "API Quality Analysis", "API Issues"
+    ),
+)
+def api_reports(spark, sf):
+    found = api.api_issues(api.api_report(D.files(spark, sf)))
+    return _report(
+        found.select("repo", "path", F.col("description").alias("type"), F.lit("").alias("rule_id"), "description"), "api-quality", "API Quality Analysis", "API Issues"
+    )
+
+
 _POS = "list_position(['api-quality', 'documentation', 'code-quality', 'security'], agent)"
 _SECTION = (
     "CASE WHEN instr(content, '## Analysis Results') = 0 THEN 'No analysis results found' ELSE trim(substr(content, "
@@ -584,8 +664,8 @@ _SECTION = (
 COLLECTED_SQL = (
     f"{D.REPORTS_SQL}, agents(agent) AS (VALUES ('api-quality'), ('documentation'), ('code-quality'), ('security')), "
     "wanted AS (SELECT repo, agent FROM (SELECT DISTINCT repo FROM reports), agents), "
-    f"collected AS (SELECT w.repo, w.agent, {_POS.replace('agent)', 'w.agent)')} AS agent_pos, coalesce(length(content) > 100, false) AS has_content, "
-    f"CASE WHEN length(content) > 100 THEN {_SECTION} ELSE 'No analysis performed' END AS section FROM wanted w LEFT JOIN reports r "
+    f"collected AS (SELECT w.repo, w.agent, {_POS.replace('agent)', 'w.agent)')} AS agent_pos, coalesce(length(content) > 0, false) AS has_content, "
+    f"CASE WHEN length(content) > 0 THEN {_SECTION} ELSE 'No analysis performed' END AS section FROM wanted w LEFT JOIN reports r "
     "ON r.repo = w.repo AND r.agent = w.agent)"
 )
 COLLECTED = f"WITH {COLLECTED_SQL}"
@@ -657,6 +737,30 @@ def action_plan(spark, sf):
     return rollup.action_plan(rollup.collect_reports(D.reports(spark, sf)))
 
 
+@query(
+    "recap_reports",
+    f"{COLLECTED}, f AS ("
+    + " UNION ALL ".join(
+        f"SELECT repo, agent, agent_pos, {p} AS priority, '{c}' AS category, '{a}' AS action FROM collected WHERE has_content AND ({w})"
+        for p, c, a, w in _PLAN
+    )
+    + ") SELECT repo, 'recapper' AS agent, '### Recap' || chr(10) || chr(10) || '#### Action Plan' || chr(10) || chr(10) || "
+    "string_agg('- ' || category || ': ' || action || ' (' || agent || ')', chr(10) ORDER BY priority, agent_pos) || chr(10) || chr(10) AS content FROM f GROUP BY repo",
+)
+def recap_reports(spark, sf):
+    plan = rollup.action_plan(rollup.collect_reports(D.reports(spark, sf)))
+    line = F.concat(F.lit("- "), "category", F.lit(": "), "action", F.lit(" ("), "agent", F.lit(")"))
+    sections = plan.select(
+        "repo",
+        F.lit("recapper").alias("agent"),
+        F.lit(1).alias("position"),
+        F.lit("Action Plan").alias("section"),
+        F.lpad(F.col("position").cast("string"), 6, "0").alias("item"),
+        line.alias("body"),
+    )
+    return reports.render_reports(sections, "Recap")
+
+
 @query(
     "tool_recommendations",
     f"{COLLECTED} "
@@ -675,7 +779,7 @@ def agent_coverage(spark, sf):
 
 @query(
     "reports_context",
-    f"{COLLECTED} SELECT repo, string_agg(chr(10) || '### ' || upper(agent) || ' FINDINGS:' || chr(10) || substr(section, 1, 2000) || chr(10), '' "
+    f"{COLLECTED} SELECT repo, string_agg(chr(10) || '### ' || upper(agent) || ' FINDINGS:' || chr(10) || section || chr(10), '' "
     "ORDER BY agent_pos) AS context FROM collected WHERE has_content GROUP BY repo",
 )
 def reports_context(spark, sf):
@@ -703,9 +807,9 @@ def comments(spark, sf):
     return _comments(spark, sf)
 
 
-@query("pending_questions", f"{COMMENTS} SELECT repo, agent, comment_id, target, question, round FROM comments WHERE status = 'pending' AND round = 1")
+@query("pending_questions", f"{COMMENTS} SELECT repo, agent, comment_id, target, question, round FROM comments WHERE status = 'pending'")
 def pending_questions(spark, sf):
-    return rollup.pending_questions(_comments(spark, sf), round_no=1).select("repo", "agent", "comment_id", "target", "question", "round")
+    return rollup.pending_questions(_comments(spark, sf)).select("repo", "agent", "comment_id", "target", "question", "round")
 
 
 @query(
@@ -773,13 +877,21 @@ def resolution_rate(spark, sf):
 
 @query(
     "resolved_insights",
-    f"{COMMENTS} SELECT * FROM (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY {_POS}, comment_no) AS rank, agent, target, question "
-    "FROM comments WHERE status = 'resolved') WHERE rank <= 5",
+    f"{COMMENTS} SELECT repo, {_POS} AS agent_pos, comment_no, agent, target, question FROM comments WHERE status = 'resolved'",
 )
 def resolved_insights(spark, sf):
     return rollup.resolved_insights(_comments(spark, sf))
 
 
+@query(
+    "first_resolved_insights",
+    f"{COMMENTS} SELECT * FROM (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY {_POS}, comment_no) AS rank, agent, target, question "
+    "FROM comments WHERE status = 'resolved') WHERE rank <= 5",
+)
+def first_resolved_insights(spark, sf):
+    return rollup.resolved_insights(_comments(spark, sf), k=5)
+
+
 _SHOWN = "coalesce(nullif(substr(content, 1, 5000), ''), '[File content provided separately]')"
 
 
@@ -895,8 +1007,9 @@ REQUIRED = [
     {"key": "NOT_THERE"},
 ]
 CHECKS_SQL = (
+    "every_repo AS (SELECT repo FROM entries UNION SELECT repo FROM files), "
     "v AS (SELECT repo, max(value) FILTER (key = 'API_KEY') AS a, max(value) FILTER (key = 'SERVICE_URL') AS s, "
-    "max(value) FILTER (key = 'DB_PASSWORD') AS d, max(value) FILTER (key = 'RETRIES') AS r FROM entries GROUP BY repo), "
+    "max(value) FILTER (key = 'DB_PASSWORD') AS d, max(value) FILTER (key = 'RETRIES') AS r FROM every_repo LEFT JOIN entries USING (repo) GROUP BY repo), "
     "checks AS (SELECT repo, 'API_KEY' AS key, CASE WHEN coalesce(a, '') = '' THEN 'missing' WHEN length(a) < 3 THEN 'too short' ELSE 'ok' END AS state FROM v "
     "UNION ALL SELECT repo, 'SERVICE_URL', CASE WHEN coalesce(s, '') = '' THEN 'missing' WHEN NOT regexp_matches(s, '^https?://') THEN 'not a URL' ELSE 'ok' END FROM v "
     "UNION ALL SELECT repo, 'DB_PASSWORD', CASE WHEN coalesce(d, '') = '' THEN 'missing' WHEN length(d) < 6 THEN 'too short' WHEN length(d) > 20 THEN 'too long' ELSE 'ok' END FROM v "
@@ -905,15 +1018,15 @@ CHECKS_SQL = (
 )
 
 
-@query("missing_required_keys", f"{ENTRIES}, {CHECKS_SQL} SELECT * FROM checks")
+@query("missing_required_keys", f"{ENTRIES}, {D.FILES_SQL}, {CHECKS_SQL} SELECT * FROM checks")
 def missing_required_keys(spark, sf):
-    return governance.required_key_check(_entries(spark, sf), REQUIRED)
+    return governance.required_key_check(_entries(spark, sf), REQUIRED, D.files(spark, sf).select("repo"))
 
 
 @query(
     "configuration_validity",
-    f"{ENTRIES}, {CHECKS_SQL} SELECT repo, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state NOT IN ('missing', 'ok')) AS invalid, "
+    f"{ENTRIES}, {D.FILES_SQL}, {CHECKS_SQL} SELECT repo, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state NOT IN ('missing', 'ok')) AS invalid, "
     "bool_and(state = 'ok') AS valid FROM checks GROUP BY repo",
 )
 def configuration_validity(spark, sf):
-    return governance.configuration_validity(governance.required_key_check(_entries(spark, sf), REQUIRED))
+    return governance.configuration_validity(missing_required_keys(spark, sf))

@@ -112,7 +112,7 @@ SNIPPETS: list[tuple[str, str, bool]] = [
         "if (!process.env.SERVICE_URL) throw new Error('SERVICE_URL missing');\nconst id = Math.random();\n",
         True,
     ),
-    ("src/f@ID@.js", "SecureEnvManager.validateEnv('A', process.env.A_KEY);\ntry { go(); } catch (e) { } finally { }\n", True),
+    ("src/f@ID@.js", "EnvManager.validateEnv('A', process.env.A_KEY);\ntry { go(); } catch (e) { } finally { }\n", True),
     ("src/f@ID@.js", "res.cookie('id', v);\nsave(req.body.name);\n", True),
     ("src/f@ID@.js", "res.cookie('id', v, { secure: true, httpOnly: true });\nsave(sanitize(req.body.name));\n", True),
     ("src/f@ID@.js", "const live = 'sk_live_abcdefghijklmnopqrstuvwx';\nconst blob = 'QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVphYmNkZWY=';\n", True),

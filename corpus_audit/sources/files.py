@@ -81,12 +81,16 @@ def listed_and_found(files: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def cap_content(files: DataFrame, chars: int = PROMPT_CHARS) -> DataFrame:
-    """First ``chars`` characters of the text; files of 500 KB and more keep none."""
-    size = F.col("size") if "size" in files.columns else F.octet_length("content")
-    return files.withColumn(
-        "content", F.when(size < P.TEXT_BYTES, F.substring("content", 1, chars)).otherwise(F.lit(None))
-    )
+def cap_content(files: DataFrame, chars: int | None = None, below_bytes: int | None = None) -> DataFrame:
+    """The whole text, or its first ``chars`` characters; files of ``below_bytes`` and more keep none if that is given."""
+    if chars is not None:
+        files = files.withColumn("_text", F.substring("content", 1, chars))
+    else:
+        files = files.withColumn("_text", F.col("content"))
+    if below_bytes is not None:
+        size = F.col("size") if "size" in files.columns else F.octet_length("content")
+        files = files.withColumn("_text", F.when(size < below_bytes, F.col("_text")))
+    return files.withColumn("content", F.col("_text")).drop("_text")
 
 
 def cap_per_group(table: DataFrame, k: int, by: list[str], order: list) -> DataFrame:

@@ -60,7 +60,7 @@ ORDERED = {n: f for n, f in FEATURES.items() if isinstance(f, P.Has) and P.linea
 
 PIECES = (
     "if else for while case catch switch try finally throw Error async await function const let var eval import from "
-    "require( process.env process.env.A_B SecureEnvManager.get NODE_ENV production load balance secure httpOnly "
+    "require( process.env process.env.A_B EnvManager.get NODE_ENV production load balance secure httpOnly "
     "jwt.sign resave false req.body req.body. .find validate typeof === 'string' middleware auth token verify "
     "Object.assign( return password secret api_key => && || ? : ; , . .. ... .push( .then( .catch( .getA() .getB() "
     "( ) { } [ ] < = + - / // /* TODO ' \" ` ${ a b1 _x 2 45 100 200 2001 404 77 é string number any query "

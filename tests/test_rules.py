@@ -53,7 +53,7 @@ CASES = {
     "unvalidated-input": ("req.body", "req.body validate"),
     "eval-use": ("eval (x)", "medieval (x)"),
     "insecure-cookie": ("res.cookie(a)", "res.cookie(a, { httpOnly, secure })"),
-    "secure-environment": ("SecureEnvManager.maskSensitive", "SecureEnvManager.get"),
+    "secure-environment": ("EnvManager.maskSensitive", "EnvManager.get"),
     "validates-input": ("sanitize", "sanitize console.log"),
     "handles-errors": ("try { \n catch \n finally", "try { \n finally \n catch"),
     "jwt-not-verified": ("jwt.sign", "jwt.sign jwt.verify"),

@@ -1,11 +1,13 @@
 """Positions: function ends, symbols and doc blocks against direct readings of the definitions."""
 
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpus_audit.operators import documentation, spans
 
-BITS = ["{", "}", "'", '"', "`", "\\", "a", "\n", "function f(x)", "const g = (y) =>", "h(z) {", "async function", " ", "//", "/*", "*/"]
+BITS = ["{", "}", "'", '"', "`", "\\", "a", "\n", "function f(x)", "const g = (y) =>", "h(z) {", "async function", " ", "//", "/*", "*/", "(", ")", "=>", "const h = async (", "\u2028", "async "]
 
 
 def end_by_scanning(text, start):
@@ -56,8 +58,27 @@ def test_hidden_and_lines(text):
 @settings(max_examples=500, deadline=None)
 @given(st.lists(st.sampled_from(BITS), max_size=40).map("".join))
 def test_heads_equal_the_plain_patterns(text):
-    for fast, pattern in ((spans._BODY_HEAD, spans.BODY_FUNCTIONS), (spans._SIZED_HEAD, spans.SIZED_FUNCTIONS)):
-        assert [m.span() for m in fast.finditer(text)] == [m.span() for m in spans._compile(pattern).finditer(text)]
+    parentheses = spans.Parentheses(text)
+    for fast, pattern in (
+        (spans._BODY_HEADS, spans.BODY_FUNCTIONS),
+        (spans._SIZED_HEADS, spans.SIZED_FUNCTIONS),
+        (spans._ARROW_HEADS, spans.ARROWS),
+    ):
+        found = [(start, end) for start, end, _ in fast.find(text, parentheses)]
+        assert found == [m.span() for m in spans._compile(pattern).finditer(text)]
+    methods = [(m.start(), m.group(1)) for m in spans._compile(spans.METHODS).finditer(text)]
+    assert list(spans._methods(text, parentheses)) == methods
+
+
+def test_long_shapes_stay_cheap():
+    """200,000 characters of each shape; quadratic reading takes many seconds."""
+    for shape in ("function a(", "a(", "const a = (", "const a = async (", "/** ", "\n", "\n a(", "class a ", "function a() {"):
+        text = shape * (200_000 // len(shape))
+        began = time.process_time()
+        spans.symbols_of(text)
+        spans.function_spans(text + ")")
+        spans.body_facts(text + ")")
+        assert time.process_time() - began < 8, shape
 
 
 def test_purity_and_sizes(files):
