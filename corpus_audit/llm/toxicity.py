@@ -5,16 +5,16 @@ holds, and over the probabilities of all earlier categories.  For training, thos
 models that did not see the row (one of ``FOLDS`` parts is left out each time), as they would for a new text.
 
 Terms are words and, for languages that inflect them, their first 3 to 6 characters.  They are features if they
-tell a category from the rest beyond chance (log-likelihood ratio of document counts, counted in Spark over the
-rows that are fitted).  A model is fitted on at most ``FIT_ROWS`` labelled
+are much more frequent in a category and tell it from the rest beyond chance (log-likelihood ratio of document
+counts, counted in Spark over the rows that are fitted).  A model is fitted on at most ``FIT_ROWS`` labelled
 rows, those whose hashed ids are smallest; every text is scored whole.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass, field
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from corpus_audit.llm.common import stored, words_of
 
 FIT_ROWS = 20_000
-FEATURES = 512  # for each category at most
+FEATURES = 160  # for each category at most
 EVIDENCE = 45.0  # least log-likelihood ratio of a feature; a million useless words stay below it
+TIMES = 3  # a feature is so many times as frequent in the category as in the rest, at least
 FOLDS = 5
 PENALTY = 1.0
 STEMS = (3, 4, 5, 6)  # characters of a beginning; its term ends in "-"
@@ -63,11 +64,10 @@ def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int = 50) -> np.ndarray:
-    """Weights by Newton steps, halved until they gain, with a ridge penalty; the last weight is the constant and has
-    hardly any."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    share = (y.sum() + 0.5) / (len(y) + 1.0)
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, rounds: int = 50) -> np.ndarray:
+    """Weights by Newton steps, halved until they gain, with a ridge penalty; the last column of ``x`` is one, and its
+    weight, the constant, has hardly any.  ``weight`` says how many rows each row stands for."""
+    share = (weight @ y + 0.5) / (weight.sum() + 1.0)
     w = np.zeros(x.shape[1])
     w[-1] = math.log(share / (1 - share))
     ridge = np.full(len(w), penalty)
@@ -75,12 +75,16 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int
 
     def loss(w):
         z = x @ w
-        return np.logaddexp(0, z).sum() - y @ z + 0.5 * (ridge * w * w).sum()
+        return weight @ (np.logaddexp(0, z) - y * z) + 0.5 * (ridge * w * w).sum()
 
     now = loss(w)
     for _ in range(rounds):
         p = _sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        bend, curve = weight * p * (1 - p), np.diag(ridge)
+        for k in range(0, len(x), 2048):  # so that no second matrix of all rows is made
+            part = x[k : k + 2048]
+            curve = curve + (part * bend[k : k + 2048, None]).T @ part
+        step = np.linalg.solve(curve, x.T @ (weight * (y - p)) - ridge * w)
         while (then := loss(w + step)) > now and np.abs(step).max() > 1e-9:
             step = step / 2
         if now - then < 1e-9 * (1 + abs(now)):
@@ -89,21 +93,27 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int
     return w
 
 
-def fit_links(held: list[set[str]], folds: np.ndarray, targets: dict[str, np.ndarray], features: dict[str, list[str]]) -> list[Link]:
+def fit_links(
+    held: list[frozenset[str]], folds: np.ndarray, weight: np.ndarray, targets: dict[str, np.ndarray], features: dict[str, list[str]]
+) -> list[Link]:
     """The chain over rows in memory, in the order of ``targets``."""
-    chain, earlier = [], np.empty((len(held), 0))
+    chain, earlier = [], []
     for name, y in targets.items():
         chosen = features[name]
-        x = np.hstack([np.array([[t in row for t in chosen] for row in held], float).reshape(len(held), len(chosen)), earlier])
-        w = logistic(x, y)
+        x = np.ones((len(held), len(chosen) + len(earlier) + 1))
+        for k, term in enumerate(chosen):
+            x[:, k] = [term in row for row in held]
+        for k, p in enumerate(earlier, len(chosen)):
+            x[:, k] = p
+        w = logistic(x, y, weight)
         chain.append(Link(name, dict(zip(chosen, w[: len(chosen)].tolist())), w[len(chosen) : -1].tolist(), float(w[-1])))
         unseen = np.empty(len(held))
         for k in range(FOLDS):
             out = folds == k
             if out.any():
-                part = logistic(x[~out], y[~out]) if (~out).any() else w
-                unseen[out] = _sigmoid(np.hstack([x[out], np.ones((out.sum(), 1))]) @ part)
-        earlier = np.hstack([earlier, unseen[:, None]])
+                part = logistic(x[~out], y[~out], weight[~out]) if (~out).any() else w
+                unseen[out] = _sigmoid(x[out] @ part)
+        earlier.append(unseen)
     return chain
 
 
@@ -151,17 +161,20 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[Category], fit_rows
     for k, c in enumerate(categories):
         if n and 0 < (positive[k] or 0) < n:
             ratio = _ratio(F.col(f"p{k}").cast("double"), float(positive[k]), F.col("hit").cast("double"), float(n))
-            best = counts.select("term", ratio.alias("r")).where(F.col("r") >= EVIDENCE).orderBy(F.desc("r"), "term").limit(FEATURES)
+            telling = F.col(f"p{k}") * (n - positive[k]) >= TIMES * (F.col("hit") - F.col(f"p{k}")) * positive[k]
+            best = counts.where(telling).select("term", ratio.alias("r")).where(F.col("r") >= EVIDENCE).orderBy(F.desc("r"), "term").limit(FEATURES)
             features[c.name] = sorted(r["term"] for r in best.collect())
         else:
             features[c.name] = []
     used = sorted(set().union(*features.values()))
-    # Bounded: fit_rows rows of the used terms alone.
-    held = rows.select("doc_id", F.array_intersect("terms", F.array(*map(F.lit, used)) if used else F.array().cast("array<string>")).alias("terms"), "targets")
-    memory = sorted(held.collect())
-    targets = {c.name: np.array([r["targets"][k] for r in memory], float) for k, c in enumerate(categories)}
-    folds = np.array([crc32(str(r["doc_id"]).encode()) % FOLDS for r in memory], int)
-    return fit_links([set(r["terms"]) for r in memory], folds, targets, features)
+    # Rows that hold the same used terms count together: most hold none.  At most ``fit_rows`` of them.
+    terms = F.array_sort(F.array_intersect("terms", F.array(*map(F.lit, used)))) if used else F.array().cast("array<string>")
+    fold = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS).cast("int")
+    kinds = rows.select(terms.alias("terms"), fold.alias("fold"), "targets").groupBy("terms", "fold", "targets").count()
+    memory = [(frozenset(map(sys.intern, r["terms"])), r["fold"], r["targets"], r["count"]) for r in kinds.orderBy("terms", "fold", "targets").toLocalIterator()]
+    targets = {c.name: np.array([t[k] for _, _, t, _ in memory], float) for k, c in enumerate(categories)}
+    folds, weight = (np.array([r[k] for r in memory], float) for k in (1, 3))
+    return fit_links([r[0] for r in memory], folds, weight, targets, features)
 
 
 def chances(chain: list[Link], terms: set[str]) -> list[float]:

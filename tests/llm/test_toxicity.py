@@ -49,6 +49,6 @@ def test_awkward_rows(spark, awkward):
 
 
 def test_logistic_weighs_rows():
-    x, y = np.array([[0.0], [1.0], [1.0]]), np.array([0.0, 1.0, 0.0])
+    x, y = np.array([[0.0, 1.0], [1.0, 1.0], [1.0, 1.0]]), np.array([0.0, 1.0, 0.0])
     whole = T.logistic(np.repeat(x, [30, 8, 2], axis=0), np.repeat(y, [30, 8, 2]), np.ones(40))
     assert np.allclose(whole, T.logistic(x, y, np.array([30.0, 8.0, 2.0])), atol=1e-4)
