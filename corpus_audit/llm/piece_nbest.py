@@ -16,6 +16,7 @@ The pieces of single bytes stand for characters without a piece, at ``BYTE_PENAL
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -23,15 +24,17 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from corpus_audit.llm.common import RecentCache
-
 N_BEST = 4
 SCALE = 1 << 16
 BYTE_PENALTY = 10
 CACHED_UNITS = 250_000
 ROWS_AT_ONCE = 256  # their segmentations are held together
 LONG_UNIT = 512  # characters; ties in longer units go by the order of discovery
+LONG_KEY = 64
 GAP = "▁"
+NONE = -(1 << 62)  # the score of no path
+
+Known = tuple[bytes, int, float]  # ids and score of the best path, what the second best loses
 
 _UNIT = re.compile(f"{GAP}*[^{GAP}]+|{GAP}+")
 
@@ -56,12 +59,25 @@ class PieceLattice:
             for k in range(1, len(piece)):
                 self.table.setdefault(piece[:k], None)
             self.table[piece] = (i, round(scores[i] * self.scale))
+        # Likewise every ending, for passes that look back.
+        self.endings: dict[str, tuple[tuple[int, ...], int] | tuple[()]] = {}
+        for i in plain:
+            piece = self.pieces[i]
+            for k in range(1, len(piece)):
+                self.endings.setdefault(piece[k:], ())
+            self.endings[piece] = ((i,), self.table[piece][1])
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i in ids if self.model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next((i for i in ids if self.model.is_unknown(i)), 0)
         self.penalty = (min((s for _, s in filter(None, self.table.values())), default=0)) - BYTE_PENALTY * self.scale
         self.by_unit = not any(GAP in self.pieces[i].lstrip(GAP) for i in plain)
-        self.cache = RecentCache(cached)
+        self.pairs = {self.pieces[i][k : k + 2] for i in plain for k in range(len(self.pieces[i]) - 1)}
+        self.high_bytes = {i for i, b in self.byte_of.items() if b >= 128}
+        self.shown = [chr(self.byte_of[i]) if i in self.byte_of else piece for i, piece in enumerate(self.pieces)]
+        self.cached = cached
+        self.young: dict[str, Known] = {}
+        self.old: dict[str, Known] = {}
+        self.long: list[str] = []  # units that are known for one text alone
 
     # One unit
 
@@ -118,45 +134,84 @@ class PieceLattice:
                 heapq.heappush(waiting, (-(best[start] + score + behind), rank, start, score + behind, (ids, part)))
         return out
 
-    def _best_and_loss(self, unit: str) -> tuple[bytes, int, int | None]:
-        """Ids and score of the best path, and what the second best loses (None if there is no other)."""
-        into = self._edges(unit)
-        n = len(unit)
-        best = self._forward(into)
-        if all(len(x) <= 1 for x in into):
-            loss = None
-        else:
-            # The second best leaves the best path's edges somewhere: at each position, the least loss up to there.
-            lost: list[int | None] = [None] * (n + 1)
-            for end in range(1, n + 1):
-                options, ways, least = best[end], 0, None
-                for start, score, _ in into[end]:
-                    gap = options - best[start] - score
-                    ways += gap == 0
-                    for x in (gap if gap else None, gap + lost[start] if lost[start] is not None else None):
-                        if x is not None and (least is None or x < least):
-                            least = x
-                lost[end] = 0 if ways > 1 else least
-            loss = lost[n]
-        # With a tie for the best, the ids decide, so the search is asked.
-        if loss == 0:
-            score, ids = self.paths(unit, 1)[0]
-        else:
+    def _best_and_loss(self, units) -> Iterator[tuple[str, Known]]:
+        """For each unit: ids and score of the best path, and what the second best loses (infinite if there is no
+        other).  In sorted order, so that units which begin alike share that part of the forward pass."""
+        endings, before = self.endings, ""
+        best, second, back = [0], [NONE], [None]
+        for unit in sorted(units):
+            n, same = len(unit), 0
+            for a, b in zip(unit, before):
+                if a != b:
+                    break
+                same += 1
+            before = unit
+            del best[same + 1 :], second[same + 1 :], back[same + 1 :]
+            for end in range(same + 1, n + 1):
+                top = other = NONE
+                way = None
+                for start in range(end - 1, -1, -1):
+                    found = endings.get(unit[start:end])
+                    if found is None:
+                        break
+                    if found:
+                        piece, score = found
+                        v = best[start] + score
+                        if v > top:
+                            other = second[start] + score
+                            if top > other:
+                                other = top
+                            top, way = v, (start, piece)
+                        elif v > other:
+                            other = v
+                if not endings.get(unit[end - 1]):
+                    score, piece = self._unknown(unit[end - 1])
+                    v = best[end - 1] + score
+                    if v > top:
+                        other = max(top, second[end - 1] + score)
+                        top, way = v, (end - 1, piece)
+                    elif v > other:
+                        other = v
+                best.append(top)
+                second.append(other)
+                back.append(way)
+            if best[n] == second[n]:  # a tie: the ids decide, so the search is asked
+                score, ids = self.paths(unit, 1)[0]
+                yield unit, (array("i", ids).tobytes(), score, 0)
+                continue
             found, end = [], n
             while end:
-                start, _, piece = next(e for e in into[end] if best[e[0]] + e[1] == best[end])
-                found.append(piece)
-                end = start
-            score, ids = best[n], [i for piece in reversed(found) for i in piece]
-        return array("i", ids).tobytes(), score, loss
-
-    def unit(self, unit: str) -> tuple[bytes, int, int | None]:
-        found = self.cache.get(unit)
-        if found is None:
-            found = self._best_and_loss(unit)
-            if len(unit) <= 64:
-                self.cache.put(unit, found)
-        return found
+                end, ids = back[end]
+                found.append(ids)
+            found.reverse()
+            ids = array("i", [i for piece in found for i in piece]).tobytes()
+            yield unit, (ids, best[n], best[n] - second[n] if second[n] > NONE / 2 else math.inf)
+
+    def _parts(self, unit: str) -> list[str]:
+        """The unit cut where no piece holds both characters: paths of the parts are independent."""
+        pairs, cuts = self.pairs, [0]
+        cuts += [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in pairs]
+        return [unit[a:z] for a, z in zip(cuts, [*cuts[1:], len(unit)])]
+
+    def _know(self, units: set[str]) -> dict[str, Known]:
+        """What is known of these units, which are then among the young ones; those that were not used lately go."""
+        for u in self.long:
+            self.young.pop(u, None)
+        if len(self.young) > self.cached:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        wanted = units.difference(young)
+        young.update((u, old[u]) for u in wanted if u in old)
+        cut = {u: self._parts(u) for u in wanted.difference(old)}
+        parts = set().union(*cut.values()).difference(young)
+        young.update((p, old[p]) for p in parts if p in old)
+        young.update(self._best_and_loss(parts.difference(old)))
+        for u, own in cut.items():
+            if len(own) > 1:
+                found = [young[p] for p in own]
+                young[u] = b"".join([f[0] for f in found]), sum([f[1] for f in found]), min([f[2] for f in found])
+        self.long = [u for u in [*cut, *parts] if len(u) > LONG_KEY]
+        return {u: young[u] for u in units}
 
     # A text
 
@@ -168,15 +223,22 @@ class PieceLattice:
             return [GAP + part for part in clean[1:].split(GAP)]
         return _UNIT.findall(clean)
 
+    def n_best_of_all(self, texts: list[str | None]) -> list[list[tuple[int, bytes]]]:
+        """Score (times ``scale``) and ids (little-endian 32-bit) of the best segmentations of each text, best first."""
+        units = [self.units_of(t) for t in texts]
+        known = self._know(set().union(*units))
+        return [self._n_best(u, known) for u in units]
+
     def n_best_of(self, text: str | None) -> list[tuple[int, bytes]]:
-        """Score (times ``scale``) and ids (little-endian 32-bit) of the best segmentations of a text, best first."""
-        units = self.units_of(text)
-        found = [self.unit(u) for u in units]
+        return self.n_best_of_all([text])[0]
+
+    def _n_best(self, units: list[str], known: dict[str, Known]) -> list[tuple[int, bytes]]:
+        found = [known[u] for u in units]
         parts = [f[0] for f in found]
-        total = sum(f[1] for f in found)
+        total = sum([f[1] for f in found])
         # Of units that lose equally much, later ones come first.
-        losing = [(f[2], -k) for k, f in enumerate(found) if f[2] is not None]
-        chosen = sorted(-k for _, k in heapq.nsmallest(self.n_best - 1, losing))
+        losing = heapq.nsmallest(self.n_best - 1, zip([f[2] for f in found], range(0, -len(found), -1)))
+        chosen = sorted(-k for loss, k in losing if loss < math.inf)
         ranked: list[tuple[int, tuple[int, ...]]] = [(0, ())]
         options = {k: self.paths(units[k], self.n_best) for k in chosen}
         for k in chosen:
@@ -191,16 +253,18 @@ class PieceLattice:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: bytes to characters, ``▁`` to blanks, without the one that the model puts in front."""
+        numbers = array("i", ids)
+        if self.high_bytes.isdisjoint(numbers):
+            return "".join([self.shown[i] for i in numbers]).replace(GAP, " ").removeprefix(" ")
         out, run = [], bytearray()
-        pieces, byte_of = self.pieces, self.byte_of
-        for i in array("i", ids):
-            if i in byte_of:
-                run.append(byte_of[i])
+        for i in numbers:
+            if i in self.byte_of:
+                run.append(self.byte_of[i])
                 continue
             if run:
                 out.append(run.decode("utf-8", "replace"))
                 run.clear()
-            out.append(pieces[i])
+            out.append(self.pieces[i])
         out.append(run.decode("utf-8", "replace"))
         return "".join(out).replace(GAP, " ").removeprefix(" ")
 
@@ -237,7 +301,7 @@ def segment(docs: DataFrame, model_file: str, n_best: int = N_BEST) -> DataFrame
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(k, ROWS_AT_ONCE)
-                found = [made.n_best_of(t) for t in part.column(at).to_pylist()]
+                found = made.n_best_of_all(part.column(at).to_pylist())
                 lists = [[{"score": s / made.scale, "n_pieces": len(ids) // 4, "ids": ids} for s, ids in f] for f in found]
                 columns = [*part.columns, pa.array(lists, kind), pa.array([made.decode(f[0][1]) for f in found], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
