@@ -1,15 +1,15 @@
 """Document fingerprints that are homomorphic multiset hashes of paragraphs, by SQL functions alone.
 
-Every paragraph (line) has a vector of 41 longs, and a fingerprint is their sum, entry by entry:
+Every paragraph (line) has a vector of 39 longs, and a fingerprint is their sum, entry by entry:
 
 * 8 entries modulo 2^32, hashed from the paragraph: these tell multisets of paragraphs apart;
-* 32 entries that each hold four counters modulo 2^14: of 128 hash bits of a sentence, how often each is set in
+* 30 entries that each hold four counters modulo 2^14: of 120 hash bits of a sentence, how often each is set in
   the paragraph's sentences;
 * the number of sentences, modulo 2^32.
 
 A sum does not depend on the order, and paragraphs are inserted or deleted by adding or subtracting their vector,
 without the rest of the text.  A counter and the number of sentences give a sum of +1 and -1; the cosine of
-two such vectors of 128 sums estimates that of the multisets of sentences, and is the likeness.
+two such vectors of 120 sums estimates that of the multisets of sentences, and is the likeness.
 """
 
 from __future__ import annotations
@@ -20,25 +20,25 @@ from pyspark.sql import functions as F
 from corpus_audit.llm.common import stored
 
 WIDE = 8  # entries modulo 2^32
-SIGNS = 128  # counted hash bits
+SIGNS = 120  # counted hash bits, 60 of each of two hashes
 _WIDE_MASK = 0xFFFFFFFF
 _SPACING = 15  # bits a counter: 14 and one that catches the carry
 _COUNTER = (1 << 14) - 1
 _ONES = sum(1 << (_SPACING * k) for k in range(4))
 _COUNTER_MASK = _ONES * _COUNTER
 _PACKED = SIGNS // 4
+_NO_ID = -(2**63)  # stands for a missing id
 
 
 def _paragraphs(text):
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.length(p) > 0)
 
 
-def _sentences(paragraph):
-    return F.split(paragraph, r"(?<=[.!?]) ")
-
-
-def _array(n: int, entry) -> F.Column:
-    return F.array(*[entry(k) for k in range(n)])
+def _sentences(text):
+    """Pieces of lines that end behind a blank after ``.``, ``!`` or ``?``; the pieces of all lines in one array."""
+    for mark in ".!?":
+        text = F.replace(text, F.lit(mark + " "), F.lit(mark + "\n"))
+    return _paragraphs(text)
 
 
 def _zeros(n: int):
@@ -59,24 +59,24 @@ def _wide_vector(paragraph):
     return F.array(*[x for k in range(WIDE // 2) for x in halves(k)])
 
 
-def _sign_vector(sentence):
-    """128 hash bits as counters of one, four in each entry: bits k, k+16, k+32, k+48 of each hash."""
+def _sign_counts(sentences, seed: int):
+    """How often each of 60 hash bits is set: bits k, k+15, k+30, k+45 of the hash count in entry k."""
+    shifts = F.sequence(F.lit(0), F.lit(_SPACING - 1))
 
-    def spread(h, k):
-        bits = [F.shiftrightunsigned(h, k + 16 * lane).bitwiseAND(F.lit(1).cast("long")) for lane in range(4)]
-        return bits[0].bitwiseOR(F.shiftleft(bits[1], 15)).bitwiseOR(F.shiftleft(bits[2], 30)).bitwiseOR(F.shiftleft(bits[3], 45))
+    def count(sums, h):
+        bits = lambda k: F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(_ONES))
+        return F.zip_with(sums, shifts, lambda a, k: (a + bits(k)).bitwiseAND(F.lit(_COUNTER_MASK)))
 
-    hashes = F.array(F.xxhash64(sentence, F.lit(101)), F.xxhash64(sentence, F.lit(102)))
-    return F.flatten(F.transform(hashes, lambda h: _array(16, lambda k: spread(h, k))))
+    hashes = F.transform(sentences, lambda x: F.xxhash64(x, F.lit(seed)))
+    return F.aggregate(hashes, _zeros(_SPACING), count)
 
 
 def fingerprint_vector(text) -> F.Column:
-    """The 41 longs of a text; null and empty texts, which have no paragraphs, have zeros."""
+    """The 39 longs of a text; null and empty texts, which have no paragraphs, have zeros."""
     parts = _paragraphs(text)
     wide = F.aggregate(parts, _zeros(WIDE), lambda s, p: _added(s, _wide_vector(p), _WIDE_MASK))
-    sentences = F.flatten(F.transform(parts, _sentences))
-    signs = F.aggregate(sentences, _zeros(_PACKED), lambda s, x: _added(s, _sign_vector(x), _COUNTER_MASK))
-    return F.concat(wide, signs, F.array(F.size(sentences).cast("long")))
+    sentences = _sentences(F.coalesce(text, F.lit("")))
+    return F.concat(wide, _sign_counts(sentences, 101), _sign_counts(sentences, 102), F.array(F.size(sentences).cast("long")))
 
 
 def combine(one, two, sign: int = 1) -> F.Column:
@@ -93,7 +93,7 @@ def combine(one, two, sign: int = 1) -> F.Column:
 
 
 def _sums(vector):
-    """The 128 sums of +1 and -1, between -2^13 and 2^13."""
+    """The 120 sums of +1 and -1, between -2^13 and 2^13."""
     n = F.element_at(vector, WIDE + _PACKED + 1)
     half, whole = 1 << 13, 1 << 14
 
@@ -157,20 +157,20 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"),
         text.alias("text"),
         F.md5(F.concat(F.when(F.col("doc_id").isNull(), F.lit("-")).otherwise("+"), text).cast("binary")).alias("d"),
     )
     ring = _followers(rows.select("id", "d", F.length("text").cast("long").alias("n")).distinct())
     third = F.floor(F.col("n") / 3).cast("int")
     asked = ring.select(F.col("next_id").alias("id"), F.col("next_d").alias("d"), F.col("id").alias("for_id"), F.col("d").alias("for_d"), third.alias("k"))
-    given = rows.drop("doc_id").join(asked, ["id", "d"]).select(
+    given = rows.join(asked, ["id", "d"]).select(
         F.col("for_id").alias("id"), F.col("for_d").alias("d"), F.expr("substring(text, 1, k)").alias("tail"), fingerprint_vector(F.col("text")).alias("next_vector")
     ).dropDuplicates(["id", "d"])
     pairs = rows.join(given, ["id", "d"]).withColumn("n_chars", F.length("text").cast("long"))
     kept = F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) AS int))")
-    pairs = pairs.select("doc_id", "n_chars", "text", F.concat(kept, F.col("tail")).alias("edited"), "next_vector")
+    doc_id = F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id")
+    pairs = pairs.select(doc_id, "n_chars", "text", F.concat(kept, F.col("tail")).alias("edited"), "next_vector")
     return pairs.select(
         "doc_id", "n_chars", "edited", fingerprint_vector(F.col("text")).alias("vector"), fingerprint_vector(F.col("edited")).alias("edited_vector"), "next_vector"
     )
