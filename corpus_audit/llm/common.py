@@ -74,21 +74,3 @@ def put_file(uri: str, write) -> int:
         length = stream.tell()
     files.move(draft, path)
     return length
-
-
-class RecentCache:
-    """A mapping that keeps about the last ``size`` to twice ``size`` used keys."""
-
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def get(self, key):
-        value = self.young.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
-
-    def put(self, key, value):
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        self.young[key] = value

@@ -25,16 +25,20 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpus_audit.llm.common import RecentCache, open_files, put_file, run_folder, stored
+from corpus_audit.llm.common import open_files, put_file, run_folder, stored
 
 MARK = b"IDPLANES"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
-CACHED_WORDS = 200_000  # encoded words that a worker keeps, up to twice
+LONG_PIECE = 64
+ROWS_AT_ONCE = 1024  # encoded together
+CACHED_WORDS = 400_000  # encoded words that a worker keeps, up to twice
 
 
 # Encoding
 
+_MARKS = ",.;:!?"  # each a word of its own behind letters
+
 
 class WordwiseEncoder:
     """Texts to ids, equal to encoding each whole text with the ``tokenizers`` library.
@@ -53,39 +57,75 @@ class WordwiseEncoder:
         made = json.loads(self.tokenizer.to_str())
         split = made.get("pre_tokenizer") or {}
         self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not made.get("normalizer")
-        special = [re.escape(t["content"]) for t in made.get("added_tokens", [])]
-        self.whole = re.compile("|".join([r"\s\s", *special]))
-        self.cache = RecentCache(cached)
+        special = [t["content"] for t in made.get("added_tokens", [])]
+        self.by_piece = self.by_piece and not any(re.search(r"\s", t) for t in special)
+        # Pieces beside which a cut may not be one: empty ones, white space at an end or twice, special tokens.
+        self.odd = re.compile("|".join([r"\A\Z", r"\A\s", r"\s\Z", r"\s\s", *map(re.escape, special)]))
+        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each token; a character each, as written
+        if self.by_piece:
+            for token, i in self.tokenizer.get_vocab().items():
+                self.lengths[i] = len(token)
+            self.marks = dict(zip(_MARKS, self._ids(list(_MARKS))))
+        self.cached = cached
+        # Ids of " " and a piece, None for odd pieces; the last used stay.
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+        self.long: list[str] = []  # pieces that are known for one call alone
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of " " and each piece, encoded as one text and cut by the bytes that the tokens stand for."""
+        if not pieces:
+            return []
+        whole = self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids
+        ids = np.array(whole, "<u4")
+        ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in pieces])
+        cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * 4
+        data, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
+        return [data[a:z] for a, z in zip(starts, cuts.tolist())]
+
+    def _know(self, pieces: set[str]) -> dict[str, bytes | None]:
+        """The ids of " " and each of these pieces, which are then among the young ones."""
+        young, old = self.young, self.old
+        for p in self.long:
+            young.pop(p, None)
+        if len(young) > self.cached:
+            old, young = self.old, self.young = young, {}
+        wanted = pieces.difference(young)
+        young.update((p, old[p]) for p in wanted if p in old)
+        missing = wanted.difference(old)
+        odd = [p for p in missing if self.odd.search(p)]
+        young.update(dict.fromkeys(odd))
+        missing.difference_update(odd)
+        # Letters and one mark behind them are always separate words to the tokenizer.
+        marked = [p for p in missing if p[-1] in _MARKS and p[:-1].isalpha()]
+        bases = {p[:-1] for p in marked}
+        again = [p for p in bases.difference(young) if p in old]
+        young.update((p, old[p]) for p in again)
+        new = list(missing.difference(marked).union(bases).difference(young))
+        young.update(zip(new, self._ids_of_pieces(new)))
+        young.update((p, young[p[:-1]] + self.marks[p[-1]]) for p in marked)
+        self.long = [p for p in [*new, *marked, *odd] if len(p) > LONG_PIECE]
+        return {p: young[p] for p in pieces}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(texts)
-        whole, pieces, missing = [], {}, {}
-        get = self.cache.get
-        known: dict[str, bytes] = {}
-        for n, text in enumerate(texts):
-            if not self.by_piece or self.whole.search(text):
+        if not self.by_piece:
+            return self._ids(texts)
+        cut = [text.split(" ") for text in texts]
+        firsts = [parts.pop(0) for parts in cut]
+        find = self._know(set().union(*cut)).__getitem__
+        out, whole = [], []
+        for n, (parts, first, ids) in enumerate(zip(cut, firsts, self._ids(firsts))):
+            try:
+                if first and self.odd.search(first.lstrip()):
+                    raise TypeError
+                out.append(ids + b"".join(map(find, parts)))
+            except TypeError:  # of None, an odd piece
                 whole.append(n)
-                continue
-            parts = text.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
-            pieces[n] = parts
-            for p in set(parts):
-                if p not in known and p not in missing:
-                    ids = get(p)
-                    if ids is None:
-                        missing[p] = None
-                    else:
-                        known[p] = ids
-        for p, ids in zip(missing, self._ids(list(missing))):
-            known[p] = ids
-            if len(p) < 64:
-                self.cache.put(p, ids)
-        for n, parts in pieces.items():
-            out[n] = b"".join([known[p] for p in parts])
+                out.append(b"")
         for n, ids in zip(whole, self._ids([texts[n] for n in whole])):
             out[n] = ids
         return out
@@ -206,8 +246,8 @@ def write_ids(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str | N
         def fill(stream) -> None:
             writer = PlaneWriter(stream, block_ids, bits)
             for batch in _chain(first, batches):
-                for k in range(0, len(batch), 256):
-                    part = batch.iloc[k : k + 256]
+                for k in range(0, len(batch), ROWS_AT_ONCE):
+                    part = batch.iloc[k : k + ROWS_AT_ONCE]
                     for doc_id, ids in zip(part["doc_id"], encoder.encode([t or "" for t in part["text"]])):
                         writer.add(None if pd.isna(doc_id) else int(doc_id), ids + end)
             counts.update(n_ids=writer.close(), n_docs=len(writer.sizes))
