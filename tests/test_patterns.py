@@ -122,6 +122,19 @@ def test_repeated_access_counts(spark):
         assert row["n"] == len(list(plain(REPEATED_ACCESS).finditer(row["t"]))), row["t"]
 
 
+def test_walks_in_spark(spark):
+    """Patterns over parentheses and braces, on texts made of their parts."""
+    rng = random.Random(11)
+    heads = ["for (", "for(", "function (", "function(", "if (", "if(", "switch (", "case ", "else if", "else", "const a = (", "function f", "b(", "x.y = ", ".z", "=", ") {", ") {", ")", "} ", "{", "}", ") =>", " ", "a", "\n"]
+    texts = ["".join(rng.choice(heads) for _ in range(rng.randrange(0, 30))) for _ in range(6000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
+    built = {n: f for n, f in FEATURES.items() if isinstance(f, P.Count) and f.build is not None}
+    assert len(built) >= 8
+    for row in df.select("t", *[f.column(F.col("t")).alias(n.replace(".", "_")) for n, f in built.items()]).collect():
+        for name, feature in built.items():
+            assert row[name.replace(".", "_")] == len(list(plain(feature.pattern).finditer(row["t"]))), (name, row["t"])
+
+
 def test_null_text_stays_null(spark):
     df = spark.createDataFrame([(None,)], "t string")
     row = df.select(
@@ -147,6 +160,7 @@ def test_long_lines_stay_cheap(spark):
         "token " * n,
         "a.b1 c2.d " * n,
         "( { " * n,
+        *(head * (200_000 // len(head)) for head in ("if (a.b ", "for (", "function(", "if (", "switch (if (", "a(", "const a = (", "for(){for( ", "if (a.b) { a.b ")),
     ]
     df = spark.createDataFrame([(s,) for s in shapes], "t string").repartition(len(shapes))
     names = list(FEATURES)
