@@ -86,8 +86,10 @@ def test_config_entries(files):
 
 def test_caps(files):
     table = files({"a.js": "x" * 30, "b.js": "y" * (500 * 1024)})
-    rows = {r["path"]: r["content"] for r in S.cap_content(table, 10).collect()}
+    rows = {r["path"]: r["content"] for r in S.cap_content(table, 10, 500 * 1024).collect()}
     assert rows == {"a.js": "x" * 10, "b.js": None}
+    whole = {r["path"]: r["content"] for r in S.cap_content(table).collect()}
+    assert whole == {"a.js": "x" * 30, "b.js": "y" * (500 * 1024)}
     assert [r["path"] for r in S.cap_per_group(table, 1, ["repo"], ["path"]).collect()] == ["a.js"]
 
 
