@@ -35,6 +35,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def text_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Have at most so many rows sent to Python at once: rows here are whole texts, and Spark's usual 10,000 of them
+    take hundreds of megabytes in each worker.  A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own for one run, below the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_audit.llm.common import LOWERED, WORD, stored, words_of
+from corpus_audit.llm.common import LOWERED, WORD, stored, text_batches, words_of
 
 WINDOW = 10
 MAX_COVERAGE = 0.8
@@ -227,6 +227,7 @@ def mark_contamination(
     items without words, text or id match nothing; items that repeat are named once.  Without items, or in an
     empty table, nothing is hit.
     """
+    text_batches(docs.sparkSession)
     results = ["n_words", "spans", "n_hit", "items", "coverage", "over_limit", "clean_text"]
     rows = docs.drop(*results)
     columns = rows.columns

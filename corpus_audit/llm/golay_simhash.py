@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_audit.llm.common import stored
+from corpus_audit.llm.common import stored, text_batches
 from corpus_audit.llm.components import components
 
 SHINGLE = 3
@@ -207,6 +207,7 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, hot_key: int = HOT_K
     gets the component of the rows with the same one (null if there is none), but links nothing itself.  An
     empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     marked = stored(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "simhash")
     nodes = marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp")
     found = components(links(nodes, hot_key))

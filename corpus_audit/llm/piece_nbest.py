@@ -24,10 +24,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from corpus_audit.llm.common import text_batches
+
 N_BEST = 4
 SCALE = 1 << 16
 BYTE_PENALTY = 10
-CACHED_UNITS = 250_000
+CACHED_UNITS = 120_000
 ROWS_AT_ONCE = 256  # their segmentations are held together
 LONG_UNIT = 512  # characters; ties in longer units go by the order of discovery
 LONG_KEY = 64
@@ -289,6 +291,7 @@ def segment(docs: DataFrame, model_file: str, n_best: int = N_BEST) -> DataFrame
     """
     import pyarrow as pa
 
+    text_batches(docs.sparkSession)
     results = ["segmentations", "decoded"]
     rows = docs.drop(*results)
     added = StructType.fromDDL("segmentations array<struct<score:double,n_pieces:bigint,ids:binary>>, decoded string")

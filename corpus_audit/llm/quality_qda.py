@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_audit.llm.common import stored
+from corpus_audit.llm.common import stored, text_batches
 
 SHRINK_TO_POOLED = 0.1
 SHRINK_TO_DIAGONAL = 0.05
@@ -205,6 +205,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") ->
     characters.  Null labels teach nothing; label rows that repeat count as often.  Rows that repeat a doc_id are
     scored each by its text.  An empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     rows = stored(with_statistics(docs.select("doc_id", "text")), "statistics")
     known = labels.select("doc_id", F.col(label).alias("label")).where(~held_out(F.col("doc_id")))
     model = fit(rows.join(known, "doc_id").select("x", "label"))

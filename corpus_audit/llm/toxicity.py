@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_audit.llm.common import stored, words_of
+from corpus_audit.llm.common import stored, text_batches, words_of
 
 FIT_ROWS = 20_000
 FEATURES = 160  # for each category at most
@@ -135,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[Category], fit_rows
     counts as often as it occurs.  Without labelled rows, or with one class alone, a category's model
     is a constant near its share.
     """
+    text_batches(docs.sparkSession)
     columns = list(dict.fromkeys(c.label for c in categories))
     known = labels.select(F.col("doc_id").alias("label_id"), *columns).where(" AND ".join(f"{c} IS NOT NULL" for c in ["label_id", *columns]))
     # At most ``fit_rows`` short rows, so this side may be broadcast and no text is shuffled.
@@ -190,6 +191,7 @@ def score(docs: DataFrame, chain: list[Link]) -> DataFrame:
     """``docs`` with ``p_<category>`` for each link.  Null and empty texts hold no words and get the probabilities of
     such a text.  Rows that repeat are scored alike; other columns pass through, those named like the results are
     replaced.  An empty table gives an empty result."""
+    text_batches(docs.sparkSession)
     names = [f"p_{link.name}" for link in chain]
     vocabulary = frozenset(t for link in chain for t in link.terms)
     stems = [(k, frozenset(t[:-1] for t in vocabulary if len(t) == k + 1 and t[-1] == "-")) for k in STEMS]

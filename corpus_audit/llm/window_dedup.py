@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_audit.llm.common import stored
+from corpus_audit.llm.common import stored, text_batches
 
 WINDOW = 50
 BLOCK = 1 << 20  # words hashed at a time in very long texts
@@ -200,6 +200,7 @@ def mark_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     An empty table gives an empty result.  Other columns pass through; columns named like the results are
     replaced.
     """
+    text_batches(docs.sparkSession)
     results = ["n_words", "removed", "n_removed", "kept_text"]
     base = docs.drop(*results)
     ids = base.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
