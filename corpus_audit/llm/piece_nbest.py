@@ -3,9 +3,9 @@
 A text is normalised by the model and cut into units, a run of ``▁`` and what follows up to the next: if no
 piece reaches over such a cut, segmentations of units are independent.  (If one does, the text is one unit.)
 
-Within a unit a forward Viterbi pass gives each position the best score of the characters before it.  A backward
-A* search then walks from the end; the Viterbi score of the rest is exact, so paths are finished in the order of
-their score.  A text's N best follow from its units': the best one, and exchanges in the N-1 units that lose least.
+Within a unit a forward pass keeps the N best ways to each position, so its time is linear in the length, however
+many paths are equally good.  A text's N best follow from its units': the best one, and exchanges in the N-1 units
+that lose least.
 
 Scores are whole numbers (the model's, times ``SCALE`` where they have fractions), so equal ones are equal.  Ties
 within a unit go by the ids read from its end, ties within a text by the units' ranks read from its start.
@@ -16,6 +16,7 @@ The pieces of single bytes stand for characters without a piece, at ``BYTE_PENAL
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 from array import array
@@ -31,7 +32,6 @@ SCALE = 1 << 16
 BYTE_PENALTY = 10
 CACHED_UNITS = 120_000
 ROWS_AT_ONCE = 256  # their segmentations are held together
-LONG_UNIT = 512  # characters; ties in longer units go by the order of discovery
 LONG_KEY = 64
 GAP = "▁"
 NONE = -(1 << 62)  # the score of no path
@@ -83,57 +83,74 @@ class PieceLattice:
 
     # One unit
 
-    def _edges(self, unit: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
-        """For each end: start, score and ids of the pieces that end there."""
-        table, missing, n = self.table, (), len(unit)
-        into: list[list] = [[] for _ in range(n + 1)]
-        for start in range(n):
-            single = False
-            for end in range(start + 1, n + 1):
-                found = table.get(unit[start:end], missing)
-                if found is missing:
-                    break
-                if found is not None:
-                    into[end].append((start, found[1], (found[0],)))
-                    single = single or end == start + 1
-            if not single:
-                into[start + 1].append((start, *self._unknown(unit[start])))
-        return into
-
     def _unknown(self, char: str) -> tuple[int, tuple[int, ...]]:
         data = char.encode("utf-8", "surrogatepass")
         ids = tuple(self.bytes[b] for b in data) if all(b in self.bytes for b in data) else (self.unknown,)
         return self.penalty * len(ids), ids
 
-    @staticmethod
-    def _forward(into) -> list[int]:
-        best = [0] * len(into)
-        for end in range(1, len(into)):
-            best[end] = max(best[start] + score for start, score, _ in into[end])
-        return best
-
     def paths(self, unit: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """Score and ids of the ``n`` best paths (fewer if there are no more), best first."""
-        into = self._edges(unit)
-        best = self._forward(into)
-        out: list[tuple[int, tuple[int, ...]]] = []
-        # Minus the score of the best completion; what breaks ties; position; score of the part behind it; the part.
-        ordered = len(unit) <= LONG_UNIT
-        waiting = [(-best[-1], () if ordered else 0, len(unit), 0, None)]
-        made = 0
-        while waiting and len(out) < n:
-            _, tie, end, behind, part = heapq.heappop(waiting)
-            if end == 0:
-                ids: list[int] = []
-                while part is not None:
-                    ids += part[0]
-                    part = part[1]
-                out.append((behind, tuple(ids)))
-                continue
-            for start, score, ids in into[end]:
-                made += 1
-                rank = (*tie, *reversed(ids)) if ordered else made
-                heapq.heappush(waiting, (-(best[start] + score + behind), rank, start, score + behind, (ids, part)))
+        # For each part and each of the best paths up to its end: score, the part's ids, rank of the path before it.
+        steps: list[list[tuple[int, tuple[int, ...], int]]] = []
+        before = [0]
+        for part in self._parts(unit):
+            own = self._part_paths(part, n)
+            if len(own) == 1:
+                score, ids = own[0]
+                steps.append([(s + score, ids, r) for r, s in enumerate(before)])
+            else:
+                # Ids that end alike are alike, so of equal scores the later part's ids decide, then the rank before it.
+                keyed = [(score, ids, ids[::-1]) for score, ids in own]
+                made = [(-s - score, back, r, ids) for r, s in enumerate(before) for score, ids, back in keyed]
+                steps.append([(-lost, ids, r) for lost, _, r, ids in heapq.nsmallest(n, made)])
+            before = [s for s, _, _ in steps[-1]]
+        out = []
+        for rank, total in enumerate(before):
+            taken = []
+            for step in reversed(steps):
+                _, ids, rank = step[rank]
+                taken.append(ids)
+            out.append((total, tuple(itertools.chain.from_iterable(reversed(taken)))))
+        return out
+
+    def _part_paths(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """As ``paths``, by one forward pass that keeps the ``n`` best ways to each position.
+
+        The last ids of two pieces that end at one position differ, and the ways to a piece's start are ranked
+        already: that id and this rank decide between equal scores, whatever the length.
+        """
+        endings = self.endings
+        # The ways to position k are first[k] to first[k + 1]: their scores, last pieces (-1: unknown), ways before.
+        first, scores, pieces, back = array("q", [0, 1]), [0], array("i", [0]), array("q", [0])
+        for end in range(1, len(part) + 1):
+            made = []
+            for start in range(end - 1, -1, -1):
+                found = endings.get(part[start:end])
+                if found is None:
+                    break
+                if found:
+                    (piece,), score = found
+                    made += [(-scores[w] - score, piece, w, piece) for w in range(first[start], first[start + 1])]
+            if not endings.get(part[end - 1]):
+                score, ids = self._unknown(part[end - 1])
+                made += [(-scores[w] - score, ids[-1], w, -1) for w in range(first[end - 1], first[end])]
+            if len(made) > 1:
+                made.sort()
+                del made[n:]
+            for lost, _, way, piece in made:
+                scores.append(-lost)
+                pieces.append(piece)
+                back.append(way)
+            first.append(len(scores))
+        out = []
+        for way in range(first[len(part)], first[len(part) + 1]):
+            score, end, taken = scores[way], len(part), []
+            while end:
+                piece = pieces[way]
+                taken.append((piece,) if piece >= 0 else self._unknown(part[end - 1])[1])
+                end -= len(self.pieces[piece]) if piece >= 0 else 1
+                way = back[way]
+            out.append((score, tuple(itertools.chain.from_iterable(reversed(taken)))))
         return out
 
     def _best_and_loss(self, units) -> Iterator[tuple[str, Known]]:

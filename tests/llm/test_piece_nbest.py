@@ -93,6 +93,32 @@ def test_long_unit_is_bounded(lattice):
     assert len(found) == 3 and found[0][0] >= found[1][0] >= found[2][0]
 
 
+@pytest.mark.parametrize("unit", ["▁" + "aaa-" * 1500, "eee/" * 1500, "#" * 5000, "▁" + "=-" * 300 + "aaa" * 700])
+def test_long_tied_unit(lattice, unit):
+    found = lattice.paths(unit, 6)
+    assert len(found) == 6 and found == sorted(found, key=lambda p: (-p[0], p[1][::-1])) and len({ids for _, ids in found}) == 6
+    for score, ids in found:
+        assert "".join(lattice.pieces[i] for i in ids) == unit
+        assert score == sum(lattice.table[lattice.pieces[i]][1] for i in ids)
+    assert len(lattice.n_best_of(unit)) == 6
+
+
+def test_ties_of_any_length_go_by_ids(lattice):
+    # All paths by brute force per prefix length, kept whole: the order must not depend on the length.
+    def slow(unit, n):
+        best = [[(0, ())]]
+        for end in range(1, len(unit) + 1):
+            made = []
+            for start in range(max(0, end - 20), end):
+                entry = lattice.table.get(unit[start:end])
+                made += [(s - entry[1], (entry[0], *back)) for s, back in best[start]] if entry else []
+            best.append(sorted(made)[:n])
+        return [(-s, back[::-1]) for s, back in best[-1]]
+
+    for unit in ("aaa-" * 4, "aaa-" * 120, "aaa-" * 140, "#" * 505, "#" * 515, "▁" + "ab" * 300):
+        assert lattice.paths(unit, 6) == slow(unit, 6)
+
+
 def test_awkward_rows(spark, awkward):
     df = awkward(long_words=2000)
     made = N.segment(df, FILE, 3)
