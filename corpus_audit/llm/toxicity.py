@@ -6,7 +6,7 @@ models that did not see the row (one of ``FOLDS`` parts is left out each time),
 
 Terms are words and, for languages that inflect them, their first 3 to 6 characters.  They are features if they
 are much more frequent in a category and tell it from the rest beyond chance (log-likelihood ratio of document
-counts, counted in Spark over the rows that are fitted).  A model is fitted on at most ``FIT_ROWS`` labelled
+counts, counted in Spark over the rows that are fitted; what chance can do depends on the number of terms).  A model is fitted on at most ``FIT_ROWS`` labelled
 rows, those whose hashed ids are smallest; every text is scored whole.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import sys
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ from corpus_audit.llm.common import stored, text_batches, words_of
 
 FIT_ROWS = 20_000
 FEATURES = 160  # for each category at most
-EVIDENCE = 45.0  # least log-likelihood ratio of a feature; a million useless words stay below it
+CHANCE = 0.05  # that any useless term has the evidence of a feature, whatever the number of rows and terms
 TIMES = 3  # a feature is so many times as frequent in the category as in the rest, at least
 FOLDS = 5
 PENALTY = 1.0
@@ -128,6 +129,27 @@ def _ratio(hit_pos, n_pos, hit, n):
     return 2 * ratio
 
 
+def least_evidence(hits: dict[int, int], n_pos: int, n: int, chance: float = CHANCE) -> float:
+    """The log-likelihood ratio that any useless term reaches with a probability of ``chance`` at most, where
+    ``hits`` has the number of terms by their document counts.
+
+    Useless terms have the ratios of a chi-squared distribution; ``chance`` is shared by the terms that are frequent
+    enough to pass (Tarone): rarer ones fail even if all their documents are in the category.
+    """
+    rest, tested = n - n_pos, sum(hits.values())
+    least = beyond = 0.0
+    for hit in range(1, n_pos + 1):
+        tested -= hits.get(hit - 1, 0)
+        least = NormalDist().inv_cdf(chance / (2 * max(tested, 1))) ** 2
+        missed, other = n_pos - hit, n - hit
+        most = hit * math.log(n / n_pos) + (missed * math.log(missed * n / (n_pos * other)) if missed else 0.0)
+        most = 2 * (most + (rest * math.log(n / other) if rest else 0.0))
+        if most >= least:
+            break
+        beyond = most * (1 + 1e-9)  # so that no rarer term passes
+    return max(least, beyond)
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: list[Category], fit_rows: int = FIT_ROWS) -> list[Link]:
     """Fit the chain on labelled documents.
 
@@ -158,12 +180,13 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[Category], fit_rows
     counts = rows.select(F.explode("terms").alias("term"), "targets").groupBy("term").agg(
         F.count("*").alias("hit"), *[F.sum(F.col("targets")[k]).alias(f"p{k}") for k in range(len(categories))]
     )
+    hits = {r["hit"]: r["terms"] for r in counts.groupBy("hit").agg(F.count("*").alias("terms")).collect()}
     features: dict[str, list[str]] = {}
     for k, c in enumerate(categories):
         if n and 0 < (positive[k] or 0) < n:
             ratio = _ratio(F.col(f"p{k}").cast("double"), float(positive[k]), F.col("hit").cast("double"), float(n))
             telling = F.col(f"p{k}") * (n - positive[k]) >= TIMES * (F.col("hit") - F.col(f"p{k}")) * positive[k]
-            best = counts.where(telling).select("term", ratio.alias("r")).where(F.col("r") >= EVIDENCE).orderBy(F.desc("r"), "term").limit(FEATURES)
+            best = counts.where(telling).select("term", ratio.alias("r")).where(F.col("r") >= least_evidence(hits, positive[k], n)).orderBy(F.desc("r"), "term").limit(FEATURES)
             features[c.name] = sorted(r["term"] for r in best.collect())
         else:
             features[c.name] = []

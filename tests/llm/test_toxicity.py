@@ -52,3 +52,37 @@ def test_logistic_weighs_rows():
     x, y = np.array([[0.0, 1.0], [1.0, 1.0], [1.0, 1.0]]), np.array([0.0, 1.0, 0.0])
     whole = T.logistic(np.repeat(x, [30, 8, 2], axis=0), np.repeat(y, [30, 8, 2]), np.ones(40))
     assert np.allclose(whole, T.logistic(x, y, np.array([30.0, 8.0, 2.0])), atol=1e-4)
+
+
+def rejected(spark, folder, rows):
+    """Rejected and all labelled toxic rows by language, and the same of all others, for the first labelled rows."""
+    import corpus_pipeline
+
+    labels = spark.read.parquet(f"{folder}/labels.parquet").orderBy("doc_id").limit(rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    chain = T.fit(docs, labels, corpus_pipeline.CATEGORIES)
+    found = {}
+    for r in T.score(docs, chain).join(labels, "doc_id").collect():
+        gone, n = found.get((r["toxic"], r["lang"]), (0, 0))
+        found[r["toxic"], r["lang"]] = gone + (r["p_toxic"] >= T.REJECT), n + 1
+    return chain, found
+
+
+def test_small_tables_have_features(spark):
+    chain, found = rejected(spark, "/root/testdata/sf0.001", 1000)
+    assert all(link.terms for link in chain)
+    gone, n = found[1, "en"]
+    assert gone > n / 2 and sum(gone for (toxic, _), (gone, _) in found.items() if not toxic) == 0
+
+
+def test_languages_have_features(spark):
+    _, found = rejected(spark, "/root/testdata/sf0.1", 500)
+    for lang in ("en", "de", "fr"):  # two toxic rows are Spanish: too few to tell their words
+        gone, n = found[1, lang]
+        assert gone > 0.8 * n, lang
+
+
+def test_evidence_grows_with_terms_alone():
+    assert T.least_evidence({5: 1000}, 50, 500) == T.least_evidence({500: 1000}, 5000, 50_000)
+    assert T.least_evidence({5: 10}, 50, 500) < T.least_evidence({5: 10**6}, 50, 500) < 45
+    assert T.least_evidence({1: 10**6, 5: 10}, 50, 500) == T.least_evidence({5: 10}, 50, 500)
