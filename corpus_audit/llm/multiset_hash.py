@@ -10,6 +10,10 @@ Every paragraph (line) has a vector of 39 longs, and a fingerprint is their sum,
 A sum does not depend on the order, and paragraphs are inserted or deleted by adding or subtracting their vector,
 without the rest of the text.  A counter and the number of sentences give a sum of +1 and -1; the cosine of
 two such vectors of 120 sums estimates that of the multisets of sentences, and is the likeness.
+
+Sums from a fingerprint wrap beyond 8,191 equal sentences.  Texts are therefore compared by their counts vector, 60
+longs of two counters of 31 bits, which no text can fill, and the number of sentences; a fingerprint's counters are
+these modulo 2^14.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ _COUNTER = (1 << 14) - 1
 _ONES = sum(1 << (_SPACING * k) for k in range(4))
 _COUNTER_MASK = _ONES * _COUNTER
 _PACKED = SIGNS // 4
+_HALF = SIGNS // 4  # of the bits of one hash
+_HALF_MASK = (1 << _HALF) - 1
+_PAIR = 1 + (1 << 32)  # two counters a long, 32 bits apart
 _NO_ID = -(2**63)  # stands for a missing id
 
 
@@ -60,23 +67,49 @@ def _wide_vector(paragraph):
 
 
 def _sign_counts(sentences, seed: int):
-    """How often each of 60 hash bits is set: bits k, k+15, k+30, k+45 of the hash count in entry k."""
-    shifts = F.sequence(F.lit(0), F.lit(_SPACING - 1))
+    """How often each of 60 hash bits is set: bits k and k+30 of the hash count in entry k."""
+    shifts = F.sequence(F.lit(0), F.lit(_HALF - 1))
 
     def count(sums, h):
-        bits = lambda k: F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(_ONES))
-        return F.zip_with(sums, shifts, lambda a, k: (a + bits(k)).bitwiseAND(F.lit(_COUNTER_MASK)))
+        bits = lambda k: F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(_PAIR))
+        return F.zip_with(sums, shifts, lambda a, k: a + bits(k))
 
-    hashes = F.transform(sentences, lambda x: F.xxhash64(x, F.lit(seed)))
-    return F.aggregate(hashes, _zeros(_SPACING), count)
+    def spread(x):
+        h = F.xxhash64(x, F.lit(seed))
+        low, high = h.bitwiseAND(F.lit(_HALF_MASK)), F.shiftrightunsigned(h, _HALF).bitwiseAND(F.lit(_HALF_MASK))
+        return low.bitwiseOR(F.shiftleft(high, 32))
 
+    return F.aggregate(F.transform(sentences, spread), _zeros(_HALF), count)
 
-def fingerprint_vector(text) -> F.Column:
-    """The 39 longs of a text; null and empty texts, which have no paragraphs, have zeros."""
+
+def counts_vector(text) -> F.Column:
+    """The 61 longs of a text that likeness is computed from."""
+    sentences = _sentences(F.coalesce(text, F.lit("")))
+    return F.concat(_sign_counts(sentences, 101), _sign_counts(sentences, 102), F.array(F.size(sentences).cast("long")))
+
+
+def _fingerprint(text, counts):
     parts = _paragraphs(text)
     wide = F.aggregate(parts, _zeros(WIDE), lambda s, p: _added(s, _wide_vector(p), _WIDE_MASK))
-    sentences = _sentences(F.coalesce(text, F.lit("")))
-    return F.concat(wide, _sign_counts(sentences, 101), _sign_counts(sentences, 102), F.array(F.size(sentences).cast("long")))
+
+    def packed(at):
+        """Bits k, k+15, k+30, k+45 of one hash in entry k."""
+
+        def four(a, b):
+            lanes = [a, b, F.shiftrightunsigned(a, 32), F.shiftrightunsigned(b, 32)]
+            one, *more = [F.shiftleft(x.bitwiseAND(F.lit(_COUNTER).cast("long")), _SPACING * k) for k, x in enumerate(lanes)]
+            for x in more:
+                one = one.bitwiseOR(x)
+            return one
+
+        return F.zip_with(F.slice(counts, at, _SPACING), F.slice(counts, at + _SPACING, _SPACING), four)
+
+    return F.concat(wide, packed(1), packed(_HALF + 1), F.slice(counts, 2 * _HALF + 1, 1))
+
+
+def fingerprint_vector(text) -> F.Column:
+    """The 39 longs of a text; null and empty texts, which have no paragraphs, have zeros."""
+    return _fingerprint(text, counts_vector(text))
 
 
 def combine(one, two, sign: int = 1) -> F.Column:
@@ -111,14 +144,31 @@ def _dot(one, two):
     return F.aggregate(F.zip_with(one, two, lambda a, b: (a * b).cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def likeness(one, two) -> F.Column:
-    """0 to 1: the cosine of two vectors' sums, not below 0; 1 for equal vectors, 0 where one text has no paragraphs."""
-    a, b = _sums(one), _sums(two)
+def _cosine(one, two, a, b):
     size = F.sqrt(_dot(a, a) * _dot(b, b))
     cosine = F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), _dot(a, b) / size))).otherwise(0.0)
     return F.when(one == two, 1.0).otherwise(cosine)
 
 
+def likeness(one, two) -> F.Column:
+    """0 to 1: the cosine of two fingerprints' sums, not below 0; 1 for equal ones, 0 where one text has no paragraphs.
+    Sums beyond 2^13 wrap; ``counts_likeness`` has no such limit."""
+    return _cosine(one, two, _sums(one), _sums(two))
+
+
+def counts_likeness(one, two) -> F.Column:
+    """As ``likeness``, of two counts vectors; right for texts of any number of sentences."""
+
+    def sums(vector):
+        n = F.element_at(vector, 2 * _HALF + 1)
+        pairs = F.slice(vector, 1, 2 * _HALF)
+        low = F.transform(pairs, lambda x: x.bitwiseAND(F.lit(_WIDE_MASK)) * 2 - n)
+        high = F.transform(pairs, lambda x: F.shiftrightunsigned(x, 32) * 2 - n)
+        return F.transform(F.concat(low, high), lambda x: x.cast("double"))
+
+    return _cosine(one, two, sums(one), sums(two))
+
+
 def as_string(vector) -> F.Column:
     """Hex: 8 digits for each wide entry, 15 for four counters, 8 for the number of sentences."""
 
@@ -147,7 +197,8 @@ def _followers(keys: DataFrame) -> DataFrame:
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
-    """Per row of ``doc_id, text``: ``doc_id, n_chars, edited, vector, edited_vector, next_vector``.
+    """Per row of ``doc_id, text``: ``doc_id, n_chars, edited, vector, edited_vector, next_vector``, and the counts vectors
+    of the three texts, ``counts, edited_counts, next_counts``.
 
     ``edited`` is the text with its last third of code points replaced by as many, or all, of the first ones of
     the next document in descending ``doc_id`` order; the last is followed by the first.  A null text counts
@@ -165,12 +216,12 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     third = F.floor(F.col("n") / 3).cast("int")
     asked = ring.select(F.col("next_id").alias("id"), F.col("next_d").alias("d"), F.col("id").alias("for_id"), F.col("d").alias("for_d"), third.alias("k"))
     given = rows.join(asked, ["id", "d"]).select(
-        F.col("for_id").alias("id"), F.col("for_d").alias("d"), F.expr("substring(text, 1, k)").alias("tail"), fingerprint_vector(F.col("text")).alias("next_vector")
-    ).dropDuplicates(["id", "d"])
+        F.col("for_id").alias("id"), F.col("for_d").alias("d"), F.expr("substring(text, 1, k)").alias("tail"), "text", counts_vector(F.col("text")).alias("next_counts")
+    ).select("id", "d", "tail", _fingerprint(F.col("text"), F.col("next_counts")).alias("next_vector"), "next_counts").dropDuplicates(["id", "d"])
     pairs = rows.join(given, ["id", "d"]).withColumn("n_chars", F.length("text").cast("long"))
     kept = F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) AS int))")
     doc_id = F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id")
-    pairs = pairs.select(doc_id, "n_chars", "text", F.concat(kept, F.col("tail")).alias("edited"), "next_vector")
-    return pairs.select(
-        "doc_id", "n_chars", "edited", fingerprint_vector(F.col("text")).alias("vector"), fingerprint_vector(F.col("edited")).alias("edited_vector"), "next_vector"
-    )
+    pairs = pairs.select(doc_id, "n_chars", "text", F.concat(kept, F.col("tail")).alias("edited"), "next_vector", "next_counts")
+    pairs = pairs.select("*", counts_vector(F.col("text")).alias("counts"), counts_vector(F.col("edited")).alias("edited_counts"))
+    vectors = [_fingerprint(F.col("text"), F.col("counts")).alias("vector"), _fingerprint(F.col("edited"), F.col("edited_counts")).alias("edited_vector")]
+    return pairs.select("doc_id", "n_chars", "edited", *vectors, "next_vector", "counts", "edited_counts", "next_counts")

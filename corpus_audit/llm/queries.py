@@ -162,8 +162,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         multiset_hash.as_string(F.col("vector")).alias("fingerprint"),
         multiset_hash.as_string(F.col("edited_vector")).alias("edited_fingerprint"),
-        multiset_hash.likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
-        multiset_hash.likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+        multiset_hash.counts_likeness(F.col("counts"), F.col("edited_counts")).alias("near_edited"),
+        multiset_hash.counts_likeness(F.col("counts"), F.col("next_counts")).alias("near_next"),
     )
 
 

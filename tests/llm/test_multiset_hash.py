@@ -79,3 +79,10 @@ def test_query_is_native(spark):
     made = queries.QUERIES["op10_multiset_hash"](spark, "/root/testdata/sf0.001")
     assert not re.search("Python|Pandas|Arrow", made._jdf.queryExecution().toString())
     assert made.where("near_edited NOT BETWEEN 0 AND 1 OR near_next NOT BETWEEN 0 AND 1").count() == 0
+
+
+def test_many_equal_sentences_are_alike(spark):
+    df = spark.createDataFrame([(1, "In. " * 20_000), (2, "In. " * 12_000)], "doc_id long, text string")
+    near = [F.col("counts"), F.col("edited_counts")], [F.col("counts"), F.col("next_counts")]
+    for r in M.compare_with_edits(df).select(*[M.counts_likeness(*n) for n in near]).collect():
+        assert r[0] > 0.999 and r[1] > 0.999
