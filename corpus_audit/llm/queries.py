@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpus_audit.llm import (
     decontaminate,
     golay_simhash,
+    line_dedup,
     multiset_hash,
     piece_nbest,
     quality_qda,
@@ -167,4 +168,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP13_SQL = r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos FROM documents),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+held AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT doc_id, pos, line, keeper IS NOT NULL AND doc_id < keeper AS gone FROM keyed LEFT JOIN held USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id
+"""
+
+
+@query("op13_line_dedup", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
