@@ -11,6 +11,7 @@ from corpus_audit.llm import (
     decontaminate,
     golay_simhash,
     line_dedup,
+    merkle,
     multiset_hash,
     piece_nbest,
     quality_qda,
@@ -20,7 +21,7 @@ from corpus_audit.llm import (
     warc,
     window_dedup,
 )
-from corpus_audit.llm.common import table
+from corpus_audit.llm.common import lower_ascii, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -168,6 +169,56 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Unsigned crc32 of a short ASCII string, bit by bit.
+CRC32_SQL = """xor(list_reduce(list_transform(range(1, length({s}) + 1), lambda i: CAST(ascii(substr({s}, CAST(i AS INT), 1)) AS BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"""
+
+
+def _op12_sql(levels: int = 7, tops: int = 4) -> str:
+    """Trees of up to 8^7 leaves, and a tree of up to 8^4 groups, level by level."""
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    field = "coalesce(CAST(octet_length(encode({0})) AS VARCHAR) || ':' || {0}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field.format(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = CRC32_SQL.format(s="CAST(doc_id AS VARCHAR)")
+    parts = [
+        f"d AS MATERIALIZED (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, {leaf('text')} AS leaf, "
+        f"CASE WHEN {crc} % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS t FROM documents)",
+        "n0 AS MATERIALIZED (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS d FROM d)",
+        "p0 AS MATERIALIZED (SELECT doc_id, g, leaf, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, t AS cur, '' AS proof, '' AS subroot FROM d)",
+    ]
+
+    def level(k):
+        parts.append(f"r{k} AS MATERIALIZED (SELECT g, i // 8 AS run, list(d ORDER BY i) AS ds, sum(count(*)) OVER (PARTITION BY g) AS total FROM n{k} GROUP BY g, i // 8)")
+        parts.append(f"n{k + 1} AS MATERIALIZED (SELECT g, run AS i, CASE WHEN total > 1 THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS d FROM r{k})")
+        parts.append(
+            f"p{k + 1} AS MATERIALIZED (SELECT doc_id, p.g, leaf, i // 8 AS i, CASE WHEN total > 1 THEN sha256(array_to_string(ds[1:i % 8], '') || cur || array_to_string(ds[i % 8 + 2:], '')) ELSE cur END AS cur,"
+            f" CASE WHEN total > 1 THEN proof || array_to_string(ds[1:i % 8], '') || array_to_string(ds[i % 8 + 2:], '') ELSE proof END AS proof, subroot"
+            f" FROM p{k} p JOIN r{k} r ON p.g = r.g AND p.i // 8 = r.run)"
+        )
+
+    for k in range(levels):
+        level(k)
+    k = levels + 1
+    parts.append(f"n{k} AS MATERIALIZED (SELECT 0 AS g, g AS i, d FROM n{levels})")
+    parts.append(f"p{k} AS MATERIALIZED (SELECT doc_id, 0 AS g, leaf, p.g AS i, cur, proof, n.d AS subroot FROM p{levels} p JOIN n{levels} n ON p.g = n.g)")
+    for k in range(levels + 1, levels + 1 + tops):
+        level(k)
+    k = levels + 1 + tops
+    return f"""WITH {', '.join(parts)}
+SELECT doc_id, leaf, subroot, n.d AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = n.d AS verified FROM p{k} p, n{k} n"""
+
+
+@query("op12_merkle", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    made = merkle.manifest(docs, tampered=merkle.record_hash("doc_id", "source", "lang", "n_chars", text))
+    made = made.withColumn("folded_root", merkle.folded(F.col("tampered"), F.col("witness")))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", merkle.witness_hash(F.col("witness")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 OP13_SQL = r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos FROM documents),
 keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
