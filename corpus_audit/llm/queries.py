@@ -17,6 +17,7 @@ from corpus_audit.llm import (
     quality_qda,
     token_planes,
     toxicity,
+    turn_repair,
     url_markov,
     warc,
     window_dedup,
@@ -174,6 +175,55 @@ CRC32_SQL = """xor(list_reduce(list_transform(range(1, length({s}) + 1), lambda
     lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"""
 
 
+OP11_SQL = f"""
+WITH RECURSIVE src AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+kinds AS (SELECT *, {CRC32_SQL.format(s="s")} % 20 AS kind FROM src),
+damaged AS (SELECT k, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+            unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, substr(role, 1, 1) AS c,
+             trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM damaged),
+again AS (SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 AS twice, lead(c) OVER (PARTITION BY k ORDER BY i) AS next FROM numbered),
+rows AS MATERIALIZED (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN twice THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM again),
+counts AS (SELECT k, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+           count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+           count(*) FILTER (WHERE c || next NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY k),
+best AS (
+  SELECT k, CAST(0 AS BIGINT) AS i, 0 AS st, {{'cost': CAST(0 AS BIGINT), 'audit': ''}} AS b FROM counts
+  UNION ALL
+  SELECT k, i, st, min(b) FROM (
+    SELECT f.k, f.i + 1 AS i, CASE op WHEN 'D' THEN f.st WHEN 'K' THEN (CASE c WHEN 's' THEN 1 WHEN 'u' THEN 3 ELSE 2 END) ELSE (CASE f.st WHEN 3 THEN 2 ELSE 3 END) END AS st,
+           {{'cost': f.cost + CASE op WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN op <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END, 'audit': f.audit || op}} AS b
+    FROM (SELECT k, i, CASE WHEN ins = 0 THEN st WHEN st = 3 THEN 2 ELSE 3 END AS st, b.cost + 5 * ins AS cost, b.audit || repeat('I', ins) AS audit FROM best, (VALUES (0), (1)) x(ins)) f
+    JOIN rows r ON r.k = f.k AND r.i = f.i + 1, (VALUES ('D'), ('K'), ('R')) o(op)
+    WHERE op = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (op = 'R' OR (c = 's' AND f.st = 0) OR (c = 'u' AND f.st <> 3) OR (c = 'a' AND f.st = 3))))
+  GROUP BY k, i, st),
+ended AS (SELECT best.k, min({{'cost': b.cost + CASE st WHEN 1 THEN 10 WHEN 3 THEN 5 ELSE 0 END, 'audit': b.audit || CASE st WHEN 1 THEN 'II' WHEN 3 THEN 'I' ELSE '' END}}) AS b
+          FROM best JOIN counts ON best.k = counts.k AND i = n GROUP BY best.k),
+letters AS (SELECT k, b.audit AS audit, unnest(range(1, length(b.audit) + 1)) AS p FROM ended),
+edits AS (SELECT k, p, audit[p] AS op, sum(CAST(audit[p] <> 'I' AS INT)) OVER w AS i, sum(CAST(audit[p] <> 'D' AS INT)) OVER w AS o FROM letters WINDOW w AS (PARTITION BY k ORDER BY p)),
+placed AS (SELECT e.k, e.p, e.op, e.o, r.role, r.text, first(e.op = 'K' AND r.c = 's') OVER (PARTITION BY e.k ORDER BY e.p) AS system
+           FROM edits e LEFT JOIN rows r ON r.k = e.k AND r.i = e.i AND e.op <> 'I' WHERE e.op <> 'D'),
+repaired AS (SELECT k, string_agg(CASE WHEN op = 'K' THEN role WHEN (o - CAST(system AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN op = 'I' THEN '' ELSE text END,
+                                  chr(10) ORDER BY p) AS lines FROM placed GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT k, conv_id FROM src) LEFT JOIN counts USING (k) LEFT JOIN ended USING (k) LEFT JOIN repaired USING (k)
+"""
+
+
+@query("op11_turn_repair", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    audits, turns = turn_repair.repair(turn_repair.damage(conversations))
+    hashes = turn_repair.digests(turns).select(F.col("conv_id").alias("h"), "sha256")
+    audits = audits.withColumnRenamed("conv_id", "a")
+    every = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    joined = every.join(audits, every["conv_id"].eqNullSafe(audits["a"]), "left").join(hashes, every["conv_id"].eqNullSafe(hashes["h"]), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def _op12_sql(levels: int = 7, tops: int = 4) -> str:
     """Trees of up to 8^7 leaves, and a tree of up to 8^4 groups, level by level."""
     low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
