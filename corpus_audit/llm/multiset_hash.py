@@ -1,19 +1,16 @@
 """Document fingerprints that are homomorphic multiset hashes of paragraphs, by SQL functions alone.
 
-Every paragraph (line) has a vector of 39 longs, and a fingerprint is their sum, entry by entry:
+Every paragraph (line) has a vector of 69 longs, and a fingerprint is their sum, entry by entry:
 
 * 8 entries modulo 2^32, hashed from the paragraph: these tell multisets of paragraphs apart;
-* 30 entries that each hold four counters modulo 2^14: of 120 hash bits of a sentence, how often each is set in
+* 60 entries that each hold two counters modulo 2^30: of 120 hash bits of a sentence, how often each is set in
   the paragraph's sentences;
-* the number of sentences, modulo 2^32.
+* the number of sentences, modulo 2^30.
 
 A sum does not depend on the order, and paragraphs are inserted or deleted by adding or subtracting their vector,
 without the rest of the text.  A counter and the number of sentences give a sum of +1 and -1; the cosine of
-two such vectors of 120 sums estimates that of the multisets of sentences, and is the likeness.
-
-Sums from a fingerprint wrap beyond 8,191 equal sentences.  Texts are therefore compared by their counts vector, 60
-longs of two counters of 31 bits, which no text can fill, and the number of sentences; a fingerprint's counters are
-these modulo 2^14.
+two such vectors of 120 sums estimates that of the multisets of sentences, and is the likeness.  No text that Spark can
+hold has as many sentences as a counter counts.
 """
 
 from __future__ import annotations
@@ -25,15 +22,14 @@ from corpus_audit.llm.common import stored
 
 WIDE = 8  # entries modulo 2^32
 SIGNS = 120  # counted hash bits, 60 of each of two hashes
-_WIDE_MASK = 0xFFFFFFFF
-_SPACING = 15  # bits a counter: 14 and one that catches the carry
-_COUNTER = (1 << 14) - 1
-_ONES = sum(1 << (_SPACING * k) for k in range(4))
-_COUNTER_MASK = _ONES * _COUNTER
-_PACKED = SIGNS // 4
+COUNTED = SIGNS // 2  # entries of two counters
+LENGTH = WIDE + COUNTED + 1
+_WIDE_MASK = (1 << 32) - 1
+_COUNTER = (1 << 30) - 1
+_PAIR = 1 + (1 << 32)  # two counters a long, 32 bits apart; the bits above each catch its carry
+_COUNTER_MASK = _PAIR * _COUNTER
 _HALF = SIGNS // 4  # of the bits of one hash
 _HALF_MASK = (1 << _HALF) - 1
-_PAIR = 1 + (1 << 32)  # two counters a long, 32 bits apart
 _NO_ID = -(2**63)  # stands for a missing id
 
 
@@ -82,100 +78,61 @@ def _sign_counts(sentences, seed: int):
     return F.aggregate(F.transform(sentences, spread), _zeros(_HALF), count)
 
 
-def counts_vector(text) -> F.Column:
-    """The 61 longs of a text that likeness is computed from."""
-    sentences = _sentences(F.coalesce(text, F.lit("")))
-    return F.concat(_sign_counts(sentences, 101), _sign_counts(sentences, 102), F.array(F.size(sentences).cast("long")))
-
-
-def _fingerprint(text, counts):
-    parts = _paragraphs(text)
-    wide = F.aggregate(parts, _zeros(WIDE), lambda s, p: _added(s, _wide_vector(p), _WIDE_MASK))
-
-    def packed(at):
-        """Bits k, k+15, k+30, k+45 of one hash in entry k."""
-
-        def four(a, b):
-            lanes = [a, b, F.shiftrightunsigned(a, 32), F.shiftrightunsigned(b, 32)]
-            one, *more = [F.shiftleft(x.bitwiseAND(F.lit(_COUNTER).cast("long")), _SPACING * k) for k, x in enumerate(lanes)]
-            for x in more:
-                one = one.bitwiseOR(x)
-            return one
-
-        return F.zip_with(F.slice(counts, at, _SPACING), F.slice(counts, at + _SPACING, _SPACING), four)
-
-    return F.concat(wide, packed(1), packed(_HALF + 1), F.slice(counts, 2 * _HALF + 1, 1))
+def fingerprint_vector(text) -> F.Column:
+    """The 69 longs of a text; null and empty texts, which have no paragraphs, have zeros."""
+    wide = F.aggregate(_paragraphs(text), _zeros(WIDE), lambda s, p: _added(s, _wide_vector(p), _WIDE_MASK))
 
+    def counted(sentences):
+        return F.concat(_sign_counts(sentences, 101), _sign_counts(sentences, 102), F.array(F.size(sentences).cast("long")))
 
-def fingerprint_vector(text) -> F.Column:
-    """The 39 longs of a text; null and empty texts, which have no paragraphs, have zeros."""
-    return _fingerprint(text, counts_vector(text))
+    # Sentences are bound to a variable, so that the text is split once.
+    return F.concat(wide, F.flatten(F.transform(F.array(_sentences(F.coalesce(text, F.lit("")))), counted)))
 
 
 def combine(one, two, sign: int = 1) -> F.Column:
     """The vector of all paragraphs of two texts (``sign`` 1), or of the first without the second's (-1)."""
 
-    def entries(a, n, mask):
+    def entries(a, n, mask, ones):
         other = F.slice(two, a, n)
         if sign < 0:
-            # per counter: 2^14 - c, so that no borrow passes to the next
-            other = F.transform(other, lambda x: (F.lit(mask) - x + F.lit(_ONES if mask == _COUNTER_MASK else 1)).bitwiseAND(F.lit(mask)))
+            # per counter: its modulus less its value, so that no borrow passes to the next
+            other = F.transform(other, lambda x: (F.lit(mask) - x + F.lit(ones)).bitwiseAND(F.lit(mask)))
         return _added(F.slice(one, a, n), other, mask)
 
-    return F.concat(entries(1, WIDE, _WIDE_MASK), entries(WIDE + 1, _PACKED, _COUNTER_MASK), entries(WIDE + _PACKED + 1, 1, _WIDE_MASK))
+    return F.concat(entries(1, WIDE, _WIDE_MASK, 1), entries(WIDE + 1, COUNTED, _COUNTER_MASK, _PAIR), entries(LENGTH, 1, _COUNTER, 1))
 
 
 def _sums(vector):
-    """The 120 sums of +1 and -1, between -2^13 and 2^13."""
-    n = F.element_at(vector, WIDE + _PACKED + 1)
-    half, whole = 1 << 13, 1 << 14
-
-    def centred(count):
-        return F.pmod(count * 2 - n + F.lit(half), F.lit(whole)) - F.lit(half)
-
-    lanes = F.transform(
-        F.slice(vector, WIDE + 1, _PACKED),
-        lambda x: F.array(*[centred(F.shiftrightunsigned(x, _SPACING * k).bitwiseAND(F.lit(_COUNTER).cast("long"))) for k in range(4)]),
-    )
-    return F.flatten(lanes)
+    """The 120 sums of +1 and -1."""
+    n = F.element_at(vector, LENGTH)
+    pairs = F.slice(vector, WIDE + 1, COUNTED)
+    low = F.transform(pairs, lambda x: (x.bitwiseAND(F.lit(_COUNTER)) * 2 - n).cast("double"))
+    return F.concat(low, F.transform(pairs, lambda x: (F.shiftrightunsigned(x, 32) * 2 - n).cast("double")))
 
 
 def _dot(one, two):
-    return F.aggregate(F.zip_with(one, two, lambda a, b: (a * b).cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def _cosine(one, two, a, b):
-    size = F.sqrt(_dot(a, a) * _dot(b, b))
-    cosine = F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), _dot(a, b) / size))).otherwise(0.0)
-    return F.when(one == two, 1.0).otherwise(cosine)
+    return F.aggregate(F.zip_with(one, two, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
 
 def likeness(one, two) -> F.Column:
-    """0 to 1: the cosine of two fingerprints' sums, not below 0; 1 for equal ones, 0 where one text has no paragraphs.
-    Sums beyond 2^13 wrap; ``counts_likeness`` has no such limit."""
-    return _cosine(one, two, _sums(one), _sums(two))
-
-
-def counts_likeness(one, two) -> F.Column:
-    """As ``likeness``, of two counts vectors; right for texts of any number of sentences."""
+    """0 to 1: the cosine of two fingerprints' sums, not below 0; 1 for equal ones, 0 where one text has no paragraphs."""
 
-    def sums(vector):
-        n = F.element_at(vector, 2 * _HALF + 1)
-        pairs = F.slice(vector, 1, 2 * _HALF)
-        low = F.transform(pairs, lambda x: x.bitwiseAND(F.lit(_WIDE_MASK)) * 2 - n)
-        high = F.transform(pairs, lambda x: F.shiftrightunsigned(x, 32) * 2 - n)
-        return F.transform(F.concat(low, high), lambda x: x.cast("double"))
+    def cosine(sums):
+        a, b = sums["a"], sums["b"]
+        size = F.sqrt(_dot(a, a) * _dot(b, b))
+        return F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), _dot(a, b) / size))).otherwise(0.0)
 
-    return _cosine(one, two, sums(one), sums(two))
+    sums = F.array(F.struct(_sums(one).alias("a"), _sums(two).alias("b")))
+    return F.when(one == two, 1.0).otherwise(F.get(F.transform(sums, cosine), 0))
 
 
 def as_string(vector) -> F.Column:
-    """Hex: 8 digits for each wide entry, 15 for four counters, 8 for the number of sentences."""
+    """Hex: 8 digits for each wide entry, 16 for two counters, 8 for the number of sentences."""
 
     def digits(a, n, width):
         return F.array_join(F.transform(F.slice(vector, a, n), lambda x: F.lpad(F.hex(x), width, "0")), "")
 
-    return F.lower(F.concat(digits(1, WIDE, 8), digits(WIDE + 1, _PACKED, 15), digits(WIDE + _PACKED + 1, 1, 8)))
+    return F.lower(F.concat(digits(1, WIDE, 8), digits(WIDE + 1, COUNTED, 16), digits(LENGTH, 1, 8)))
 
 
 # A document and the one that follows it
@@ -197,8 +154,7 @@ def _followers(keys: DataFrame) -> DataFrame:
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
-    """Per row of ``doc_id, text``: ``doc_id, n_chars, edited, vector, edited_vector, next_vector``, and the counts vectors
-    of the three texts, ``counts, edited_counts, next_counts``.
+    """Per row of ``doc_id, text``: ``doc_id, n_chars, edited, vector, edited_vector, next_vector``.
 
     ``edited`` is the text with its last third of code points replaced by as many, or all, of the first ones of
     the next document in descending ``doc_id`` order; the last is followed by the first.  A null text counts
@@ -216,12 +172,11 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     third = F.floor(F.col("n") / 3).cast("int")
     asked = ring.select(F.col("next_id").alias("id"), F.col("next_d").alias("d"), F.col("id").alias("for_id"), F.col("d").alias("for_d"), third.alias("k"))
     given = rows.join(asked, ["id", "d"]).select(
-        F.col("for_id").alias("id"), F.col("for_d").alias("d"), F.expr("substring(text, 1, k)").alias("tail"), "text", counts_vector(F.col("text")).alias("next_counts")
-    ).select("id", "d", "tail", _fingerprint(F.col("text"), F.col("next_counts")).alias("next_vector"), "next_counts").dropDuplicates(["id", "d"])
+        F.col("for_id").alias("id"), F.col("for_d").alias("d"), F.expr("substring(text, 1, k)").alias("tail"), fingerprint_vector(F.col("text")).alias("next_vector")
+    ).dropDuplicates(["id", "d"])
     pairs = rows.join(given, ["id", "d"]).withColumn("n_chars", F.length("text").cast("long"))
     kept = F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) AS int))")
     doc_id = F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id")
-    pairs = pairs.select(doc_id, "n_chars", "text", F.concat(kept, F.col("tail")).alias("edited"), "next_vector", "next_counts")
-    pairs = pairs.select("*", counts_vector(F.col("text")).alias("counts"), counts_vector(F.col("edited")).alias("edited_counts"))
-    vectors = [_fingerprint(F.col("text"), F.col("counts")).alias("vector"), _fingerprint(F.col("edited"), F.col("edited_counts")).alias("edited_vector")]
-    return pairs.select("doc_id", "n_chars", "edited", *vectors, "next_vector", "counts", "edited_counts", "next_counts")
+    pairs = pairs.select(doc_id, "n_chars", "text", F.concat(kept, F.col("tail")).alias("edited"), "next_vector")
+    vectors = [fingerprint_vector(F.col("text")).alias("vector"), fingerprint_vector(F.col("edited")).alias("edited_vector")]
+    return pairs.select("doc_id", "n_chars", "edited", *vectors, "next_vector")
