@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import base64
 import gzip
-import io
+import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -21,12 +22,15 @@ from corpus_audit.llm.common import open_files, put_file, run_folder, stored
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
-FILE_BYTES = 32 << 20  # of records before compression
+FILE_BYTES = 32 << 20  # of compressed records
 REVISIT_BYTES = 1000
 DATE = "2001-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+_HEX = re.compile(rb"[0-9a-fA-F]{1,15}")
+_DIGITS = re.compile(r"[0-9]{1,18}")
+
 # Framing
 
 
@@ -40,8 +44,10 @@ def unchunked(body: bytes) -> bytes:
     out, at = [], 0
     while True:
         end = body.index(b"\r\n", at)
-        size = int(body[at:end].split(b";")[0], 16)
-        at = end + 2
+        digits = body[at:end].split(b";")[0].strip(b" \t")
+        if not _HEX.fullmatch(digits):
+            raise ValueError("a chunk without a size")
+        size, at = int(digits, 16), end + 2
         if size == 0:
             return b"".join(out)
         if body[at + size : at + size + 2] != b"\r\n":
@@ -92,17 +98,33 @@ def segments(fields: list[tuple[str, str]], origin: str, block: bytes, size: int
         yield record(own, block[at : at + size])
 
 
-def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Fields (names in lower case) and block of each record of a file; one record at a time."""
-    source = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 16)
-    while version := source.readline():
-        if not version.strip():
-            continue
-        fields: dict[str, str] = {}
-        while (line := source.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            fields[name.strip().lower()] = value.strip()
-        yield fields, source.read(int(fields["content-length"]))
+def _number(value: str | None) -> int | None:
+    return int(value) if value is not None and _DIGITS.fullmatch(value) else None
+
+
+def read_records(stream) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Fields (names in lower case) and block of each record of a file; one record at a time.
+
+    The block is None where it can't be told or is cut short.  Behind a record without a length the next line that begins
+    with ``WARC/`` is taken for a record; nothing is read behind broken compression."""
+    source = gzip.GzipFile(fileobj=stream)  # its own buffer: a further one would read ahead into a broken member
+    fields: dict[str, str] | None = None
+    try:
+        version = source.readline()
+        while version:
+            if version.startswith(b"WARC/"):
+                fields = {}
+                while (line := source.readline()).strip():
+                    name, _, value = line.decode("utf-8", "replace").partition(":")
+                    fields[name.strip().lower()] = value.strip()
+                length = _number(fields.get("content-length"))
+                block = None if length is None else source.read(length)
+                found, fields = fields, None
+                yield found, block if block is not None and len(block) == length else None
+            version = source.readline()
+    except (EOFError, OSError, zlib.error):  # gzip.BadGzipFile is an OSError
+        if fields is not None:
+            yield fields, None
 
 
 # Writing
@@ -114,11 +136,14 @@ def _with_revisits(pages: DataFrame, least: int) -> DataFrame:
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")
     )
-    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("same", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
-    groups = rows.where("same IS NOT NULL").groupBy("same").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(groups, "same", "left").select(
-        "page_id", "url", "payload", "sha1", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last")).alias("refers_to")
-    )
+    rows = rows.withColumn("sha1", F.sha1("payload"))
+    large = rows.where(F.octet_length("payload") >= least).withColumn("same", F.sha2("payload", 256))
+    groups = large.groupBy("same").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Small payloads meet no group; groups are stored, so that Spark splits the rows of a hot one.
+    meets = large.join(stored(groups, "groups"), "same", "left")
+    refers_to = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last")).alias("refers_to")
+    small = rows.where(F.octet_length("payload") < least).withColumn("refers_to", F.lit(None).cast("long"))
+    return meets.select("page_id", "url", "payload", "sha1", refers_to).unionByName(small)
 
 
 def _line(value: str) -> str:
@@ -180,14 +205,21 @@ _RECORD = (
 )
 
 
-def _row(fields: dict[str, str], block: bytes) -> tuple:
-    number = lambda name: int(fields[name]) if name in fields else None
-    digest = fields.get("warc-payload-digest", "")
+def _sha1(digest: str) -> str | None:
+    """Lower-case hex of a ``sha1:`` digest in base 32 or hex; None for any other."""
+    value = digest[5:] if digest.lower().startswith("sha1:") else ""
+    if re.fullmatch("[A-Za-z2-7]{32}", value):
+        return base64.b32decode(value.upper()).hex()
+    return value.lower() if re.fullmatch("[0-9a-fA-F]{40}", value) else None
+
+
+def _row(fields: dict[str, str], block: bytes | None) -> tuple:
+    number = lambda name: _number(fields.get(name))
     origin = fields.get("warc-segment-origin-id") or fields.get("warc-record-id", "")
-    sha1 = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
+    segment = number("warc-segment-number")
     return (
-        origin.strip("<>"), number("warc-segment-number"), number("warc-segment-total-length"), fields.get("warc-type"), number("x-page-id"),
-        fields.get("warc-target-uri"), number("x-refers-to-page-id"), sha1, number("x-payload-length"), block,
+        origin.strip("<>"), segment if segment is None or segment < 1 << 31 else None, number("warc-segment-total-length"), fields.get("warc-type"), number("x-page-id"),
+        fields.get("warc-target-uri"), number("x-refers-to-page-id"), _sha1(fields.get("warc-payload-digest", "")), number("x-payload-length"), block,
     )
 
 
@@ -207,7 +239,7 @@ def _records(archives: DataFrame, segmented: bool) -> DataFrame:
                     for fields, block in read_records(source):
                         if ("warc-segment-number" in fields) == segmented:
                             rows.append(_row(fields, block))
-                            size += len(block)
+                            size += len(block or b"")
                         if size > 4 << 20:
                             yield pd.DataFrame(rows, columns=names).astype(whole)
                             rows, size = [], 0
@@ -220,14 +252,16 @@ def _records(archives: DataFrame, segmented: bool) -> DataFrame:
 def reassembled(parts: DataFrame) -> DataFrame:
     """Segments to whole records, with ``complete``: numbers 1 to n without a gap or repeat, and the stated length.
 
-    A group is the segments of one record.  Of a segment that occurs twice, one copy is used."""
+    A group is the segments of one record.  Of a segment that occurs twice, one copy is used.  Blocks are joined once, in
+    time linear in their length; a segment without block counts as empty, so its record lacks some of its length."""
     kept = ["record_type", "page_id", "url", "refers_to", "stated_sha1", "stated_bytes"]
     segment = F.struct("segment", "block", "total", F.struct(*kept).alias("head"))
     groups = parts.dropDuplicates(["origin", "segment", "block"]).groupBy("origin").agg(F.sort_array(F.collect_list(segment)).alias("s"))
     blocks = F.transform("s", lambda x: x["block"])
-    joined = groups.withColumn("block", F.aggregate(blocks, F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)))
+    joined = groups.withColumn("block", F.unhex(F.array_join(F.transform(blocks, F.hex), "")))
     numbers = F.transform("s", lambda x: x["segment"]) == F.sequence(F.lit(1), F.size("s"))
     complete = numbers & F.coalesce(F.element_at("s", -1)["total"] == F.octet_length("block"), F.lit(False))
+    complete = F.coalesce(complete, F.lit(False))
     return joined.select("origin", *[F.element_at("s", 1)["head"][c].alias(c) for c in kept], "block", complete.alias("complete"))
 
 
@@ -236,7 +270,7 @@ def _payload(block: str):
     def payload(blocks):
         import pandas as pd
 
-        return pd.Series([http_payload(bytes(b)) for b in blocks], dtype=object)
+        return pd.Series([None if b is None else http_payload(bytes(b)) for b in blocks], dtype=object)
 
     return payload(block)
 
@@ -245,13 +279,14 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """``page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest, complete`` of every page.
 
     ``archives``: ``path``.  Digest (hex SHA-1) and length are those of the decoded payload, for revisits, which have
-    none, those stated.  A record whose segments are missing, doubled or of another total length, or whose
-    framing is broken, is not ``complete`` and has no payload.  Only segments are shuffled.
+    none, those stated.  A record whose segments are missing, doubled or of another total length, whose framing is
+    broken, which states no length or is cut short, is not ``complete`` and has no payload; a response whose payload has
+    another digest than stated is not ``complete`` either.  Only segments are shuffled.
     """
-    whole = _records(archives, segmented=False).withColumn("complete", F.lit(True)).drop("segment", "total")
+    whole = _records(archives, segmented=False).withColumn("complete", F.col("block").isNotNull()).drop("segment", "total")
     records = whole.unionByName(reassembled(_records(archives, segmented=True)))
     decoded = records.withColumn("payload", F.when(F.col("complete") & (F.col("record_type") == "response"), _payload("block")))
-    revisit = F.col("record_type") == "revisit"
+    revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
     return decoded.select(
         "page_id",
         "url",

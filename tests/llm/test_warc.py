@@ -1,8 +1,11 @@
 """Archives: framing, segments out of order or damaged, and whole tables."""
 
+import base64
+import gzip
 import hashlib
 import io
 import random
+import time
 
 import pytest
 from corpus_audit.llm import warc as W
@@ -15,7 +18,7 @@ def test_chunked_framing():
         assert W.unchunked(W.chunked(payload, 10)) == payload
         assert W.http_payload(W.http_block(payload)) == payload
     assert W.unchunked(b"3;x=y\r\nabc\r\n0\r\nTrailer: z\r\n\r\n") == b"abc"
-    for broken in (b"5\r\nabc\r\n0\r\n\r\n", b"zz\r\n", b"3\r\nabc\r\n"):
+    for broken in (b"5\r\nabc\r\n0\r\n\r\n", b"zz\r\n", b"3\r\nabc\r\n", b"-6\r\n\r\n0\r\n\r\n", b"+3\r\nabc\r\n0\r\n\r\n", b"0x3\r\nabc\r\n0\r\n\r\n", b"\r\n", b"1_0\r\n", b""):
         assert W.http_payload(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: Chunked\r\n\r\n" + broken) is None
     assert W.http_payload(b"HTTP/1.1 200 OK\r\n\r\nplain") == b"plain" and W.http_payload(b"nothing") is None
 
@@ -66,3 +69,48 @@ def test_awkward_pages(spark, segment_bytes, file_bytes):
     payloads = {r["page_id"]: bytes(r["payload"]).decode() for r in got if r["record_type"] == "response" and r["page_id"]}
     assert all(payloads[i] == (html or "") for i, _, html in pages if i in payloads)
     assert W.read_archives(W.write_archives(df.limit(0))).count() == 0
+
+
+def plain(fields, block):
+    return gzip.compress(b"WARC/1.1\r\n" + "".join(f"{n}: {v}\r\n" for n, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n")
+
+
+def test_damaged_archives(spark, tmp_path):
+    """Broken records are not complete; the records around them are read."""
+    body = W.http_block(b"payload")
+    sha1 = hashlib.sha1(b"payload").digest()
+
+    def page(number, digest=None, length=len(body), block=body):
+        fields = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{number}>"), ("X-Page-ID", number), ("WARC-Payload-Digest", digest or "sha1:" + base64.b32encode(sha1).decode())]
+        return plain([*fields, *([("Content-Length", length)] if length is not None else [])], block)
+
+    files = {
+        "a": page(1, "sha1:" + sha1.hex()) + page(2, length=None) + page(3, length="-6") + page(4) + page(5, "sha1:@@") + page(6, "md5:00"),
+        "b": page(7) + page(8)[:-30],
+        "c": page(9) + page(10, length=10**6),
+        "d": b"no archive at all",
+        "e": page("x11") + gzip.compress(b"\r\njunk\r\n\r\n") + page(12, block=W.http_block(None) + b"-6\r\n", length=len(W.http_block(None)) + 4),
+        "f": b"",
+    }
+    paths = []
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        paths.append((str(tmp_path / name),))
+    rows = W.read_archives(spark.createDataFrame(paths, "path string")).collect()
+    got = {r["page_id"]: (r["complete"], r["payload"] and bytes(r["payload"])) for r in rows}
+    good = {1, 4, 7, 9, None}
+    assert got == {**{k: (True, b"payload") for k in good}, **{k: (False, None) for k in (2, 3, 8, 10, 12)}, 5: (False, b"payload"), 6: (False, b"payload")}
+
+
+def test_a_large_page_is_joined_in_linear_time(spark):
+    def seconds(megabytes):
+        html = "0123456789abcdef" * (megabytes << 16)
+        df = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+        archives = W.write_archives(df)
+        start = time.perf_counter()
+        (row,) = W.read_archives(archives).collect()
+        assert row["complete"] and row["payload_bytes"] == len(html)
+        return time.perf_counter() - start
+
+    seconds(1)
+    assert seconds(64) < 30
