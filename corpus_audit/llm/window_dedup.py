@@ -1,7 +1,8 @@
 """Removal of word passages that repeat across documents, by Rabin-Karp hashes of every window.
 
-A word's hash and a window's hash are differences of prefix sums of a polynomial modulo 2^64, so each window
-costs a few vector operations.  Windows are counted in Spark by 96 bits of two such hashes.
+A word has two independent hashes, the halves of its 128-bit XXH3.  A window's hash is a difference of prefix sums of a
+polynomial in its words' hashes modulo 2^64, so each window costs a few vector operations.  Windows are counted in
+Spark by 96 bits of two such hashes, one of each half.
 
 Only windows that can repeat are shuffled.  The anchor of a window is the smallest hash of its 26 inner grams
 of 25 words.  Equal windows have equal anchors, so a window whose anchor occurs in a single document occurs in
@@ -13,13 +14,14 @@ from __future__ import annotations
 from zlib import crc32
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_audit.llm.common import stored, text_batches
 
 WINDOW = 50
-BLOCK = 1 << 20  # words hashed at a time in very long texts
+BLOCK = 1 << 20  # windows hashed at a time in very long texts
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,7 +35,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _U(0xA0761D6478BD642F))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -60,23 +61,19 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word, by its bytes and length."""
-    out = np.empty(len(starts), np.uint64)
-    for k in range(0, len(starts), BLOCK):
-        s, e = starts[k : k + BLOCK], ends[k : k + BLOCK]
-        sums, inverse = _sums(_BYTES[np.frombuffer(data, np.uint8)[s[0] : e[-1]]], _BASES[0])
-        at, to = s - s[0], e - s[0]
-        out[k : k + BLOCK] = _mixed((sums[to] - sums[at]) * inverse[at] + (to - at).astype(np.uint64))
-    return out
+def word_hashes(data: bytes) -> np.ndarray:
+    """Two rows of hashes of the words of a UTF-8 text: no two words share both by chance, nor by a pattern of letters."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, data.split())), "<u8").reshape(-1, 2).T
 
 
 def gram_hashes(hashes: np.ndarray, size: int, base: np.uint64 = _BASES[0]) -> np.ndarray:
     """The Rabin-Karp hash of every run of ``size`` words."""
-    if len(hashes) < size:
-        return np.empty(0, np.uint64)
-    sums, inverse = _sums(hashes, base)
-    return _mixed((sums[size:] - sums[:-size]) * inverse[: len(hashes) - size + 1])
+    out = np.empty(max(0, len(hashes) - size + 1), np.uint64)
+    for k in range(0, len(out), BLOCK):
+        part = hashes[k : k + BLOCK + size - 1]
+        sums, inverse = _sums(part, base)
+        out[k : k + BLOCK] = _mixed((sums[size:] - sums[:-size]) * inverse[: len(part) - size + 1])
+    return out
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -113,8 +110,7 @@ def _mark(text: str) -> int:
 
 
 def _hashed(text: str | None) -> np.ndarray:
-    data = _bytes(text)
-    return word_hashes(data, *word_bounds(data))
+    return word_hashes(_bytes(text))
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -124,7 +120,7 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
         for b in batches:
             for start in range(0, len(b), 500):
                 part = b.iloc[start : start + 500]
-                found = [np.unique(window_anchors(_hashed(t), window)).view(np.int64) for t in part["text"]]
+                found = [np.unique(window_anchors(_hashed(t)[0], window)).view(np.int64) for t in part["text"]]
                 yield part[["doc_id"]].loc[part.index.repeat([len(x) for x in found])].assign(anchor=np.concatenate(found))
 
     return docs.mapInPandas(each, "doc_id long, anchor long")
@@ -143,8 +139,8 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
         for b in batches:
             for doc_id, text, anchors in zip(b["doc_id"], b["text"], b["anchors"]):
                 words = _hashed(text)
-                at = np.flatnonzero(np.isin(window_anchors(words, window).view(np.int64), np.asarray(anchors)))
-                h1, h2 = (gram_hashes(words, window, base)[at] for base in _BASES)
+                at = np.flatnonzero(np.isin(window_anchors(words[0], window).view(np.int64), np.asarray(anchors)))
+                h1, h2 = (gram_hashes(half, window, base)[at] for half, base in zip(words, _BASES))
                 for k in range(0, len(at), BLOCK):
                     cut = slice(k, k + BLOCK)
                     pos = at[cut].astype(np.int64) | (_mark(text) << 32)
@@ -155,8 +151,9 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 
 def _first_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, first_id``: documents whose whole text is that of a document with a smaller id."""
-    known = docs.select("doc_id", F.sha2("text", 256).alias("d"))
+    known = stored(docs.select("doc_id", F.sha2("text", 256).alias("d")), "known")
     first = known.groupBy("d").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
+    first = stored(first, "first-copies")  # plain sides: a large group of copies is split
     return known.join(first, "d").where("doc_id > first_id").select("doc_id", "first_id")
 
 

@@ -65,11 +65,33 @@ def test_shared_passages(spark):
 
 
 def test_hashes_tell_words_apart():
-    texts = ["ab c", "a bc", "a b c", "abc", "c ab", "", "  ", "a\x00b", "a b\x00"]
+    texts = ["ab c", "a bc", "a b c", "abc", "c ab", "", "  ", "a\x00b", "a b\x00", "a\u00a0b", "a\x1cb"]
     seen = {}
     for t in texts:
         data = t.encode()
-        key = tuple(W.word_hashes(data, *W.word_bounds(data)).tolist())
-        words = tuple(data.split())
-        assert seen.setdefault(key, words) == words
+        hashes = W.word_hashes(data)
+        assert hashes.shape == (2, len(WORD.findall(t))) and len(W.word_bounds(data)[0]) == hashes.shape[1]
+        words = tuple(WORD.findall(t))
+        assert seen.setdefault(tuple(map(tuple, hashes.tolist())), words) == words
     assert W.merged(__import__("numpy").array([0, 5, 100]), 10) == [(0, 15), (100, 110)]
+
+
+def test_words_that_defeat_polynomials(spark):
+    """A Thue-Morse word and its complement have one polynomial modulo 2^64, whatever the base."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, "x " * 49 + word), (2, "x " * 49 + other), (3, "x " * 49 + word), (4, " ".join([word, other] * 30)), (5, " ".join([other, word] * 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df, 50)
+    assert {r["doc_id"]: r["n_removed"] for r in W.mark_repeats(df).collect()} == {1: 0, 2: 0, 3: 50, 4: 0, 5: 60}
+
+
+def test_long_texts_are_hashed_in_blocks(monkeypatch):
+    import numpy as np
+
+    hashes = np.random.default_rng(8).integers(0, 1 << 63, 1000).astype(np.uint64)
+    whole = W.gram_hashes(hashes, 50)
+    monkeypatch.setattr(W, "BLOCK", 64)
+    assert (W.gram_hashes(hashes, 50) == whole).all() and len(whole) == 951
