@@ -1,11 +1,14 @@
 """The N best segmentations of texts into the pieces of a SentencePiece model.
 
-A text is normalised by the model and cut into units, a run of ``▁`` and what follows up to the next: if no
-piece reaches over such a cut, segmentations of units are independent.  (If one does, the text is one unit.)
+A text is normalised by the model and cut into units wherever no piece holds both characters beside the cut, before nearly
+every ``▁`` for one: segmentations of units are independent.
 
-Within a unit a forward pass keeps the N best ways to each position, so its time is linear in the length, however
-many paths are equally good.  A text's N best follow from its units': the best one, and exchanges in the N-1 units
-that lose least.
+Within a unit a forward Viterbi pass gives the best score up to each position.  A backward A* search from the end takes
+these as its heuristic; they are exact, so paths come out best first.  A position is left at most N times, as further
+ways behind it could only follow those, so the search takes N steps a position however many paths are equally good.  The
+forward pass of all new units of a batch is one pass of array operations over a trie of pieces.
+
+A text's N best follow from its units': the best one, and exchanges in the N-1 units that lose least.
 
 Scores are whole numbers (the model's, times ``SCALE`` where they have fractions), so equal ones are equal.  Ties
 within a unit go by the ids read from its end, ties within a text by the units' ranks read from its start.
@@ -18,10 +21,10 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
@@ -30,21 +33,84 @@ from corpus_audit.llm.common import text_batches
 N_BEST = 4
 SCALE = 1 << 16
 BYTE_PENALTY = 10
-CACHED_UNITS = 120_000
+CACHED_BYTES = 24 << 20  # of known units, in each of two generations
+SEARCHED_UNITS = 10_000  # whose N best are kept
+UNIT_BYTES = 350  # that a known unit takes besides its letters and ids
 ROWS_AT_ONCE = 256  # their segmentations are held together
-LONG_KEY = 64
+LONG_KEY = 64  # longer units are known for one batch alone, and passed one by one
 GAP = "▁"
 NONE = -(1 << 62)  # the score of no path
 
 Known = tuple[bytes, int, float]  # ids and score of the best path, what the second best loses
 
-_UNIT = re.compile(f"{GAP}*[^{GAP}]+|{GAP}+")
+
+class _Way:
+    """A path from the end of a part back to ``end``, in a tree of such paths.
+
+    Ordered by what its best completion loses, then by its ids read from the end of the part: two paths differ first
+    below their last common one, which is found over ``jump`` links in a logarithmic number of steps."""
+
+    __slots__ = ("lost", "end", "behind", "last", "ids", "parent", "jump", "depth")
+
+    def __init__(self, lost: int, end: int, behind: int, last: int, ids: tuple[int, ...], parent: _Way | None):
+        self.lost, self.end, self.behind, self.last, self.ids = lost, end, behind, last, ids
+        self.parent = parent or self
+        self.depth = parent.depth + 1 if parent else 0
+        self.jump = self
+        if parent:
+            far = parent.jump
+            self.jump = far.jump if parent.depth - far.depth == far.depth - far.jump.depth and parent.depth else parent
+
+    def __lt__(self, other: _Way) -> bool:
+        if self.lost != other.lost:
+            return self.lost < other.lost
+        a, b = self, other
+        while a.depth > b.depth:
+            a = a.jump if a.jump.depth >= b.depth else a.parent
+        while b.depth > a.depth:
+            b = b.jump if b.jump.depth >= a.depth else b.parent
+        if a is b:
+            return self.depth < other.depth
+        while a.parent is not b.parent:
+            a, b = (a.jump, b.jump) if a.jump is not b.jump else (a.parent, b.parent)
+        return a.last < b.last
+
+
+class _Trie:
+    """The pieces as arrays: ``child`` of a node and a letter, and each node's piece and score."""
+
+    def __init__(self, table: dict[str, tuple[int, int]]):
+        letters = sorted({c for piece in table for c in piece})
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        number, keys, ends = {c: k for k, c in enumerate(letters, 1)}, {}, {}
+        for piece, (i, score) in table.items():
+            node = 0
+            for c in piece:
+                node = keys.setdefault(node * self.width + number[c], len(keys) + 1)
+            ends[node] = (i, score)
+        order = sorted(keys)
+        self.keys = np.array([*order, 1 << 62], np.int64)
+        self.nodes = np.array([keys[k] for k in order] + [0], np.int32)
+        self.first = np.zeros(self.width, np.int32)
+        top = [k for k in order if k < self.width]
+        self.first[top] = [keys[k] for k in top]
+        self.piece, self.score = np.full(len(keys) + 1, -1, np.int32), np.zeros(len(keys) + 1, np.int64)
+        for node, (i, score) in ends.items():
+            self.piece[node], self.score[node] = i, score
+
+    def child(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """0 where there is none."""
+        key = node.astype(np.int64) * self.width + code
+        at = np.searchsorted(self.keys, key)
+        return np.where((self.keys[at] == key) & (code > 0), self.nodes[at], 0)
 
 
 class PieceLattice:
     """A model's pieces, and the N best paths through the lattice of a text."""
 
-    def __init__(self, model_file: str, n_best: int = N_BEST, cached: int = CACHED_UNITS):
+    def __init__(self, model_file: str, n_best: int = N_BEST, cached: int = CACHED_BYTES):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -54,14 +120,9 @@ class PieceLattice:
         scores = {i: self.model.get_score(i) for i in plain}
         self.scale = 1 if all(s == int(s) for s in scores.values()) else SCALE
         self.pieces = [self.model.id_to_piece(i) for i in ids]
-        # Every beginning of a piece is a key, so that a search stops where no piece goes on.
-        self.table: dict[str, tuple[int, int] | None] = {}
-        for i in plain:
-            piece = self.pieces[i]
-            for k in range(1, len(piece)):
-                self.table.setdefault(piece[:k], None)
-            self.table[piece] = (i, round(scores[i] * self.scale))
-        # Likewise every ending, for passes that look back.
+        self.table = {self.pieces[i]: (i, round(scores[i] * self.scale)) for i in plain}
+        self.trie = _Trie(self.table)
+        # Every ending of a piece is a key, so that a search which looks back stops where no piece goes on.
         self.endings: dict[str, tuple[tuple[int, ...], int] | tuple[()]] = {}
         for i in plain:
             piece = self.pieces[i]
@@ -71,15 +132,19 @@ class PieceLattice:
         self.bytes = {int(self.pieces[i][1:-1], 16): i for i in ids if self.model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next((i for i in ids if self.model.is_unknown(i)), 0)
-        self.penalty = (min((s for _, s in filter(None, self.table.values())), default=0)) - BYTE_PENALTY * self.scale
-        self.by_unit = not any(GAP in self.pieces[i].lstrip(GAP) for i in plain)
-        self.pairs = {self.pieces[i][k : k + 2] for i in plain for k in range(len(self.pieces[i]) - 1)}
+        self.penalty = (min((s for _, s in self.table.values()), default=0)) - BYTE_PENALTY * self.scale
+        width, code = self.trie.width, self.trie.code
+        pairs = {self.pieces[i][k : k + 2] for i in plain for k in range(len(self.pieces[i]) - 1)}
+        # One bit for every two letters: whether a piece holds them side by side.  Letter 0 is none of any piece.
+        self.pairs = np.zeros(width * width // 8 + 1, np.uint8)
+        keys = np.array([int(code[ord(a)]) * width + int(code[ord(b)]) for a, b in pairs], np.int64)
+        np.bitwise_or.at(self.pairs, keys >> 3, np.left_shift(1, keys & 7).astype(np.uint8))
+        self.multi: dict[str, list[tuple[int, tuple[int, ...]]]] = {}  # paths of short units that were searched lately
         self.high_bytes = {i for i, b in self.byte_of.items() if b >= 128}
         self.shown = [chr(self.byte_of[i]) if i in self.byte_of else piece for i, piece in enumerate(self.pieces)]
-        self.cached = cached
+        self.cached, self.held = cached, 0
         self.young: dict[str, Known] = {}
         self.old: dict[str, Known] = {}
-        self.long: list[str] = []  # units that are known for one text alone
 
     # One unit
 
@@ -88,178 +153,212 @@ class PieceLattice:
         ids = tuple(self.bytes[b] for b in data) if all(b in self.bytes for b in data) else (self.unknown,)
         return self.penalty * len(ids), ids
 
-    def paths(self, unit: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """Score and ids of the ``n`` best paths (fewer if there are no more), best first."""
-        # For each part and each of the best paths up to its end: score, the part's ids, rank of the path before it.
-        steps: list[list[tuple[int, tuple[int, ...], int]]] = []
-        before = [0]
-        for part in self._parts(unit):
-            own = self._part_paths(part, n)
-            if len(own) == 1:
-                score, ids = own[0]
-                steps.append([(s + score, ids, r) for r, s in enumerate(before)])
-            else:
-                # Ids that end alike are alike, so of equal scores the later part's ids decide, then the rank before it.
-                keyed = [(score, ids, ids[::-1]) for score, ids in own]
-                made = [(-s - score, back, r, ids) for r, s in enumerate(before) for score, ids, back in keyed]
-                steps.append([(-lost, ids, r) for lost, _, r, ids in heapq.nsmallest(n, made)])
-            before = [s for s, _, _ in steps[-1]]
-        out = []
-        for rank, total in enumerate(before):
-            taken = []
-            for step in reversed(steps):
-                _, ids, rank = step[rank]
-                taken.append(ids)
-            out.append((total, tuple(itertools.chain.from_iterable(reversed(taken)))))
+    def _into(self, part: str, end: int) -> list[tuple[int, int, int, tuple[int, ...]]]:
+        """Start, score, last id and ids of the pieces that end at a position."""
+        endings, out = self.endings, []
+        for start in range(end - 1, -1, -1):
+            found = endings.get(part[start:end])
+            if found is None:
+                break
+            if found:
+                ids, score = found
+                out.append((start, score, ids[0], ids))
+        if not endings.get(part[end - 1]):
+            score, ids = self._unknown(part[end - 1])
+            out.append((end - 1, score, ids[-1], ids))
         return out
 
-    def _part_paths(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """As ``paths``, by one forward pass that keeps the ``n`` best ways to each position.
-
-        The last ids of two pieces that end at one position differ, and the ways to a piece's start are ranked
-        already: that id and this rank decide between equal scores, whatever the length.
-        """
-        endings = self.endings
-        # The ways to position k are first[k] to first[k + 1]: their scores, last pieces (-1: unknown), ways before.
-        first, scores, pieces, back = array("q", [0, 1]), [0], array("i", [0]), array("q", [0])
+    def paths(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """Score and ids of the ``n`` best paths (fewer if there are no more), best first: A* from the end over the scores
+        of a forward Viterbi pass."""
+        into: list[list] = [[]]
+        best = [0]
         for end in range(1, len(part) + 1):
-            made = []
-            for start in range(end - 1, -1, -1):
-                found = endings.get(part[start:end])
-                if found is None:
-                    break
-                if found:
-                    (piece,), score = found
-                    made += [(-scores[w] - score, piece, w, piece) for w in range(first[start], first[start + 1])]
-            if not endings.get(part[end - 1]):
-                score, ids = self._unknown(part[end - 1])
-                made += [(-scores[w] - score, ids[-1], w, -1) for w in range(first[end - 1], first[end])]
-            if len(made) > 1:
-                made.sort()
-                del made[n:]
-            for lost, _, way, piece in made:
-                scores.append(-lost)
-                pieces.append(piece)
-                back.append(way)
-            first.append(len(scores))
-        out = []
-        for way in range(first[len(part)], first[len(part) + 1]):
-            score, end, taken = scores[way], len(part), []
-            while end:
-                piece = pieces[way]
-                taken.append((piece,) if piece >= 0 else self._unknown(part[end - 1])[1])
-                end -= len(self.pieces[piece]) if piece >= 0 else 1
-                way = back[way]
-            out.append((score, tuple(itertools.chain.from_iterable(reversed(taken)))))
+            edges = self._into(part, end)
+            into.append(edges)
+            best.append(max([best[e[0]] + e[1] for e in edges]))
+        left = [0] * len(best)
+        waiting = [_Way(-best[-1], len(part), 0, 0, (), None)]
+        out: list[tuple[int, tuple[int, ...]]] = []
+        while waiting and len(out) < n:
+            way = heapq.heappop(waiting)
+            end = way.end
+            if not end:
+                taken, at = [], way
+                while at.depth:
+                    taken.append(at.ids)
+                    at = at.parent
+                out.append((way.behind, tuple(itertools.chain.from_iterable(taken))))
+            elif left[end] < n:
+                left[end] += 1
+                behind = way.behind
+                for start, score, last, ids in into[end]:
+                    heapq.heappush(waiting, _Way(-(best[start] + score + behind), start, score + behind, last, ids, way))
         return out
 
     def _best_and_loss(self, units) -> Iterator[tuple[str, Known]]:
         """For each unit: ids and score of the best path, and what the second best loses (infinite if there is no
-        other).  In sorted order, so that units which begin alike share that part of the forward pass."""
-        endings, before = self.endings, ""
-        best, second, back = [0], [NONE], [None]
-        for unit in sorted(units):
-            n, same = len(unit), 0
-            for a, b in zip(unit, before):
-                if a != b:
-                    break
-                same += 1
-            before = unit
-            del best[same + 1 :], second[same + 1 :], back[same + 1 :]
-            for end in range(same + 1, n + 1):
-                top = other = NONE
-                way = None
-                for start in range(end - 1, -1, -1):
-                    found = endings.get(unit[start:end])
-                    if found is None:
-                        break
-                    if found:
-                        piece, score = found
-                        v = best[start] + score
-                        if v > top:
-                            other = second[start] + score
-                            if top > other:
-                                other = top
-                            top, way = v, (start, piece)
-                        elif v > other:
-                            other = v
-                if not endings.get(unit[end - 1]):
-                    score, piece = self._unknown(unit[end - 1])
-                    v = best[end - 1] + score
-                    if v > top:
-                        other = max(top, second[end - 1] + score)
-                        top, way = v, (end - 1, piece)
-                    elif v > other:
-                        other = v
-                best.append(top)
-                second.append(other)
-                back.append(way)
-            if best[n] == second[n]:  # a tie: the ids decide, so the search is asked
-                score, ids = self.paths(unit, 1)[0]
-                yield unit, (array("i", ids).tobytes(), score, 0)
+        other).  Short units are passed together; where two paths are best the ids decide, so the search is asked."""
+        short = [u for u in units if 0 < len(u) <= LONG_KEY]
+        found = self._forward_all(short) if short else []
+        for unit, known in itertools.chain(zip(short, found), ((u, None) for u in units if not 0 < len(u) <= LONG_KEY)):
+            if known is None:
+                ways = self.paths(unit, 2)
+                known = array("i", ways[0][1]).tobytes(), ways[0][0], ways[0][0] - ways[1][0] if len(ways) > 1 else math.inf
+            yield unit, known
+
+    def _forward_all(self, units: list[str]) -> list[Known | None]:
+        """The forward Viterbi pass of many units, with the second best score beside the best; None where two paths are best
+        or a character that is no piece stands beside others."""
+        trie, n_units = self.trie, len(units)
+        lengths = np.fromiter(map(len, units), np.int64, n_units)
+        code = trie.code[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")]
+        unit = np.repeat(np.arange(n_units), lengths)
+        begins = np.cumsum(lengths) - lengths
+        offset = np.arange(len(code)) - begins[unit]
+        # A path's place is its unit and how many letters it has; the places of a length stand together.
+        odd = np.zeros(n_units, bool)
+        starts, stops, scores, pieces, owners = [], [], [], [], []
+        at, node, size = np.arange(len(code)), trie.first[code], 1
+        while len(at):
+            piece = trie.piece[node]
+            if size == 1:
+                odd[unit[piece < 0]] = True
+            hit = piece >= 0
+            whose = unit[at[hit]]
+            owners.append(whose)
+            starts.append(offset[at[hit]])
+            stops.append(starts[-1] + size)
+            scores.append(trie.score[node[hit]])
+            pieces.append(piece[hit])
+            on = (node > 0) & (offset[at] + size < lengths[unit[at]])
+            at = at[on]
+            node = trie.child(node[on], code[at + size])
+            at, node, size = at[node > 0], node[node > 0], size + 1
+        start, stop, score, piece, owner = map(np.concatenate, (starts, stops, scores, pieces, owners))
+        keep = ~odd[owner]
+        start, stop, score, piece, owner = (x[keep] for x in (start, stop, score, piece, owner))
+        order = np.argsort(stop * n_units + owner, kind="stable")
+        start, stop, score, piece, owner = (x[order] for x in (start, stop, score, piece, owner))
+        width = int(lengths.max()) + 1
+        best, second = np.zeros((width, n_units), np.int64), np.full((width, n_units), NONE)
+        back = np.zeros((width, n_units), np.int64)  # the last piece of the best path
+        edges = np.searchsorted(stop, np.arange(1, width + 1))
+        for k in range(1, width):
+            a, z = edges[k - 1], edges[k]
+            if a == z:
                 continue
-            found, end = [], n
-            while end:
-                end, ids = back[end]
-                found.append(ids)
-            found.reverse()
-            ids = array("i", [i for piece in found for i in piece]).tobytes()
-            yield unit, (ids, best[n], best[n] - second[n] if second[n] > NONE / 2 else math.inf)
-
-    def _parts(self, unit: str) -> list[str]:
-        """The unit cut where no piece holds both characters: paths of the parts are independent."""
-        pairs, cuts = self.pairs, [0]
-        cuts += [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in pairs]
-        return [unit[a:z] for a, z in zip(cuts, [*cuts[1:], len(unit)])]
-
-    def _know(self, units: set[str]) -> dict[str, Known]:
-        """What is known of these units, which are then among the young ones; those that were not used lately go."""
-        for u in self.long:
-            self.young.pop(u, None)
-        if len(self.young) > self.cached:
-            self.old, self.young = self.young, {}
+            here, from_, own = owner[a:z], start[a:z], score[a:z]
+            groups = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1])))
+            sizes = np.diff(np.concatenate((groups, [z - a])))
+            v = best[from_, here] + own
+            top = np.maximum.reduceat(v, groups)
+            is_top = v == np.repeat(top, sizes)
+            others = np.maximum(second[from_, here] + own, np.where(is_top, NONE, v))
+            other = np.where(np.add.reduceat(is_top, groups, dtype=np.int64) > 1, top, np.maximum.reduceat(others, groups))
+            whose = here[groups]
+            best[k, whose], second[k, whose] = top, other
+            back[k, whose] = a + np.minimum.reduceat(np.where(is_top, np.arange(z - a), z - a), groups)
+        every = np.arange(n_units)
+        total, next_best = best[lengths, every], second[lengths, every]
+        clear = ~odd & (total != next_best)
+        who, place, steps = every[clear], lengths[clear], []
+        while len(who):
+            e = back[place, who]
+            steps.append((who, piece[e]))
+            place = start[e]
+            who, place = who[place > 0], place[place > 0]
+        out: list[Known | None] = [None] * n_units
+        if not steps:
+            return out
+        whose, ids = (np.concatenate(x) for x in zip(*steps[::-1]))
+        order = np.argsort(whose, kind="stable")
+        data = ids[order].astype("<i4").tobytes()
+        ends = (np.cumsum(np.bincount(whose, minlength=n_units)) * 4).tolist()
+        a = 0
+        for k, (ok, score, other, z) in enumerate(zip(clear.tolist(), total.tolist(), next_best.tolist(), ends)):
+            if ok:
+                out[k] = data[a:z], score, score - other if other > NONE / 2 else math.inf
+            a = z
+        return out
+
+    def _searched(self, unit: str) -> list[tuple[int, tuple[int, ...]]]:
+        if len(unit) > LONG_KEY:
+            return self.paths(unit, self.n_best)
+        if unit not in self.multi:
+            if len(self.multi) >= SEARCHED_UNITS:
+                self.multi.clear()
+            self.multi[unit] = self.paths(unit, self.n_best)
+        return self.multi[unit]
+
+    def _know(self, units) -> dict[str, Known]:
+        """What is known of these different units; those that were not used lately are forgotten."""
+        if self.held > self.cached:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
-        wanted = units.difference(young)
-        young.update((u, old[u]) for u in wanted if u in old)
-        cut = {u: self._parts(u) for u in wanted.difference(old)}
-        parts = set().union(*cut.values()).difference(young)
-        young.update((p, old[p]) for p in parts if p in old)
-        young.update(self._best_and_loss(parts.difference(old)))
-        for u, own in cut.items():
-            if len(own) > 1:
-                found = [young[p] for p in own]
-                young[u] = b"".join([f[0] for f in found]), sum([f[1] for f in found]), min([f[2] for f in found])
-        self.long = [u for u in [*cut, *parts] if len(u) > LONG_KEY]
-        return {u: young[u] for u in units}
+        wanted = [u for u in units if u not in young]
+        again = {u: old[u] for u in wanted if u in old}
+        made = dict(self._best_and_loss([u for u in wanted if u not in again]))
+        long = {u: made.pop(u) for u in [u for u in made if len(u) > LONG_KEY]}
+        young.update(again)
+        young.update(made)
+        self.held += UNIT_BYTES * (len(again) + len(made))
+        return {u: young[u] for u in units if u in young} | long
 
     # A text
 
+    def _cut(self, clean: list[str]) -> tuple[list[str], list[int]]:
+        """The units of normalised texts, one after another, and how many each text has."""
+        joined, lengths = "".join(clean), np.fromiter(map(len, clean), np.int64, len(clean))
+        code = self.trie.code[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int64)
+        pair = code[:-1] * self.trie.width + code[1:]
+        starts = np.ones(len(code), bool)
+        starts[1:] = self.pairs[pair >> 3] >> (pair & 7).astype(np.uint8) & 1 == 0
+        begins = np.cumsum(lengths) - lengths
+        starts[begins[lengths > 0]] = True
+        cuts = np.flatnonzero(starts)
+        counts = np.diff(np.searchsorted(cuts, np.concatenate((begins, [len(code)]))))
+        cuts = cuts.tolist()
+        return [joined[a:z] for a, z in zip(cuts, [*cuts[1:], len(joined)])], counts.tolist()
+
     def units_of(self, text: str | None) -> list[str]:
-        clean = self.model.normalize(text) if text else ""
-        if not clean or not self.by_unit:
-            return [clean] if clean else []
-        if clean[0] == GAP and GAP * 2 not in clean and clean[-1] != GAP:
-            return [GAP + part for part in clean[1:].split(GAP)]
-        return _UNIT.findall(clean)
+        return self._cut([self.model.normalize(text)])[0] if text else []
 
     def n_best_of_all(self, texts: list[str | None]) -> list[list[tuple[int, bytes]]]:
         """Score (times ``scale``) and ids (little-endian 32-bit) of the best segmentations of each text, best first."""
-        units = [self.units_of(t) for t in texts]
-        known = self._know(set().union(*units))
-        return [self._n_best(u, known) for u in units]
+        units, counts = self._cut([self.model.normalize(t) if t else "" for t in texts])
+        number: dict[str, int] = {}
+        numbers = [number.setdefault(u, len(number)) for u in units]
+        names = list(number)
+        known = self._know(names)
+        ids, scores, losses = zip(*[known[u] for u in names]) if names else ((), (), ())
+        scores, losses, placed = np.array(scores, np.int64), np.array(losses, float), np.array(numbers, np.int64)
+        scores, losses = scores[placed], losses[placed]
+        out, a = [], 0
+        for count in counts:
+            z = a + count
+            out.append(self._n_best(names, numbers[a:z], ids, int(scores[a:z].sum()), losses[a:z]))
+            a = z
+        return out
 
     def n_best_of(self, text: str | None) -> list[tuple[int, bytes]]:
         return self.n_best_of_all([text])[0]
 
-    def _n_best(self, units: list[str], known: dict[str, Known]) -> list[tuple[int, bytes]]:
-        found = [known[u] for u in units]
-        parts = [f[0] for f in found]
-        total = sum([f[1] for f in found])
+    def _n_best(self, names: list[str], numbers: list[int], ids, total: int, losses: np.ndarray) -> list[tuple[int, bytes]]:
+        """One text, from the numbers of its units in ``names``."""
+        parts = [ids[k] for k in numbers]
+        most = self.n_best - 1
         # Of units that lose equally much, later ones come first.
-        losing = heapq.nsmallest(self.n_best - 1, zip([f[2] for f in found], range(0, -len(found), -1)))
-        chosen = sorted(-k for loss, k in losing if loss < math.inf)
+        if 0 < most < len(losses):
+            limit = np.partition(losses, most - 1)[most - 1]
+            tied = np.flatnonzero(losses == limit)
+            less = np.flatnonzero(losses < limit)
+            losing = [*less.tolist(), *tied[len(tied) - (most - len(less)) :].tolist()]
+        else:
+            losing = range(len(losses)) if most else ()
+        chosen = sorted(k for k in losing if losses[k] < math.inf)
         ranked: list[tuple[int, tuple[int, ...]]] = [(0, ())]
-        options = {k: self.paths(units[k], self.n_best) for k in chosen}
+        options = {k: self._searched(names[numbers[k]]) for k in chosen}
         for k in chosen:
             top = options[k][0][0]
             ranked = sorted((lost + top - score, (*ranks, r)) for lost, ranks in ranked for r, (score, _) in enumerate(options[k]))[: self.n_best]
