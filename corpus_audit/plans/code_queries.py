@@ -9,7 +9,7 @@ from corpus_audit.functions import paths as P
 from corpus_audit.functions.patterns import Count
 from corpus_audit.operators import api, documentation, metrics, security, spans
 from corpus_audit.operators.detect import detect, features
-from corpus_audit.operators.quality_rules import FUNCTIONAL, MODERN, ORGANIZATION, SMELLS, STYLE
+from corpus_audit.operators.quality_rules import ACCESS, FUNCTIONAL, MODERN, ORGANIZATION, SMELLS, STYLE
 from corpus_audit.operators.rules import Family, Rule, counted, register_rule
 from corpus_audit.operators.security_rules import AUTH, SECURITY
 from corpus_audit.plans import derived as D
@@ -188,8 +188,11 @@ def function_sizes(spark, sf):
 SMELLS_CTE = O.features_cte("smell_features", SMELLS, O.source())
 SMELLS_SQL = O.issues_sql("smell_features", SMELLS)
 STYLE_PARTS = [(FUNCTIONAL, "functional_features"), (ORGANIZATION, "organization_features"), (MODERN, "modern_features")]
-STYLE_CTE = ", ".join(O.features_cte(n, f, O.style_source()) for f, n in STYLE_PARTS)
-STYLE_SQL = " UNION ALL ".join(O.issues_sql(n, f) for f, n in STYLE_PARTS)
+# Repeated access walks over positions, so twins that hold it start with WITH RECURSIVE.
+ACCESS_SQL = O.issues_sql("access_features", ACCESS)
+STYLE_CTE = ", ".join([*[O.features_cte(n, f, O.style_source()) for f, n in STYLE_PARTS], X.ACCESS])
+STYLE_SQL = " UNION ALL ".join([*[O.issues_sql(n, f) for f, n in STYLE_PARTS], ACCESS_SQL])
+RECURSIVE = f"WITH RECURSIVE {D.FILES_SQL}"
 SECURITY_CTE = O.features_cte("security_features", SECURITY, CODE)
 SECURITY_SQL = O.issues_sql("security_features", SECURITY)
 AUTH_WHERE = O.glob(P.AUTH_FILES + P.MIDDLEWARE_FILES)
@@ -219,14 +222,14 @@ def smells(spark, sf):
     return detect(D.files(spark, sf), SMELLS)
 
 
-@query("style_issues", f"WITH {D.FILES_SQL}, {STYLE_CTE} {STYLE_SQL}")
+@query("style_issues", f"{RECURSIVE}, {STYLE_CTE} {STYLE_SQL}")
 def style_issues(spark, sf):
-    return detect(D.files(spark, sf), FUNCTIONAL, ORGANIZATION, MODERN)
+    return detect(D.files(spark, sf), *STYLE)
 
 
-@query("repetitive_access")
+@query("repetitive_access", f"{RECURSIVE}, {X.ACCESS} {ACCESS_SQL}")
 def repetitive_access(spark, sf):
-    return detect(D.files(spark, sf), STYLE[-1])
+    return detect(D.files(spark, sf), ACCESS)
 
 
 @query("vulnerabilities", f"WITH {D.FILES_SQL}, {SECURITY_CTE}, i AS ({SECURITY_SQL}) SELECT * FROM i WHERE polarity = 'issue'")
@@ -244,9 +247,9 @@ def auth_issues(spark, sf):
     return detect(D.files(spark, sf), AUTH)
 
 
-ALL_CTE = f"WITH {D.FILES_SQL}, {SMELLS_CTE}, {STYLE_CTE}, {SECURITY_CTE}, {AUTH_CTE}, "
+ALL_CTE = f"{RECURSIVE}, {SMELLS_CTE}, {STYLE_CTE}, {SECURITY_CTE}, {AUTH_CTE}, "
 ALL_SQL = f"{SMELLS_SQL} UNION ALL {STYLE_SQL} UNION ALL {SECURITY_SQL} UNION ALL {AUTH_SQL}"
-ALL_FAMILIES = (SMELLS, FUNCTIONAL, ORGANIZATION, MODERN, SECURITY, AUTH)
+ALL_FAMILIES = (SMELLS, *STYLE, SECURITY, AUTH)
 
 
 @query(

@@ -146,3 +146,28 @@ SIZE_ROWS = (
     "SELECT repo, path, head, line, lines, lines > 30 AS is_large FROM (SELECT repo, path, substr(whole, 1, 50) AS head, "
     f"{_times('substr(content, 1, start)', chr(10))} + 1 AS line, {_times('body', chr(10))} + 1 AS lines FROM bodies) WHERE lines > 20"
 )
+
+
+# ---- repeated property access -----------------------------------------------------------------------------
+
+# Matches are found left to right as a walk over the dots of a piece between ``=`` and line ends.  ``again`` pairs each dot
+# with the later ones that stand between like letters: how many letters before and behind both agree.  A step takes
+# the first dot that has a pair behind the last match, for it the longest object name, then the longest property
+# name, then the last place where both come again, and ends behind that place.
+ACCESS = (
+    "pieces AS MATERIALIZED (SELECT row_number() OVER () AS pid, repo, path, piece FROM (SELECT repo, path, "
+    f"unnest(string_split_regex(content, '[=\\n]')) AS piece FROM files WHERE {O.style_source()}) "
+    "WHERE regexp_matches(piece, '\\w\\.\\w[^\\n]*\\w\\.\\w')), "
+    "dots AS MATERIALIZED (SELECT pid, p, regexp_extract(substr(piece, 1, p - 1), '\\w+$') AS a, regexp_extract(substr(piece, p + 1), '^\\w+') AS b "
+    "FROM (SELECT pid, piece, unnest(range(2, length(piece))) AS p FROM pieces) WHERE substr(piece, p, 1) = '.' "
+    "AND regexp_matches(substr(piece, p - 1, 3), '^\\w\\.\\w')), "
+    "again AS MATERIALIZED (SELECT x.pid, x.p, y.p AS q, "
+    "list_max(list_filter(range(1, least(length(x.a), length(y.a)) + 1), lambda k: right(x.a, k) = right(y.a, k))) AS suf, "
+    "list_max(list_filter(range(1, least(length(x.b), length(y.b)) + 1), lambda k: left(x.b, k) = left(y.b, k))) AS pre "
+    "FROM dots x JOIN dots y ON x.pid = y.pid AND right(x.a, 1) = right(y.a, 1) AND left(x.b, 1) = left(y.b, 1) AND x.p + 2 < y.p), "
+    "walk AS (SELECT DISTINCT pid, CAST(1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS n FROM again UNION ALL "
+    "SELECT pid, 1 - s.q - s.l, n + 1 FROM (SELECT pid, n, min({'p': p, 'm': -m, 'l': -least(pre, q - m - p - 1), 'q': -q}) AS s "
+    "FROM (SELECT w.pid, n, p, q, pre, least(suf, p - pos, q - p - 2) AS m FROM walk w JOIN again g ON g.pid = w.pid) WHERE m > 0 GROUP BY pid, n)), "
+    "access_features AS MATERIALIZED (SELECT repo, path, CAST(sum(found) AS BIGINT) AS repeated_access FROM pieces "
+    "JOIN (SELECT pid, max(n) AS found FROM walk GROUP BY pid) USING (pid) GROUP BY repo, path)"
+)

@@ -8,7 +8,7 @@ from corpus_audit.functions import paths as P
 from corpus_audit.functions import values as V
 from corpus_audit.operators import api, documentation, governance, metrics, profile, rollup, spans
 from corpus_audit.operators.detect import detect
-from corpus_audit.operators.quality_rules import FUNCTIONAL, MODERN, ORGANIZATION, SMELLS
+from corpus_audit.operators.quality_rules import SMELLS, STYLE
 from corpus_audit.operators.security_rules import SECURITY
 from corpus_audit.plans import derived as D
 from corpus_audit.plans import oracle as O
@@ -18,6 +18,7 @@ from corpus_audit.plans.code_queries import (
     API_ISSUES_SQL,
     CODE,
     FLAGS_CTE,
+    RECURSIVE,
     SECURITY_CTE,
     SECURITY_SQL,
     SMELLS_CTE,
@@ -596,7 +597,7 @@ def quality_reports(spark, sf):
 def _report_sql(ctes: str, issues: str, agent: str, title: str, section: str) -> str:
     """The report of one agent: for each type of issue its number and first five lines."""
     return (
-        f"{FILES}, {ctes}, i AS ({issues}), g AS (SELECT repo, type, count(*) AS issues FROM i GROUP BY repo, type), "
+        f"{RECURSIVE}, {ctes}, i AS ({issues}), g AS (SELECT repo, type, count(*) AS issues FROM i GROUP BY repo, type), "
         "k AS (SELECT repo, type, string_agg('- ' || path || ': ' || description || chr(10), '' ORDER BY path || ': ' || description) AS lines FROM "
         "(SELECT *, row_number() OVER (PARTITION BY repo, type ORDER BY path, rule_id, description) AS r FROM i) WHERE r <= 5 GROUP BY repo, type), "
         "b AS (SELECT repo, '**' || type || '** (' || issues || ' issues):' || chr(10) || lines AS body, type FROM g JOIN k USING (repo, type)) "
@@ -621,7 +622,7 @@ def security_reports(spark, sf):
 
 @query("style_reports", _report_sql(STYLE_CTE, STYLE_SQL, "opinionated-style", "Style Analysis", "Style Issues"))
 def style_reports(spark, sf):
-    return _report(detect(D.files(spark, sf), FUNCTIONAL, ORGANIZATION, MODERN), "opinionated-style", "Style Analysis", "Style Issues")
+    return _report(detect(D.files(spark, sf), *STYLE), "opinionated-style", "Style Analysis", "Style Issues")
 
 
 @query(

@@ -167,3 +167,24 @@ def test_long_lines_stay_cheap(spark):
     picked = [FEATURES[n].column(F.col("t")).alias(f"c{k}") for k, n in enumerate(names)]
     picked.append(ACCESS.features["repeated_access"].column(F.col("t")).alias("access"))
     assert len(df.select(*picked).collect()) == len(shapes)
+
+
+def test_walked_repeated_access_equals_the_pattern(spark):
+    """The Spark count, the SQL walk and another regex engine agree on pieces full of near misses."""
+    import duckdb
+
+    from corpus_audit.operators.quality_rules import ACCESS
+    from corpus_audit.plans import position_sql as X
+
+    rng = random.Random(18)
+    plain = re.compile(r"(\w+)\.(\w+)[^=\n]*\1\.\2", re.ASCII)
+    texts = ["".join(rng.choices(["a", "b", "ab", ".", ".", "a.b", "ba.ab", " ", "=", "\n", "é", "_1"], k=rng.randrange(30))) for _ in range(400)]
+    texts += ["a.b" * 50, "a.b " * 50, "aa.bb aa.bb aa.b aa.bb a.b", "x.y = x.y\nx.y x.y"]
+    want = {f"src/f{k}.js": len(plain.findall(t)) for k, t in enumerate(texts)}
+    files = spark.createDataFrame([("r", f"src/f{k}.js", t) for k, t in enumerate(texts)], "repo string, path string, content string")
+    column = ACCESS.features["repeated_access"].column(F.col("content"))
+    assert {r["path"]: r["n"] for r in files.select("path", column.alias("n")).collect()} == want
+    con = duckdb.connect()
+    con.register("files", files.toPandas())
+    walked = dict(con.execute(f"WITH RECURSIVE {X.ACCESS} SELECT path, repeated_access FROM access_features").fetchall())
+    assert walked == {p: n for p, n in want.items() if n}
