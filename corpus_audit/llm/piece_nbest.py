@@ -33,7 +33,7 @@ from corpus_audit.llm.common import text_batches
 N_BEST = 4
 SCALE = 1 << 16
 BYTE_PENALTY = 10
-CACHED_BYTES = 24 << 20  # of known units, in each of two generations
+CACHED_BYTES = 64 << 20  # of known units, in each of two generations
 SEARCHED_UNITS = 10_000  # whose N best are kept
 UNIT_BYTES = 350  # that a known unit takes besides its letters and ids
 ROWS_AT_ONCE = 256  # their segmentations are held together
@@ -90,9 +90,15 @@ class _Trie:
             for c in piece:
                 node = keys.setdefault(node * self.width + number[c], len(keys) + 1)
             ends[node] = (i, score)
+        # The keys in an open hash table: a look-up is one or two gathers.
+        bits = max(8, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.nodes = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
         order = sorted(keys)
-        self.keys = np.array([*order, 1 << 62], np.int64)
-        self.nodes = np.array([keys[k] for k in order] + [0], np.int32)
+        for key, at in zip(order, self._slot(np.array(order, np.int64)).tolist()):
+            while self.keys[at] >= 0:
+                at = at + 1 & self.mask
+            self.keys[at], self.nodes[at] = key, keys[key]
         self.first = np.zeros(self.width, np.int32)
         top = [k for k in order if k < self.width]
         self.first[top] = [keys[k] for k in top]
@@ -100,11 +106,23 @@ class _Trie:
         for node, (i, score) in ends.items():
             self.piece[node], self.score[node] = i, score
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
     def child(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """0 where there is none."""
         key = node.astype(np.int64) * self.width + code
-        at = np.searchsorted(self.keys, key)
-        return np.where((self.keys[at] == key) & (code > 0), self.nodes[at], 0)
+        at = self._slot(key)
+        found = self.keys[at]
+        out = np.where((found == key) & (code > 0), self.nodes[at], 0)
+        open_ = np.flatnonzero((found != key) & (found >= 0) & (code > 0))
+        while len(open_):
+            at[open_] = at[open_] + 1 & self.mask
+            found = self.keys[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.nodes[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
 
 
 class PieceLattice:
@@ -140,8 +158,8 @@ class PieceLattice:
         keys = np.array([int(code[ord(a)]) * width + int(code[ord(b)]) for a, b in pairs], np.int64)
         np.bitwise_or.at(self.pairs, keys >> 3, np.left_shift(1, keys & 7).astype(np.uint8))
         self.multi: dict[str, list[tuple[int, tuple[int, ...]]]] = {}  # paths of short units that were searched lately
-        self.high_bytes = {i for i, b in self.byte_of.items() if b >= 128}
-        self.shown = [chr(self.byte_of[i]) if i in self.byte_of else piece for i, piece in enumerate(self.pieces)]
+        self.high_bytes = np.array([self.byte_of.get(i, 0) >= 128 for i in ids])
+        self.shown = np.array([chr(self.byte_of[i]) if i in self.byte_of else piece for i, piece in enumerate(self.pieces)], object)
         self.cached, self.held = cached, 0
         self.young: dict[str, Known] = {}
         self.old: dict[str, Known] = {}
@@ -291,26 +309,33 @@ class PieceLattice:
             self.multi[unit] = self.paths(unit, self.n_best)
         return self.multi[unit]
 
-    def _know(self, units) -> dict[str, Known]:
+    def _know(self, units: list[str]) -> list[Known]:
         """What is known of these different units; those that were not used lately are forgotten."""
         if self.held > self.cached:
             self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
-        wanted = [u for u in units if u not in young]
-        again = {u: old[u] for u in wanted if u in old}
-        made = dict(self._best_and_loss([u for u in wanted if u not in again]))
-        long = {u: made.pop(u) for u in [u for u in made if len(u) > LONG_KEY]}
-        young.update(again)
-        young.update(made)
-        self.held += UNIT_BYTES * (len(again) + len(made))
-        return {u: young[u] for u in units if u in young} | long
+        known = list(map(young.get, units))
+        missing = [k for k, found in enumerate(known) if found is None]
+        new = []
+        for k in missing:
+            found = old.get(units[k])
+            if found is None:
+                new.append(units[k])
+            else:
+                young[units[k]] = found
+        made = dict(self._best_and_loss(new))
+        for k in missing:
+            known[k] = made.get(units[k]) or young[units[k]]
+        young.update((u, found) for u, found in made.items() if len(u) <= LONG_KEY)
+        self.held += UNIT_BYTES * len(missing)
+        return known
 
     # A text
 
     def _cut(self, clean: list[str]) -> tuple[list[str], list[int]]:
         """The units of normalised texts, one after another, and how many each text has."""
         joined, lengths = "".join(clean), np.fromiter(map(len, clean), np.int64, len(clean))
-        code = self.trie.code[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int64)
+        code = self.trie.code[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
         pair = code[:-1] * self.trie.width + code[1:]
         starts = np.ones(len(code), bool)
         starts[1:] = self.pairs[pair >> 3] >> (pair & 7).astype(np.uint8) & 1 == 0
@@ -327,26 +352,23 @@ class PieceLattice:
     def n_best_of_all(self, texts: list[str | None]) -> list[list[tuple[int, bytes]]]:
         """Score (times ``scale``) and ids (little-endian 32-bit) of the best segmentations of each text, best first."""
         units, counts = self._cut([self.model.normalize(t) if t else "" for t in texts])
-        number: dict[str, int] = {}
-        numbers = [number.setdefault(u, len(number)) for u in units]
-        names = list(number)
-        known = self._know(names)
-        ids, scores, losses = zip(*[known[u] for u in names]) if names else ((), (), ())
-        scores, losses, placed = np.array(scores, np.int64), np.array(losses, float), np.array(numbers, np.int64)
-        scores, losses = scores[placed], losses[placed]
+        names = list(dict.fromkeys(units))
+        ids, scores, losses = zip(*self._know(names)) if names else ((), (), ())
+        number, ids = dict(zip(names, range(len(names)))), dict(zip(names, ids))
+        placed = np.fromiter(map(number.__getitem__, units), np.int64, len(units))
+        scores, losses = np.array(scores, np.int64)[placed], np.array(losses, float)[placed]
         out, a = [], 0
         for count in counts:
             z = a + count
-            out.append(self._n_best(names, numbers[a:z], ids, int(scores[a:z].sum()), losses[a:z]))
+            out.append(self._n_best(units[a:z], ids, int(scores[a:z].sum()), losses[a:z]))
             a = z
         return out
 
     def n_best_of(self, text: str | None) -> list[tuple[int, bytes]]:
         return self.n_best_of_all([text])[0]
 
-    def _n_best(self, names: list[str], numbers: list[int], ids, total: int, losses: np.ndarray) -> list[tuple[int, bytes]]:
-        """One text, from the numbers of its units in ``names``."""
-        parts = [ids[k] for k in numbers]
+    def _n_best(self, units: list[str], ids: dict[str, bytes], total: int, losses: np.ndarray) -> list[tuple[int, bytes]]:
+        """One text, from its units and the ids of their best paths."""
         most = self.n_best - 1
         # Of units that lose equally much, later ones come first.
         if 0 < most < len(losses):
@@ -358,24 +380,28 @@ class PieceLattice:
             losing = range(len(losses)) if most else ()
         chosen = sorted(k for k in losing if losses[k] < math.inf)
         ranked: list[tuple[int, tuple[int, ...]]] = [(0, ())]
-        options = {k: self._searched(names[numbers[k]]) for k in chosen}
+        options = {k: self._searched(units[k]) for k in chosen}
         for k in chosen:
             top = options[k][0][0]
             ranked = sorted((lost + top - score, (*ranks, r)) for lost, ranks in ranked for r, (score, _) in enumerate(options[k]))[: self.n_best]
+        # What stands between the chosen units is the same in all.
+        cuts = [0, *[at for k in chosen for at in (k, k + 1)], len(units)]
+        between = [b"".join(map(ids.__getitem__, units[a:z])) for a, z in zip(cuts[::2], cuts[1::2])]
         out = []
         for lost, ranks in ranked:
-            for k, r in zip(chosen, ranks):
-                parts[k] = array("i", options[k][r][1]).tobytes()
+            parts = [between[0]]
+            for k, r, rest in zip(chosen, ranks, between[1:]):
+                parts += [array("i", options[k][r][1]).tobytes(), rest]
             out.append((total - lost, b"".join(parts)))
         return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: bytes to characters, ``▁`` to blanks, without the one that the model puts in front."""
-        numbers = array("i", ids)
-        if self.high_bytes.isdisjoint(numbers):
-            return "".join([self.shown[i] for i in numbers]).replace(GAP, " ").removeprefix(" ")
+        numbers = np.frombuffer(ids, "<i4")
+        if not self.high_bytes[numbers].any():
+            return "".join(self.shown[numbers].tolist()).replace(GAP, " ").removeprefix(" ")
         out, run = [], bytearray()
-        for i in numbers:
+        for i in numbers.tolist():
             if i in self.byte_of:
                 run.append(self.byte_of[i])
                 continue
