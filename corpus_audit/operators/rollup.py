@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corpus_audit.functions import paths as P
 from corpus_audit.operators.metrics import total
-from corpus_audit.sources.files import PROMPT_CHARS, SECTION_CHARS, cap_per_group
+from corpus_audit.operators.numbering import placed
+from corpus_audit.operators.profile import primary_language
+from corpus_audit.sources.files import SECTION_CHARS, cap_per_group
 
 # --- fixed values: agents, headings, keywords, comment format ----------------------------------------
 SYNTHESIS_AGENTS = ["api-quality", "documentation", "code-quality", "security"]
@@ -20,7 +22,19 @@ COMMENT = (
 )
 MAX_ROUNDS = 3
 SHOWN_RESOLVED = 5
-PROMPT_FILES = 20
+PROMPT_AGENTS = {
+    "api-quality": "API Quality",
+    "documentation": "Documentation",
+    "code-quality": "Code Quality",
+    "security": "Security",
+    "next-task": "Next Task",
+}
+PROMPT_HEADER = (
+    "Please analyze this %s repository as the %s agent.\n\nRepository Structure:\n- Total files: %s\n"
+    "- Main language: %s\n- Has TypeScript: %s\n- Has tests: %s\n- Has API routes: %s\n\nFiles to analyze:\n"
+)
+NO_CONTENT = "[File content provided separately]"
+UNKNOWN_KIND, UNKNOWN_LANGUAGE = "Node.js", "JavaScript"
 TOOL_KEYWORDS = [
     ("ESLint", "ESLint for code quality"),
     ("Jest", "Jest for testing"),
@@ -29,6 +43,9 @@ TOOL_KEYWORDS = [
 ]
 # --- end of fixed values -------------------------------------------------------------------------------
 
+PART_LINES = 100  # issue lines in one part of a report
+PART_CHARS = 200_000  # characters of files in one part of a prompt
+
 
 def _has(text: Column, *words: str) -> Column:
     out = F.contains(text, F.lit(words[0]))
@@ -40,23 +57,24 @@ def _has(text: Column, *words: str) -> Column:
 # ---- issues ------------------------------------------------------------------------------------------
 
 
-def group_issues(issues: DataFrame, k: int = 5) -> DataFrame:
-    """Issues per repository and type: the count and the first ``k`` lines by path.
+def group_issues(issues: DataFrame, k: int | None = None, part_lines: int = PART_LINES) -> DataFrame:
+    """Issues per repository and type: ``repo, type, part, issues`` (of the type) and ``lines``.
 
-    The count is a plain aggregate and the lines are cut to ``k`` per group before the shuffle, so a type
-    with millions of issues is never gathered anywhere.
+    All lines of a repository, by type, path, rule and description, are numbered and cut into parts of ``part_lines``;
+    every line stands in one part, so the rows of a part make a report of bounded size.  With ``k`` only the first ``k``
+    lines of each type by path are taken, all in part 0; they are cut inside each task before the shuffle.
     """
-    counts = issues.groupBy("repo", "type").agg(F.count(F.lit(1)).alias("issues"))
-    first = cap_per_group(
-        issues.select("repo", "type", "path", "rule_id", "description"),
-        k,
-        ["repo", "type"],
-        ["path", "rule_id", "description"],
-    )
-    lines = first.groupBy("repo", "type").agg(
-        F.array_sort(F.collect_list(F.concat_ws(": ", "path", "description"))).alias("lines")
-    )
-    return counts.join(lines, ["repo", "type"])
+    wanted = issues.select("repo", "type", "path", "rule_id", "description")
+    if k is not None:
+        counts = issues.groupBy("repo", "type").agg(F.count(F.lit(1)).alias("issues"))
+        first = cap_per_group(wanted, k, ["repo", "type"], ["path", "rule_id", "description"])
+        lines = first.groupBy("repo", "type").agg(F.array_sort(F.collect_list(F.concat_ws(": ", "path", "description"))).alias("lines"))
+        return counts.join(lines, ["repo", "type"]).select("repo", "type", F.lit(0).cast("long").alias("part"), "issues", "lines")
+    rows = placed(wanted, ["repo"], ["type", "path", "rule_id", "description"]).withColumn("part", F.expr(f"place div {int(part_lines)}"))
+    line = F.struct("place", F.concat_ws(": ", "path", "description").alias("line"))
+    parts = rows.groupBy("repo", "type", "part").agg(F.count(F.lit(1)).alias("_here"), F.array_sort(F.collect_list(line)).alias("_lines"))
+    sums = parts.groupBy("repo", "type").agg(F.sum("_here").alias("issues"))
+    return parts.join(sums, ["repo", "type"]).select("repo", "type", "part", "issues", F.transform("_lines", lambda x: x["line"]).alias("lines"))
 
 
 def all_issues(*tables: DataFrame) -> DataFrame:
@@ -313,14 +331,14 @@ def resolve_comments(comments: DataFrame, responses: DataFrame) -> DataFrame:
 def add_comments(comments: DataFrame, new: DataFrame) -> DataFrame:
     """Comments with ``new`` ones (repo, agent, target, question, context, round) placed first as pending.
 
-    The newest comment of a report leads it, so older ones move back by as many places.
+    The newest comments of a report lead it by target, question, context and round, so older ones move back by as many
+    places.  A report may have any number of new comments: they are numbered over ranges, not in one window.
     """
-    order = Window.partitionBy("repo", "agent").orderBy("target", "question", "context", "round")
-    numbered = new.withColumn("comment_no", F.row_number().over(order)).withColumn("status", F.lit("pending"))
+    order = ["target", "question", "context", "round"]
+    numbered = placed(new.select("repo", "agent", *order), ["repo", "agent"], order)
+    numbered = numbered.select("*", (F.col("place") + 1).cast("int").alias("comment_no"), F.lit("pending").alias("status"))
     added = new.groupBy("repo", "agent").agg(F.count(F.lit(1)).cast("int").alias("_added"))
-    moved = comments.join(added, ["repo", "agent"], "left").withColumn(
-        "comment_no", F.col("comment_no") + F.coalesce("_added", F.lit(0))
-    )
+    moved = comments.join(added, ["repo", "agent"], "left").withColumn("comment_no", F.col("comment_no") + F.coalesce("_added", F.lit(0)))
     columns = ["repo", "agent", "comment_no", "target", "question", "context", "status", "round"]
     both = moved.select(*columns).unionByName(numbered.select(*columns))
     return both.withColumn("comment_id", F.concat(F.lit("comment-"), F.col("comment_no").cast("string")))
@@ -356,56 +374,54 @@ def resolved_insights(comments: DataFrame, agents: list[str] = SYNTHESIS_AGENTS,
 def build_prompts(
     files: DataFrame,
     structure: DataFrame,
-    agents: list[str],
-    max_files: int = PROMPT_FILES,
-    chars: int = PROMPT_CHARS,
+    agents: dict[str, str] = PROMPT_AGENTS,
+    max_files: int | None = None,
+    chars: int | None = None,
+    part_chars: int = PART_CHARS,
 ) -> DataFrame:
-    """One prompt per repository and agent: a header, then the first files framed by their paths.
+    """Prompts of every repository and agent (key to name): ``repo, agent, part, parts, prompt, prompt_length``.
 
-    The file limit is applied inside each task before the shuffle, on text already cut to ``chars``.  The
-    body is built once per repository; agents only multiply the finished text.  ``structure`` is the table
-    of :func:`corpus_audit.operators.profile.repo_structure`.
+    The files that a scan includes are framed by their paths and put one after another by path; this text is cut every
+    ``part_chars`` characters, and each part follows the repository's header.  Every file and character is in exactly
+    one part, unless ``max_files`` or ``chars`` limits the files of a repository or the characters of a file.
+
+    Places come from running sums of lengths, without texts; then each text meets its place and goes to its parts.  A
+    part is built once; agents only multiply the finished text.  ``structure`` is the table of
+    :func:`corpus_audit.operators.profile.repo_structure`; the header's language is that of most included files.
     """
-    shown = F.coalesce(
-        F.when(F.substring("content", 1, chars) != "", F.substring("content", 1, chars)),
-        F.lit("[File content provided separately]"),
-    )
-    # --- fixed values: prompt layout ---------------------------------------------------------------------
+    text = F.col("content") if chars is None else F.substring("content", 1, chars)
+    shown = F.coalesce(F.when(text != "", text), F.lit(NO_CONTENT))
     frame = F.concat(F.lit("\n--- "), F.col("path"), F.lit(" ---\n"), shown, F.lit("\n"))
-    picked = cap_per_group(
-        files.where(P.matches_glob(F.col("path"), P.DEFAULT_INCLUDES)).select("repo", "path", frame.alias("frame")),
-        max_files,
-        ["repo"],
-        ["path"],
-    )
-    bodies = picked.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("_shown"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("path", "frame"))), lambda s: s["frame"]), ""
-        ).alias("_body"),
+    framed = files.where(P.matches_glob(F.col("path"), P.DEFAULT_INCLUDES)).select("repo", "path", frame.alias("frame"))
+    keys = framed.select("repo", "path", F.length("frame").cast("long").alias("n"))
+    if max_files is not None:
+        keys = cap_per_group(keys, max_files, ["repo"], ["path"])
+    size = int(part_chars)
+    places = placed(keys, ["repo"], ["path"], weight="n")
+    first, last = F.expr(f"place div {size}"), F.expr(f"(place + n - 1) div {size}")
+    spread = framed.join(places, ["repo", "path"]).withColumn("part", F.explode(F.sequence(first, last)))
+    start = F.greatest(F.col("part") * size, F.col("place"))
+    piece = F.substr("frame", (start - F.col("place") + 1).cast("int"), (F.least((F.col("part") + 1) * size, F.col("place") + F.col("n")) - start).cast("int"))
+    bodies = spread.select("repo", "part", "place", piece.alias("piece")).groupBy("repo", "part").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda s: s["piece"]), "").alias("body")
     )
+    facts = places.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.expr(f"(first(total) - 1) div {size} + 1").alias("parts"))
+    facts = facts.join(primary_language(places), "repo").join(structure.select("repo", "ts", "test", "has_api_routes"), "repo")
 
     def yes(flag: Column) -> Column:
         return F.when(flag, "Yes").otherwise("No")
 
-    header = F.concat(
-        F.lit("Please analyze this Node.js repository as the "),
-        F.col("agent"),
-        F.lit(" agent.\n\nRepository Structure:\n- Total files: "),
-        F.col("_shown").cast("string"),
-        F.lit("\n- Main language: JavaScript\n- Has TypeScript: "),
-        yes(F.col("ts") > 0),
-        F.lit("\n- Has tests: "),
-        yes(F.col("test") > 0),
-        F.lit("\n- Has API routes: "),
-        yes(F.col("has_api_routes")),
-        F.lit("\n\nFiles to analyze:\n"),
-        F.col("_body"),
-    )
-    # --- end of fixed values -------------------------------------------------------------------------------
+    language = F.col("primary_language")
+    fields = [
+        F.when(language == "Unknown", UNKNOWN_KIND).otherwise(language), F.col("name"), F.col("files").cast("string"),
+        F.when(language == "Unknown", UNKNOWN_LANGUAGE).otherwise(language), yes(F.col("ts") > 0), yes(F.col("test") > 0), yes(F.col("has_api_routes")),
+    ]
+    header = F.format_string(PROMPT_HEADER, *fields)
+    named = F.explode(F.array(*[F.struct(F.lit(k).alias("agent"), F.lit(n).alias("name")) for k, n in agents.items()]))
     return (
-        bodies.join(structure.select("repo", "ts", "test", "has_api_routes"), "repo")
-        .withColumn("agent", F.explode(F.array(*[F.lit(a) for a in agents])))
-        .select("repo", "agent", header.alias("prompt"))
+        bodies.join(facts, "repo")
+        .withColumn("_agent", named)
+        .select("*", "_agent.agent", "_agent.name")
+        .select("repo", "agent", "part", "parts", F.concat(header, "body").alias("prompt"))
         .withColumn("prompt_length", F.length("prompt").cast("bigint"))
     )

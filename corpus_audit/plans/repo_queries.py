@@ -546,16 +546,24 @@ def test_infrastructure(spark, sf):
 
 # ---- issue roll-ups and reports -------------------------------------------------------------------------
 
-_GROUPED = (
-    f"{SMELLS_CTE}, i AS ({SMELLS_SQL}), g AS (SELECT repo, type, count(*) AS issues FROM i GROUP BY repo, type), "
-    "k AS (SELECT repo, type, string_agg(path || ': ' || description, chr(10) ORDER BY path || ': ' || description) AS lines FROM (SELECT *, row_number() OVER "
-    "(PARTITION BY repo, type ORDER BY path, rule_id, description) AS r FROM i) WHERE r <= 5 GROUP BY repo, type)"
-)
+_PART_LINES = 20  # small, so that the reports of the sample tables have several parts
+
+
+def _parts_sql(ctes: str, issues: str) -> str:
+    """Issues ``i``, their lines in numbered parts of a repository ``k``, and the number of each type ``g``."""
+    return (
+        f"{ctes}, i AS ({issues}), g AS (SELECT repo, type, count(*) AS issues FROM i GROUP BY repo, type), "
+        f"p AS (SELECT *, (row_number() OVER (PARTITION BY repo ORDER BY type, path, rule_id, description) - 1) // {_PART_LINES} AS part FROM i), "
+        "k AS (SELECT repo, type, part, list(path || ': ' || description ORDER BY path, rule_id, description) AS lines FROM p GROUP BY repo, type, part)"
+    )
 
 
-@query("smells_by_type", f"{FILES}, {_GROUPED} SELECT repo, type, issues, lines FROM g JOIN k USING (repo, type)")
+@query(
+    "smells_by_type",
+    f"{FILES}, {_parts_sql(SMELLS_CTE, SMELLS_SQL)} SELECT repo, type, part, issues, array_to_string(lines, chr(10)) AS lines FROM g JOIN k USING (repo, type)",
+)
 def smells_by_type(spark, sf):
-    grouped = rollup.group_issues(detect(D.files(spark, sf), SMELLS))
+    grouped = rollup.group_issues(detect(D.files(spark, sf), SMELLS), part_lines=_PART_LINES)
     return grouped.withColumn("lines", F.array_join("lines", "\n"))
 
 
@@ -581,36 +589,27 @@ def first_files(spark, sf):
     return S.cap_per_group(code, 20, ["repo"], ["path"])
 
 
-@query(
-    "quality_reports",
-    f"{FILES}, {_GROUPED}, b AS (SELECT repo, '**' || type || '** (' || issues || ' issues):' || chr(10) || "
-    "'- ' || replace(lines, chr(10), chr(10) || '- ') || chr(10) AS body, type FROM g JOIN k USING (repo, type)) "
-    "SELECT repo, 'code-quality' AS agent, '### Code Quality Analysis' || chr(10) || chr(10) || '#### Code Smells' || chr(10) || chr(10) || "
-    "string_agg(body, chr(10) ORDER BY type) || chr(10) || chr(10) AS content FROM b GROUP BY repo",
-)
-def quality_reports(spark, sf):
-    grouped = rollup.group_issues(detect(D.files(spark, sf), SMELLS))
-    sections = reports.issue_sections(grouped, "code-quality", "Code Smells", 1)
-    return reports.render_reports(sections, "Code Quality Analysis")
-
-
 def _report_sql(ctes: str, issues: str, agent: str, title: str, section: str) -> str:
-    """The report of one agent: for each type of issue its number and first five lines."""
+    """The reports of one agent, in parts: for each type of issue its number and the lines of the part."""
     return (
-        f"{RECURSIVE}, {ctes}, i AS ({issues}), g AS (SELECT repo, type, count(*) AS issues FROM i GROUP BY repo, type), "
-        "k AS (SELECT repo, type, string_agg('- ' || path || ': ' || description || chr(10), '' ORDER BY path || ': ' || description) AS lines FROM "
-        "(SELECT *, row_number() OVER (PARTITION BY repo, type ORDER BY path, rule_id, description) AS r FROM i) WHERE r <= 5 GROUP BY repo, type), "
-        "b AS (SELECT repo, '**' || type || '** (' || issues || ' issues):' || chr(10) || lines AS body, type FROM g JOIN k USING (repo, type)) "
-        f"SELECT repo, '{agent}' AS agent, '### {title}' || chr(10) || chr(10) || '#### {section}' || chr(10) || chr(10) || "
-        "string_agg(body, chr(10) ORDER BY type) || chr(10) || chr(10) AS content FROM b GROUP BY repo"
+        f"{RECURSIVE}, {_parts_sql(ctes, issues)}, "
+        "b AS (SELECT repo, part, type, '**' || type || '** (' || issues || ' issues):' || chr(10) || '- ' || array_to_string(lines, chr(10) || '- ') || chr(10) AS body "
+        "FROM g JOIN k USING (repo, type)) "
+        f"SELECT repo, '{agent}' AS agent, part, '### {title}' || chr(10) || chr(10) || '#### {section}' || chr(10) || chr(10) || "
+        "string_agg(body, chr(10) ORDER BY type) || chr(10) || chr(10) AS content FROM b GROUP BY repo, part"
     )
 
 
 def _report(issues, agent: str, title: str, section: str):
-    grouped = rollup.group_issues(issues)
+    grouped = rollup.group_issues(issues, part_lines=_PART_LINES)
     return reports.render_reports(reports.issue_sections(grouped, agent, section, 1), title)
 
 
+@query("quality_reports", _report_sql(SMELLS_CTE, SMELLS_SQL, "code-quality", "Code Quality Analysis", "Code Smells"))
+def quality_reports(spark, sf):
+    return _report(detect(D.files(spark, sf), SMELLS), "code-quality", "Code Quality Analysis", "Code Smells")
+
+
 @query(
     "security_reports",
     _report_sql(SECURITY_CTE, f"SELECT * FROM ({SECURITY_SQL}) WHERE polarity = 'issue'", "security", "Security Analysis", "Vulnerabilities"),
@@ -745,7 +744,7 @@ def action_plan(spark, sf):
         f"SELECT repo, agent, agent_pos, {p} AS priority, '{c}' AS category, '{a}' AS action FROM collected WHERE has_content AND ({w})"
         for p, c, a, w in _PLAN
     )
-    + ") SELECT repo, 'recapper' AS agent, '### Recap' || chr(10) || chr(10) || '#### Action Plan' || chr(10) || chr(10) || "
+    + ") SELECT repo, 'recapper' AS agent, 0 AS part, '### Recap' || chr(10) || chr(10) || '#### Action Plan' || chr(10) || chr(10) || "
     "string_agg('- ' || category || ': ' || action || ' (' || agent || ')', chr(10) ORDER BY priority, agent_pos) || chr(10) || chr(10) AS content FROM f GROUP BY repo",
 )
 def recap_reports(spark, sf):
@@ -758,6 +757,7 @@ def recap_reports(spark, sf):
         F.lit("Action Plan").alias("section"),
         F.lpad(F.col("position").cast("string"), 6, "0").alias("item"),
         line.alias("body"),
+        F.lit(0).cast("long").alias("part"),
     )
     return reports.render_reports(sections, "Recap")
 
@@ -893,24 +893,36 @@ def first_resolved_insights(spark, sf):
     return rollup.resolved_insights(_comments(spark, sf), k=5)
 
 
-_SHOWN = "coalesce(nullif(substr(content, 1, 5000), ''), '[File content provided separately]')"
+_PROMPT_PART = 20_000
+_INCLUDED = O.glob(P.DEFAULT_INCLUDES)
+_PROMPT_HEADER = " || ".join(
+    x
+    for text, value in zip(
+        rollup.PROMPT_HEADER.split("%s"), ["coalesce(language, 'Node.js')", "name", "files", "coalesce(language, 'JavaScript')", *[f"CASE WHEN {c} THEN 'Yes' ELSE 'No' END" for c in ("ts > 0", "test > 0", "has_api_routes")], "''"]
+    )
+    for x in (" || chr(10) || ".join(O.quote(line) for line in text.split("\n")), value)
+)
+_AGENT_NAMES = ", ".join(f"({O.quote(k)}, {O.quote(n)})" for k, n in rollup.PROMPT_AGENTS.items())
 
 
 @query(
     "prompts",
     f"{FILES}, {FLAGS_CTE}, types AS ({_types_sql('files')}), "
-    f"p AS (SELECT repo, path, chr(10) || '--- ' || path || ' ---' || chr(10) || {_SHOWN} || chr(10) AS frame, "
-    f"row_number() OVER (PARTITION BY repo ORDER BY path) AS r FROM files WHERE {O.glob(P.DEFAULT_INCLUDES)}), "
-    "b AS (SELECT repo, count(*) AS n, string_agg(frame, '' ORDER BY path) AS body FROM p WHERE r <= 20 GROUP BY repo), "
-    "q AS (SELECT repo, agent, 'Please analyze this Node.js repository as the ' || agent || ' agent.' || chr(10) || chr(10) || 'Repository Structure:' || chr(10) || "
-    "'- Total files: ' || n || chr(10) || '- Main language: JavaScript' || chr(10) || '- Has TypeScript: ' || CASE WHEN ts > 0 THEN 'Yes' ELSE 'No' END || chr(10) || "
-    "'- Has tests: ' || CASE WHEN test > 0 THEN 'Yes' ELSE 'No' END || chr(10) || '- Has API routes: ' || CASE WHEN has_api_routes THEN 'Yes' ELSE 'No' END || "
-    "chr(10) || chr(10) || 'Files to analyze:' || chr(10) || body AS prompt FROM b JOIN types USING (repo) JOIN flags USING (repo), "
-    "(VALUES ('code-quality'), ('security')) a(agent)) SELECT repo, agent, prompt, length(prompt) AS prompt_length FROM q",
+    "f AS (SELECT repo, path, chr(10) || '--- ' || path || ' ---' || chr(10) || coalesce(nullif(content, ''), '[File content provided separately]') || chr(10) AS frame "
+    f"FROM files WHERE {_INCLUDED}), "
+    "p AS (SELECT *, length(frame) AS n, coalesce(sum(length(frame)) OVER (PARTITION BY repo ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM f), "
+    f"x AS (SELECT *, unnest(range(CAST(place // {_PROMPT_PART} AS BIGINT), CAST((place + n - 1) // {_PROMPT_PART} + 1 AS BIGINT))) AS part FROM p), "
+    f"b AS (SELECT repo, part, string_agg(substr(frame, CAST(greatest(part * {_PROMPT_PART}, place) - place + 1 AS BIGINT), "
+    f"CAST(least((part + 1) * {_PROMPT_PART}, place + n) - greatest(part * {_PROMPT_PART}, place) AS BIGINT)), '' ORDER BY place) AS body FROM x GROUP BY repo, part), "
+    f"lang(ext, language) AS (VALUES {_LANGS}), l AS (SELECT repo, language, count(*) AS n FROM f JOIN lang ON {EXT} = ext GROUP BY repo, language), "
+    "r AS (SELECT repo, language FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, language) AS rank FROM l) WHERE rank = 1), "
+    "c AS (SELECT repo, count(*) AS files, max(part) + 1 AS parts FROM (SELECT repo, path, max(part) AS part FROM x GROUP BY repo, path) GROUP BY repo), "
+    f"q AS (SELECT repo, agent, part, parts, {_PROMPT_HEADER} || body AS prompt FROM b JOIN c USING (repo) LEFT JOIN r USING (repo) JOIN types USING (repo) "
+    f"JOIN flags USING (repo), (VALUES {_AGENT_NAMES}) a(agent, name)) SELECT repo, agent, part, parts, prompt, length(prompt) AS prompt_length FROM q",
 )
 def prompts(spark, sf):
     files = D.files(spark, sf)
-    return rollup.build_prompts(files, _structure(spark, sf), ["code-quality", "security"])
+    return rollup.build_prompts(files, _structure(spark, sf), part_chars=_PROMPT_PART)
 
 
 # ---- settings -------------------------------------------------------------------------------------------

@@ -20,7 +20,6 @@ FILES_SCHEMA = T.StructType(
 )
 
 # --- fixed values: text limits -----------------------------------------------------------------------
-PROMPT_CHARS = 5000
 SECTION_CHARS = 2000
 # --- end of fixed values -----------------------------------------------------------------------------
 

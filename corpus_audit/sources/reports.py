@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 def issue_sections(grouped: DataFrame, agent: str, section: str, position: int) -> DataFrame:
     """Section rows from :func:`corpus_audit.operators.rollup.group_issues`.
 
-    Grouped issues already hold a count and a few lines per type, so a section stays small however many
-    issues it reports.
+    Grouped issues hold the lines of one part of a report, so a section stays small however many issues there are.
     """
     block = F.concat(
         F.lit("**"),
@@ -27,6 +26,7 @@ def issue_sections(grouped: DataFrame, agent: str, section: str, position: int)
         F.lit(section).alias("section"),
         F.col("type").alias("item"),
         block.alias("body"),
+        "part",
     )
 
 
@@ -39,22 +39,23 @@ def bullet_sections(rows: DataFrame, agent: str, section: str, position: int, it
         F.lit(section).alias("section"),
         F.col(item).cast("string").alias("item"),
         F.concat(F.lit("- "), F.col(item).cast("string")).alias("body"),
+        F.lit(0).cast("long").alias("part"),
     )
 
 
 def render_reports(sections: DataFrame, title: str) -> DataFrame:
-    """One Markdown document per repository and agent.
+    """Markdown documents: one per repository, agent and part.
 
-    ``sections`` rows are (repo, agent, position, section, item, body); feed summaries and top-k lists,
-    which are small per repository, and keep full issue lists as tables.
+    ``sections`` rows are (repo, agent, position, section, item, body, part).  Summaries and top-k lists stand in part 0;
+    issue lists come in parts of a bounded number of lines, all of which are there.
     """
-    by_section = sections.groupBy("repo", "agent", "position", "section").agg(
+    by_section = sections.groupBy("repo", "agent", "part", "position", "section").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("item", "body"))), lambda s: s["body"]), "\n"
         ).alias("text")
     )
     framed = F.concat(F.lit("#### "), F.col("section"), F.lit("\n\n"), F.col("text"), F.lit("\n\n"))
-    return by_section.groupBy("repo", "agent").agg(
+    return by_section.groupBy("repo", "agent", "part").agg(
         F.concat(
             F.lit(f"### {title}\n\n"),
             F.array_join(

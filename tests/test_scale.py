@@ -72,7 +72,7 @@ def test_top_k_is_cut_before_the_shuffle(stored):
         security.top_high_issues(issues),
         profile.largest_files(files),
         cap_per_group(files, 3, ["repo"], ["path"]),
-        rollup.group_issues(issues),
+        rollup.group_issues(issues, k=5),
     ):
         plan = plan_of(df)
         assert re.search(r"Exchange hashpartitioning[^\n]*\n[^\n]*WindowGroupLimit[^\n]*Partial", plan), plan
@@ -118,3 +118,65 @@ def test_selective_path_filters_reach_the_scan(stored):
     assert "StringStartsWith(path,.env)" in plan_of(security.env_files(files))
     assert "EqualTo(path,package.json)" in plan_of(manifests.manifests(files))
     assert "EqualTo(path,.gitignore)" in plan_of(exclusions.ignore_rules(files))
+
+
+def test_reports_hold_every_line_once(stored):
+    files, _ = stored
+    issues = detect(files, SMELLS, FUNCTIONAL, SECURITY)
+    rows = rollup.group_issues(issues, part_lines=7).collect()
+    want = Counter((r["repo"], r["type"], f"{r['path']}: {r['description']}") for r in issues.collect())
+    assert Counter((r["repo"], r["type"], line) for r in rows for line in r["lines"]) == want
+    totals = Counter()
+    for (repo, kind, _), n in want.items():
+        totals[repo, kind] += n
+    assert all(r["issues"] == totals[r["repo"], r["type"]] for r in rows)
+    lines, parts = Counter(), {}
+    for r in rows:
+        lines[r["repo"], r["part"]] += len(r["lines"])
+        parts.setdefault(r["repo"], set()).add(r["part"])
+    for repo, found in parts.items():
+        assert found == set(range(len(found))) and all(lines[repo, p] == 7 for p in found if p < len(found) - 1)
+    assert len(parts["hot"]) > 40
+
+
+def test_prompts_hold_every_character_once(spark, files):
+    from corpus_audit.sources import manifests
+
+    rows = [("hot", f"src/f{i:03}.js", "é" * (37 * i % 211)) for i in range(80)] + [("r", "a.js", "x" * 5000), ("r", "b.ts", ""), ("r", "c.ts", "y"), ("t", "z.xyz", "not read")]
+    table = files(rows).repartition(5)
+    structure = profile.repo_structure(table, manifests.manifests(table))
+    prompts = rollup.build_prompts(table, structure, {"security": "Security", "next-task": "Next Task"}, part_chars=300).collect()
+    for repo, names in (("hot", 80), ("r", 3)):
+        frames = "".join(f"\n--- {p} ---\n{c or rollup.NO_CONTENT}\n" for r, p, c in sorted(rows) if r == repo)
+        for agent, name in (("security", "Security"), ("next-task", "Next Task")):
+            mine = sorted((r["part"], r["parts"], r["prompt"], r["prompt_length"]) for r in prompts if r["repo"] == repo and r["agent"] == agent)
+            language = "JavaScript" if repo == "hot" else "TypeScript"
+            header = rollup.PROMPT_HEADER % (language, name, names, language, "No" if repo == "hot" else "Yes", "No", "No")
+            assert [p for p, *_ in mine] == list(range(-(-len(frames) // 300))) and {n for _, n, _, _ in mine} == {len(mine)}
+            assert "".join(t.removeprefix(header) for _, _, t, _ in mine) == frames
+            assert all(t.startswith(header) and len(t) == n and len(t) - len(header) <= 300 for _, _, t, n in mine)
+    first = rollup.build_prompts(table, structure, {"security": "Security"}, max_files=1, chars=4).where("repo = 'r'").first()
+    assert first["prompt"].endswith("Files to analyze:\n\n--- a.js ---\nxxxx\n") and "Total files: 1\n" in first["prompt"]
+    assert not any(r["repo"] == "t" for r in prompts)
+
+
+def test_new_comments_of_a_hot_report(spark):
+    new = spark.range(3000).selectExpr("'r' AS repo", "IF(id % 3 = 0, 'security', concat('a', id % 7)) AS agent", "'x' AS target", "lpad(id, 6, '0') AS question", "'c' AS context", "1 AS round")
+    old = spark.createDataFrame([("r", "security", 1, "t", "old", "c", "resolved", 1)], "repo string, agent string, comment_no int, target string, question string, context string, status string, round int")
+    rows = rollup.add_comments(old, new.repartition(6)).where("agent = 'security'").orderBy("comment_no").collect()
+    assert [r["comment_no"] for r in rows] == list(range(1, 1002)) and rows[-1]["question"] == "old"
+    assert [r["question"] for r in rows[:-1]] == [f"{k:06}" for k in range(0, 3000, 3)]
+
+
+def test_running_sums_over_ranges(spark):
+    from corpus_audit.operators.numbering import placed
+
+    rows = [("a" if k % 3 else None, k, k % 5) for k in range(500)]
+    got = placed(spark.createDataFrame(rows, "g string, k int, w int").repartition(7), ["g"], ["k"], weight="w").collect()
+    sums = Counter()
+    for g, k, w in rows:
+        (row,) = [r for r in got if r["k"] == k] if k % 50 == 0 else [None]
+        if row:
+            assert row["place"] == sums[g] and row["total"] == sum(x for y, _, x in rows if y == g)
+        sums[g] += w
+    assert len(got) == 500
