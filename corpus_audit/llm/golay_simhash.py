@@ -52,14 +52,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of every row; a null or empty text has 0."""
+    """``docs`` without ``text``, with ``fp`` (the 64 bits as a signed long); a null or empty text has 0."""
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.drop("text", "fp").dtypes)
 
     def each(batches):
         for batch in batches:
             batch["fp"] = [fingerprint(t, shingle) for t in batch.pop("text")]
             yield batch
 
-    return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return docs.drop("fp").mapInPandas(each, f"{schema}, fp long")
 
 
 # Golay keys
@@ -198,8 +199,9 @@ def links(nodes: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     return apart.select(F.col("node").alias("a"), F.col("node2").alias("b")).union(_linked_by_midpoints(behind.distinct()))
 
 
-def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, hot_key: int = HOT_KEY) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row of ``docs`` (``doc_id, text``; other columns are ignored).
+def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, hot_key: int = HOT_KEY, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` and the ``carried`` columns for every row of ``docs`` (``doc_id, text``; other
+    columns are ignored).
 
     Texts that are null, empty or blank have fingerprint zero and are linked like any other.  Equal texts, and
     rows that repeat, share a fingerprint and so a component.  ``component_id`` is the smallest ``doc_id``
@@ -208,10 +210,10 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, hot_key: int = HOT_K
     empty table gives an empty result.
     """
     text_batches(docs.sparkSession)
-    marked = stored(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "simhash")
+    marked = stored(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried), shingle), "simhash")
     nodes = marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp")
     found = components(links(nodes, hot_key))
     groups = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(groups, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carried
     )

@@ -54,6 +54,22 @@ def test_stages_keep_awkward_rows(spark, awkward):
         assert {1, 3, 7, 8, 9, 10} <= ids and 2 not in ids, name
 
 
+def test_near_copies_of_an_id_with_two_texts(spark):
+    a, b = " ".join(f"alpha{k}" for k in range(60)), " ".join(f"beta{k}" for k in range(60))
+    rows = [(1, a), (2, a), (2, b), (3, None), (4, " "), (None, a), (5, b)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(((r["doc_id"], r["text"]) for r in P.drop_near_copies(spark, df, SF).collect()), key=repr)
+    assert left == sorted([(1, a), (2, b), (3, None), (None, a)], key=repr)
+
+
+def test_toxicity_stage_on_awkward_rows(spark, awkward, tmp_path):
+    df = awkward().select("doc_id", "text", "lang").withColumn("source", common.F.lit("s")).withColumn("n_chars", common.F.length("text").cast("long"))
+    labels = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (3, 1, 1), (None, 1, 1), (7, None, None), (7, 1, 0), (99, 0, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = P.drop_toxic(spark, df, str(tmp_path))
+    assert kept.dtypes == df.dtypes and sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+
+
 @pytest.mark.parametrize("k", range(len(P.STAGES)))
 def test_stages_take_an_empty_table(spark, k):
     docs = common.table(spark, SF, "documents").limit(0)
