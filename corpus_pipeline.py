@@ -29,31 +29,39 @@ def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose last category is at least ``toxicity.REJECT`` go; the model is fitted on the labels of ``docs``."""
+    """Documents whose last category is at least ``toxicity.REJECT`` go; the model is fitted on the labels of ``docs``.
+
+    Null and empty texts hold no term and stay; rows that repeat are judged alike."""
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), CATEGORIES)
     return toxicity.score(docs, chain).where(F.col("p_toxic") < toxicity.REJECT).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays (rows without id all stay)."""
-    groups = stored(golay_simhash.simhash_groups(docs), "groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """Of each group of linked fingerprints the document with the smallest id stays.
+
+    Rows without id all stay.  Of rows that repeat an id with different texts, each is judged by its own text; whole copies
+    with the smallest id stay together.  Null, empty and blank texts are one group."""
+    mark = F.xxhash64("text")
+    groups = golay_simhash.simhash_groups(docs.select("doc_id", "text", mark.alias("mark")), carried=("mark",))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    return docs.join(stored(gone, "gone"), (F.col("doc_id") == F.col("gone_id")) & (mark == F.col("gone_mark")), "left_anti")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of windows that also start in a document with a smaller id go."""
+    """Words of windows that also start in a document with a smaller id go.  Null, empty and short texts, and rows without
+    id, stay as they are; so do documents that lose all their words, with an empty text."""
     return _with_text(docs, window_dedup.mark_repeats(docs), "kept_text")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of benchmark windows go; a document that they cover beyond the limit goes as a whole."""
+    """Spans of benchmark windows go; a document that they cover beyond the limit goes as a whole.  Null and empty texts stay."""
     marked = decontaminate.mark_contamination(docs, table(spark, sf_dir, "benchmark"))
     return _with_text(docs, marked.where(~F.col("over_limit")), "clean_text")
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_pieces, score, ids`` (little-endian 32-bit) of the best segmentation, ``other_scores`` of the next ones."""
+    """``doc_id, n_pieces, score, ids`` (little-endian 32-bit) of the best segmentation, ``other_scores`` of the next ones.  A
+    null or empty text has no pieces and score 0."""
     made = piece_nbest.segment(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     best = F.col("segmentations")[0]
     others = F.transform(F.slice("segmentations", 2, piece_nbest.N_BEST), lambda s: s["score"])
