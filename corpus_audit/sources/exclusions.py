@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_audit.operators.joins import broadcast_if_small
-
 # --- fixed values: default exclusion patterns -------------------------------------------------------
 DEFAULT_EXCLUSIONS = [
     "node_modules/**",
@@ -95,14 +93,59 @@ def is_excluded(patterns: list[str] = DEFAULT_EXCLUSIONS) -> Column:
     return F.expr(" OR ".join(f"rlike({_PATH}, {exclusion_regex(q)})" for q in quoted) or "false")
 
 
-def repository_filters(rules: DataFrame) -> DataFrame:
-    """All ignore-file patterns of a repository as one regex.
+_WILD = "[*?]"
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """Ignore-file patterns by an anchor that every path they remove has: ``repo, kind, key, always, regex``.
 
-    The patterns of a repository come from its few root ignore files, so the group is as small as those.
+    ``part``: a component; ``prefix``: the path itself or a directory above it; ``top``: the first component; ``ext``:
+    what follows the last dot; ``any``: no anchor.  Where the anchor says it all, ``always`` is true; the other patterns
+    of an anchor are one regex.  The patterns of a repository come from its few root ignore files.
     """
-    return rules.groupBy("repo").agg(
-        F.array_join(F.array_sort(F.collect_set(F.expr(exclusion_regex("pattern")))), "|").alias("ignored")
+    p = F.regexp_replace("pattern", "/+$", "")
+    directory = F.expr("substr(_p, 1, length(_p) - 3)")
+    first, tail = F.substring_index("_p", "/", 1), F.regexp_extract("_p", r"[^*?]*$", 0)
+    dotted = F.contains(tail, F.lit("."))
+
+    def anchor(kind: str, key, always=False):
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.lit(always).alias("always"))
+
+    found = (
+        F.when(F.endswith("_p", F.lit("/**")) & ~F.rlike(directory, F.lit(_WILD)), anchor("prefix", directory, True))
+        .when(F.startswith("_p", F.lit("**/")), anchor("any", F.lit("")))
+        .when(F.contains("_p", F.lit("*")) & F.contains("_p", F.lit("/")) & ~F.rlike(first, F.lit(_WILD)), anchor("top", first))
+        .when(F.contains("_p", F.lit("*")) & dotted, anchor("ext", F.substring_index(tail, ".", -1)))
+        .when(F.contains("_p", F.lit("*")), anchor("any", F.lit("")))
+        .when((F.col("_p") != "") & ~F.contains("_p", F.lit("/")), anchor("part", F.col("_p"), True))
+        .otherwise(anchor("part", first))
     )
+    indexed = rules.withColumn("_p", p).select("repo", found.alias("a"), F.expr(exclusion_regex("pattern")).alias("regex"))
+    return indexed.groupBy("repo", "a.kind", "a.key").agg(
+        F.bool_or("a.always").alias("always"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("a.always"), F.col("regex")))), "|").alias("regex")
+    )
+
+
+def _anchors(path: Column) -> Column:
+    """All anchors of a path under which a pattern that removes it may stand."""
+    parts = F.split(path, "/")
+    named = lambda kind: lambda key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: named("prefix")(F.array_join(F.slice(parts, 1, k), "/")))
+    own = [named("top")(F.get(parts, 0)), named("ext")(F.substring_index(path, ".", -1)), named("any")(F.lit(""))]
+    return F.concat(F.transform(F.array_distinct(parts), named("part")), above, F.array(*own))
+
+
+def ignored_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """``repo, path`` of the files that patterns of their repository's ignore files remove, each once.
+
+    Paths meet patterns by equal anchors.  Only keys take part, no texts, and a pattern is never compared with a path
+    that lacks its anchor, nor with another repository's.
+    """
+    keys = files.select("repo", "path", F.expr(_PATH).alias("_clean"))
+    keys = keys.select("repo", "path", "_clean", F.explode(_anchors(F.col("_clean"))).alias("a")).select("repo", "path", "_clean", "a.kind", "a.key")
+    # regexp_instr keeps the last compiled pattern.
+    hit = F.col("always") | ((F.col("regex") != "") & F.expr("regexp_instr(_clean, regex) > 0"))
+    return keys.join(rule_index(rules), ["repo", "kind", "key"]).where(hit).select("repo", "path").distinct()
 
 
 def exclude_paths(
@@ -113,25 +156,18 @@ def exclude_paths(
 ) -> DataFrame:
     """Files not removed by default, user or ignore-file patterns.
 
-    Default and user patterns are plain predicates.  Ignore-file patterns are joined as one row per
-    repository on ``repo``, so no pattern is compared with the files of another repository.  That side is
-    broadcast when its measured size allows, which leaves the texts where they are.
+    Default and user patterns are plain predicates.  What ignore-file patterns remove is found among the keys alone, and
+    taken out by an anti join whose way the optimizer chooses; building the plan runs no job.
     """
     kept = files.where(~is_excluded([*defaults, *(user or [])]))
-    if rules is None:
-        return kept
-    joined = kept.join(broadcast_if_small(repository_filters(rules)), "repo", "left")
-    # regexp_instr keeps the last compiled pattern, and files of one repository tend to arrive together.
-    hit = F.expr(f"regexp_instr({_PATH}, ignored) > 0")
-    return joined.where(F.col("ignored").isNull() | ~hit).drop("ignored")
+    return kept if rules is None else kept.join(ignored_paths(kept, rules), ["repo", "path"], "left_anti")
 
 
 def excluded_paths(files: DataFrame, rules: DataFrame, user: list[str] | None = None) -> DataFrame:
     """The removed paths and which kind of pattern removed them (first of default, ignore file, user)."""
-    joined = files.select("repo", "path").join(repository_filters(rules), "repo", "left")
-    origin = F.when(is_excluded(DEFAULT_EXCLUSIONS), "default").when(
-        F.expr(f"regexp_instr({_PATH}, ignored) > 0"), "ignore_file"
-    )
+    keys = files.select("repo", "path")
+    joined = keys.join(ignored_paths(keys, rules).withColumn("_ignored", F.lit(True)), ["repo", "path"], "left")
+    origin = F.when(is_excluded(DEFAULT_EXCLUSIONS), "default").when(F.col("_ignored"), "ignore_file")
     if user:
         origin = origin.when(is_excluded(user), "user")
     return joined.select("repo", "path", origin.alias("origin")).where(F.col("origin").isNotNull())

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpus_audit.functions import paths as P
-from corpus_audit.operators.joins import broadcast_if_small
 
 FILES_SCHEMA = T.StructType(
     [
@@ -63,9 +62,10 @@ def select_by_glob(files: DataFrame, globs: list[str] = P.DEFAULT_INCLUDES) -> D
 def select_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """Only the listed (repo, path) rows; paths that do not exist are dropped.
 
-    A list of moderate size is broadcast after its size was measured, so texts are filtered in place.
+    A list that the optimizer knows to be short is broadcast and texts are filtered in place, else both sides are joined
+    by key.
     """
-    return files.join(broadcast_if_small(wanted.select("repo", "path")), ["repo", "path"], "left_semi")
+    return files.join(wanted.select("repo", "path"), ["repo", "path"], "left_semi")
 
 
 def listed_and_found(files: DataFrame, wanted: DataFrame) -> DataFrame:

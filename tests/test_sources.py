@@ -1,8 +1,12 @@
 """Reading files, exclusions, manifests, settings text and writing reports."""
 
+import random
+import re
+
+from pyspark.sql import functions as F
+
 from corpus_audit.operators import rollup
 from corpus_audit.operators.detect import detect
-from corpus_audit.operators.joins import broadcast_if_small
 from corpus_audit.operators.quality_rules import SMELLS
 from corpus_audit.sources import config, exclusions, manifests, reports
 from corpus_audit.sources import files as S
@@ -61,11 +65,36 @@ def test_rules_stay_in_their_repository(files):
     assert summary == {"a": (20, 1, 21), "b": (20, 0, 20)}
 
 
-def test_beyond_the_broadcast_limit_the_join_shuffles(files):
-    table = files({f"p{i}": "x" * 100 for i in range(100)})
-    hinted = broadcast_if_small(table)._jdf.queryExecution().analyzed().toString()
-    plain = broadcast_if_small(table, limit=1000)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in hinted and "ResolvedHint" not in plain
+PIECES = ["a", "b.js", "*", "**", "?", "a*", "*.js", "**/", "/", "c.min.js", ".d", "+("]
+
+
+def test_indexed_rules_equal_each_pattern_alone(spark, files):
+    """Anchors lose nothing: every pattern removes what its regex matches."""
+    rng = random.Random(4)
+    patterns = sorted({"".join(rng.choice(PIECES) + rng.choice(["", "/"]) for _ in range(rng.randrange(1, 4))) for _ in range(150)} - {""})
+    names = ["a", "b.js", "c.min.js", ".d", "xa", "a.js", "ab", "+(", "js"]
+    paths = sorted({"/".join(rng.choice(names) for _ in range(rng.randrange(1, 4))) for _ in range(120)} | {"a\\b.js", "a//a", "/a"})
+    rows = spark.createDataFrame([(p,) for p in patterns], "pattern string").select("pattern", F.expr(exclusions.exclusion_regex("pattern")).alias("regex"))
+    regexes = {r["pattern"]: re.compile(r["regex"]) for r in rows.collect()}
+    table = files([(f"r{k}", path, "") for k in range(len(patterns)) for path in paths])
+    rules = spark.createDataFrame([(f"r{k}", 1, 0, p) for k, p in enumerate(patterns)], "repo string, file_rank int, pos int, pattern string")
+    got = {(r["repo"], r["path"]) for r in exclusions.ignored_paths(table, rules).collect()}
+    assert got == {(f"r{k}", path) for k, p in enumerate(patterns) for path in paths if regexes[p].search(path.replace("\\", "/"))}
+
+
+def test_exclusions_run_no_job_before_the_sink_and_join_no_text(spark, files, tmp_path):
+    files([("hot" if k % 3 == 0 else f"r{k % 9}", f"src/f{k}.js", "text " * k) for k in range(300)] + [("hot", ".gitignore", "src/f1*\n*.ts\nf9.js")]).write.parquet(f"{tmp_path}/f")
+    table = spark.read.parquet(f"{tmp_path}/f")
+    spark.sparkContext.setJobGroup("plans", "building plans")
+    kept = exclusions.exclude_paths(table, exclusions.ignore_rules(table), ["*.log"])
+    listed = S.select_files(table, table.where("path LIKE '%3.js'").select("repo", "path"))
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("plans")) == []
+    left = {r["path"] for r in kept.where("repo = 'hot'").collect()}
+    assert left == {".gitignore", *(f"src/f{k}.js" for k in range(0, 300, 3) if not f"f{k}".startswith("f1") and k != 9)}
+    assert listed.count() == 30
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = exclusions.ignored_paths(table, exclusions.ignore_rules(table)).select("path")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReadSchema: struct<repo:string,path:string>") == 1
 
 
 def test_manifests(files):
