@@ -40,7 +40,6 @@ SIDE_EFFECTS = [
     r"import\s+.*from",
 ]
 LOCAL_STATE = r"(let|var)\s+\w+"
-UNCLOSED_BODY = 500
 LONG_FUNCTION, LARGE_FUNCTION = 20, 30
 HEAD_CHARS = 50
 CLASSES = r"(?:export\s+)?class\s+(\w+)"
@@ -153,8 +152,11 @@ class HeadFinder:
 
 
 _BODY_HEADS, _SIZED_HEADS, _ARROW_HEADS = HeadFinder(BODY_HEADS), HeadFinder(SIZED_HEADS), HeadFinder(ARROW_HEADS)
-_EFFECT = _compile("|".join(SIDE_EFFECTS))
-_LOCAL = _compile(LOCAL_STATE)
+# An import is found apart: what follows it may be a whole line.
+_IMPORT = re.compile(r"import\s++", re.ASCII)
+_EFFECT = _compile("|".join(p for p in SIDE_EFFECTS if not p.startswith("import")))
+_LOCAL = _compile(f"(?=({LOCAL_STATE.removesuffix('+')}))")  # the shortest match; one may start inside another
+_RETURN, _THIS = re.compile("return"), re.compile(r"this\.")
 _BRACES_AND_QUOTES = re.compile(r"[\"'`{}]")
 
 
@@ -162,11 +164,11 @@ class BodyFinder:
     """Ends of brace-delimited bodies in one text, strings skipped, in one backward pass.
 
     ``end(start)`` is the position after the ``}`` that first brings the brace count from ``start`` back to
-    zero, or a fixed window when there is none.
+    zero; where there is none, the end of the text, or ``unclosed`` characters further.
     """
 
-    def __init__(self, text: str):
-        self.text = text
+    def __init__(self, text: str, unclosed: int | None = None):
+        self.text, self.unclosed = text, unclosed
         self.at = [m.start() for m in _BRACES_AND_QUOTES.finditer(text)]
         n = len(self.at)
         self.next = [n] * (n + 1)  # following token outside strings
@@ -207,40 +209,77 @@ class BodyFinder:
     def end(self, start: int) -> int:
         first = bisect_left(self.at, start)
         closed = self.close[first] if first < len(self.at) else -1
-        return self.at[closed] + 1 if closed >= 0 else min(start + UNCLOSED_BODY, len(self.text))
+        if closed >= 0:
+            return self.at[closed] + 1
+        return len(self.text) if self.unclosed is None else min(start + self.unclosed, len(self.text))
+
+
+class Occurrences:
+    """Places of a mark, with a look-up of whether one lies within a span.
+
+    ``found``: start and end of the shortest match at each place where the mark starts, in order.  Of all matches from
+    a place on, the least end is kept, so a look-up is one bisection, however many spans hold the same matches.
+    """
+
+    def __init__(self, found: list[tuple[int, int]]):
+        self.starts = [a for a, _ in found]
+        self.ends = [z for _, z in found]
+        for k in range(len(found) - 2, -1, -1):
+            self.ends[k] = min(self.ends[k], self.ends[k + 1])
+
+    def within(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, start)
+        return k < len(self.starts) and self.ends[k] <= end
+
+
+def _spans_of(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
+    return [m.span(m.re.groups and 1) for m in pattern.finditer(text)]
 
 
-def body_facts(text: str) -> list[dict]:
+def _imports(text: str) -> list[tuple[int, int]]:
+    """Each ``import`` with the next ``from`` of the line that follows its blanks."""
+    if "import" not in text:
+        return []
+    sources, breaks, out = [m.start() for m in re.finditer("from", text)], [m.start() for m in re.finditer(f"[{_NL}]", text)], []
+    for m in _IMPORT.finditer(text):
+        k, j = bisect_left(sources, m.end()), bisect_left(breaks, m.end())
+        if k < len(sources) and (j == len(breaks) or sources[k] < breaks[j]):
+            out.append((m.start(), sources[k] + len("from")))
+    return out
+
+
+def body_facts(text: str, unclosed: int | None = None) -> list[dict]:
     """What the body of every function-like match holds."""
-    if text is None:
+    if text is None or not (heads := list(_BODY_HEADS.find(text, Parentheses(text)))):
         return []
-    finder, out = BodyFinder(text), []
-    for start, _, _ in _BODY_HEADS.find(text, Parentheses(text)):
+    finder, out = BodyFinder(text, unclosed), []
+    effects = Occurrences(sorted(_spans_of(_EFFECT, text) + _imports(text)))
+    returns, this, local = (Occurrences(_spans_of(p, text)) for p in (_RETURN, _THIS, _LOCAL))
+    for start, _, _ in heads:
         end = finder.end(start)
         out.append(
             {
-                "has_effect": _EFFECT.search(text, start, end) is not None,
-                "returns": text.find("return", start, end) >= 0,
-                "uses_this": text.find("this.", start, end) >= 0,
-                "has_local_state": _LOCAL.search(text, start, end) is not None,
+                "has_effect": effects.within(start, end),
+                "returns": returns.within(start, end),
+                "uses_this": this.within(start, end),
+                "has_local_state": local.within(start, end),
             }
         )
     return out
 
 
-def function_spans(text: str) -> list[dict]:
+def function_spans(text: str, unclosed: int | None = None) -> list[dict]:
     """Head, first line and line count of every function-like match."""
-    if text is None:
+    if text is None or not (heads := list(_SIZED_HEADS.find(text, Parentheses(text)))):
         return []
-    finder, out, line, seen = BodyFinder(text), [], 1, 0
-    for start, end, _ in _SIZED_HEADS.find(text, Parentheses(text)):
-        line += text.count("\n", seen, start)
-        seen = start
+    finder, out, newlines = BodyFinder(text, unclosed), [], [m.start() for m in re.finditer("\n", text)]
+    for start, end, _ in heads:
+        before = bisect_left(newlines, start)
         out.append(
             {
                 "head": text[start : min(end, start + HEAD_CHARS)],
-                "line": line,
-                "lines": text.count("\n", start, finder.end(start)) + 1,
+                "line": before + 1,
+                "lines": bisect_left(newlines, finder.end(start)) - before + 1,
             }
         )
     return out
@@ -387,14 +426,12 @@ _SYMBOLS = _struct(
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@F.pandas_udf(_FACTS)
-def _body_facts(content: pd.Series) -> pd.Series:
-    return content.map(body_facts, na_action=None)
-
+def _per_text(fn, kind: T.DataType, unclosed: int | None):
+    @F.pandas_udf(kind)
+    def each(content: pd.Series) -> pd.Series:
+        return content.map(lambda text: fn(text, unclosed), na_action=None)
 
-@F.pandas_udf(_SPANS)
-def _function_spans(content: pd.Series) -> pd.Series:
-    return content.map(function_spans, na_action=None)
+    return each
 
 
 @F.pandas_udf(_SYMBOLS)
@@ -410,10 +447,12 @@ def _candidate(content: str, *marks: str) -> Column:
 _HEAD_MARKS = ["{", "function", "=>"]
 
 
-def function_purity(files: DataFrame) -> DataFrame:
-    """Functions with side effects, pure ones and the rest, per repository."""
+def function_purity(files: DataFrame, unclosed: int | None = None) -> DataFrame:
+    """Functions with side effects, pure ones and the rest, per repository.
+
+    A body that is never closed is judged up to the end of its text, or ``unclosed`` characters of it."""
     facts = files.where(P.is_style_source(F.col("path"))).select(
-        "repo", F.explode(_body_facts(_candidate("content", *_HEAD_MARKS))).alias("f")
+        "repo", F.explode(_per_text(body_facts, _FACTS, unclosed)(_candidate("content", *_HEAD_MARKS))).alias("f")
     )
     effect = F.col("f.has_effect")
     pure = ~effect & F.col("f.returns") & ~F.col("f.uses_this") & ~F.col("f.has_local_state")
@@ -436,11 +475,13 @@ def side_effect_ratio(purity: DataFrame) -> DataFrame:
     )
 
 
-def function_sizes(files: DataFrame, longer_than: int = LONG_FUNCTION) -> DataFrame:
-    """Functions spanning more than ``longer_than`` lines, the very long ones marked."""
+def function_sizes(files: DataFrame, longer_than: int = LONG_FUNCTION, unclosed: int | None = None) -> DataFrame:
+    """Functions spanning more than ``longer_than`` lines, the very long ones marked.
+
+    A body that is never closed reaches to the end of its text, or ``unclosed`` characters far."""
     return (
         files.where(P.is_style_source(F.col("path")))
-        .select("repo", "path", F.explode(_function_spans(_candidate("content", *_HEAD_MARKS))).alias("f"))
+        .select("repo", "path", F.explode(_per_text(function_spans, _SPANS, unclosed)(_candidate("content", *_HEAD_MARKS))).alias("f"))
         .select("repo", "path", "f.head", "f.line", "f.lines")
         .where(F.col("lines") > longer_than)
         .withColumn("is_large", F.col("lines") > LARGE_FUNCTION)

@@ -125,7 +125,7 @@ def bodies(pattern: str) -> str:
         "GROUP BY h.repo, h.path, h.start), "
         f"ends AS (SELECT *, CASE WHEN t IS NULL THEN 0 ELSE {_FOLD} END AS e FROM behind), "
         "bodies AS MATERIALIZED (SELECT repo, path, whole, start, content, "
-        f"substr(content, start + 1, CASE WHEN e > 0 THEN e - start ELSE {spans.UNCLOSED_BODY} END) AS body FROM ends)"
+        "substr(content, start + 1, CASE WHEN e > 0 THEN e - start ELSE length(content) END) AS body FROM ends)"
     )
 
 
