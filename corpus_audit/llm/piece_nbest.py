@@ -33,10 +33,10 @@ from corpus_audit.llm.common import text_batches
 N_BEST = 4
 SCALE = 1 << 16
 BYTE_PENALTY = 10
-CACHED_BYTES = 64 << 20  # of known units, in each of two generations
+CACHED_BYTES = 24 << 20  # of known units, in each of two generations
 SEARCHED_UNITS = 10_000  # whose N best are kept
 UNIT_BYTES = 350  # that a known unit takes besides its letters and ids
-ROWS_AT_ONCE = 256  # their segmentations are held together
+ROWS_AT_ONCE = 64  # their segmentations are held together
 LONG_KEY = 64  # longer units are known for one batch alone, and passed one by one
 GAP = "▁"
 NONE = -(1 << 62)  # the score of no path
