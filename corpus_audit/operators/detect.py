@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_audit.operators.metrics import computed_once
@@ -44,18 +44,20 @@ def _issue(family: Family, rule: Rule, scope: str) -> str:
     )
 
 
-def detect(files: DataFrame, *families: Family) -> DataFrame:
-    """Issue rows of ``families`` in one pass over the text.
+def _scopes(families) -> dict[object, str]:
+    """The path predicates of the families, each with the name of its flag column."""
+    return {scope: f"_scope{i}" for i, scope in enumerate(dict.fromkeys(f.applies_to for f in families))}
+
+
+def measure(files: DataFrame, *families: Family, **facts: Column) -> DataFrame:
+    """One row per file that a family applies to or a fact holds for, without its text: repo, path, the families'
+    features, and ``facts``, named boolean expressions over the path and content of any file.
 
-    Every feature is one expression guarded by the path predicate of the families that need it, so a file
-    is read once however many families run.  Nothing is shuffled: a file becomes its feature columns, and
-    those become issue rows.
+    Every feature is one expression guarded by the path predicate of the families that need it, so a file is read once
+    however many families run.  Nothing is shuffled.
     """
     path, content = F.col("path"), F.col("content")
-    scopes = list(dict.fromkeys(f.applies_to for f in families))
-    names = [f"_scope{i}" for i in range(len(scopes))]
-    flag_of = dict(zip(scopes, names))
-
+    flag_of = _scopes(families)
     wanted: dict[str, tuple[object, list[str]]] = {}
     for family in families:
         for name, feature in family.features.items():
@@ -64,19 +66,16 @@ def detect(files: DataFrame, *families: Family) -> DataFrame:
                 raise ValueError(f"feature {name!r} has two definitions")
             if flag_of[family.applies_to] not in needed_by:
                 needed_by.append(flag_of[family.applies_to])
+    marked = files.select("repo", "path", "content", *[scope(path).alias(name) for scope, name in flag_of.items()])
+    if not facts:
+        marked = marked.where(" OR ".join(flag_of.values()))
+    features = [F.when(F.expr(" OR ".join(needed_by)), feature.column(content)).alias(name) for name, (feature, needed_by) in wanted.items()]
+    return marked.select("repo", "path", *flag_of.values(), *features, *[F.coalesce(c, F.lit(False)).alias(n) for n, c in facts.items()])
 
-    in_scope = files.select(
-        "repo", "path", "content", *[scope(path).alias(name) for scope, name in flag_of.items()]
-    ).where(" OR ".join(names))
-    measured = in_scope.select(
-        "repo",
-        "path",
-        *names,
-        *[
-            F.when(F.expr(" OR ".join(needed_by)), feature.column(content)).alias(name)
-            for name, (feature, needed_by) in wanted.items()
-        ],
-    )
+
+def raise_issues(measured: DataFrame, *families: Family) -> DataFrame:
+    """Issue rows from :func:`measure`, other columns of which are dropped."""
+    flag_of = _scopes(families)
     raised = ", ".join(_issue(f, r, flag_of[f.applies_to]) for f in families for r in f.rules)
     issues = F.expr(f"array_compact(array({raised}))")
     # explode_outer keeps the optimizer from adding a size filter that evaluates every feature twice.
@@ -86,3 +85,9 @@ def detect(files: DataFrame, *families: Family) -> DataFrame:
         .where(F.col("rule_id").isNotNull())
         .select(*ISSUE_COLUMNS)
     )
+
+
+def detect(files: DataFrame, *families: Family) -> DataFrame:
+    """Issue rows of ``families`` in one pass over the text, without a shuffle: a file becomes its feature columns, and
+    those become issue rows."""
+    return raise_issues(measure(files, *families), *families)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpus_audit.functions import paths as P
 from corpus_audit.functions.patterns import Has, count_matches, matches, matches_any
 from corpus_audit.operators import security_rules as R
+from corpus_audit.operators.detect import measure, raise_issues
 from corpus_audit.operators.metrics import percentage, total
+from corpus_audit.operators.numbering import written
+from corpus_audit.operators.rules import Family
 
 
 # --- fixed values: project context, routes, advisories, secrets -------------------------------------
@@ -55,25 +58,27 @@ SEVERITIES = ["Critical", "High", "Medium", "Low"]
 # --- end of fixed values -------------------------------------------------------------------------------
 
 
-def project_context(files: DataFrame) -> DataFrame:
-    """Kind of project and deployment of every repository."""
-    code = P.is_code(F.col("path"))
-    code_or_json = P.matches_glob(F.col("path"), P.CODE_AND_JSON)
+def _context_facts() -> dict[str, Column]:
+    """What a file says about its repository, by its path and content."""
+    path, content = F.col("path"), F.col("content")
+    code = P.is_code(path)
 
     def entry(name: str):
-        value = F.get_json_object(F.col("content"), f"$.{name}")
+        value = F.get_json_object(content, f"$.{name}")
         return value.isNotNull() & ~value.isin("", "false", "0")
 
-    def any_file(condition):
-        return F.coalesce(F.bool_or(condition), F.lit(False))
+    return {
+        "_cli": P.matches_glob(path, P.CLI_FILES) | (code & matches(content, CLI_USE)),
+        "_web": P.matches_glob(path, P.WEB_FILES) | (code & matches(content, WEB_SERVER_USE)),
+        "_lib": (path == "package.json") & (entry("main") | entry("exports") | entry("module")),
+        "_docker": P.matches_glob(path, P.DOCKERFILES),
+        "_production": P.matches_glob(path, P.CODE_AND_JSON) & matches(content, PRODUCTION_USE),
+    }
 
-    facts = files.groupBy("repo").agg(
-        any_file(P.matches_glob(F.col("path"), P.CLI_FILES) | (code & matches(F.col("content"), CLI_USE))).alias("_cli"),
-        any_file(P.matches_glob(F.col("path"), P.WEB_FILES) | (code & matches(F.col("content"), WEB_SERVER_USE))).alias("_web"),
-        any_file((F.col("path") == "package.json") & (entry("main") | entry("exports") | entry("module"))).alias("_lib"),
-        any_file(P.matches_glob(F.col("path"), P.DOCKERFILES)).alias("_docker"),
-        any_file(code_or_json & matches(F.col("content"), PRODUCTION_USE)).alias("_production"),
-    )
+
+def _context(facts: DataFrame) -> DataFrame:
+    """Context of every repository from the facts of its files."""
+    known = facts.groupBy("repo").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in _context_facts()])
     kind = (
         F.when(F.col("_cli"), "cli-tool")
         .when(F.col("_web"), "web-service")
@@ -83,7 +88,7 @@ def project_context(files: DataFrame) -> DataFrame:
     deployment = (
         F.when(F.col("_docker"), "containerized").when(F.col("_production"), "production").otherwise("development")
     )
-    return facts.select("repo", kind.alias("project_type"), deployment.alias("deployment")).select(
+    return known.select("repo", kind.alias("project_type"), deployment.alias("deployment")).select(
         "repo",
         "project_type",
         "deployment",
@@ -92,6 +97,23 @@ def project_context(files: DataFrame) -> DataFrame:
     )
 
 
+def project_context(files: DataFrame) -> DataFrame:
+    """Kind of project and deployment of every repository."""
+    return _context(files.select("repo", *[c.alias(n) for n, c in _context_facts().items()]))
+
+
+def issues_in_context(files: DataFrame, *families: Family) -> DataFrame:
+    """Issues adjusted to the context of their repository, from one scan of the texts.
+
+    Features and context facts of every file are measured in the same pass and written as narrow rows.  The context, a row
+    a repository, is written too, so the optimizer knows its size: up to its limit it goes to the issue rows, beyond it
+    both sides are joined by repository.
+    """
+    measured = written(measure(files, *families, **_context_facts()), "measured")
+    context = written(_context(measured), "context")
+    return with_context(raise_issues(measured, *families), context)
+
+
 def with_context(issues: DataFrame, context: DataFrame) -> DataFrame:
     """Adjust severity and advice of security issues to the kind of project.
 

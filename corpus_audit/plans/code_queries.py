@@ -272,7 +272,7 @@ def all_issues(spark, sf):
 
 @query(
     "issues_by_label",
-    f"{ALL_CTE} i AS ({ALL_SQL}), d AS (SELECT doc_id, 'repo' || CAST(doc_id // {D.REPO_FILES} AS VARCHAR) AS repo, "
+    f"{ALL_CTE} i AS ({ALL_SQL}), d AS (SELECT doc_id, {D.REPO_SQL} AS repo, "
     f"replace(file, '@ID@', CAST(doc_id AS VARCHAR)) AS path FROM documents JOIN snip ON doc_id % {len(D.SNIPPETS)} = k) "
     "SELECT quality, type, count(*) AS issues FROM i JOIN d USING (repo, path) JOIN labels USING (doc_id) GROUP BY quality, type",
 )
@@ -332,8 +332,7 @@ _ADJUSTED = (
 
 @query("contextual_vulnerabilities", f"WITH {D.FILES_SQL}, {CONTEXT_SQL}, {SECURITY_CTE}, {_ADJUSTED} SELECT * FROM adjusted")
 def contextual_vulnerabilities(spark, sf):
-    files = D.files(spark, sf)
-    return security.with_context(detect(files, SECURITY), security.project_context(files))
+    return security.issues_in_context(D.files(spark, sf), SECURITY)
 
 
 _SEC = f"WITH {D.FILES_SQL}, {SECURITY_CTE}, i AS ({SECURITY_SQL}) "
@@ -346,9 +345,7 @@ _SEC = f"WITH {D.FILES_SQL}, {SECURITY_CTE}, i AS ({SECURITY_SQL}) "
     + " FROM adjusted WHERE polarity = 'issue' GROUP BY repo",
 )
 def severity_summary(spark, sf):
-    files = D.files(spark, sf)
-    found = security.with_context(detect(files, SECURITY), security.project_context(files))
-    return security.severity_summary(found)
+    return security.severity_summary(security.issues_in_context(D.files(spark, sf), SECURITY))
 
 
 @query("critical_vulnerabilities", _SEC + "SELECT repo, path, type, description FROM i WHERE polarity = 'issue' AND severity = 'Critical'")

@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from corpus_audit.plans.snippets import SNIPPETS
 
 REPO_FILES = 50  # documents per derived repository; below len(SNIPPETS), so no path repeats
+HOT = 3  # every third document, if its snippet's path names it, belongs to one large repository
+# Small repositories of their own, one for every so many documents: what they are, and their files.
+OWN = 40
+OWN_FILES = [
+    ("lib", "package.json", '{"name": "x@ID@", "main": "index.js"}'),
+    ("lib", "src/index.js", "export const add = (a, b) => a + b;\npassword = 'abcdefgh@ID@';\n"),
+    ("lib", "src/env.js", "const home = process.env.HOME;\n"),
+    ("svc", "src/server.js", "const app = express();\napp.listen(8080);\nconst password = 'abcdefgh@ID@';\n"),
+    ("svc", "src/env.js", "if (process.env.NODE_ENV === 'production') {\n  go(process.env.PORT);\n}\n"),
+    ("svc", "package.json", '{"name": "s@ID@", "dependencies": {"express": "4.0.0"}}'),
+]
 AS_OF = "2001-08-01 00:00:00"
 
 EXTENSIONS = ["js", "ts", "jsx", "tsx", "json", "md", "py", "png", "test.js", "vue"]
@@ -61,10 +72,19 @@ def _pick_sql(index: str, values: list[str]) -> str:
     return f"([{', '.join(_quote(v) for v in values)}])[({index}) + 1]"
 
 
+def _repo(file):
+    hot = (F.col("doc_id") % HOT == 0) & F.contains(file, F.lit("@ID@"))
+    return F.when(hot, "repohot").otherwise(F.concat(F.lit("repo"), F.floor(F.col("doc_id") / REPO_FILES).cast("string")))
+
+
+REPO_SQL = f"CASE WHEN doc_id % {HOT} = 0 AND contains(file, '@ID@') THEN 'repohot' ELSE 'repo' || CAST(doc_id // {REPO_FILES} AS VARCHAR) END"
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as source files: repo, path, content.
 
-    A document whose snippet cannot hold prose (a manifest, an ignore file) has a second file with its text.
+    A third of them are in one repository, the others in many small ones.  A document whose snippet cannot hold prose (a
+    manifest, an ignore file) has a second file with its text.  Some documents give a library and a service besides.
     """
     snippets = F.broadcast(
         spark.createDataFrame(
@@ -74,29 +94,37 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     number = F.col("doc_id").cast("string")
 
-    def filled(name: str):
-        return F.replace(F.col(name), F.lit("@ID@"), number)
+    def filled(column):
+        return F.replace(column, F.lit("@ID@"), number)
+
+    def file(repo, path, content):
+        return F.struct(repo.alias("repo"), path.alias("path"), content.alias("content"))
 
     prose = F.when(F.col("with_prose"), F.concat(F.lit("\n"), F.col("text"))).otherwise("")
-    snippet = F.struct(filled("file").alias("path"), F.concat(filled("snippet"), prose).alias("content"))
-    apart = F.struct(F.concat(F.lit("src/prose"), number, F.lit(".js")).alias("path"), F.col("text").alias("content"))
-    both = F.when(F.col("with_prose"), F.array(snippet)).otherwise(F.array(snippet, apart))
-    return docs.join(snippets, F.col("doc_id") % len(SNIPPETS) == F.col("k")).select(
-        F.concat(F.lit("repo"), F.floor(F.col("doc_id") / REPO_FILES).cast("string")).alias("repo"),
-        F.explode(both).alias("f"),
-    ).select("repo", "f.path", "f.content")
+    snippet = file(_repo(F.col("file")), filled(F.col("file")), F.concat(filled(F.col("snippet")), prose))
+    apart = file(
+        F.concat(F.lit("repo"), F.floor(F.col("doc_id") / REPO_FILES).cast("string")), F.concat(F.lit("src/prose"), number, F.lit(".js")), F.col("text")
+    )
+    own = F.array(*[file(F.concat(F.lit(kind), number), F.lit(path), filled(F.lit(content))) for kind, path, content in OWN_FILES])
+    every = F.concat(
+        F.array(snippet), F.when(F.col("with_prose"), F.array()).otherwise(F.array(apart)), F.when(F.col("doc_id") % OWN == 0, own).otherwise(F.array())
+    )
+    return docs.join(snippets, F.col("doc_id") % len(SNIPPETS) == F.col("k")).select(F.explode(every).alias("f")).select("f.repo", "f.path", "f.content")
 
 
 FILES_SQL = (
     "snip(k, file, snippet, with_prose) AS (VALUES "
     + ", ".join(f"({k}, {_quote(p)}, {_quote(s)}, {str(w).lower()})" for k, (p, s, w) in enumerate(SNIPPETS))
-    + f"), files AS MATERIALIZED (SELECT 'repo' || CAST(doc_id // {REPO_FILES} AS VARCHAR) AS repo, "
+    + "), own(kind, path, content) AS (VALUES "
+    + ", ".join(f"({_quote(kind)}, {_quote(p)}, {_quote(c)})" for kind, p, c in OWN_FILES)
+    + f"), files AS MATERIALIZED (SELECT {REPO_SQL} AS repo, "
     "replace(file, '@ID@', CAST(doc_id AS VARCHAR)) AS path, "
     "replace(snippet, '@ID@', CAST(doc_id AS VARCHAR)) || "
     "CASE WHEN with_prose THEN chr(10) || text ELSE '' END AS content "
     f"FROM documents JOIN snip ON doc_id % {len(SNIPPETS)} = k "
     f"UNION ALL SELECT 'repo' || CAST(doc_id // {REPO_FILES} AS VARCHAR), 'src/prose' || CAST(doc_id AS VARCHAR) || '.js', text "
-    f"FROM documents JOIN snip ON doc_id % {len(SNIPPETS)} = k WHERE NOT with_prose)"
+    f"FROM documents JOIN snip ON doc_id % {len(SNIPPETS)} = k WHERE NOT with_prose "
+    f"UNION ALL SELECT kind || CAST(doc_id AS VARCHAR), path, replace(content, '@ID@', CAST(doc_id AS VARCHAR)) FROM documents, own WHERE doc_id % {OWN} = 0)"
 )
 
 
@@ -277,7 +305,5 @@ def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     docs = _table(spark, sf_dir, "documents").select("doc_id")
     return docs.join(names, F.col("doc_id") % len(SNIPPETS) == F.col("k")).select(
-        "doc_id",
-        F.concat(F.lit("repo"), F.floor(F.col("doc_id") / REPO_FILES).cast("string")).alias("repo"),
-        F.replace("file", F.lit("@ID@"), F.col("doc_id").cast("string")).alias("path"),
+        "doc_id", _repo(F.col("file")).alias("repo"), F.replace("file", F.lit("@ID@"), F.col("doc_id").cast("string")).alias("path")
     )

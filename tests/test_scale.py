@@ -97,12 +97,21 @@ def test_hot_repository_results(stored):
     assert summary["hot"] == sum("eval" in c for r, _, c, _ in rows if r == "hot")
 
 
-def test_context_join_carries_no_text(stored):
+def test_context_takes_one_scan_of_the_texts_and_no_sort_of_issues(stored):
     files, _ = stored
-    plan = plan_of(security.with_context(detect(files, SECURITY), security.project_context(files)))
-    for line in plan.splitlines():
-        if "Exchange" in line:
-            assert "content" not in line
+    found = security.issues_in_context(files, SECURITY)
+    plan = plan_of(found)
+    assert "content" not in "".join(re.findall(r"ReadSchema: struct<([^>]*)>", plan))
+    assert "Sort" not in plan and "BroadcastHashJoin" in plan
+    apart = security.with_context(detect(files, SECURITY), security.project_context(files))
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in apart.collect()}
+
+
+def test_every_context_occurs(spark):
+    rows = {(r["project_type"], r["deployment"]) for r in QUERIES["project_context"](spark, SF).collect()}
+    assert {("library", "development"), ("web-service", "production"), ("cli-tool", "containerized")} <= rows
+    advice = {r["remediation"] for r in QUERIES["contextual_vulnerabilities"](spark, SF).where("type = 'Information Disclosure'").collect()}
+    assert advice == {security.R.SECRET_ADVICE, security.R.SECRET_ADVICE_CLI, security.R.SECRET_ADVICE_SERVICE}
 
 
 def test_repartitioning_changes_nothing(stored):
