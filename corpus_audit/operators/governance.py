@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_audit.functions import values as V
@@ -56,42 +56,40 @@ def sanitized(entries: DataFrame) -> DataFrame:
     )
 
 
-def required_key_check(entries: DataFrame, rules: list[dict], repos: DataFrame | None = None) -> DataFrame:
+RULE_SCHEMA = "key string, required boolean, min_length int, max_length int, pattern string"
+
+
+def rule_rows(spark: SparkSession, rules: list[dict]) -> DataFrame:
+    """A rules table from dicts with ``key`` and optionally ``required`` (default true), ``min_length``, ``max_length``, ``pattern``."""
+    rows = [(r["key"], r.get("required", True), r.get("min_length"), r.get("max_length"), r.get("pattern")) for r in rules]
+    return spark.createDataFrame(rows, RULE_SCHEMA)
+
+
+def required_key_check(entries: DataFrame, rules: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """State of every required key in every repository: ok, missing or why it is invalid.
 
-    ``entries`` holds one row per (repo, key).  ``rules`` are dicts with ``key`` and optionally
-    ``required`` (default true), ``min_length``, ``max_length`` and ``pattern``.  One aggregation collects
-    the values of the named keys; the rules are part of the plan.  ``repos`` (one or more rows for each ``repo``) adds
-    repositories without any entry, whose keys are all missing.
+    ``entries`` holds one row per (repo, key).  ``rules`` is a table of ``key, required, min_length, max_length, pattern``; a
+    null ``required`` is true, other nulls ask for nothing.  The result has a row for each repository and rule, so the
+    rules are spelled out for every repository; the plan is the same for any number of them.  Only entries with a named
+    key are joined.  ``repos`` (one or more rows for each ``repo``) adds repositories without any entry, whose keys are all
+    missing.
     """
-    if repos is not None:
-        # A row without key, so that one aggregation serves both.
-        bare = repos.select("repo", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
-        entries = entries.select("repo", "key", "value").unionByName(bare)
-    picked = entries.groupBy("repo").agg(
-        *[F.max(F.when(F.col("key") == r["key"], F.col("value"))).alias(f"_v{i}") for i, r in enumerate(rules)]
-    )
-
-    def state(rule: dict, value: Column) -> Column:
-        key = F.lit(rule["key"])
-        cleaned = V.clean_value(value)
-        out = F.when(F.coalesce(cleaned, F.lit("")) == "", "missing" if rule.get("required", True) else "ok")
-        out = out.when(V.must_be_url(key) & ~V.is_url(cleaned), "not a URL")
-        if rule.get("min_length"):
-            out = out.when(F.length(cleaned) < rule["min_length"], "too short")
-        if rule.get("max_length"):
-            out = out.when(F.length(cleaned) > rule["max_length"], "too long")
-        if rule.get("pattern"):
-            out = out.when(~F.rlike(cleaned, F.lit(rule["pattern"])), "pattern mismatch")
-        return out.otherwise("ok")
-
-    rows = F.array(
-        *[
-            F.struct(F.lit(r["key"]).alias("key"), state(r, F.col(f"_v{i}")).alias("state"))
-            for i, r in enumerate(rules)
-        ]
+    named = entries.select("repo", "key", "value")
+    known = named.select("repo") if repos is None else named.select("repo").union(repos.select("repo"))
+    one = F.struct(*[F.col(c.split()[0]) for c in RULE_SCHEMA.split(", ")])
+    asked = known.distinct().select("repo", F.explode(rules.agg(F.array_sort(F.collect_list(one))).scalar()).alias("rule")).select("repo", "rule.*")
+    held = named.join(rules.select("key").distinct(), "key", "left_semi").groupBy("repo", "key").agg(F.max("value").alias("value"))
+    key, cleaned = F.col("key"), V.clean_value(F.col("value"))
+    state = (
+        F.when((F.coalesce(cleaned, F.lit("")) == "") & F.coalesce("required", F.lit(True)), "missing")
+        .when(F.coalesce(cleaned, F.lit("")) == "", "ok")
+        .when(V.must_be_url(key) & ~V.is_url(cleaned), "not a URL")
+        .when(F.length(cleaned) < F.col("min_length"), "too short")
+        .when(F.length(cleaned) > F.col("max_length"), "too long")
+        .when(~F.rlike(cleaned, F.col("pattern")), "pattern mismatch")
+        .otherwise("ok")
     )
-    return picked.select("repo", F.explode(rows).alias("r")).select("repo", "r.key", "r.state")
+    return asked.join(held, ["repo", "key"], "left").select("repo", "key", state.alias("state"))
 
 
 def configuration_validity(checks: DataFrame) -> DataFrame:

@@ -225,24 +225,37 @@ def outdated_dependencies(dependencies: DataFrame) -> DataFrame:
     )
 
 
-def secrets_in(table: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
-    """Every secret-like match in a text column: type, risk and a snippet of at most 50 characters."""
-    content = F.col(text)
+def _occurrences(content: Column, pattern: str, kind: str, risk: str) -> Column:
+    """The matches of a pattern with their places, which follow from the lengths of what is between them."""
+    shift = 1 if pattern.startswith("[") else 0  # quotes around the text that is tested
+
+    def placed(found):
+        between = F.split(content, pattern)
+        sizes = F.zip_with(between, found, lambda a, b: F.struct(F.length(a).alias("gap"), F.coalesce(F.length(b), F.lit(0)).alias("size")))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        walked = F.aggregate(
+            sizes, start, lambda w, s: F.struct((w["at"] + s["gap"] + s["size"]).alias("at"), F.concat(w["out"], F.array(w["at"] + s["gap"])).alias("out"))
+        )
+        inner = lambda m: F.substr(m, F.lit(1 + shift), F.length(m) - 2 * shift)
+        rows = F.zip_with(
+            found, F.slice(walked["out"], 1, F.size(found)),
+            lambda m, at: F.struct(F.lit(kind).alias("type"), inner(m).alias("found"), (at + shift).alias("offset"), F.lit(risk).alias("risk")),
+        )
+        return F.when(F.size(found) > 0, rows)
 
-    def labelled(kind: str, risk: str):
-        return lambda m: F.struct(F.lit(kind).alias("type"), m.alias("found"), F.lit(risk).alias("risk"))
+    # Matches are bound to a variable, so that the text is searched once, and split only where something was found.
+    return F.get(F.transform(F.array(F.regexp_extract_all(content, F.lit(pattern), 0)), placed), 0)
 
-    found = [
-        F.transform(
-            F.regexp_extract_all(content, F.lit(pattern), 1 if pattern.startswith("[") else 0), labelled(kind, risk)
-        )
-        for pattern, kind, risk in SECRET_PATTERNS
-    ]
-    rows = table.select(*keys, F.explode_outer(F.concat(*found)).alias("s")).where(F.col("s.type").isNotNull())
+
+def secrets_in(table: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
+    """Every secret-like match in a text column: type, risk, where it starts (from 0), its length and SHA-256, and a snippet
+    of at most 50 characters.  Two secrets that begin alike differ in place and hash."""
+    every = [F.coalesce(_occurrences(F.col(text), *p), F.array()) for p in SECRET_PATTERNS]
+    rows = table.select(*keys, F.explode_outer(F.concat(*every)).alias("s")).where(F.col("s.type").isNotNull())
     snippet = F.concat(
         F.substring("s.found", 1, SNIPPET_CHARS), F.when(F.length("s.found") > SNIPPET_CHARS, "...").otherwise("")
     )
-    return rows.select(*keys, "s.type", snippet.alias("snippet"), "s.risk")
+    return rows.select(*keys, "s.type", snippet.alias("snippet"), "s.risk", "s.offset", F.length("s.found").alias("length"), F.sha2("s.found", 256).alias("sha256"))
 
 
 def find_secrets(files: DataFrame) -> DataFrame:

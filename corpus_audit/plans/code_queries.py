@@ -440,10 +440,12 @@ def _secrets_sql(keys: str, text: str, table: str, where: str = "true") -> str:
     parts = []
     for pattern, kind, risk in security.SECRET_PATTERNS:
         group = 1 if pattern.startswith("[") else 0
+        p = O.quote(O.re2(pattern))
         parts.append(
-            f"SELECT {keys}, {O.quote(kind)} AS type, substr(m, 1, 50) || CASE WHEN length(m) > 50 THEN '...' ELSE '' END AS snippet, "
-            f"{O.quote(risk)} AS risk FROM (SELECT {keys}, unnest(regexp_extract_all({text}, {O.quote(O.re2(pattern))}, {group})) AS m "
-            f"FROM {table} WHERE {where})"
+            f"SELECT {keys}, {O.quote(kind)} AS type, substr(found, 1, 50) || CASE WHEN length(found) > 50 THEN '...' ELSE '' END AS snippet, "
+            f"{O.quote(risk)} AS risk, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) "
+            f"+ {group} AS BIGINT) AS \"offset\", length(found) AS length, sha256(found) AS sha256 FROM (SELECT *, g[i] AS found FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i "
+            f"FROM (SELECT {keys}, regexp_extract_all({text}, {p}) AS m, regexp_extract_all({text}, {p}, {group}) AS g, string_split_regex({text}, {p}) AS s FROM {table} WHERE {where})))"
         )
     return " UNION ALL ".join(parts)
 
@@ -471,9 +473,9 @@ def secrets_by_source(spark, sf):
     return found.groupBy("source", "lang", "type").agg(F.count(F.lit(1)).alias("secrets"))
 
 
-@query("page_secrets", _secrets_sql("page_id", "html", "pages"))
+@query("page_secrets", f"WITH {D.PAGE_TEXTS_SQL} " + _secrets_sql("page_id", "html", "page_texts"))
 def page_secrets(spark, sf):
-    return security.secrets_in(spark.read.parquet(f"{sf}/pages.parquet"), ["page_id"], "html")
+    return security.secrets_in(D.page_texts(spark, sf), ["page_id"], "html")
 
 
 @query("env_files", f"WITH {D.FILES_SQL} SELECT repo, path FROM files WHERE {O.glob(P.ENV_FILES)}")

@@ -307,3 +307,26 @@ def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(names, F.col("doc_id") % len(SNIPPETS) == F.col("k")).select(
         "doc_id", _repo(F.col("file")).alias("repo"), F.replace("file", F.lit("@ID@"), F.col("doc_id").cast("string")).alias("path")
     )
+
+
+def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``repo`` of every file, from the keys of documents alone."""
+    number = F.col("doc_id")
+    kinds = list(dict.fromkeys(kind for kind, _, _ in OWN_FILES))
+    own = F.when(number % OWN == 0, F.array(*[F.concat(F.lit(k), number.cast("string")) for k in kinds])).otherwise(F.array())
+    bare = F.array(*[F.lit(k) for k, (_, _, with_prose) in enumerate(SNIPPETS) if not with_prose])
+    apart = F.array(F.concat(F.lit("repo"), F.floor(number / REPO_FILES).cast("string")))
+    apart = F.when(F.array_contains(bare, (number % len(SNIPPETS)).cast("int")), apart).otherwise(F.array())
+    return document_keys(spark, sf_dir).select(F.explode(F.concat(F.array("repo"), apart, own)).alias("repo"))
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` whose markup holds a script with keys on every fifth page: page_id, html."""
+    script = F.concat(F.lit('<script>var api_key = "'), F.md5("url"), F.lit('-key"; token: "'), F.md5("url"), F.md5("html"), F.lit('x"</script>'))
+    return _table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.when(F.col("page_id") % 5 == 0, script).otherwise("")).alias("html"))
+
+
+PAGE_TEXTS_SQL = (
+    "page_texts AS (SELECT page_id, html || CASE WHEN page_id % 5 = 0 THEN '<script>var api_key = \"' || md5(url) || '-key\"; token: \"' || md5(url) || md5(html) || "
+    "'x\"</script>' ELSE '' END AS html FROM pages)"
+)

@@ -125,6 +125,18 @@ def url_extensions(spark, sf):
 # ---- sources --------------------------------------------------------------------------------------------
 
 
+@query(
+    "loaded_files",
+    "SELECT table_name || '.parquet' AS path, 'parquet' AS extension, true AS has_content FROM information_schema.tables "
+    "WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', "
+    "'benchmark', 'labels', 'conversations')",
+)
+def loaded_files(spark, sf):
+    """The files of the given folder, listed without reading their contents."""
+    found = S.load_files(spark, sf)
+    return found.select("path", F.substring_index("path", ".", -1).alias("extension"), (F.col("size") > 0).alias("has_content"))
+
+
 @query("selected_files", f"{FILES} SELECT repo, path FROM files WHERE {O.glob(P.DEFAULT_INCLUDES)}")
 def selected_files(spark, sf):
     return S.select_by_glob(D.files(spark, sf)).select("repo", "path")
@@ -1033,7 +1045,7 @@ CHECKS_SQL = (
 
 @query("missing_required_keys", f"{ENTRIES}, {D.FILES_SQL}, {CHECKS_SQL} SELECT * FROM checks")
 def missing_required_keys(spark, sf):
-    return governance.required_key_check(_entries(spark, sf), REQUIRED, D.files(spark, sf).select("repo"))
+    return governance.required_key_check(_entries(spark, sf), governance.rule_rows(spark, REQUIRED), D.repositories(spark, sf))
 
 
 @query(

@@ -60,7 +60,7 @@ def test_values(spark):
 def test_required_keys(spark):
     entries = spark.createDataFrame([("r", "A", "abc"), ("r", "B", " "), ("s", "A", "a")], "repo string, key string, value string")
     rules = [{"key": "A", "min_length": 2}, {"key": "B"}, {"key": "C", "required": False}]
-    checks = governance.required_key_check(entries, rules)
+    checks = governance.required_key_check(entries, governance.rule_rows(spark, rules))
     assert {(r["repo"], r["key"]): r["state"] for r in checks.collect()} == {
         ("r", "A"): "ok", ("r", "B"): "missing", ("r", "C"): "ok", ("s", "A"): "too short", ("s", "B"): "missing", ("s", "C"): "ok",
     }
@@ -69,6 +69,32 @@ def test_required_keys(spark):
     }
 
 
+def test_the_number_of_key_rules_does_not_grow_the_plan(spark):
+    entries = spark.range(300).selectExpr("concat('r', id % 30) AS repo", "concat('K', id % 10) AS key", "cast(id AS STRING) AS value").distinct().groupBy("repo", "key").agg(F.max("value").alias("value"))
+    plans = []
+    for n in (2, 1000):
+        checks = governance.required_key_check(entries, governance.rule_rows(spark, [{"key": f"K{k}", "pattern": "^[0-9]+$"} for k in range(n)]))
+        assert checks.count() == 30 * n
+        plans.append(len(checks._jdf.queryExecution().optimizedPlan().toString()))
+    assert plans[1] < 1.2 * plans[0]
+    assert checks.where("state = 'ok'").count() == entries.count()
+
+
+def test_secrets_have_an_identity(files):
+    import hashlib
+
+    from corpus_audit.operators import security
+
+    one, two = "A" * 60 + "b", "A" * 60 + "c"
+    text = f"é = '{one}'\nx = \"{two}\"; password = 'abcdefgh'\npassword = 'abcdefgh'"
+    rows = security.find_secrets(files({"a.js": text, "b.js": "none"})).orderBy("offset").collect()
+    assert [(r["type"], r["offset"], r["length"]) for r in rows] == [
+        ("Base64 Token", text.index(one), 61), ("Base64 Token", text.index(two), 61),
+        ("Hardcoded Password", text.index("password"), 21), ("Hardcoded Password", text.rindex("password"), 21),
+    ]
+    assert len({r["snippet"] for r in rows[:2]}) == 1 and [r["sha256"] for r in rows[:2]] == [hashlib.sha256(x.encode()).hexdigest() for x in (one, two)]
+
+
 def test_sections(spark):
     texts = [
         "x ## Analysis Results\n body \n## Coordination y", "## Analysis Results\n tail ", "none",
