@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_audit.operators import numbering
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 LOWERED = str.maketrans(UPPER, LOWER)
@@ -21,15 +24,31 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower() if text.isascii() else text.translate(LOWERED)) if text else []
 
 
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(operator: str) -> dict:
+    """What an operator keeps in a worker process from batch to batch.
+
+    Workers outlive stages, and a pipeline's operators follow each other in the same ones: the first call of another
+    operator drops what was kept, and returns the memory."""
+    if operator not in _kept:
+        _kept.clear()
+        _kept[operator] = {}
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    return _kept[operator]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the session has none (tests), a new one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    """The folder of ``spark.checkpoint.dir``; a local session without one gets a new one, others an error."""
+    folder = numbering.shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -37,7 +56,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def text_batches(spark: SparkSession, rows: int = 512) -> None:
     """Have at most so many rows sent to Python at once: rows here are whole texts, and Spark's usual 10,000 of them
-    take hundreds of megabytes in each worker.  A smaller setting of the session stays."""
+    take hundreds of megabytes in each worker.  The session keeps the setting, as plans read it when they run; a smaller one
+    stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

@@ -12,59 +12,93 @@ through it.  Several blocks mean several passes, whose hits are united per docum
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_audit.llm.common import LOWERED, WORD, stored, text_batches, words_of
+from corpus_audit.llm.common import LOWERED, WORD, stored, text_batches, worker_cache, words_of
 
 WINDOW = 10
 MAX_COVERAGE = 0.8
-BLOCK_BYTES = 16 << 20  # of item texts in one automaton
+BLOCK_BYTES = 4 << 20  # of item texts in one automaton, which takes about 19 bytes for each in every worker
 
 
 class ItemAutomaton:
-    """Suffix automaton of several word sequences, with the items whose windows each state stands for."""
+    """Suffix automaton of several word sequences, with the items whose windows each state stands for.
+
+    Words are numbers, and states are places in arrays.  Most states have one move, held in two arrays; further moves are in
+    a dict of the few states that branch, and those of the root, one for each word, in an array.
+    """
 
     def __init__(self, items: list[tuple[str, list[str]]], window: int = WINDOW):
         self.window = window
-        self.next: list[dict[str, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        ends: list[tuple[int, int, int]] = []  # state, item, words up to there
+        self.number: dict[str, int] = {}  # of each word
+        self.root = array("i")  # by word
+        self.word, self.to = array("i", [-1]), array("i", [0])  # a state's first move
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        ends = array("i"), array("i"), array("i")  # state, item, words up to there
         self.items = [name for name, _ in items]
         for number, (_, words) in enumerate(items):
             state = 0
             for k, word in enumerate(words):
-                state = self._extend(state, word)
+                known = self.number.setdefault(word, len(self.number))
+                if known == len(self.root):
+                    self.root.append(-1)
+                state = self._extend(state, known)
                 if k + 1 >= window or k + 1 == len(words):
-                    ends.append((state, number, k + 1))
+                    for out, value in zip(ends, (state, number, k + 1)):
+                        out.append(value)
         self._name_states(ends, {n: len(words) for n, (_, words) in enumerate(items)})
 
-    def _state(self, length: int, link: int, moves: dict[str, int]) -> int:
-        self.next.append(moves)
+    def _move(self, state: int, word: int) -> int:
+        """-1 where there is none."""
+        if state == 0:
+            return self.root[word]
+        if self.word[state] == word:
+            return self.to[state]
+        return self.more[state].get(word, -1) if state in self.more else -1
+
+    def _set(self, state: int, word: int, target: int) -> None:
+        if state == 0:
+            self.root[word] = target
+        elif self.word[state] in (-1, word):
+            self.word[state], self.to[state] = word, target
+        else:
+            self.more.setdefault(state, {})[word] = target
+
+    def _state(self, length: int, link: int, like: int = -1) -> int:
+        """A new state, with the moves of ``like``."""
+        new = len(self.link)
         self.link.append(link)
         self.length.append(length)
-        return len(self.next) - 1
+        self.word.append(self.word[like] if like > 0 else -1)
+        self.to.append(self.to[like] if like > 0 else 0)
+        if like in self.more:
+            self.more[new] = dict(self.more[like])
+        return new
 
-    def _split(self, state: int, word: str) -> int:
+    def _split(self, state: int, word: int) -> int:
         """The state of exactly the longest run of ``state`` and ``word``; split off where it shares one."""
-        target = self.next[state][word]
+        target = self._move(state, word)
         if self.length[target] == self.length[state] + 1:
             return target
-        part = self._state(self.length[state] + 1, self.link[target], dict(self.next[target]))
+        part = self._state(self.length[state] + 1, self.link[target], target)
         self.link[target] = part
-        while state >= 0 and self.next[state].get(word) == target:
-            self.next[state][word] = part
+        while state >= 0 and self._move(state, word) == target:
+            self._set(state, word, part)
             state = self.link[state]
         return part
 
-    def _extend(self, last: int, word: str) -> int:
-        if word in self.next[last]:
+    def _extend(self, last: int, word: int) -> int:
+        if self._move(last, word) >= 0:
             return self._split(last, word)
-        new, state = self._state(self.length[last] + 1, 0, {}), last
-        while state >= 0 and word not in self.next[state]:
-            self.next[state][word] = new
+        new, state = self._state(self.length[last] + 1, 0), last
+        while state >= 0 and self._move(state, word) < 0:
+            self._set(state, word, new)
             state = self.link[state]
         if state >= 0:
             self.link[new] = self._split(state, word)
@@ -77,47 +111,58 @@ class ItemAutomaton:
         return state
 
     def _name_states(self, ends, sizes) -> None:
-        """``full``: state of a window -> items; ``short``: state of a whole short item -> (words, items);
-        ``near_short``: the nearest state at or above each that ``short`` has."""
-        full: dict[int, set[int]] = {}
+        """``only``: the item of a window's state, and ``several`` for those of more; ``short``: state of a whole short item ->
+        (words, items); ``near_short``: the nearest state at or above each that ``short`` has."""
+        self.only = array("i", [-1]) * len(self.link)
+        self.several: dict[int, set[int]] = {}
         short: dict[int, dict[int, set[int]]] = {}
-        for state, item, k in ends:
+        for state, item, k in zip(*ends):
             if k >= self.window:
-                full.setdefault(self._above(state, self.window), set()).add(item)
+                at = self._above(state, self.window)
+                if self.only[at] < 0:
+                    self.only[at] = item
+                elif self.only[at] != item:
+                    self.several.setdefault(at, {self.only[at]}).add(item)
             elif k == sizes[item]:
                 short.setdefault(self._above(state, k), {}).setdefault(k, set()).add(item)
-        self.full = {s: tuple(sorted(i)) for s, i in full.items()}
         self.short = {s: [(k, tuple(sorted(i))) for k, i in sorted(v.items())] for s, v in short.items()}
-        self.near_short = [-1] * len(self.next)
-        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+        self.near_short = array("i", [-1]) * len(self.link)
+        for state in np.argsort(np.frombuffer(self.length, np.int32), kind="stable")[1:].tolist() if self.short else ():
             self.near_short[state] = state if state in self.short else self.near_short[self.link[state]]
-        self.window_state = {}
+
+    def windows_of(self, state: int) -> set[int] | tuple[int, ...]:
+        """The items of the window that a state stands for."""
+        return self.several.get(state) or ((self.only[state],) if self.only[state] >= 0 else ())
 
     def match(self, words: list[str]) -> tuple[list[tuple[int, int]], set[int]]:
         """Hit word intervals (end not included, merged, ascending) and the items with occurring windows."""
-        following, link, length, window, near_short = self.next, self.link, self.length, self.window, self.near_short
+        number, root, first, to, more = self.number, self.root, self.word, self.to, self.more
+        link, length, window, near_short = self.link, self.length, self.window, self.near_short
         seen: set[int] = set()
         hits: list[tuple[int, int]] = []
         items: set[int] = set()
-        root, state, have = following[0], 0, 0
+        state = have = 0
         for at, word in enumerate(words):
-            if state == 0:
-                if word not in root:
-                    continue
-                state, have = root[word], 1
+            known = number.get(word, -1)
+            if known < 0:
+                state = have = 0
+                continue
+            while state:
+                if first[state] == known:
+                    state, have = to[state], have + 1
+                    break
+                if state in more and (target := more[state].get(known, -1)) >= 0:
+                    state, have = target, have + 1
+                    break
+                state = link[state]
+                have = length[state]
             else:
-                while state and word not in following[state]:
-                    state = link[state]
-                    have = length[state]
-                if word not in following[state]:
-                    state = have = 0
-                    continue
-                state, have = following[state][word], have + 1
+                state, have = root[known], 1
             if have >= window:
                 hits.append((at + 1 - window, at + 1))
                 if state not in seen:
                     seen.add(state)
-                    items.update(self.full.get(self._above(state, window), ()))
+                    items.update(self.windows_of(self._above(state, window)))
             short = near_short[state]
             while short > 0:
                 for k, names in self.short[short]:
@@ -151,15 +196,13 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[li
         yield block
 
 
-_built: dict[str, ItemAutomaton] = {}
-
-
 def _automaton(name: str, sent, window: int) -> ItemAutomaton:
     """The automaton of a broadcast block, built once in each worker; ``name`` is that of this block alone."""
-    if name not in _built:
-        _built.clear()
-        _built[name] = ItemAutomaton([(i, words_of(t)) for i, t in sent.value], window)
-    return _built[name]
+    known = worker_cache("decontaminate")
+    if name not in known:
+        known.clear()
+        known[name] = ItemAutomaton([(i, words_of(t)) for i, t in sent.value], window)
+    return known[name]
 
 
 def _block_hits(docs: DataFrame, block: list[tuple[str, str]], window: int) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_audit.llm.common import stored, text_batches
+from corpus_audit.llm.common import stored, text_batches, worker_cache
 from corpus_audit.llm.components import components
 
 SHINGLE = 3
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.drop("text", "fp").dtypes)
 
     def each(batches):
+        worker_cache("golay_simhash")
         for batch in batches:
             batch["fp"] = [fingerprint(t, shingle) for t in batch.pop("text")]
             yield batch
@@ -97,13 +98,11 @@ class GolayCode:
         return [np.unique(row) for row in self.index(words[:, None] ^ flips[None, :])]
 
 
-_code: GolayCode | None = None
-
-
 def golay() -> GolayCode:
-    global _code
-    _code = _code or GolayCode()
-    return _code
+    known = worker_cache("golay_simhash")
+    if "code" not in known:
+        known["code"] = GolayCode()
+    return known["code"]
 
 
 def _segments(fps: np.ndarray) -> list[np.ndarray]:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from corpus_audit.llm.common import text_batches
+from corpus_audit.llm.common import text_batches, worker_cache
 
 N_BEST = 4
 SCALE = 1 << 16
@@ -413,14 +413,12 @@ class PieceLattice:
         return "".join(out).replace(GAP, " ").removeprefix(" ")
 
 
-_lattices: dict[tuple[str, int], PieceLattice] = {}
-
-
 def lattice(model_file: str, n_best: int) -> PieceLattice:
     """One for each worker process."""
-    if (model_file, n_best) not in _lattices:
-        _lattices[model_file, n_best] = PieceLattice(model_file, n_best)
-    return _lattices[model_file, n_best]
+    known = worker_cache("piece_nbest")
+    if (model_file, n_best) not in known:
+        known[model_file, n_best] = PieceLattice(model_file, n_best)
+    return known[model_file, n_best]
 
 
 def segment(docs: DataFrame, model_file: str, n_best: int = N_BEST) -> DataFrame:

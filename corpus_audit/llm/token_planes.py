@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpus_audit.llm.common import open_files, put_file, run_folder, stored
+from corpus_audit.llm.common import open_files, put_file, run_folder, stored, worker_cache
 
 MARK = b"IDPLANES"
 BLOCK_IDS = 1 << 16
@@ -297,11 +297,9 @@ def _chain(first, rest):
     yield from rest
 
 
-_encoders: dict[str, WordwiseEncoder] = {}
-
-
 def _encoder(path: str) -> WordwiseEncoder:
     """One encoder for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = WordwiseEncoder(path)
-    return _encoders[path]
+    known = worker_cache("token_planes")
+    if path not in known:
+        known[path] = WordwiseEncoder(path)
+    return known[path]

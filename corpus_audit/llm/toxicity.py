@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_audit.llm.common import stored, text_batches, words_of
+from corpus_audit.llm.common import stored, text_batches, worker_cache, words_of
 
 FIT_ROWS = 20_000
 FEATURES = 160  # for each category at most
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[Category], fit_rows
     def each(batches):
         import pandas as pd
 
+        worker_cache("toxicity")
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
@@ -224,6 +225,7 @@ def score(docs: DataFrame, chain: list[Link]) -> DataFrame:
     def scored(texts):
         import pandas as pd
 
+        worker_cache("toxicity")
         seen: dict[frozenset, list[float]] = {}
         out = []
         for text in texts:

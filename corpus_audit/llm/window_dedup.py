@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_audit.llm.common import stored, text_batches
+from corpus_audit.llm.common import stored, text_batches, worker_cache
 
 WINDOW = 50
 BLOCK = 1 << 20  # windows hashed at a time in very long texts
@@ -35,15 +35,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
 
 def _power_table(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^0 .. base^n and the same of its inverse, modulo 2^64."""
-    have = _powers.get(int(base))
+    powers = worker_cache("window_dedup")
+    have = powers.get(int(base))
     if have is None or len(have[0]) <= n:
         size = max(n + 1, 1 << 15)
-        have = _powers[int(base)] = tuple(
+        have = powers[int(base)] = tuple(
             np.concatenate(([_U(1)], np.cumprod(np.full(size, b, np.uint64)))) for b in (base, _U(pow(int(base), -1, 1 << 64)))
         )
     return have
