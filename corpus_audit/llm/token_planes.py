@@ -45,7 +45,7 @@ class WordwiseEncoder:
 
     A byte-level tokenizer that splits by its usual pattern never joins what stands before a single space and
     after it, so texts are encoded in pieces cut before single spaces, and pieces seen lately are not encoded
-    again.  Texts with two white space characters in a row or with a special token, and all texts under other
+    again.  A single line end is a word of its own, so a piece over lines is made of what it has on each.  Texts with two white space characters in a row or with a special token, and all texts under other
     kinds of tokenizers, are encoded whole.
     """
 
@@ -60,55 +60,81 @@ class WordwiseEncoder:
         special = [t["content"] for t in made.get("added_tokens", [])]
         self.by_piece = self.by_piece and not any(re.search(r"\s", t) for t in special)
         # Pieces beside which a cut may not be one: empty ones, white space at an end or twice, special tokens.
+        self.letters_safe = not any(t.isalpha() or t[:-1].isalpha() for t in special)
         self.odd = re.compile("|".join([r"\A\Z", r"\A\s", r"\s\Z", r"\s\s", *map(re.escape, special)]))
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each token; a character each, as written
         if self.by_piece:
             for token, i in self.tokenizer.get_vocab().items():
                 self.lengths[i] = len(token)
-            self.marks = dict(zip(_MARKS, self._ids(list(_MARKS))))
+            self.marks = dict(zip(_MARKS, self._ids(list(_MARKS))))  # ids by mark
         self.cached = cached
-        # Ids of " " and a piece, None for odd pieces; the last used stay.
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-        self.long: list[str] = []  # pieces that are known for one call alone
+        # Ids of a blank or line end and a piece, None for odd pieces; the last used stay.
+        self.young: dict[str, dict[str, bytes | None]] = {" ": {}, "\n": {}}
+        self.old: dict[str, dict[str, bytes | None]] = {" ": {}, "\n": {}}
+        self.long: list[tuple[str, str]] = []  # pieces that are known for one call alone
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of " " and each piece, encoded as one text and cut by the bytes that the tokens stand for."""
+    def _ids_of_pieces(self, pieces: list[str], lead: str) -> list[bytes]:
+        """The ids of ``lead`` and each piece, encoded as one text and cut by the bytes that the tokens stand for."""
         if not pieces:
             return []
-        whole = self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids
+        whole = self.tokenizer.encode_batch_fast([lead + lead.join(pieces)], add_special_tokens=False)[0].ids
         ids = np.array(whole, "<u4")
-        ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in pieces])
+        ends = np.cumsum([len(p if p.isascii() else p.encode("utf-8", "surrogatepass")) + 1 for p in pieces])
         cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * 4
         data, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
         return [data[a:z] for a, z in zip(starts, cuts.tolist())]
 
-    def _know(self, pieces: set[str]) -> dict[str, bytes | None]:
-        """The ids of " " and each of these pieces, which are then among the young ones."""
-        young, old = self.young, self.old
-        for p in self.long:
-            young.pop(p, None)
-        if len(young) > self.cached:
-            old, young = self.old, self.young = young, {}
-        wanted = pieces.difference(young)
-        young.update((p, old[p]) for p in wanted if p in old)
-        missing = wanted.difference(old)
-        odd = [p for p in missing if self.odd.search(p)]
-        young.update(dict.fromkeys(odd))
-        missing.difference_update(odd)
-        # Letters and one mark behind them are always separate words to the tokenizer.
-        marked = [p for p in missing if p[-1] in _MARKS and p[:-1].isalpha()]
-        bases = {p[:-1] for p in marked}
-        again = [p for p in bases.difference(young) if p in old]
-        young.update((p, old[p]) for p in again)
-        new = list(missing.difference(marked).union(bases).difference(young))
-        young.update(zip(new, self._ids_of_pieces(new)))
-        young.update((p, young[p[:-1]] + self.marks[p[-1]]) for p in marked)
-        self.long = [p for p in [*new, *marked, *odd] if len(p) > LONG_PIECE]
-        return {p: young[p] for p in pieces}
+    def _forget(self) -> None:
+        for lead, p in self.long:
+            self.young[lead].pop(p, None)
+        self.long = []
+        for lead, known in self.young.items():
+            if len(known) > self.cached:
+                self.old[lead], self.young[lead] = known, {}
+
+    def _know(self, pieces, lead: str) -> dict[str, bytes | None]:
+        """The young pieces behind ``lead``, which then have the ids of all of these."""
+        young, old = self.young[lead], self.old[lead]
+        missing = []
+        for p in pieces:
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    missing.append(p)
+        new, marked, over_lines = [], [], []
+        for p in missing:
+            if p.isalpha() and self.letters_safe:
+                new.append(p)
+            elif p[-1:] in self.marks and p[:-1].isalpha() and self.letters_safe:
+                marked.append(p)  # letters and one mark behind them are always separate words to the tokenizer
+            elif self.odd.search(p):
+                young[p] = None
+            elif "\n" in p:
+                over_lines.append(p)
+            else:
+                new.append(p)
+        bases = {p[:-1] for p in marked}.difference(new)
+        for p in bases:
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    new.append(p)
+        young.update(zip(new, self._ids_of_pieces(new, lead)))
+        young.update([(p, young[p[:-1]] + self.marks[p[-1]]) for p in marked])
+        if over_lines:
+            cut = [p.split("\n") for p in over_lines]
+            self._know({first for first, *_ in cut}, lead)
+            lines = self._know({p for _, *rest in cut for p in rest}, "\n")
+            young.update((p, young[first] + b"".join([lines[x] for x in rest])) for p, (first, *rest) in zip(over_lines, cut))
+            # What such a piece is made of is known; the piece itself hardly comes again.
+            self.long += [(lead, p) for p in over_lines]
+        self.long += [(lead, p) for p in missing if len(p) > LONG_PIECE]
+        return young
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -116,7 +142,8 @@ class WordwiseEncoder:
             return self._ids(texts)
         cut = [text.split(" ") for text in texts]
         firsts = [parts.pop(0) for parts in cut]
-        find = self._know(set().union(*cut)).__getitem__
+        self._forget()
+        find = self._know(set().union(*cut), " ").__getitem__
         out, whole = [], []
         for n, (parts, first, ids) in enumerate(zip(cut, firsts, self._ids(firsts))):
             try:
