@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +25,13 @@ from corpus_audit.llm.common import lower_ascii, table
 QUERIES, ORACLES = {}, {}
 
 
+def tokenizer(name: str) -> str:
+    """The file of a public tokenizer, asked for by the queries that need one."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -39,7 +44,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_token_planes")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = token_planes.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    shards = token_planes.write_ids(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
     return token_planes.read_ids(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -80,7 +85,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), corpus_pipeline.CATEGORIES)
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, chain).drop("text")
     return scored.withColumn("rejected", F.col("p_toxic") >= toxicity.REJECT)
 
@@ -94,7 +99,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_piece_nbest")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = piece_nbest.segment(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    made = piece_nbest.segment(docs, tokenizer("piece_bpe_32k.model"))
     return made.select(
         "doc_id",
         F.transform("segmentations", lambda s: s["score"]).alias("scores"),
@@ -284,6 +289,3 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     return made.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
-
-
-query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -3,6 +3,7 @@
 import corpus_pipeline as P
 import pytest
 from corpus_audit.llm import common, decontaminate, piece_nbest, toxicity
+from corpus_audit.llm.queries import tokenizer
 from test_decontaminate import brute
 from test_golay_simhash import fingerprint, smallest_reachable
 from test_window_dedup import removed
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_run_equals_brute_force(spark):
     docs = common.table(spark, SF, "documents")
-    chain = toxicity.fit(docs, common.table(spark, SF, "labels"), P.CATEGORIES)
+    chain = toxicity.fit(docs, common.table(spark, SF, "labels"))
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     rows = {i: t for i, t in rows.items() if toxicity.chances(chain, toxicity.terms_of(t))[-1] < toxicity.REJECT}
     groups = smallest_reachable({i: {fingerprint(t)} for i, t in rows.items()})
@@ -21,7 +22,7 @@ def test_run_equals_brute_force(spark):
     for i, _, n_removed, words, text in removed(sorted(rows.items()), 50):
         kept[i] = (words, text if not n_removed else None)
     items = [(r["item_id"], r["text"]) for r in common.table(spark, SF, "benchmark").collect()]
-    lattice, want = piece_nbest.lattice(P.public_tokenizers.path("piece_bpe_32k.model"), piece_nbest.N_BEST), {}
+    lattice, want = piece_nbest.lattice(tokenizer("piece_bpe_32k.model"), piece_nbest.N_BEST), {}
     staged = docs
     for name, stage in P.STAGES:
         staged = common.stored(stage(spark, staged, SF), "test")

@@ -54,13 +54,73 @@ def test_logistic_weighs_rows():
     assert np.allclose(whole, T.logistic(x, y, np.array([30.0, 8.0, 2.0])), atol=1e-4)
 
 
+def direct_logistic(x, y, weight):
+    """Newton steps with the whole matrix."""
+    share = (weight @ y + 0.5) / (weight.sum() + 1)
+    w = np.zeros(x.shape[1])
+    w[-1] = np.log(share / (1 - share))
+    ridge = np.full(len(w), T.PENALTY)
+    ridge[-1] = 1e-3
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (y - p)) - ridge * w)
+        w = w + step * min(1, 2 / (np.abs(step).max() + 1e-12))
+    return w
+
+
+def test_chain_against_direct_version():
+    """Sparse rows and conjugate gradients give the weights of dense ones; earlier links are fed with what models said that
+    did not see the row."""
+    rng = np.random.default_rng(3)
+    terms = [f"t{k}" for k in range(12)]
+    held = [frozenset(t for t in terms if rng.random() < 0.25) for _ in range(150)]
+    weight, folds = rng.integers(1, 4, 150).astype(float), rng.integers(0, T.FOLDS, 150).astype(float)
+    targets = {"a": np.array([float("t1" in h or rng.random() < 0.1) for h in held]), "b": np.array([float(len(h) > 3) for h in held])}
+    targets["c"] = np.maximum(targets["a"], targets["b"])
+    features = {"a": terms[:6], "b": terms, "c": terms[3:]}
+    chain, earlier = T.fit_links(held, folds, weight, targets, features), []
+    for link, (name, y) in zip(chain, targets.items()):
+        x = np.column_stack([[[float(t in h) for t in features[name]] for h in held], *earlier, np.ones(150)])
+        want = direct_logistic(x, y, weight)
+        assert link.name == name and np.allclose([*link.terms.values(), *link.earlier, link.constant], want, atol=1e-3)
+        unseen = np.empty(150)
+        for k in range(T.FOLDS):
+            out = folds == k
+            unseen[out] = 1 / (1 + np.exp(-(x[out] @ direct_logistic(x[~out], y[~out], weight[~out]))))
+        earlier.append(unseen)
+    assert [len(link.earlier) for link in chain] == [0, 1, 2]
+
+
+def test_groups_share_terms():
+    held = [frozenset(f"{g}{k}" for k in range(3) if (n + k) % 4) for n in range(20) for g in "abc"] + [frozenset()] * 5
+    group = T.grouped(held, np.ones(len(held)))
+    assert set(group[-5:]) == {-1} and len({group[k] for k in range(3)}) == 3
+    assert all(group[k] == group[k % 3] for k in range(60))
+    assert set(T.grouped([frozenset("x")] * 4, np.ones(4))) == {0} and set(T.grouped([frozenset()], np.ones(1))) == {-1}
+
+
+def test_groups_are_links_before_the_label(spark):
+    docs, labels = table(spark, 1500, 2)
+    chain = T.fit(docs, labels)
+    assert [link.name for link in chain] == ["group_1", "group_2", "group_3", "toxic"] and len(chain[-1].earlier) == 3
+    scored = T.score(docs, chain).join(labels, "doc_id").collect()
+    assert sum((r["p_toxic"] >= T.REJECT) == bool(r["toxic"]) for r in scored) >= 0.99 * len(scored)
+
+
+def test_no_number_of_terms_is_a_limit(spark):
+    """More telling terms than any fixed number: all are features."""
+    rows = [(k, " ".join([f"bad{(k * 7 + j) % 400}" for j in range(60)] if k % 4 == 0 else [f"w{(k * 3 + j) % 500}" for j in range(60)])) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    chain = T.fit(docs, labels)
+    assert len({t for t in chain[-1].terms if not t.endswith("-")}) == 400
+
+
 def rejected(spark, folder, rows):
     """Rejected and all labelled toxic rows by language, and the same of all others, for the first labelled rows."""
-    import corpus_pipeline
-
     labels = spark.read.parquet(f"{folder}/labels.parquet").orderBy("doc_id").limit(rows)
     docs = spark.read.parquet(f"{folder}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
-    chain = T.fit(docs, labels, corpus_pipeline.CATEGORIES)
+    chain = T.fit(docs, labels)
     found = {}
     for r in T.score(docs, chain).join(labels, "doc_id").collect():
         gone, n = found.get((r["toxic"], r["lang"]), (0, 0))
