@@ -6,21 +6,12 @@ last return the same columns.  ``run`` writes each stage's result and reads it a
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_audit.llm import decontaminate, golay_simhash, piece_nbest, toxicity, window_dedup
 from corpus_audit.llm.common import stored, table
-
-#: Fixed choices of the toxicity stage: seed words name the categories, the models find their own words.
-CATEGORIES = [
-    toxicity.Category("insult", "toxic", frozenset("idiot moron stupid clown loser fool".split())),
-    toxicity.Category("contempt", "toxic", frozenset("trash scum worthless garbage".split())),
-    toxicity.Category("disgust", "toxic", frozenset("disgusting pathetic".split())),
-    toxicity.Category("toxic", "toxic"),
-]
-
+from corpus_audit.llm.queries import tokenizer
 
 def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
     """The columns of ``docs`` from ``changed``, with another text and its length."""
@@ -32,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose last category is at least ``toxicity.REJECT`` go; the model is fitted on the labels of ``docs``.
 
     Null and empty texts hold no term and stay; rows that repeat are judged alike."""
-    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), CATEGORIES)
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, chain).where(F.col("p_toxic") < toxicity.REJECT).select(*docs.columns)
 
 
@@ -62,7 +53,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_pieces, score, ids`` (little-endian 32-bit) of the best segmentation, ``other_scores`` of the next ones.  A
     null or empty text has no pieces and score 0."""
-    made = piece_nbest.segment(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    made = piece_nbest.segment(docs.select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
     best = F.col("segmentations")[0]
     others = F.transform(F.slice("segmentations", 2, piece_nbest.N_BEST), lambda s: s["score"])
     return made.select("doc_id", best["n_pieces"].alias("n_pieces"), best["score"].alias("score"), best["ids"].alias("ids"), others.alias("other_scores"))
