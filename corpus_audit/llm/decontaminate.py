@@ -16,6 +16,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,21 +206,38 @@ def _automaton(name: str, sent, window: int) -> ItemAutomaton:
     return known[name]
 
 
-def _block_hits(docs: DataFrame, block: list[tuple[str, str]], window: int) -> DataFrame:
+def _block_hits(docs: DataFrame, block: list[tuple[str, str]], window: int, united: bool) -> DataFrame:
+    """``docs`` with ``__hits``: ``n_words``, ``spans``, ``items`` and the text without the spans.
+
+    ``united``: ``docs`` has ``spans`` and ``items`` of other blocks, which are added.  One function does it all, so a
+    task keeps one Python process; it counts as not deterministic, so that later filters don't call it again."""
     sent, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-    @F.pandas_udf("n_words long, spans array<struct<start:int,end:int>>, items array<string>")
-    def hits(texts):
-        import pandas as pd
+    def row(automaton, text, spans, items):
+        words = words_of(text)
+        found, numbers = automaton.match(words)
+        names = {automaton.items[i] for i in numbers}.union(items)
+        if len(spans):
+            found = merged(_pairs(spans) + found)
+        return len(words), [{"start": a, "end": z} for a, z in found], sorted(names), without_words(text, found)
+
+    kind = "n_words long, spans array<struct<start:int,end:int>>, items array<string>, clean_text string"
+    names = ["n_words", "spans", "items", "clean_text"]
+    if united:
+
+        @F.pandas_udf(kind)
+        def more_hits(texts: pd.Series, spans: pd.Series, items: pd.Series) -> pd.DataFrame:
+            automaton = _automaton(name, sent, window)
+            return pd.DataFrame([row(automaton, *r) for r in zip(texts, spans, items)], columns=names)
 
-        automaton, out = _automaton(name, sent, window), []
-        for text in texts:
-            words = words_of(text)
-            spans, items = automaton.match(words)
-            out.append((len(words), [{"start": a, "end": z} for a, z in spans], sorted({automaton.items[i] for i in items})))
-        return pd.DataFrame(out, columns=["n_words", "spans", "items"])
+        return docs.withColumn("__hits", more_hits.asNondeterministic()("text", "spans", "items"))
 
-    return docs.withColumn("__hits", hits("text"))
+    @F.pandas_udf(kind)
+    def hits(texts: pd.Series) -> pd.DataFrame:
+        automaton = _automaton(name, sent, window)
+        return pd.DataFrame([row(automaton, text, (), ()) for text in texts], columns=names)
+
+    return docs.withColumn("__hits", hits.asNondeterministic()("text"))
 
 
 def without_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -238,26 +256,6 @@ def _pairs(spans) -> list[tuple[int, int]]:
     return [(s["start"], s["end"]) for s in spans]
 
 
-def _united(one: str, two: str):
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def united(one, two):
-        import pandas as pd
-
-        return pd.Series([[{"start": a, "end": z} for a, z in merged(_pairs(x) + _pairs(y))] for x, y in zip(one, two)])
-
-    return united(one, two)
-
-
-def _without(text: str, spans: str):
-    @F.pandas_udf("string")
-    def without(texts, spans):
-        import pandas as pd
-
-        return pd.Series([without_words(t, _pairs(s)) for t, s in zip(texts, spans)], dtype=object)
-
-    return without(text, spans)
-
-
 def mark_contamination(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -275,16 +273,12 @@ def mark_contamination(
     rows = docs.drop(*results)
     columns = rows.columns
     blocks = item_blocks(items.select("item_id", "text"), block_bytes)
-    marked = _block_hits(rows, next(blocks, []), window).select(*columns, "__hits.*")
+    marked = _block_hits(rows, next(blocks, []), window, united=False).select(*columns, "__hits.*")
     for block in blocks:  # the hits so far are stored, so that each pass holds one block
-        marked = stored(marked, "decontaminate")
-        more = _block_hits(marked, block, window)
-        marked = more.select(
-            *columns,
-            "n_words",
-            _united("spans", "__hits.spans").alias("spans"),
-            F.array_sort(F.array_union("items", "__hits.items")).alias("items"),
-        )
+        marked = stored(marked.drop("n_words", "clean_text"), "decontaminate")
+        marked = _block_hits(marked, block, window, united=True).select(*columns, "__hits.*")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     marked = marked.withColumn("n_hit", n_hit).withColumn("coverage", F.when(F.col("n_words") > 0, F.col("n_hit") / F.col("n_words")).otherwise(0.0))
-    return marked.withColumn("over_limit", F.col("coverage") > max_coverage).withColumn("clean_text", _without("text", "spans"))
+    return marked.withColumn("over_limit", F.col("coverage") > max_coverage).select(
+        *columns, "n_words", "spans", "n_hit", "items", "coverage", "over_limit", "clean_text"
+    )

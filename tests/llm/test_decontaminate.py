@@ -70,3 +70,10 @@ def test_random_texts():
             n, hit, names = brute(text, items, window)
             assert sorted(p for a, z in spans for p in range(a, z)) == hit, (text, items, window)
             assert sorted(automaton.items[i] for i in found) == names, (text, items, window)
+
+
+def test_texts_go_to_python_once(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    marked = D.mark_contamination(df, spark.createDataFrame([("i", "a b")], "item_id string, text string"))
+    plan = marked.where("NOT over_limit").select("doc_id", "clean_text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
