@@ -84,6 +84,19 @@ CONFIG_NAMES = [
 ]
 BINARY_EXTENSIONS = [".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".zip", ".tar", ".gz"]
 LARGE_REPOSITORY_FILES, MEDIUM_REPOSITORY_FILES, COMPACT_REPOSITORY_FILES = 100, 50, 10
+# What is noted: type and message.
+INSIGHTS = {
+    "sizes": ("fileSize", "%d large files detected (>100KB). These may need special attention during analysis."),
+    "large": ("scale", "Large repository: %d files. This is a substantial codebase."),
+    "small": ("scale", "Small repository: %d files. This is a compact codebase."),
+    "binary": ("binaryFiles", "%d binary files detected. These will be excluded from text analysis."),
+}
+# Above so many files: size, estimate, approach.
+SIZE_LABELS = [
+    (LARGE_REPOSITORY_FILES, "Large", "5-10 minutes", "Consider analyzing in phases or focusing on specific areas"),
+    (MEDIUM_REPOSITORY_FILES, "Medium", "2-5 minutes", "Full repository analysis recommended"),
+    (None, "Small", "1-2 minutes", "Full repository analysis recommended"),
+]
 LARGE_REPOSITORY_BYTES = 5 * 1024 * 1024
 TOP_FILES, RECENT_DAYS, SAMPLE_PATHS = 10, 30, 3
 # --- end of fixed values -------------------------------------------------------------------------------
@@ -291,65 +304,12 @@ def insights(stats: DataFrame) -> DataFrame:
     samples = first.groupBy("repo").agg(F.array_join(F.array_sort(F.collect_list("path")), ", ").alias("_sample"))
     files, large, binary = F.col("_files"), F.col("_large"), F.col("_binary")
 
-    def note(kind: str, message: Column, paths: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("type"), F.lit("info").alias("severity"), message.alias("message"), paths.alias("paths")
-        )
+    def note(kind: str, count: Column, paths: Column) -> Column:
+        return F.struct(F.lit(INSIGHTS[kind][0]).alias("type"), F.lit("info").alias("severity"), F.format_string(INSIGHTS[kind][1], count).alias("message"), paths.alias("paths"))
 
     none = F.lit(None).cast("string")
-    # --- fixed values: messages ------------------------------------------------------------------------
-    notes = F.array_compact(
-        F.array(
-            F.when(
-                large > 0,
-                note(
-                    "fileSize",
-                    F.concat(
-                        large.cast("string"),
-                        F.lit(
-                            " large files detected (>100KB). These may need special attention during analysis."
-                        ),
-                    ),
-                    F.col("_sample"),
-                ),
-            ),
-            F.when(
-                files > LARGE_REPOSITORY_FILES,
-                note(
-                    "scale",
-                    F.concat(
-                        F.lit("Large repository: "),
-                        files.cast("string"),
-                        F.lit(" files. This is a substantial codebase."),
-                    ),
-                    none,
-                ),
-            ).when(
-                files < COMPACT_REPOSITORY_FILES,
-                note(
-                    "scale",
-                    F.concat(
-                        F.lit("Small repository: "),
-                        files.cast("string"),
-                        F.lit(" files. This is a compact codebase."),
-                    ),
-                    none,
-                ),
-            ),
-            F.when(
-                binary > 0,
-                note(
-                    "binaryFiles",
-                    F.concat(
-                        binary.cast("string"),
-                        F.lit(" binary files detected. These will be excluded from text analysis."),
-                    ),
-                    none,
-                ),
-            ),
-        )
-    )
-    # --- end of fixed values -----------------------------------------------------------------------------
+    scale = F.when(files > LARGE_REPOSITORY_FILES, note("large", files, none)).when(files < COMPACT_REPOSITORY_FILES, note("small", files, none))
+    notes = F.array_compact(F.array(F.when(large > 0, note("sizes", large, F.col("_sample"))), scale, F.when(binary > 0, note("binary", binary, none))))
     return (
         counts.join(samples, "repo", "left")
         .select("repo", F.explode(notes).alias("i"))
@@ -475,20 +435,11 @@ def suggest_analyses(structure: DataFrame) -> DataFrame:
 
 def size_class(stats: DataFrame) -> DataFrame:
     """Large, Medium or Small by file count, with the time and approach labels."""
-    n = F.col("files")
-    big, middle = n > LARGE_REPOSITORY_FILES, n > MEDIUM_REPOSITORY_FILES
-    # --- fixed values: labels --------------------------------------------------------------------------
-    return (
-        stats.groupBy("repo")
-        .agg(F.count(F.lit(1)).alias("files"))
-        .select(
-            "repo",
-            "files",
-            F.when(big, "Large").when(middle, "Medium").otherwise("Small").alias("size"),
-            F.when(big, "5-10 minutes").when(middle, "2-5 minutes").otherwise("1-2 minutes").alias("estimate"),
-            F.when(big, "Consider analyzing in phases or focusing on specific areas")
-            .otherwise("Full repository analysis recommended")
-            .alias("approach"),
-        )
-    )
-    # --- end of fixed values -----------------------------------------------------------------------------
+    counted = stats.groupBy("repo").agg(F.count(F.lit(1)).alias("files"))
+
+    def label(k: int) -> Column:
+        """The label of the first size whose files are exceeded."""
+        *larger, (_, last) = [(least, labels[k]) for least, *labels in SIZE_LABELS]
+        return F.coalesce(*[F.when(F.col("files") > least, text) for least, text in larger], F.lit(last))
+
+    return counted.select("repo", "files", label(0).alias("size"), label(1).alias("estimate"), label(2).alias("approach"))

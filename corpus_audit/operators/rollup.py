@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,20 @@ PROMPT_HEADER = (
     "- Main language: %s\n- Has TypeScript: %s\n- Has tests: %s\n- Has API routes: %s\n\nFiles to analyze:\n"
 )
 NO_CONTENT = "[File content provided separately]"
+# Keyword rules: alternatives, each a list of word lists; of every list one word has to occur.
+CRITICAL_RULES = [
+    ([[["critical", "🚨"]]], "**{agent}**: Critical issues detected in analysis"),
+    ([[["security"], ["vulnerability", "injection"]]], "**SECURITY**: Potential security vulnerabilities found"),
+    ([[["no test"]], [["❌"], ["test"]]], "**QUALITY**: Testing coverage issues identified"),
+    ([[["no readme", "no documentation"]]], "**DOCUMENTATION**: Missing critical documentation"),
+]
+# By priority: category, action, alternatives in lower-cased sections, alternatives in sections as written, only for this agent.
+ACTION_RULES = [
+    ("Security", "Address critical security vulnerabilities", [[["critical"]]], [], "security"),
+    ("Quality", "Implement basic testing framework and tests", [[["no test"]]], [[["test"], ["❌"]]], None),
+    ("Documentation", "Create essential documentation (README, API docs)", [[["no readme", "documentation"]]], [], None),
+    ("Refactoring", "Refactor high-complexity code and address code smells", [[["complexity", "code smell"]]], [], None),
+]
 UNKNOWN_KIND, UNKNOWN_LANGUAGE = "Node.js", "JavaScript"
 TOOL_KEYWORDS = [
     ("ESLint", "ESLint for code quality"),
@@ -47,11 +64,20 @@ PART_LINES = 100  # issue lines in one part of a report
 PART_CHARS = 200_000  # characters of files in one part of a prompt
 
 
-def _has(text: Column, *words: str) -> Column:
-    out = F.contains(text, F.lit(words[0]))
-    for w in words[1:]:
-        out = out | F.contains(text, F.lit(w))
-    return out
+def _holds(text: Column, alternatives: list[list[list[str]]]) -> Column:
+    """Whether one of the alternatives holds: of each of its word lists, one word occurs."""
+
+    def one_of(words: list[str]) -> Column:
+        return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+
+    return reduce(or_, [reduce(and_, map(one_of, lists)) for lists in alternatives], F.lit(False))
+
+
+def _fired(collected: DataFrame, rules: list[tuple[Column, dict[str, Column]]]) -> DataFrame:
+    """A row of filled reports for each rule that holds: ``repo, agent, agent_pos``, the rule's ``number`` (from 1) and its columns."""
+    found = [F.when(holds, F.struct(F.lit(k).alias("number"), *[c.alias(n) for n, c in columns.items()])) for k, (holds, columns) in enumerate(rules, 1)]
+    rows = collected.where("has_content").select("repo", "agent", "agent_pos", F.explode_outer(F.array_compact(F.array(*found))).alias("f"))
+    return rows.where(F.col("f.number").isNotNull()).select("repo", "agent", "agent_pos", "f.*")
 
 
 # ---- issues ------------------------------------------------------------------------------------------
@@ -133,46 +159,9 @@ def collect_reports(reports: DataFrame, agents: list[str] = SYNTHESIS_AGENTS, ab
 def critical_findings(collected: DataFrame) -> DataFrame:
     """Keyword rules over report sections: one row per rule that fires, in report order."""
     text = F.lower("section")
-    # --- fixed values: critical keywords -----------------------------------------------------------------
-    found = F.array_compact(
-        F.array(
-            F.when(
-                _has(text, "critical", "🚨"),
-                F.struct(
-                    F.lit(1).alias("rule_pos"),
-                    F.concat(F.lit("**"), F.upper("agent"), F.lit("**: Critical issues detected in analysis")).alias("issue"),
-                ),
-            ),
-            F.when(
-                _has(text, "security") & _has(text, "vulnerability", "injection"),
-                F.struct(
-                    F.lit(2).alias("rule_pos"),
-                    F.lit("**SECURITY**: Potential security vulnerabilities found").alias("issue"),
-                ),
-            ),
-            F.when(
-                _has(text, "no test") | (_has(text, "❌") & _has(text, "test")),
-                F.struct(
-                    F.lit(3).alias("rule_pos"),
-                    F.lit("**QUALITY**: Testing coverage issues identified").alias("issue"),
-                ),
-            ),
-            F.when(
-                _has(text, "no readme", "no documentation"),
-                F.struct(
-                    F.lit(4).alias("rule_pos"),
-                    F.lit("**DOCUMENTATION**: Missing critical documentation").alias("issue"),
-                ),
-            ),
-        )
-    )
-    # --- end of fixed values -------------------------------------------------------------------------------
-    rows = collected.where("has_content").select("repo", "agent", "agent_pos", F.explode_outer(found).alias("f"))
-    order = Window.partitionBy("repo").orderBy("agent_pos", "f.rule_pos")
-    return (
-        rows.where(F.col("f.issue").isNotNull())
-        .select("repo", "agent", "f.issue", F.row_number().over(order).alias("position"))
-    )
+    rules = [(_holds(text, words), {"issue": F.replace(F.lit(message), F.lit("{agent}"), F.upper("agent"))}) for words, message in CRITICAL_RULES]
+    order = Window.partitionBy("repo").orderBy("agent_pos", "number")
+    return _fired(collected, rules).select("repo", "agent", "issue", F.row_number().over(order).alias("position"))
 
 
 def action_plan(collected: DataFrame) -> DataFrame:
@@ -180,54 +169,22 @@ def action_plan(collected: DataFrame) -> DataFrame:
 
     A repository has at most four actions per expected agent, so the numbering window stays small.
     """
-    section, lower = F.col("section"), F.lower("section")
-    # --- fixed values: action keywords -------------------------------------------------------------------
-    rules = [
-        (1, "Security", "Address critical security vulnerabilities", _has(lower, "critical") & (F.col("agent") == "security")),
-        (
-            2,
-            "Quality",
-            "Implement basic testing framework and tests",
-            _has(lower, "no test") | (_has(section, "test") & _has(section, "❌")),
-        ),
-        (
-            3,
-            "Documentation",
-            "Create essential documentation (README, API docs)",
-            _has(lower, "no readme", "documentation"),
-        ),
-        (
-            4,
-            "Refactoring",
-            "Refactor high-complexity code and address code smells",
-            _has(lower, "complexity", "code smell"),
-        ),
-    ]
-    # --- end of fixed values -------------------------------------------------------------------------------
-    found = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    condition,
-                    F.struct(
-                        F.lit(priority).alias("priority"), F.lit(category).alias("category"), F.lit(action).alias("action")
-                    ),
-                )
-                for priority, category, action, condition in rules
-            ]
-        )
-    )
-    rows = collected.where("has_content").select("repo", "agent", "agent_pos", F.explode_outer(found).alias("f"))
-    order = Window.partitionBy("repo").orderBy("f.priority", "agent_pos")
-    return rows.where(F.col("f.action").isNotNull()).select(
-        "repo", F.row_number().over(order).alias("position"), "f.priority", "f.category", "f.action", "agent"
+    rules = []
+    for category, action, lower, written, agent in ACTION_RULES:
+        holds = _holds(F.lower("section"), lower) | _holds(F.col("section"), written)
+        holds = holds if agent is None else holds & (F.col("agent") == agent)
+        rules.append((holds, {"category": F.lit(category), "action": F.lit(action)}))
+    order = Window.partitionBy("repo").orderBy("number", "agent_pos")
+    return _fired(collected, rules).select(
+        "repo", F.row_number().over(order).alias("position"), F.col("number").alias("priority"), "category", "action", "agent"
     )
 
 
+
 def tool_recommendations(collected: DataFrame) -> DataFrame:
     """Tools named in any section of a repository, once each."""
     tools = F.array_compact(
-        F.array(*[F.when(_has(F.col("section"), word), F.lit(tool)) for word, tool in TOOL_KEYWORDS])
+        F.array(*[F.when(F.contains("section", F.lit(word)), F.lit(tool)) for word, tool in TOOL_KEYWORDS])
     )
     return collected.select("repo", F.explode(tools).alias("tool")).distinct()
 
