@@ -245,16 +245,6 @@ RESTRICTED_FOR_OUTPUT = [
     "c:\\program files",
     "c:\\users",
 ]
-RESTRICTED_FOR_REPOSITORY = [
-    "/etc",
-    "/bin",
-    "/usr/bin",
-    "/sbin",
-    "/var/log",
-    "/root",
-    "c:\\windows\\system32",
-    "c:\\program files",
-]
 SENSITIVE_NAMES = ["password", "secret", "key", "token", "credential", ".env", ".ssh", ".git", "node_modules"]
 CONTROL_CHARACTERS = r"[\x00-\x1F\x7F]"
 TEMPLATES = r"\$\{.*\}|%\{.*\}"

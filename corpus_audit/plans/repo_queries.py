@@ -667,6 +667,22 @@ def api_reports(spark, sf):
     )
 
 
+@query(
+    "issue_union",
+    f"{RECURSIVE}, {SMELLS_CTE}, {STYLE_CTE}, {SECURITY_CTE}, {X.SYMBOLS}, {API_CTE}, u AS (SELECT repo, path, type, severity FROM ({SMELLS_SQL}) UNION ALL "
+    f"SELECT repo, path, type, severity FROM ({STYLE_SQL}) UNION ALL SELECT repo, path, type, severity FROM ({SECURITY_SQL}) UNION ALL "
+    f"SELECT repo, path, 'Undocumented ' || kind, NULL FROM ({X.ISSUE_ROWS}) UNION ALL SELECT repo, path, description, NULL FROM ({API_ISSUES_SQL})) "
+    "SELECT repo, type, severity, count(*) AS issues, min(path) AS first_path FROM u GROUP BY repo, type, severity",
+)
+def issue_union(spark, sf):
+    """Issues of rules, of missing documentation and of APIs in one table."""
+    files = D.files(spark, sf)
+    bare = documentation.file_doc_issues(spans.file_symbols(files)).select("repo", "path", F.concat(F.lit("Undocumented "), "kind").alias("type"))
+    calls = api.api_issues(api.api_report(files)).select("repo", "path", F.col("description").alias("type"))
+    every = rollup.all_issues(detect(files, SMELLS, *STYLE, SECURITY), bare, calls)
+    return every.groupBy("repo", "type", "severity").agg(F.count(F.lit(1)).alias("issues"), F.min("path").alias("first_path"))
+
+
 _POS = "list_position(['api-quality', 'documentation', 'code-quality', 'security'], agent)"
 _SECTION = (
     "CASE WHEN instr(content, '## Analysis Results') = 0 THEN 'No analysis results found' ELSE trim(substr(content, "

@@ -189,3 +189,19 @@ def test_running_sums_over_ranges(spark):
             assert row["place"] == sums[g] and row["total"] == sum(x for y, _, x in rows if y == g)
         sums[g] += w
     assert len(got) == 500
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from corpus_audit.operators.numbering import shared_folder
+
+    def session(master, folder):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(sparkContext=context, conf={"spark.checkpoint.dir": folder} if folder else {})
+
+    assert shared_folder(session("spark://host:7077", "hdfs://shared")) == "hdfs://shared"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master, None))
+    assert shared_folder(session("local[4]", None))
