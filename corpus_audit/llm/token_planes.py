@@ -31,7 +31,7 @@ MARK = b"IDPLANES"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 LONG_PIECE = 64
-ROWS_AT_ONCE = 2048  # encoded together
+ROWS_AT_ONCE = 4096  # encoded together
 CACHED_WORDS = 400_000  # encoded words that a worker keeps, up to twice
 
 
