@@ -343,7 +343,8 @@ def build_prompts(
     one part, unless ``max_files`` or ``chars`` limits the files of a repository or the characters of a file.
 
     Places come from running sums of lengths, without texts; then each text meets its place and goes to its parts.  A
-    part is built once; agents only multiply the finished text.  ``structure`` is the table of
+    part is built once, and what the header tells of its repository comes to it as a row of its own, so no task gets the
+    texts of a whole repository; agents only multiply the finished text.  ``structure`` is the table of
     :func:`corpus_audit.operators.profile.repo_structure`; the header's language is that of most included files.
     """
     text = F.col("content") if chars is None else F.substring("content", 1, chars)
@@ -364,6 +365,7 @@ def build_prompts(
     )
     facts = places.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.expr(f"(first(total) - 1) div {size} + 1").alias("parts"))
     facts = facts.join(primary_language(places), "repo").join(structure.select("repo", "ts", "test", "has_api_routes"), "repo")
+    facts = facts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
 
     def yes(flag: Column) -> Column:
         return F.when(flag, "Yes").otherwise("No")
@@ -376,7 +378,7 @@ def build_prompts(
     header = F.format_string(PROMPT_HEADER, *fields)
     named = F.explode(F.array(*[F.struct(F.lit(k).alias("agent"), F.lit(n).alias("name")) for k, n in agents.items()]))
     return (
-        bodies.join(facts, "repo")
+        bodies.join(facts, ["repo", "part"])
         .withColumn("_agent", named)
         .select("*", "_agent.agent", "_agent.name")
         .select("repo", "agent", "part", "parts", F.concat(header, "body").alias("prompt"))

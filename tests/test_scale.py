@@ -169,6 +169,16 @@ def test_prompts_hold_every_character_once(spark, files):
     assert not any(r["repo"] == "t" for r in prompts)
 
 
+def test_texts_of_prompts_are_never_dealt_by_repository(spark, stored):
+    files, _ = stored
+    prompts = rollup.build_prompts(files, profile.repo_structure(files, manifests.manifests(files)), part_chars=300)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = prompts._jdf.queryExecution().explainString(mode)
+    dealt = re.findall(r"Exchange\nInput \[\d+\]: \[([^\n]*)\]\nArguments: hashpartitioning\(([^\n]*), \d+\)", plan)
+    texts = [by for columns, by in dealt if re.search(r"\b(content|frame|buf|body)#", columns)]
+    assert texts and all("part#" in by or "path#" in by for by in texts), texts
+
+
 def test_new_comments_of_a_hot_report(spark):
     new = spark.range(3000).selectExpr("'r' AS repo", "IF(id % 3 = 0, 'security', concat('a', id % 7)) AS agent", "'x' AS target", "lpad(id, 6, '0') AS question", "'c' AS context", "1 AS round")
     old = spark.createDataFrame([("r", "security", 1, "t", "old", "c", "resolved", 1)], "repo string, agent string, comment_no int, target string, question string, context string, status string, round int")
