@@ -67,9 +67,9 @@ def _repeats(items: Column) -> Column:
 
 
 REPEATED_LINES = Derived(
-    # A short line cannot be long after trimming, so most lines are never trimmed.
+    # A line is long after trimming if something is left behind 30 characters; trimming at the right walks whole lines.
     lambda text: F.aggregate(
-        F.array(F.filter(F.split(text, "\n"), lambda l: (F.length(l) > 30) & (F.length(F.btrim(l, F.lit(TRIMMED))) > 30))),
+        F.array(F.filter(F.split(text, "\n"), lambda l: F.ltrim(F.substr(F.ltrim(l, F.lit(TRIMMED)), F.lit(31)), F.lit(TRIMMED)) != "")),
         F.lit(0).cast("bigint"),
         lambda acc, kept: acc + _repeats(kept),
     ),
@@ -78,9 +78,10 @@ REPEATED_LINES = Derived(
 )
 
 DUPLICATE_STRINGS_PATTERN = r"\"[^\"]{10,}\"|'[^']{10,}'"
+_STRINGS_BY_QUOTE = r"""["'](?:(?<=")[^"]{10,}"|(?<=')[^']{10,}')"""  # DUPLICATE_STRINGS_PATTERN, searched by its quotes
 REPEATED_STRINGS = Derived(
     lambda text: F.aggregate(
-        F.array(F.regexp_extract_all(text, F.lit(DUPLICATE_STRINGS_PATTERN), 0)),
+        F.array(F.regexp_extract_all(text, F.lit(_STRINGS_BY_QUOTE), 0)),
         F.lit(0).cast("bigint"),
         lambda acc, found: acc + _repeats(found),
     ),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpus_audit.functions import metrics as M
 from corpus_audit.functions.paths import is_source, is_style_source
-from corpus_audit.functions.patterns import Count, Derived, Has, until, walked, wide_parentheses
+from corpus_audit.functions.patterns import Count, Derived, Has, count_matches, until, walked, wide_parentheses
 from corpus_audit.operators.rules import Family, Rule, counted
 
 # --- fixed values: smell patterns, thresholds and messages -----------------------------------------
@@ -15,7 +15,7 @@ SMELL_FEATURES = {
     "long_parameters": Count(r"\([^)]{50,}\)", build=wide_parentheses(50)),
     "magic_numbers": Count(r"\b(?!0|1|-1)\d{2,}\b", linear=r"[2-9](?<!\w[2-9])\d++(?!\w)"),
     "deep_nesting": Count(r"\{[^{}]*\{[^{}]*\{[^{}]*\{[^{}]*\{"),
-    "todo_comments": Count(r"(?i)//\s*TODO|/\*\s*TODO"),
+    "todo_comments": Count(r"(?i)//\s*TODO|/\*\s*TODO", linear=r"/[/*]\s*[Tt][Oo][Dd][Oo]", needs=("/",)),
     "console_calls": Count(r"console\.(log|debug|warn)"),
     "long_lines": M.lines_longer_than(120),
     "repeated_lines": M.REPEATED_LINES,
@@ -116,6 +116,8 @@ def conditional_chains(text: Column) -> Column:
 
 
 # --- fixed values: style patterns, thresholds and messages -----------------------------------------
+# Searched by the dot, which is rarer than letters; behind a letter, digits may precede it.  Two matches share nothing.
+PROPERTY_WRITE = r"[.0-9](?<=[a-zA-Z_][.0-9])(?:(?<=\.)|(?<=[0-9])[0-9]*+\.)[a-zA-Z_]\w*+\s*+="
 REPEATED_ACCESS = r"(\w+)\.(\w+)[^=\n]*\1\.\2"
 
 FUNCTIONAL_FEATURES = {
@@ -123,8 +125,7 @@ FUNCTIONAL_FEATURES = {
     "array_mutations": Count(r"\.push\(|\.pop\(|\.shift\(|\.unshift\(|\.splice\("),
     "object_mutations": Count(
         r"Object\.assign\(|[a-zA-Z_]\w*\.[a-zA-Z_]\w*\s*=",
-        linear=r"Object\.assign\(|[a-zA-Z_]\d*+\.[a-zA-Z_]\w*+\s*+=",
-        needs=(".",),
+        build=lambda text: count_matches(text, r"Object\.assign\(") + count_matches(text, "", PROPERTY_WRITE, (".", "=")),
     ),
     "nested_loops": Count(r"for\s*\([^)]*\)\s*\{[^{}]*for\s*\([^)]*\)", build=walked(NESTED_LOOP_WALK, "for", "{")),
     "const_decls": Count(M.CONST_PATTERN),
@@ -261,13 +262,14 @@ ORGANIZATION_RULES = (
 )
 
 MODERN_FEATURES = {
-    "string_concatenations": Count(r"""['"][^'"]*['"]\s*\+|['"]\s*\+\s*['"][^'"]*['"]"""),
+    "string_concatenations": Count(r"""['"][^'"]*['"]\s*\+|['"]\s*\+\s*['"][^'"]*['"]""", needs=("+",)),
     "nested_ifs": Count(r"\{\s*if[^{}]*\{\s*if[^{}]*\{\s*if"),
     "nested_callbacks": Count(
         r"function\s*\([^)]*\)\s*\{\s*[^{}]*function\s*\([^)]*\)\s*\{", build=walked(NESTED_CALLBACK_WALK, "function", "{")
     ),
     "property_chains": Count(
-        r"\w+\.\w+\.\w+\.\w+", linear=r"\w\.\w++\.\w++\.\w++", needs=(".",)
+        # Searched by the first dot; a dot behind the match has no word of its own before it and is taken along.
+        r"\w+\.\w+\.\w+\.\w+", linear=r"\.(?<=\w\.)\w++\.\w++\.\w++\.?+", needs=(".",)
     ),
     "getter_chains": Count(r"\.get\w+\(\)[^=]*\.get\w+\(\)"),
     "ask_then_act": Count(r"if\s*\([^)]*\.\w+[^)]*\)\s*\{[^{}]*\.\w+\s*=", build=walked(ASK_THEN_ACT_WALK, "if", "{", "=")),
@@ -359,17 +361,18 @@ def _repeated_access(text):
 
     A match holds neither ``=`` nor a newline, so each piece between those is counted on its own.  The
     look-ahead asks for the letters around the dot to come back later in the piece before every
-    object/property length is tried, which keeps long pieces cheap.
+    object/property length is tried, which keeps long pieces cheap.  Texts without a piece of two accesses are not cut.
     """
     from pyspark.sql import functions as F
 
-    pieces = F.filter(F.split(text, "[=\n]"), lambda s: F.rlike(s, F.lit(r"\w\.\w[^\n]*\w\.\w")))
+    pieces = F.filter(F.split(text, "[=\n]"), lambda s: F.rlike(s, F.lit(r"\.(?<=\w\.)\w[^\n]*\w\.\w")))
     counted_piece = r"(?=\w*(\w\.\w)[^\n]*\1)(\w+)\.(\w+)[^\n]*\2\.\3"
-    return F.aggregate(
+    n = F.aggregate(
         F.transform(pieces, lambda s: F.regexp_count(s, F.lit(counted_piece)).cast("bigint")),
         F.lit(0).cast("bigint"),
         lambda acc, n: acc + n,
     )
+    return F.when(~F.rlike(text, F.lit(r"\.(?<=\w\.)\w[^=\n]*\w\.\w")), F.lit(0).cast("bigint")).otherwise(n)
 
 
 FUNCTIONAL = Family("functional-style", FUNCTIONAL_FEATURES, FUNCTIONAL_RULES, is_style_source)

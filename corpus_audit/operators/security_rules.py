@@ -13,6 +13,7 @@ SECURITY_FEATURES = {
     "sql_concatenation": Has(
         r"""["`'][^"`']*\+\s*.*\+\s*["`']""",
         linear=r"""\A[^"`']*+["`'][\s\S]*?\+\s*+[^+\n\r\x{2028}\x{2029}]*+\+\s*+["`']""",
+        needs=("+",),
     ),
     "system_call": Has(r"exec\(|spawn\(|system\("),
     "interpolation": Has(r"\$\{|\+"),

@@ -188,3 +188,39 @@ def test_walked_repeated_access_equals_the_pattern(spark):
     con.register("files", files.toPandas())
     walked = dict(con.execute(f"WITH RECURSIVE {X.ACCESS} SELECT path, repeated_access FROM access_features").fetchall())
     assert walked == {p: n for p, n in want.items() if n}
+
+
+def test_patterns_searched_by_their_rarest_character_count_alike():
+    from corpus_audit.operators.quality_rules import PROPERTY_WRITE
+
+    rng = random.Random(6)
+    pieces = ["a", "b1", "12", "_", ".", ".", "..", "=", " = ", "\n", '"', "'", "+", "é", "0123456789", "Object.assign(", "a.b", "a1.b"]
+    write = plain(r"Object\.assign\(|[a-zA-Z_]\w*\.[a-zA-Z_]\w*\s*=")
+    access, seen = (plain(r"\w\.\w[^\n]*\w\.\w"), plain(r"\.(?<=\w\.)\w[^\n]*\w\.\w"))
+    for _ in range(6000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(30)))
+        found = text.count("Object.assign(") + len(java_as_python(PROPERTY_WRITE).findall(text))
+        assert found == len(write.findall(text)), text
+        strings = [m.group() for m in java_as_python(M._STRINGS_BY_QUOTE).finditer(text)]
+        assert strings == [m.group() for m in plain(M.DUPLICATE_STRINGS_PATTERN).finditer(text)], text
+        assert bool(seen.search(text)) == bool(access.search(text)), text
+
+
+def test_dense_letters_do_not_slow_the_searches_down(spark):
+    """One letter or digit after another: forms that try every one of them took several times as long."""
+    assert not any(re.match(r"\[a-z|\\w|\(\?i\)", f.linear or "") for f in (MODERN.features["property_chains"], SMELLS.features["todo_comments"]))
+    assert SMELLS.features["todo_comments"].linear and FUNCTIONAL.features["object_mutations"].build
+    row = spark.createDataFrame([("a1" * 500_000 + ".b = 1; x.a.b.c.d.e.f.g // todo",)], "t string")
+    got = row.select(*[f.column(F.col("t")).alias(n) for n, f in (("w", FUNCTIONAL.features["object_mutations"]), ("c", MODERN.features["property_chains"]), ("t", SMELLS.features["todo_comments"]))]).first()
+    assert tuple(got) == (1, 2, 1)
+
+
+def test_repeated_lines_are_judged_as_if_trimmed(spark):
+    rng = random.Random(7)
+    lines = [" " * a + x * n + "\t" * b + y for a in (0, 1, 31) for x in ("a", "é ", "- ") for n in (10, 15, 16, 30, 31) for b in (0, 2, 40) for y in ("", "z")]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(60))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", M.REPEATED_LINES.column(F.col("t")).alias("n")).collect()
+    for row in rows:
+        kept = [x for x in row["t"].split("\n") if len(x.strip(M.TRIMMED)) > 30]
+        assert row["n"] == len(kept) - len(set(kept))
+    assert "btrim" not in M.REPEATED_LINES.column(F.col("t"))._jc.toString() and "trim(both" not in M.REPEATED_LINES.column(F.col("t"))._jc.toString().lower()

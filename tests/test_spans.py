@@ -180,3 +180,14 @@ def test_missing_text(files):
 def test_many_unclosed_functions_stay_cheap():
     text = "function f(a) { 'x " * 20_000
     assert len(spans.body_facts(text)) == 20_000 and len(spans.function_spans(text)) > 0
+
+
+def test_declarations_are_found_as_by_their_patterns():
+    import random
+
+    rng = random.Random(5)
+    words = ["export", "async", "class", "function", "x", "A1", " ", " ", " ", "\n", "\t", "(", "é", ";"]
+    for _ in range(4000):
+        text = "".join(rng.choice(words) for _ in range(rng.randrange(25)))
+        for core, before, pattern in ((spans._CLASS, ("export",), spans.CLASSES), (spans._FUNCTION, ("async", "export"), spans.FUNCTIONS)):
+            assert list(spans._declared(core, before, text)) == [(m.start(), m.group(1)) for m in spans._compile(pattern).finditer(text)], text
