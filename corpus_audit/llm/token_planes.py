@@ -20,6 +20,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -80,9 +81,10 @@ class WordwiseEncoder:
         """The ids of ``lead`` and each piece, encoded as one text and cut by the bytes that the tokens stand for."""
         if not pieces:
             return []
-        whole = self.tokenizer.encode_batch_fast([lead + lead.join(pieces)], add_special_tokens=False)[0].ids
-        ids = np.array(whole, "<u4")
-        ends = np.cumsum([len(p if p.isascii() else p.encode("utf-8", "surrogatepass")) + 1 for p in pieces])
+        text = lead + lead.join(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        written = np.frombuffer((text + lead).encode("utf-8", "surrogatepass"), np.uint8)
+        ends = np.flatnonzero(written == ord(lead))[1:]  # no piece holds its lead
         cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * 4
         data, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
         return [data[a:z] for a, z in zip(starts, cuts.tolist())]
@@ -95,21 +97,17 @@ class WordwiseEncoder:
             if len(known) > self.cached:
                 self.old[lead], self.young[lead] = known, {}
 
-    def _know(self, pieces, lead: str) -> dict[str, bytes | None]:
+    def _know(self, pieces: set[str], lead: str) -> dict[str, bytes | None]:
         """The young pieces behind ``lead``, which then have the ids of all of these."""
         young, old = self.young[lead], self.old[lead]
-        missing = []
-        for p in pieces:
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                else:
-                    missing.append(p)
-        new, marked, over_lines = [], [], []
-        for p in missing:
-            if p.isalpha() and self.letters_safe:
-                new.append(p)
-            elif p[-1:] in self.marks and p[:-1].isalpha() and self.letters_safe:
+        absent = pieces.difference(young)
+        missing = absent.difference(old)
+        young.update([(p, old[p]) for p in absent.difference(missing)])
+        # Whole sets at a time: most pieces are known, and most others are letters alone.
+        new = list(filter(str.isalpha, missing)) if self.letters_safe else []
+        marked, over_lines = [], []
+        for p in filterfalse(str.isalpha, missing) if self.letters_safe else missing:
+            if p[-1:] in self.marks and p[:-1].isalpha() and self.letters_safe:
                 marked.append(p)  # letters and one mark behind them are always separate words to the tokenizer
             elif self.odd.search(p):
                 young[p] = None

@@ -69,3 +69,14 @@ def test_awkward_rows(spark, awkward):
         got = P.read_ids(P.write_ids(df, FILE, 2, block_ids=100, bits=bits)).selectExpr("doc_id", "start", "n_tokens", "crc32(ids) AS c")
         assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
     assert P.read_ids(P.write_ids(df.limit(0), FILE, 2)).count() == 0
+
+
+def test_pieces_move_between_caches_and_keep_their_ids():
+    encoder, rng = P.WordwiseEncoder(FILE, cached=40), random.Random(9)
+    words = [f"w{k}" for k in range(60)] + ["é😀", "naïve,", "a\nb", "漢字", "x.", "Straße\nund", "don't"]
+    for _ in range(30):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) for _ in range(5)]
+        assert encoder.encode(texts) == encoder._ids(texts)
+    pieces = ["é", "漢字", "b", "😀x"]
+    for lead in " \n":
+        assert encoder._ids_of_pieces(pieces, lead) == encoder._ids([lead + p for p in pieces])
