@@ -20,9 +20,10 @@ import re
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,21 +39,38 @@ CACHED_WORDS = 400_000  # encoded words that a worker keeps, up to twice
 
 # Encoding
 
-_MARKS = ",.;:!?"  # each a word of its own behind letters
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"  # letters in all versions of Unicode
+_MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation without the apostrophe, which may be in a word
+
+
+def _written() -> np.ndarray:
+    """The character that a byte-level tokenizer writes for each byte; here a space separates words, and 0 is a space in one."""
+    as_is = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    chars = np.zeros(256, "<u4")
+    chars[as_is] = as_is
+    chars[chars == 0] = np.arange(256, 256 + 256 - len(as_is))
+    chars[0], chars[32] = chars[32], 32
+    return chars
+
+
+_WRITTEN = _written()
+_IS_MARK = np.array([bool(re.match(f"[{_MARKS}]", chr(b))) for b in range(256)])
 
 
 class WordwiseEncoder:
     """Texts to ids, equal to encoding each whole text with the ``tokenizers`` library.
 
     A byte-level tokenizer that splits by its usual pattern never joins what stands before a single space and
-    after it, so texts are encoded in pieces cut before single spaces, and pieces seen lately are not encoded
-    again.  A single line end is a word of its own, so a piece over lines is made of what it has on each.  Texts with two white space characters in a row or with a special token, and all texts under other
-    kinds of tokenizers, are encoded whole.
+    after it, so texts are cut before single spaces.  A single line end is a word of its own, so texts are cut there too; a
+    line end stays with the piece behind it.  The pieces of a call are numbered, behind those known from earlier calls, by
+    a dictionary; new ones are encoded, and the ids of all are taken by number.  Letters, with or without marks behind them,
+    are split without the pattern, and the model gets the words.  Texts with two white space characters in a row or with a
+    special token, and all texts under other kinds of tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
@@ -60,19 +78,21 @@ class WordwiseEncoder:
         self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not made.get("normalizer")
         special = [t["content"] for t in made.get("added_tokens", [])]
         self.by_piece = self.by_piece and not any(re.search(r"\s", t) for t in special)
+        # Pieces that are split without the pattern; none if a special token may be in one.
+        self.plain = rf"^\n?[{_LETTERS}]+[{_MARKS}]*$"
+        if any(re.fullmatch(f"[{_LETTERS}]*[{_MARKS}]*", t) for t in special):
+            self.plain = r"[^\s\S]"
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         # Pieces beside which a cut may not be one: empty ones, white space at an end or twice, special tokens.
-        self.letters_safe = not any(t.isalpha() or t[:-1].isalpha() for t in special)
         self.odd = re.compile("|".join([r"\A\Z", r"\A\s", r"\s\Z", r"\s\s", *map(re.escape, special)]))
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each token; a character each, as written
         if self.by_piece:
             for token, i in self.tokenizer.get_vocab().items():
                 self.lengths[i] = len(token)
-            self.marks = dict(zip(_MARKS, self._ids(list(_MARKS))))  # ids by mark
         self.cached = cached
-        # Ids of a blank or line end and a piece, None for odd pieces; the last used stay.
-        self.young: dict[str, dict[str, bytes | None]] = {" ": {}, "\n": {}}
-        self.old: dict[str, dict[str, bytes | None]] = {" ": {}, "\n": {}}
-        self.long: list[tuple[str, str]] = []  # pieces that are known for one call alone
+        # Pieces known, a line end before some, with their ids (null for odd ones) and the last call that they came in.
+        self.pieces, self.ids, self.last, self.calls = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64), 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,68 +109,71 @@ class WordwiseEncoder:
         data, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
         return [data[a:z] for a, z in zip(starts, cuts.tolist())]
 
+    def _ids_of_plain(self, pieces: pa.Array) -> pa.Array:
+        """The ids of plain pieces: their words are separated, written as the model has them, and encoded as one text."""
+        if not len(pieces):
+            return pa.array([], pa.large_binary())
+        one = pa.ListArray.from_arrays([0, len(pieces)], pieces)
+        text = "\0" + pc.binary_join(one, pa.scalar(" \0", pa.large_string()))[0].as_py()
+        raw = np.frombuffer(text.replace("\0\n", "\n ").encode(), np.uint8)
+        marks = _IS_MARK[raw]
+        chars = np.insert(_WRITTEN[raw], np.flatnonzero(marks[1:] > marks[:-1]) + 1, ord(" "))
+        ids = np.array(self.model.encode_batch_fast([chars.tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, "<u4")
+        sizes = pc.binary_length(pieces).to_numpy() + ~pc.starts_with(pieces, "\n").to_numpy(zero_copy_only=False)
+        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
+        places = np.concatenate([[0], cuts * 4]).astype("<i8")
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(places), pa.py_buffer(ids)])
+
+    def _ids_of_new(self, pieces: pa.Array) -> pa.Array:
+        """The ids of pieces in their order, null for odd ones."""
+        plain = pc.match_substring_regex(pieces, self.plain)
+        others = pieces.filter(pc.invert(plain)).to_numpy(zero_copy_only=False).tolist()
+        found: dict[str, bytes] = {}
+        for lead, mine in ((" ", [p for p in others if p[:1] != "\n"]), ("\n", [p for p in others if p[:1] == "\n"])):
+            bodies = [p.removeprefix("\n") for p in mine]
+            even = [(p, b) for p, b in zip(mine, bodies) if not self.odd.search(b)]
+            found.update(zip([p for p, _ in even], self._ids_of_pieces([b for _, b in even], lead)))
+        both = pa.concat_arrays([self._ids_of_plain(pieces.filter(plain)), pa.array([found.get(p) for p in others], pa.large_binary())])
+        order = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")  # where each of both stands in pieces
+        places = np.empty(len(order), np.int64)
+        places[order] = np.arange(len(order))
+        return both.take(pa.array(places))
+
     def _forget(self) -> None:
-        for lead, p in self.long:
-            self.young[lead].pop(p, None)
-        self.long = []
-        for lead, known in self.young.items():
-            if len(known) > self.cached:
-                self.old[lead], self.young[lead] = known, {}
-
-    def _know(self, pieces: set[str], lead: str) -> dict[str, bytes | None]:
-        """The young pieces behind ``lead``, which then have the ids of all of these."""
-        young, old = self.young[lead], self.old[lead]
-        absent = pieces.difference(young)
-        missing = absent.difference(old)
-        young.update([(p, old[p]) for p in absent.difference(missing)])
-        # Whole sets at a time: most pieces are known, and most others are letters alone.
-        new = list(filter(str.isalpha, missing)) if self.letters_safe else []
-        marked, over_lines = [], []
-        for p in filterfalse(str.isalpha, missing) if self.letters_safe else missing:
-            if p[-1:] in self.marks and p[:-1].isalpha() and self.letters_safe:
-                marked.append(p)  # letters and one mark behind them are always separate words to the tokenizer
-            elif self.odd.search(p):
-                young[p] = None
-            elif "\n" in p:
-                over_lines.append(p)
-            else:
-                new.append(p)
-        bases = {p[:-1] for p in marked}.difference(new)
-        for p in bases:
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                else:
-                    new.append(p)
-        young.update(zip(new, self._ids_of_pieces(new, lead)))
-        young.update([(p, young[p[:-1]] + self.marks[p[-1]]) for p in marked])
-        if over_lines:
-            cut = [p.split("\n") for p in over_lines]
-            self._know({first for first, *_ in cut}, lead)
-            lines = self._know({p for _, *rest in cut for p in rest}, "\n")
-            young.update((p, young[first] + b"".join([lines[x] for x in rest])) for p, (first, *rest) in zip(over_lines, cut))
-            # What such a piece is made of is known; the piece itself hardly comes again.
-            self.long += [(lead, p) for p in over_lines]
-        self.long += [(lead, p) for p in missing if len(p) > LONG_PIECE]
-        return young
+        """Long pieces are known for one call alone; of too many, the last used stay."""
+        keep = pc.binary_length(self.pieces).to_numpy() <= LONG_PIECE
+        if len(keep) > 2 * self.cached:
+            keep &= self.last >= np.partition(self.last, -self.cached)[-self.cached]
+        if not keep.all():
+            self.pieces, self.ids, self.last = self.pieces.filter(pa.array(keep)), self.ids.filter(pa.array(keep)), self.last[keep]
+
+    def _know(self, pieces: pa.Array) -> pa.Array:
+        """The number of each piece among those known, which then have the ids of all of these."""
+        known = len(self.pieces)
+        numbered = pa.concat_arrays([self.pieces, pieces]).dictionary_encode()
+        self.pieces, numbers = numbered.dictionary, numbered.indices[known:]
+        self.ids = pa.concat_arrays([self.ids, self._ids_of_new(self.pieces[known:])])
+        self.calls += 1
+        self.last = np.concatenate([self.last, np.zeros(len(self.pieces) - known, np.int64)])
+        self.last[numbers.to_numpy()] = self.calls
+        return numbers
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        if not self.by_piece:
+        if not self.by_piece or not texts:
             return self._ids(texts)
-        cut = [text.split(" ") for text in texts]
-        firsts = [parts.pop(0) for parts in cut]
         self._forget()
-        find = self._know(set().union(*cut), " ").__getitem__
-        out, whole = [], []
-        for n, (parts, first, ids) in enumerate(zip(cut, firsts, self._ids(firsts))):
-            try:
-                if first and self.odd.search(first.lstrip()):
-                    raise TypeError
-                out.append(ids + b"".join(map(find, parts)))
-            except TypeError:  # of None, an odd piece
-                whole.append(n)
-                out.append(b"")
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        rows, behind = cut.offsets.to_numpy(), np.ones(len(cut.values), bool)
+        behind[rows[:-1]] = False  # the first of a text has no lead
+        firsts = cut.values.take(pa.array(rows[:-1])).to_pylist()
+        numbers = self._know(cut.values.filter(pa.array(behind)))
+        found, rows = self.ids.take(numbers), rows - np.arange(len(rows))
+        _, places, data = found.buffers()
+        data, ends = memoryview(data or b""), np.frombuffer(places, "<i8")[rows].tolist()
+        out = [ids + data[a:z] for ids, a, z in zip(self._ids(firsts), ends, ends[1:])]
+        odd = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        whole = {*(np.searchsorted(rows, odd, "right") - 1).tolist(), *(n for n, first in enumerate(firsts) if first and self.odd.search(first.lstrip()))}
         for n, ids in zip(whole, self._ids([texts[n] for n in whole])):
             out[n] = ids
         return out

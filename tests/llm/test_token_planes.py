@@ -80,3 +80,54 @@ def test_pieces_move_between_caches_and_keep_their_ids():
     pieces = ["é", "漢字", "b", "😀x"]
     for lead in " \n":
         assert encoder._ids_of_pieces(pieces, lead) == encoder._ids([lead + p for p in pieces])
+
+
+class Counted:
+    """Counts the characters that a tokenizer gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.n = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.n += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+LETTERS, MARKS = "abcXYZ\u00e0\u00d6\u00df\u0161\u024f", list(",.;:!?#$%&*()[]{}<>|-_/@~`^=+\"\\") + ["", "...", "?!", "***", ".$$$"]
+
+
+def plain_words(rng, n):
+    return ["".join(rng.choices(LETTERS, k=rng.randrange(1, 12))) + (rng.choice(MARKS) if rng.random() < 0.4 else "") for _ in range(n)]
+
+
+def test_plain_words_are_encoded_without_the_pattern():
+    encoder, rng = P.WordwiseEncoder(FILE, cached=100), random.Random(3)
+    texts = ["a" + rng.choice(" \n") + "".join(w + rng.choice("   \n") for w in plain_words(rng, 200)) + "z" for _ in range(40)] + ["a", ""]
+    want = encoder._ids(texts)
+    encoder.tokenizer = counted = Counted(encoder.tokenizer)
+    for start in range(0, len(texts), 6):
+        assert encoder.encode(texts[start : start + 6]) == want[start : start + 6]
+    assert counted.n == len(texts) - 1  # the first letter of each, which no blank is before
+
+
+def test_special_tokens_in_plain_words(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    for token in ("###", "abc", "X.", "<|x|>"):
+        whole, rng = Tokenizer.from_file(FILE), random.Random(4)
+        whole.add_special_tokens([AddedToken(token, normalized=False)])
+        whole.save(str(file := tmp_path / "special.json"))
+        texts = [" ".join(plain_words(rng, 20) + rng.choices([token, f"a{token}", f"ab{token},"], k=rng.randrange(2)) + ["end"]) for _ in range(60)]
+        encoder = P.WordwiseEncoder(str(file))
+        assert encoder.encode(texts) == encoder._ids(texts)
+
+
+def test_known_pieces_are_bounded():
+    encoder, rng = P.WordwiseEncoder(FILE, cached=50), random.Random(6)
+    for k in range(20):
+        texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(30)] + ["always", "x" * 500])]
+        assert encoder.encode(texts) == encoder._ids(texts)
+        assert len(encoder.pieces) == len(encoder.ids) == len(encoder.last) <= 2 * 50 + 32
+    assert "always" in encoder.pieces.to_pylist()
+    encoder.encode(["end"])
+    assert max(map(len, encoder.pieces.to_pylist())) <= P.LONG_PIECE
