@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import re
+import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,13 @@ def worker_cache(operator: str) -> dict:
     """What an operator keeps in a worker process from batch to batch.
 
     Workers outlive stages, and a pipeline's operators follow each other in the same ones: the first call of another
-    operator drops what was kept, and returns the memory."""
+    operator drops what was kept, and returns the memory, also what Arrow's pool holds of freed batches."""
     if operator not in _kept:
         _kept.clear()
         _kept[operator] = {}
         gc.collect()
+        if "pyarrow" in sys.modules:
+            sys.modules["pyarrow"].default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim is not None:
             trim(0)
